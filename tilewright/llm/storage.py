@@ -1,0 +1,35 @@
+"""Tables that cut lineage, written to the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_KEY = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where the setting is absent (a local session in a test) a temporary folder
+    is made and recorded in the session, so that later calls agree on it.
+    """
+    base = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="tilewright-")
+        spark.conf.set(_KEY, base)
+    return base.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder."""
+    return f"{shared_dir(spark)}/tilewright/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table: computed once, and safe when executors are lost."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
