@@ -1,4 +1,6 @@
 """Registered queries on the given tables, and the SQL that they must equal."""
 
-QUERIES = {}
-ORACLES = {}
+from tilewright.plans import tables, vectors
+
+QUERIES = vectors.QUERIES | tables.QUERIES
+ORACLES = vectors.ORACLES | tables.ORACLES
