@@ -109,13 +109,18 @@ def test_boxes(spark):
 
 
 def test_matching_ties(spark):
-    anchors = matching.anchor_table(spark, [(0, 0, 10, 10), (50, 50, 60, 60)])
+    anchors = [(0, 0, 10, 10), (50, 50, 60, 60)]
     twins = spark.createDataFrame([(1, [(0.0, 0.0, 10.0, 10.0)] * 2, [7, 8])], "id long, boxes array<struct<l:double,t:double,r:double,b:double>>, labels array<int>")
-    found = matching.pairs(twins, anchors, "id")
-    assert {r.anchor_id: r.match for r in matching.match(found, "id", 0.5, 0.4, False).collect()} == {0: 0, 1: -1}
-    assert {r.anchor_id: r.label for r in matching.encode(found, "id", 0.5).collect()} == {0: 8, 1: 0}
+    matched = lambda df, *args: matching.match(df, anchors, "id", 0.5, 0.4, *args).first().matches
+    encoded = lambda df: matching.encode(df, anchors, "id", 0.5).first().encoded_labels
+    assert matched(twins, False) == [0, -1] and encoded(twins) == [8, 0]
+    # A box that meets no anchor is within 1e-6 of its best, 0, at every anchor.
     far = spark.createDataFrame([(1, [(80.0, 80.0, 90.0, 90.0)], [7])], twins.schema)
-    assert {r.match for r in matching.match(matching.pairs(far, anchors, "id"), "id", 0.5, 0.4).collect()} == {0}
+    assert matched(far) == [0, 0] and matched(far, False) == [-1, -1]
+    none = spark.createDataFrame([(1, [], [])], twins.schema)
+    assert matched(none) == [-1, -1] and encoded(none) == [0, 0]
+    assert matching.match(twins.limit(0), anchors, "id", 0.5, 0.4).count() == 0
+    assert matching.pairs(twins, matching.anchor_table(spark, anchors), "id").count() == 4
 
 
 def test_random_values(spark):

@@ -232,6 +232,16 @@ def resize_bilinear(v: Column, h: int, w: int, oh: int, ow: int) -> Column:
     return F.transform(_index(oh * ow), one)
 
 
+def roi_resize(v: Column, w: int, y: int, x: int, rh: int, rw: int, oh: int, ow: int) -> Column:
+    """A fixed region, resized."""
+    return resize_bilinear(crop(v, w, y, x, rh, rw), rh, rw, oh, ow)
+
+
+def resize_crop_mirror(v: Column, h: int, w: int, oh: int, ow: int, ch: int, cw: int, mirror=0) -> Column:
+    """Resized, cropped at the centre, mirrored where the flag is 1."""
+    return flip(center_crop(resize_bilinear(v, h, w, oh, ow), oh, ow, ch, cw), ch, cw, mirror, 0)
+
+
 def pixelate(v: Column, h: int, w: int, block: int) -> Column:
     """The mean of each block for all its pixels (convention), one channel; h and w are multiples of block."""
 

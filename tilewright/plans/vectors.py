@@ -99,6 +99,8 @@ _ROW = "v[(i // 8) * 8 + 1:(i // 8) * 8 + 8]"
 tensor("normalize_rows", lambda: T.normalize_rows(v(), H, W), f"list_transform(range(0, 64), lambda i: (v[i + 1] - list_avg({_ROW})) / sqrt(list_avg(list_transform({_ROW}, lambda y: (y - list_avg({_ROW})) * (y - list_avg({_ROW}))))))", False, 5)
 tensor("crop_mirror_normalize", lambda: T.crop_mirror_normalize(v(), H, W, 4, 4, F.col("label") % 2, 100.0, 50.0), "list_transform(range(0, 16), lambda i: (v[CAST((2 + i // 4) * 8 + 2 + CASE WHEN label % 2 = 1 THEN 3 - i % 4 ELSE i % 4 END AS BIGINT) + 1] - 100.0) / 50.0)")
 tensor("resize_mirror_normalize", lambda: T.normalize(T.flip(T.resize_nearest(v(), H, W, 4, 4), 4, 4, 1), 100.0, 50.0), "list_transform(range(0, 16), lambda i: (v[CAST(least(7, floor((i // 4 + 0.5) * 2)) * 8 + least(7, floor((3 - i % 4 + 0.5) * 2)) AS BIGINT) + 1] - 100.0) / 50.0)")
+tensor("roi_resize", lambda: T.roi_resize(v(), W, 2, 1, 4, 4, 2, 2), "list_transform(range(0, 4), lambda i: (v[(2 + i // 2 * 2) * 8 + 1 + i % 2 * 2 + 1] + v[(2 + i // 2 * 2) * 8 + 2 + i % 2 * 2 + 1] + v[(3 + i // 2 * 2) * 8 + 1 + i % 2 * 2 + 1] + v[(3 + i // 2 * 2) * 8 + 2 + i % 2 * 2 + 1]) / 4)")
+tensor("resize_crop_mirror", lambda: T.resize_crop_mirror(v(), H, W, 4, 4, 2, 2, 1), "list_transform(range(0, 4), lambda i: (v[(2 + i // 2 * 2) * 8 + 2 + (1 - i % 2) * 2 + 1] + v[(2 + i // 2 * 2) * 8 + 3 + (1 - i % 2) * 2 + 1] + v[(3 + i // 2 * 2) * 8 + 2 + (1 - i % 2) * 2 + 1] + v[(3 + i // 2 * 2) * 8 + 3 + (1 - i % 2) * 2 + 1]) / 4)")
 tensor("one_hot", lambda: T.one_hot(F.col("label"), 10), "list_transform(range(0, 10), lambda i: CASE WHEN i = (label + 9) % 10 THEN 1 ELSE 0 END)")
 
 for _border, _first in (("zero", "0"), ("clamp", "v[1]"), ("reflect", "v[2]")):
@@ -200,7 +202,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["box_iou_matrix"] = lambda spark, d: _pairs(spark, d).select("vec_id", "box_id", "anchor_id", F.round("iou", 6).alias("iou"))
 ORACLES["box_iou_matrix"] = f"WITH {_PAIRS} SELECT vec_id, CAST(box_id AS INT) AS box_id, CAST(anchor_id AS INT) AS anchor_id, round(iou, 6) AS iou FROM pr"
-QUERIES["iou_matcher"] = lambda spark, d: M.match(_pairs(spark, d), "vec_id", 0.5, 0.2)
+QUERIES["iou_matcher"] = lambda spark, d: M.match(boxed(spark, d), ANCHORS, "vec_id", 0.5, 0.2).select("vec_id", F.posexplode("matches").alias("anchor_id", "match"))
 ORACLES["iou_matcher"] = f"""
     WITH {_PAIRS},
     q AS (SELECT *, abs(iou - max(iou) OVER (PARTITION BY vec_id, box_id)) < 1e-6 AS low_ok FROM pr),
@@ -210,8 +212,9 @@ ORACLES["iou_matcher"] = f"""
 
 def _encoded(offset: bool):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        out = M.encode(_pairs(spark, d), "vec_id", 0.3, (0.0, 0.0, 0.0, 0.0), (0.1, 0.1, 0.2, 0.2), offset)
-        return out.select("vec_id", "anchor_id", "label", *(F.round(f"c{i}", 5).alias(f"c{i}") for i in range(4)))
+        out = M.encode(boxed(spark, d), ANCHORS, "vec_id", 0.3, (0.0, 0.0, 0.0, 0.0), (0.1, 0.1, 0.2, 0.2), offset)
+        each = out.select("vec_id", "encoded_boxes", F.posexplode("encoded_labels").alias("anchor_id", "label"))
+        return each.select("vec_id", "anchor_id", "label", *(F.round(F.get("encoded_boxes", F.col("anchor_id") * 4 + i), 5).alias(f"c{i}") for i in range(4)))
 
     return run
 

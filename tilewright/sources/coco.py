@@ -40,7 +40,7 @@ def detections(data: DataFrame, masks: bool = False, remap: bool = True, relativ
     if masks:
         a = a.where("coalesce(iscrowd, 0) = 0")
     if remap:
-        a = a.join(F.broadcast(categories(data)), "category_id")  # a dimension of some dozens
+        a = a.join(categories(data), "category_id")
     label = (F.col("class") if remap else F.col("category_id")).cast("int")
     joined = a.join(images(data), "image_id")
     off = 1 if masks else 0
