@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.llm import warc as W
-from tilewright.llm.storage import new_path
+from tilewright.storage import new_path
 
 LONG = "<html>" + "ä" * 100 + "</html>"
 PAGES = [(3, "http://a/3", LONG, "x"), (1, "http://a/1", LONG, "x"), (2, "http://a/2", "short", "x"), (4, None, "short", "x"), (5, "u\nv", None, "x"), (None, "http://a/n", LONG, "x"), (1, "http://a/1", LONG, "x"), (6, "http://a/6", "\r\n\r\n" + "z" * 5000, "x")]

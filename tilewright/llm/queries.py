@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import bpe, chat, decontaminate, license, ogg, secrets, simhash, substring_dedup, toxicity, warc
-from tilewright.llm.storage import new_path
+from tilewright.storage import new_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"

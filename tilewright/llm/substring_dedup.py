@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.storage import written
+from tilewright.storage import written
 
 MIN_WORDS = 8
 REACH = 12
@@ -141,13 +141,16 @@ def without(text: Column, spans: Column) -> Column:
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with repeated units cut out of the text, and the cut spans in ``removed_spans``."""
+    """``docs`` with repeated units cut out of the text, and the cut spans in ``removed_spans``, which replaces a column of that name."""
     gone = (
         repeats(docs, doc_id, text)
         .groupBy("doc_id", "text_hash")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed_spans"))
-        .withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash"})
+        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+        .alias("g")
     )
-    same = F.col(doc_id).eqNullSafe(F.col("_doc_id")) & (F.xxhash64(F.col(text)) == F.col("_text_hash"))
-    cut = F.when(F.col("removed_spans").isNull(), F.col(text)).otherwise(without(F.col(text), F.col("removed_spans")))
-    return docs.join(gone, same, "left").withColumn(text, cut).select(*docs.columns, "removed_spans")
+    d = docs.alias("d")
+    body, spans = F.col(f"d.`{text}`"), F.col("g.spans")
+    same = F.col(f"d.`{doc_id}`").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64(body) == F.col("g.text_hash"))
+    cut = F.when(spans.isNull(), body).otherwise(without(body, spans)).alias(text)
+    kept = [cut if c == text else F.col(f"d.`{c}`") for c in docs.columns if c != "removed_spans"]
+    return d.join(gone, same, "left").select(*kept, spans.alias("removed_spans"))
