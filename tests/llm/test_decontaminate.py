@@ -61,7 +61,7 @@ def test_proximity(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "alpha x beta x gamma"), (2, "gamma beta alpha"), (3, "alpha " + "x " * 9 + "beta gamma")], "doc_id long, text string")
     windows = D.item_windows(items)
-    anchors = D.rarest_terms(windows, D.term_counts(docs, windows.select(F.explode("terms").alias("term")).distinct(), 3), rarest=3)
+    anchors = D.rarest_terms(windows, D.term_counts(docs, windows.select(F.explode("terms").alias("term")).distinct(), 3), 3, rarest=3)
     index = D.build_index(docs, anchors.select("term").distinct(), 3)
     near = {r.doc_id for r in D.proximity_matches(index, anchors, 3, slop=2).collect()}
     assert near == {1}
