@@ -163,7 +163,7 @@ def test_pipeline(spark):
     p = plan(7, shard_id=1, num_shards=2)
     got = list(p.arrays("v", (2,)))
     assert [a.shape for a, _ in got] == [(3, 2), (3, 2)] and [a[:, 0].tolist() for a, _ in got] == [[3, 4, 5], [6, 3, 4]]
-    assert p.last_batch_padded_size() == 2
+    assert p.last_batch_padded_size() == 2 and p.remaining(1) == 3 and p.is_empty(2)
     u = {x for b in p.batches() for x in b["u"]}
     assert all(2 <= x < 3 for x in u) and u != {x for b in plan(7, shard_id=1, num_shards=2, epoch=1).batches() for x in b["u"]}
     every = [x for k in range(2) for b in plan(7, shard_id=k, num_shards=2, last_batch="partial", shuffle=True, rotate_shards=True, epoch=1).batches() for x in b["sample_id"]]

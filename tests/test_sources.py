@@ -214,6 +214,14 @@ def test_images_and_labels(spark, tmp_path):
     assert files.decoded_images(spark, str(tmp_path / "i")).count() == 0
 
 
+def test_frame_sequences(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / "v").mkdir(exist_ok=True)
+        (tmp_path / "v" / f"f{i}.jpg").write_bytes(b"x")
+    rows = files.frame_sequences(spark, str(tmp_path), 2, 2, 2).orderBy("sequence", "frame").collect()
+    assert [(r.sequence, r.path[-6:]) for r in rows] == [(0, "f0.jpg"), (0, "f2.jpg"), (1, "f2.jpg"), (1, "f4.jpg")]
+
+
 def test_decoded_png(spark, tmp_path):
     import zlib
 

@@ -132,7 +132,38 @@ def saturation(image: Image, rng, factor: float) -> Image:
     return _to_rgb(h, np.clip(s * factor, 0, 1), v)
 
 
-EFFECTS = {f.__name__: f for f in (resize, warp_affine, rotate, fish_eye, lens_correction, jitter, salt_and_pepper, snow, rain, hue, saturation)}
+def crop(image: Image, rng, y: int, x: int, height: int, width: int) -> Image:
+    return image[y : y + height, x : x + width]
+
+
+def random_crop_resize(image: Image, rng, height: int, width: int, area=(0.08, 0.99), aspect=(0.75, 1.333), attempts: int = 20) -> Image:
+    """A window of random area and aspect that fits, else the whole image, resized."""
+    h, w = image.shape[:2]
+    for _ in range(attempts):
+        target, ratio = rng.uniform(*area) * h * w, rng.uniform(*aspect)
+        cw, ch = int(np.sqrt(target * ratio)), int(np.sqrt(target / ratio))
+        if 0 < cw < w and 0 < ch < h:
+            y, x = rng.integers(0, h - ch + 1), rng.integers(0, w - cw + 1)
+            return resize(image[y : y + ch, x : x + cw], rng, height, width)
+    return resize(image, rng, height, width)
+
+
+def mirror(image: Image, rng, probability: float = 1.0) -> Image:
+    return image[:, ::-1] if rng.random() < probability else image
+
+
+def color_twist(image: Image, rng, alpha: float = 1.0, beta: float = 0.0, degrees: float = 0.0, factor: float = 1.0) -> Image:
+    """Brightness and contrast, then hue and saturation in one conversion."""
+    h, s, v = _to_hsv(np.clip(image * alpha + beta, 0, 255))
+    return _to_rgb((h + degrees) % 360, np.clip(s * factor, 0, 1), v)
+
+
+def normalize(image: Image, rng, mean, std) -> Image:
+    """By channel."""
+    return (image - np.asarray(mean)) / np.asarray(std)
+
+
+EFFECTS = {f.__name__: f for f in (crop, random_crop_resize, mirror, color_twist, normalize, resize, warp_affine, rotate, fish_eye, lens_correction, jitter, salt_and_pepper, snow, rain, hue, saturation)}
 
 
 def apply(df: DataFrame, key: str, values: str, shape: tuple[int, int, int], chain: list[tuple[str, dict]], seed: int = 0) -> DataFrame:

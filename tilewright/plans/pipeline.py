@@ -88,6 +88,13 @@ class Pipeline:
     def last_batch_padded_size(self) -> int:
         return sharding.last_batch_padded_size(self.shard_size(), self.batch_size) if self.last_batch == "fill" else 0
 
+    def remaining(self, pulled: int) -> int:
+        """Samples left in this epoch after ``pulled`` batches."""
+        return sharding.remaining(self.shard_size(), self.batch_size, pulled, self.last_batch)
+
+    def is_empty(self, pulled: int) -> bool:
+        return self.remaining(pulled) == 0
+
     def batches(self) -> Iterator[dict[str, list]]:
         """Batches in order, a partition at a time: the driver holds one partition, not the data set."""
         ordered = self.build().repartitionByRange("batch_id").sortWithinPartitions("batch_id", "slot")

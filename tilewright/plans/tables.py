@@ -172,6 +172,13 @@ def file_names(spark, d):
     return table(spark, d, "pages").select("page_id", labels.basename(F.col("url")).alias("name"), labels.extension(F.col("url")).alias("extension"))
 
 
+@query("SELECT page_id, length(string_split(url, '/')[-1]) AS name_len, CAST(page_id % 8 AS BIGINT) AS batch FROM pages")
+def name_lengths(spark, d):
+    """Lengths of sample names, as a batch reports them."""
+    p = table(spark, d, "pages")
+    return p.select("page_id", F.length(labels.basename(F.col("url"))).cast("long").alias("name_len"), (F.col("page_id") % 8).alias("batch"))
+
+
 @query("SELECT n_nationkey, CAST(i AS INT) AS idx, CAST(i = (n_regionkey + 4) % 5 AS INT) AS value FROM nation, range(0, 5) r(i)")
 def one_hot_region(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.posexplode(T.one_hot(F.col("n_regionkey"), 5)).alias("idx", "value"))
@@ -278,9 +285,18 @@ _effect("jitter", [("jitter", {"kernel": 3})])
 _effect("salt_and_pepper", [("salt_and_pepper", {"probability": 0.2, "salt": 0.6})])
 _effect("snow", [("snow", {"amount": 0.3})])
 _effect("rain", [("rain", {"share": 0.2, "length": 3})])
+_effect("random_crop_resize", [("random_crop_resize", {"height": 6, "width": 6})])
 _effect("fused_chain", [("resize", {"height": 6, "width": 6}), ("rotate", {"degrees": 15.0}), ("snow", {"amount": 0.2})])
 
 
+@query()
+def color_twist_hsv(spark, d):
+    """60 values as a 4 x 5 image of three channels: brightness, hue and saturation, then mirrored and normalised by channel."""
+    e = vectors(spark, d, True).select("vec_id", F.slice("v", 1, 60).alias("v"))
+    chain = [("color_twist", {"alpha": 1.1, "beta": 4.0, "degrees": 30.0, "factor": 0.8}), ("mirror", {}), ("normalize", {"mean": (120.0, 110.0, 100.0), "std": (60.0, 50.0, 40.0)})]
+    return long_form(augment.apply(e, "vec_id", "v", (4, 5, 3), chain, seed=42), F.col("v"), 4)
+
+
 @query()
 def hue_saturation(spark, d):
     """60 values as a 4 x 5 image of three channels."""

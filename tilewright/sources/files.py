@@ -46,6 +46,14 @@ def decoded_images(spark: SparkSession, path: str) -> DataFrame:
     return images.mapInPandas(run, "path string, height int, width int, channels int, values array<double>")
 
 
+def frame_sequences(spark: SparkSession, path: str, length: int, step: int = 1, stride: int = 1) -> DataFrame:
+    """(folder, sequence, start, frame, path): windows over the sorted frames of each folder. Only names are read."""
+    from tilewright.operators.sequences import sequences
+
+    frames = _binary(spark, path, IMAGE_EXTENSIONS).select("path", F.element_at(F.split("path", "/"), -2).alias("folder"))
+    return sequences(frames, "folder", ["path"], length, step, stride).select("folder", "sequence", "start", "frame", "path")
+
+
 def parse_npy(data: bytes) -> tuple[str, list[int], np.ndarray]:
     """(dtype, shape, values in C order) of a version 1 array file; big-endian data are refused."""
     if data[:6] != b"\x93NUMPY" or data[6] != 1:
