@@ -8,9 +8,9 @@ beginning of one. Exception phrases are matched in the same pass, and entries
 inside one don't count. The weights found are summed, normalised by a slowly
 growing function of the length, and mapped to 0..1.
 
-Lexicon and weights are learned from labelled rows with Spark: document counts
-by word and label over all of them, then by word beginning over the vocabulary
-alone. Words of toxic documents that were copied often look toxic too, so in a
+Lexicon and weights are learned with Spark from labelled rows, ``SAMPLE`` of
+them at most: document counts by word and label, then by word beginning over
+the vocabulary alone. Words of toxic documents that were copied often look toxic too, so in a
 second pass an entry must be the strongest sign of a few documents, or stand in
 many different contexts, which copies don't have. The lexicon has at most ``LEXICON`` entries,
 the only thing that reaches the driver.
@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 
 #: Most entries of a learned lexicon.
 LEXICON = 5000
+#: Most labelled rows that are learned from: those of the least id hashes. So many ids can be broadcast.
+SAMPLE = 30_000
 #: Lengths of the word beginnings that are tried.
 STEMS = range(4, 9)
 #: An entry is the strongest sign in at least so many toxic documents ...
@@ -92,10 +94,11 @@ def _doc_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32())], names=["word", "toxic"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, limit: int = LEXICON) -> list[tuple[str, bool, float]]:
+def learn(docs: DataFrame, labels: DataFrame, limit: int = LEXICON, sample: int = SAMPLE) -> list[tuple[str, bool, float]]:
     """The lexicon: (entry, whole word?, weight), learned from labelled rows that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select(F.col("text").cast("string").alias("text"), "toxic")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("text").cast("string").alias("text"), "toxic")
     totals = known.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
     n_toxic, n_clean = (totals["t"] or 0), (totals["c"] or 0)
     if not n_toxic or not n_clean:
