@@ -109,14 +109,16 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """The units to remove: doc_id, text_hash, start, end, n_words, digest, kept_doc_id, kept_start, copies.
 
     A digest's first occurrence is found by a grouped minimum, which combines
-    before the shuffle; the join back is by digest, where a hot digest's rows
-    can be split by the engine since its other side is one row.
+    before the shuffle. The minima of repeated digests are written, so that the
+    join back has exchanges of its own on both sides: only then can the engine
+    split the rows of a hot digest, whose other side is one row.
     """
     found = written(units(docs, doc_id, text), "units")
-    first = (
+    first = written(
         found.groupBy("digest")
         .agg(F.min(F.struct("doc_id", "start", "text_hash")).alias("first"), F.count("*").alias("copies"))
-        .where("copies > 1")
+        .where("copies > 1"),
+        "first",
     )
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")) & (F.col("text_hash") == F.col("first.text_hash"))
     return (
