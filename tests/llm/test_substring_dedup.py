@@ -56,5 +56,5 @@ def test_dedup_text(spark):
     docs = spark.createDataFrame([(2, f"Head.\n{line.upper()}!\ntail", "k"), (1, f"{line}\nrest", "k"), (3, None, "k")], "doc_id long, text string, removed_spans string")
     got = {r.doc_id: r for r in D.dedup(docs).collect()}
     assert got[1].text == f"{line}\nrest" and got[3].text is None and got[1].removed_spans is None
-    assert got[2].text == "Head.\n!\ntail" and [tuple(s) for s in got[2].removed_spans] == [(6, 6 + len(line))]
+    assert got[2].text == "Head.\n\ntail" and [tuple(s) for s in got[2].removed_spans] == [(6, 7 + len(line))]
     assert D.dedup(docs.limit(0)).count() == 0

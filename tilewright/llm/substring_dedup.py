@@ -26,10 +26,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tilewright.storage import written
 
@@ -73,14 +75,19 @@ def text_units(text: str) -> list[tuple[int, int, int, bytes]]:
     to = np.minimum(np.maximum(stop, cut + REACH), hi)
     frm = np.minimum(cut, np.maximum(lo, to - REACH))
     keep = to - frm >= MIN_WORDS
+    # Units tile their line, so that nothing is left between two that go.
+    line_start = np.r_[0, breaks + 1][line[cut]]
+    line_end = np.r_[breaks, len(text)][line[cut]]
+    a_off = np.where(cut == lo, line_start, begin[cut])
+    b_off = np.where(stop == hi, line_end, begin[np.minimum(stop, n - 1)])
     joined = b" ".join(low)
     ends = np.cumsum(np.fromiter(map(len, low), np.int64, n) + 1)
     at = np.r_[0, ends[:-1]]
     out = []
-    for a, b, f, t in zip(cut[keep].tolist(), stop[keep].tolist(), frm[keep].tolist(), to[keep].tolist()):
+    for a, b, f, t, start, end in zip(*(x[keep].tolist() for x in (cut, stop, frm, to, a_off, b_off))):
         # The place of the unit inside what is hashed: the head and the tail of one range are not the same unit.
         digest = xxhash.xxh3_128(joined[at[f] : ends[t - 1] - 1], seed=(a - f) << 20 | (b - a)).digest()
-        out.append((spans[a][0], spans[b - 1][1], b - a, digest))
+        out.append((start, end, b - a, digest))
     return out
 
 
@@ -131,15 +138,24 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     )
 
 
-def without(text: Column, spans: Column) -> Column:
-    """``text`` less the given sorted, disjoint spans."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(
-        spans,
-        zero,
-        lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).alias("out")),
-    )
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text)))
+@F.pandas_udf(StringType())
+def without(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """``text`` less the given sorted, disjoint spans, each (start, end); null spans take nothing away.
+
+    In Python, since the JVM's strings find a code point by counting from the
+    start, which is quadratic where a long text loses many units.
+    """
+
+    def one(body: str | None, cut) -> str | None:
+        if body is None or cut is None:
+            return body
+        at, out = 0, []
+        for start, end in cut:
+            out.append(body[at:start])
+            at = end
+        return "".join([*out, body[at:]])
+
+    return pd.Series([one(t, s) for t, s in zip(text, spans)], dtype=object)
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,6 +169,6 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     d = docs.alias("d")
     body, spans = F.col(f"d.`{text}`"), F.col("g.spans")
     same = F.col(f"d.`{doc_id}`").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64(body) == F.col("g.text_hash"))
-    cut = F.when(spans.isNull(), body).otherwise(without(body, spans)).alias(text)
+    cut = without(body, F.transform(spans, lambda s: F.array(s["start"], s["end"]))).alias(text)
     kept = [cut if c == text else F.col(f"d.`{c}`") for c in docs.columns if c != "removed_spans"]
     return d.join(gone, same, "left").select(*kept, spans.alias("removed_spans"))
