@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tilewright.functions.tensor import let
+
 
 def _num(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
@@ -36,19 +38,22 @@ def nonsilent_region(v: Column, cutoff_db: float = -60.0, reference: float = 0.0
     the start counting 0. A ``reference`` of 0 takes the loudest window's power.
     All silent: (0, 0).
     """
-    n = F.size(v)
-    squares = F.transform(v, lambda x: x * x)
-    power = F.transform(
-        squares,
-        lambda _, i: F.aggregate(F.slice(squares, F.greatest(F.lit(1), i - window + 2), F.least(F.lit(window), i + 1)), F.lit(0.0), lambda a, x: a + x) / float(window),
-    )
-    base = _num(reference) if reference else F.array_max(power)
-    least = base * 10.0 ** (cutoff_db / 10.0)
-    loud = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.get(power, i) >= least) & (F.get(power, i) > 0))
-    first, last = F.array_min(loud), F.array_max(loud)
-    begin = F.greatest(F.lit(0), first - (window - 1))
     none = F.struct(F.lit(0).alias("begin"), F.lit(0).alias("length"))
-    return F.when(F.size(loud) > 0, F.struct(begin.alias("begin"), (last - begin + 1).alias("length"))).otherwise(none)
+
+    def power(squares: Column) -> Column:
+        some = lambda i: F.slice(squares, F.greatest(F.lit(1), i - window + 2), F.least(F.lit(window), i + 1))
+        return F.transform(squares, lambda _, i: F.aggregate(some(i), F.lit(0.0), lambda a, x: a + x) / float(window))
+
+    def region(loud: Column) -> Column:
+        begin = F.greatest(F.lit(0), F.array_min(loud) - (window - 1))
+        return F.when(F.size(loud) > 0, F.struct(begin.alias("begin"), (F.array_max(loud) - begin + 1).alias("length"))).otherwise(none)
+
+    def places(p: Column) -> Column:
+        base = _num(reference) if reference else F.array_max(p)
+        above = lambda least: F.filter(F.transform(p, lambda x, i: F.when((x >= least) & (x > 0), i)), lambda i: i.isNotNull())
+        return let(base * 10.0 ** (cutoff_db / 10.0), above)
+
+    return let(F.transform(v, lambda x: x * x), lambda q: let(power(q), lambda p: let(places(p), region)))
 
 
 def frames(v: Column, window: int, step: int) -> Column:
@@ -73,15 +78,10 @@ def spectrogram(v: Column, nfft: int, window: int, step: int, power: int = 2) ->
     turn = 2.0 * math.pi / nfft
 
     def spectrum(frame: Column) -> Column:
-        shaped = F.zip_with(frame, shape, lambda x, k: x * k)
-        part = lambda f, k: F.aggregate(F.transform(shaped, lambda x, i: x * f(i * k * turn)), F.lit(0.0), lambda a, x: a + x)
-
-        def one(k: Column) -> Column:
-            re, im = part(F.cos, k), part(F.sin, k)
-            energy = re * re + im * im
-            return energy if power == 2 else F.sqrt(energy)
-
-        return F.transform(bins, one)
+        part = lambda f, x, k: F.aggregate(F.transform(x, lambda y, i: y * f(i * k * turn)), F.lit(0.0), lambda a, y: a + y)
+        squared = lambda x, k: let(F.struct(part(F.cos, x, k).alias("re"), part(F.sin, x, k).alias("im")), lambda z: z["re"] * z["re"] + z["im"] * z["im"])
+        level = (lambda x, k: squared(x, k)) if power == 2 else (lambda x, k: F.sqrt(squared(x, k)))
+        return let(F.zip_with(frame, shape, lambda x, k: x * k), lambda x: F.transform(bins, lambda k: level(x, k)))
 
     return F.transform(frames(v, window, step), spectrum)
 

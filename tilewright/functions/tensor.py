@@ -31,6 +31,15 @@ def _at(v: Column, i: Column) -> Column:
     return F.get(v, i.cast("int"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once.
+
+    An expression that a lambda refers to is evaluated again for every element;
+    bound as the variable of a one-element transform it is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clamp_u8(x: Column) -> Column:
     """An 8-bit pixel: rounded half up and held to 0..255."""
     return F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor(x + 0.5).cast("double")))
@@ -276,10 +285,10 @@ def normalize(v: Column, mean=None, std=None, scale_by: float = 1.0, shift: floa
 
     A spread of 0 gives ``shift`` everywhere.
     """
-    m = _mean(v) if mean is None else _num(mean)
-    centred = F.transform(v, lambda x: x - m)
-    s = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda a, x: a + x * x) / F.size(v)) if std is None else _num(std)
-    return F.transform(centred, lambda x: F.when(s == 0, F.lit(float(shift))).otherwise(x / s * scale_by + shift))
+    spread = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x) / F.size(c)) if std is None else _num(std)
+    scaled = lambda c, s: F.transform(c, lambda x: F.when(s == 0, F.lit(float(shift))).otherwise(x / s * scale_by + shift))
+    centred = let(_mean(v) if mean is None else _num(mean), lambda m: F.transform(v, lambda x: x - m))
+    return let(centred, lambda c: let(spread(c), lambda s: scaled(c, s)))
 
 
 def normalize_rows(v: Column, h: int, w: int) -> Column:
