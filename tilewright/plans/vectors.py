@@ -29,7 +29,7 @@ def vectors(spark: SparkSession, sf_dir: str, pixels: bool) -> DataFrame:
 
 
 def long_form(df: DataFrame, out: Column, digits: int = 6) -> DataFrame:
-    return df.select("vec_id", F.posexplode(out).alias("idx", "_x")).select("vec_id", "idx", F.round(F.col("_x").cast("double"), digits).alias("value"))
+    return df.select("vec_id", F.posexplode(out).alias("idx", "_x")).select("vec_id", "idx", (F.round(F.col("_x").cast("double"), digits) + 0.0).alias("value"))
 
 
 def tensor(name: str, out: Callable[[], Column], sql: str, pixels: bool = True, digits: int = 6) -> None:
@@ -39,7 +39,7 @@ def tensor(name: str, out: Callable[[], Column], sql: str, pixels: bool = True,
         WITH e AS (SELECT vec_id, label, {_PIXELS if pixels else _DOUBLES} AS v FROM embeddings),
         p AS (SELECT *, list_reverse(v) AS u FROM e),
         o AS (SELECT vec_id, {sql} AS o FROM p)
-        SELECT vec_id, CAST(i AS INT) AS idx, round(CAST(o[i + 1] AS DOUBLE), {digits}) AS value
+        SELECT vec_id, CAST(i AS INT) AS idx, round(CAST(o[i + 1] AS DOUBLE), {digits}) + 0.0::DOUBLE AS value
         FROM (SELECT vec_id, o, unnest(range(0, len(o))) AS i FROM o)"""
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -21,3 +24,17 @@ def get_session(master: str = "local[8]", app: str = "tilewright", **conf: str)
     for key, value in (DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers find this package where it lies, whatever directory the driver was started in.
+
+    On a cluster whose machines don't share the path it changes nothing; there
+    the package is sent along with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return spark
