@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from tilewright.storage import written
+
 SCHEMA = (
     "warc_type string, warc_record_id string, target_uri string, content_type string, payload_digest string, "
     "payload_bytes long, refers_to string, payload binary"
@@ -267,20 +269,22 @@ def register(spark) -> None:
 def as_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Records of pages: of equal payloads of ``REVISIT_BYTES`` or more that of least id is the response, the others revisit it.
 
-    Only digests shared by several pages are joined back, and they are one row
-    each, so the rows of a hot digest can be split.
+    Only digests shared by several pages are joined back, one row each. They are
+    written first, so that the join has exchanges of its own and the rows of a
+    hot digest can be split.
     """
     p = pages.select(
         F.col(page_id).alias("page_id"),
         F.col(url).cast("string").alias("url"),
         F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
-    shared = (
+    shared = written(
         p.where(F.length("payload") >= REVISIT_BYTES)
         .groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where("n > 1 and first is not null")
-        .select("digest", "first")
+        .select("digest", "first"),
+        "shared",
     )
     revisit = (F.col("first").isNotNull()) & ~F.col("page_id").eqNullSafe(F.col("first"))
     return p.join(shared, "digest", "left").select(
