@@ -51,7 +51,7 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
     return (
         wins.groupBy("terms")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
-        .select(F.sha2(F.array_join("terms", " "), 256).alias("window_id"), "terms", F.size("terms").alias("n"), "items")
+        .select(F.unhex(F.md5(F.array_join("terms", " ").cast("binary"))).alias("window_id"), "terms", F.size("terms").alias("n"), "items")
     )
 
 
@@ -61,15 +61,15 @@ def term_counts(docs: DataFrame, vocabulary: DataFrame, vocabulary_rows: int, te
     return terms.join(_small(vocabulary, vocabulary_rows), "term", "left_semi").groupBy("term").count()
 
 
-def rarest_terms(windows: DataFrame, counts: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """(term, window_id, offset): the ``rarest`` terms of each window; ties go to the first offset."""
+def rarest_terms(windows: DataFrame, counts: DataFrame, counts_rows: int, rarest: int = RAREST) -> DataFrame:
+    """(term, window_id, offset, rank): the ``rarest`` terms of each window; ties go to the first offset."""
     terms = windows.select("window_id", F.posexplode("terms").alias("offset", "term"))
     order = Window.partitionBy("window_id").orderBy(F.coalesce("count", F.lit(0)), "offset")
     return (
-        terms.join(counts, "term", "left")
+        terms.join(_small(counts, counts_rows), "term", "left")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= rarest)
-        .select("term", "window_id", "offset", F.coalesce("count", F.lit(0)).alias("count"))
+        .select("term", "window_id", "offset", "rank", F.coalesce("count", F.lit(0)).alias("count"))
     )
 
 
@@ -78,19 +78,18 @@ def build_index(
 ) -> DataFrame:
     """The stored index: (term, doc_id, text_hash, position), restricted to ``terms``.
 
-    It is dealt out by term and a slice of the documents, so that the postings
-    of one frequent term spread over many files.
+    Postings stay in the files of the documents they come from, so one frequent
+    term's spread over many files. Repeated rows repeat their postings.
     """
     tokens = _keyed(docs, doc_id, text).select("doc_id", "text_hash", F.posexplode(words(F.col("text"))).alias("position", "term"))
-    postings = tokens.join(_small(terms, terms_rows), "term", "left_semi").dropDuplicates()
-    return postings.select("term", "doc_id", "text_hash", "position")
+    return tokens.join(_small(terms, terms_rows), "term", "left_semi").select("term", "doc_id", "text_hash", "position")
 
 
 def _starts(index: DataFrame, anchors: DataFrame, anchors_rows: int) -> DataFrame:
-    """(window_id, doc_id, text_hash, offset, start): postings shifted back by the term's offset."""
+    """(window_id, doc_id, text_hash, offset, rank, start): postings shifted back by the term's offset."""
     return (
-        index.join(_small(anchors.select("term", "window_id", "offset"), anchors_rows), "term")
-        .select("window_id", "doc_id", "text_hash", "offset", (F.col("position") - F.col("offset")).alias("start"))
+        index.join(_small(anchors.select("term", "window_id", "offset", "rank"), anchors_rows), "term")
+        .select("window_id", "doc_id", "text_hash", "offset", "rank", (F.col("position") - F.col("offset")).alias("start"))
     )
 
 
@@ -101,7 +100,7 @@ def intersect(index: DataFrame, anchors: DataFrame, anchors_rows: int) -> DataFr
         _starts(index, anchors, anchors_rows)
         .where("start >= 0")
         .groupBy("window_id", "doc_id", "text_hash", "start")
-        .agg(F.count("*").alias("got"))
+        .agg(F.bit_count(F.bit_or(F.expr("shiftleft(1, rank)"))).alias("got"))
         .join(_small(need, anchors_rows), "window_id")
         .where("got = need")
         .select("window_id", "doc_id", "text_hash", "start")
@@ -159,7 +158,7 @@ def contamination(
     n_windows = windows.count()
     vocabulary = windows.select(F.explode("terms").alias("term")).distinct()
     counts = term_counts(docs, vocabulary, n_windows * size, text)
-    anchors = written(rarest_terms(windows, counts), "anchors")
+    anchors = written(rarest_terms(windows, counts, n_windows * size), "anchors")
     n_anchors = n_windows * RAREST
     index = written(build_index(docs, anchors.select("term").distinct(), n_anchors, doc_id, text), "postings")
     candidates = (
