@@ -98,7 +98,7 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     rows = found.where(some).select(
         "doc_id", "text_hash", F.explode(F.concat(*KINDS)).alias("p")
     ).select("doc_id", "text_hash", "p", F.floor(F.col("p.start") / scope).cast("int").alias("bucket"))
-    # The complementary parts of a bucket: for each kind where the first starts and the last ends.
+    # The complementary parts of a bucket: for each kind where its first and its last part start.
     edges = rows.where(F.col("p.kind").isin(kinds)).groupBy("doc_id", "text_hash", "bucket").agg(
         *(F.min(F.when(F.col("p.kind") == k, F.col("p.start"))).alias(f"{k}_lo") for k in kinds),
         *(F.max(F.when(F.col("p.kind") == k, F.col("p.start"))).alias(f"{k}_hi") for k in kinds),
