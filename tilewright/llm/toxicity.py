@@ -30,9 +30,11 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Most entries of a learned lexicon.
 LEXICON = 5000
@@ -85,13 +87,18 @@ def held_out(doc_id):
 
 
 def _doc_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, toxic) for each different word of each document, in batches of bounded size."""
+    made = lambda words, toxic: pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32())], names=["word", "toxic"])
     for batch in batches:
         words, toxic = [], []
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = set(fold(text).split())
-            words.extend(w for w in own if len(w) >= STEMS[0])
-            toxic.extend([label] * (len(words) - len(toxic)))
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32())], names=["word", "toxic"])
+        for text, label in zip(*batch.columns):
+            own = [w for w in set(fold(text.as_py()).split()) if len(w) >= STEMS[0]]
+            words += own
+            toxic += [label.as_py()] * len(own)
+            if len(words) >= 100_000:
+                yield made(words, toxic)
+                words, toxic = [], []
+        yield made(words, toxic)
 
 
 def learn(docs: DataFrame, labels: DataFrame, limit: int = LEXICON, sample: int = SAMPLE) -> list[tuple[str, bool, float]]:
@@ -240,8 +247,13 @@ def score(docs: DataFrame, lexicon: list[tuple[str, bool, float]], exceptions=EX
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows predicted toxic; all columns are kept."""
-    bad = score(docs, learn(docs, labels)).where("predicted = 1").select("doc_id", "text_hash").distinct().alias("b")
-    d = docs.alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64(F.col("d.text")) == F.col("b.text_hash"))
-    return d.join(bad, same, "left_anti")
+    """``docs`` without the rows predicted toxic; all columns are kept, and no row leaves its partition."""
+    lexicon = learn(docs, labels)
+
+    @F.pandas_udf(DoubleType())
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = Matcher(lexicon)
+        for texts in batches:
+            yield pd.Series([m.score(t)[0] for t in texts], dtype="float64")
+
+    return docs.where(scores(F.col("text")) < THRESHOLD)
