@@ -58,3 +58,32 @@ def test_dedup_text(spark):
     assert got[1].text == f"{line}\nrest" and got[3].text is None and got[1].removed_spans is None
     assert got[2].text == "Head.\n\ntail" and [tuple(s) for s in got[2].removed_spans] == [(6, 7 + len(line))]
     assert D.dedup(docs.limit(0)).count() == 0
+
+
+def test_short_lines_equal_brute_force(spark):
+    """Whole lines of at most 26 words, grouped by a plain reading of the rule, without text_units."""
+    r = random.Random(10)
+    verse = [prose(r, r.randint(1, 7)) for _ in range(14)]
+    docs = [(i, "\n".join([prose(r, r.randint(1, 12)), *(v.title() + "!" for v in verse), prose(r, 2)])) for i in range(4)]
+    docs += [(10 + i, f"{prose(r, 9)}\r\n  {verse[3].upper()} ...\r\n\n{prose(r, 6)}") for i in range(6)]
+    docs += [(20, "\n".join(["two words"] * 50)), (21, "--- \n***\nlone\n---"), (22, " \n\n\t\n***"), (23, "永和九年"), (24, "永和九年\n\n"), (25, "--"), (26, "Lone")]
+    seen, want = {}, set()
+    for i, text in docs:
+        at = 0
+        for line in text.split("\n"):
+            key = tuple("".join(c.lower() if c.isalnum() else " " for c in line).split()) or line.strip()
+            if key in seen:
+                want.add((i, at, at + len(line), seen[key]))
+            elif key:
+                seen[key] = (i, at)
+            at += len(line) + 1
+    got = D.repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert {(x.doc_id, x.start, x.end, (x.kept_doc_id, x.kept_start)) for x in got} == want and len(got) == len(want) > 100
+
+
+def test_passage_in_short_lines_goes(spark):
+    r = random.Random(11)
+    passage = "\n".join(prose(r, 5) for _ in range(11))
+    docs = spark.createDataFrame([(i, f"{prose(r, 20)}\n{passage}\n{prose(r, 3)}") for i in range(3)], "doc_id long, text string")
+    left = {x.doc_id: len(x.text.split()) for x in D.dedup(docs).collect()}
+    assert left == {0: 78, 1: 23, 2: 23}

@@ -11,8 +11,9 @@ text itself says so: at the least hash of each run of ``WINDOW`` word
 pasted into the middle of a line gives the same units there as elsewhere;
 whole-line hashes would miss it. A unit of under ``REACH`` words is hashed
 together with the words that follow it in its line (or precede it, at the
-end), and lines of under ``MIN_WORDS`` words always stay, since short ones
-repeat by chance.
+end). A line of fewer words is hashed whole, however short it is; one without
+words by its characters, white space at its ends aside. Blank lines have no
+unit.
 
 Defined results: a null text stays null and has no units; null ids rank first;
 of rows that repeat an id and a text all are one occurrence of their units,
@@ -35,7 +36,6 @@ from pyspark.sql.types import StringType
 
 from tilewright.storage import written
 
-MIN_WORDS = 8
 REACH = 12
 WINDOW = 24
 GRAM = 3
@@ -50,13 +50,20 @@ _ARROW = pa.schema(
 def text_units(text: str) -> list[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of each unit of one text that can be removed."""
     spans = [m.span() for m in _WORD.finditer(text)]
-    if len(spans) < MIN_WORDS:
-        return []
-    low = [text[a:b].lower().encode() for a, b in spans]
-    n = len(low)
-    begin = np.fromiter((a for a, _ in spans), np.int64, n)
     breaks = np.fromiter((m.start() for m in re.finditer("\n", text)), np.int64)
+    line_start, line_end = np.r_[0, breaks + 1], np.r_[breaks, len(text)]
+    begin = np.fromiter((a for a, _ in spans), np.int64, len(spans))
     line = np.searchsorted(breaks, begin)
+    wordless = np.ones(len(line_start), bool)
+    wordless[line] = False
+    out = []
+    for start, end in zip(line_start[wordless].tolist(), line_end[wordless].tolist()):
+        if signs := text[start:end].strip():
+            out.append((start, end, 0, xxhash.xxh3_128(signs.encode()).digest()))
+    if not spans:
+        return out
+    low = [text[a:b].lower().encode() for a, b in spans]
+    n = len(low)
     first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
     last = np.r_[first[1:], n]
     cuts = [first]
@@ -74,17 +81,13 @@ def text_units(text: str) -> list[tuple[int, int, int, bytes]]:
     lo, hi = first[which], last[which]
     to = np.minimum(np.maximum(stop, cut + REACH), hi)
     frm = np.minimum(cut, np.maximum(lo, to - REACH))
-    keep = to - frm >= MIN_WORDS
     # Units tile their line, so that nothing is left between two that go.
-    line_start = np.r_[0, breaks + 1][line[cut]]
-    line_end = np.r_[breaks, len(text)][line[cut]]
-    a_off = np.where(cut == lo, line_start, begin[cut])
-    b_off = np.where(stop == hi, line_end, begin[np.minimum(stop, n - 1)])
+    a_off = np.where(cut == lo, line_start[line[cut]], begin[cut])
+    b_off = np.where(stop == hi, line_end[line[cut]], begin[np.minimum(stop, n - 1)])
     joined = b" ".join(low)
     ends = np.cumsum(np.fromiter(map(len, low), np.int64, n) + 1)
     at = np.r_[0, ends[:-1]]
-    out = []
-    for a, b, f, t, start, end in zip(*(x[keep].tolist() for x in (cut, stop, frm, to, a_off, b_off))):
+    for a, b, f, t, start, end in zip(*(x.tolist() for x in (cut, stop, frm, to, a_off, b_off))):
         # The place of the unit inside what is hashed: the head and the tail of one range are not the same unit.
         digest = xxhash.xxh3_128(joined[at[f] : ends[t - 1] - 1], seed=(a - f) << 20 | (b - a)).digest()
         out.append((start, end, b - a, digest))
