@@ -289,19 +289,23 @@ _effect("random_crop_resize", [("random_crop_resize", {"height": 6, "width": 6})
 _effect("fused_chain", [("resize", {"height": 6, "width": 6}), ("rotate", {"degrees": 15.0}), ("snow", {"amount": 0.2})])
 
 
+def _colours(spark, d):
+    """All 64 values as a 2 x 11 image of three channels, whose last pixel is filled up with the first two."""
+    e = vectors(spark, d, True)
+    return e.select("vec_id", F.concat("v", F.slice("v", 1, 2)).alias("v"))
+
+
 @query()
 def color_twist_hsv(spark, d):
-    """60 values as a 4 x 5 image of three channels: brightness, hue and saturation, then mirrored and normalised by channel."""
-    e = vectors(spark, d, True).select("vec_id", F.slice("v", 1, 60).alias("v"))
+    """64 values as a 2 x 11 image of three channels: brightness, hue and saturation, then mirrored and normalised by channel."""
     chain = [("color_twist", {"alpha": 1.1, "beta": 4.0, "degrees": 30.0, "factor": 0.8}), ("mirror", {}), ("normalize", {"mean": (120.0, 110.0, 100.0), "std": (60.0, 50.0, 40.0)})]
-    return long_form(augment.apply(e, "vec_id", "v", (4, 5, 3), chain, seed=42), F.col("v"), 4)
+    return long_form(augment.apply(_colours(spark, d), "vec_id", "v", (2, 11, 3), chain, seed=42), F.col("v"), 4)
 
 
 @query()
 def hue_saturation(spark, d):
-    """60 values as a 4 x 5 image of three channels."""
-    e = vectors(spark, d, True).select("vec_id", F.slice("v", 1, 60).alias("v"))
-    return long_form(augment.apply(e, "vec_id", "v", (4, 5, 3), [("hue", {"degrees": 40.0}), ("saturation", {"factor": 1.3})], seed=42), F.col("v"), 4)
+    """64 values as a 2 x 11 image of three channels."""
+    return long_form(augment.apply(_colours(spark, d), "vec_id", "v", (2, 11, 3), [("hue", {"degrees": 40.0}), ("saturation", {"factor": 1.3})], seed=42), F.col("v"), 4)
 
 
 @query("""
@@ -312,9 +316,24 @@ def hue_saturation(spark, d):
         + pow(list_sum(list_transform(range(0, 32), lambda t: v[t + 1] * (0.5 - 0.5 * cos(2 * pi() * t / 32)) * sin(2 * pi() * t * k / 32))), 2), 5) AS value
     FROM k""")
 def spectrogram_fft(spark, d):
-    """First frame of the FFT spectrogram."""
-    out = spectral.spectrogram(vectors(spark, d, False).select("vec_id", "v"), "vec_id", "v", nfft=32, window=32, step=16, center=False)
-    return long_form(out.select("vec_id", F.slice("v", 1, 17).alias("v")), F.col("v"), 5)
+    """First frame of the FFT spectrogram; ``spectrogram_fft_frames`` returns all."""
+    return long_form(_fft(spark, d).select("vec_id", F.slice("v", 1, 17).alias("v")), F.col("v"), 5)
+
+
+def _fft(spark, d):
+    return spectral.spectrogram(vectors(spark, d, False).select("vec_id", "v"), "vec_id", "v", nfft=32, window=32, step=16, center=False)
+
+
+@query("""
+    WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+    k AS (SELECT vec_id, v, i, i // 17 * 16 AS f, i % 17 AS k FROM (SELECT vec_id, v, unnest(range(0, 51)) AS i FROM e))
+    SELECT vec_id, CAST(i AS INT) AS idx, round(
+        pow(list_sum(list_transform(range(0, 32), lambda t: v[f + t + 1] * (0.5 - 0.5 * cos(2 * pi() * t / 32)) * cos(2 * pi() * t * k / 32))), 2)
+        + pow(list_sum(list_transform(range(0, 32), lambda t: v[f + t + 1] * (0.5 - 0.5 * cos(2 * pi() * t / 32)) * sin(2 * pi() * t * k / 32))), 2), 5) AS value
+    FROM k""")
+def spectrogram_fft_frames(spark, d):
+    """All three frames of the FFT spectrogram, 17 bins each."""
+    return long_form(_fft(spark, d), F.col("v"), 5)
 
 
 @query()
