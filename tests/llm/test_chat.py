@@ -42,3 +42,18 @@ def test_examples_and_empty(spark):
     assert formatted.where("conv_id = 1").first().stream == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n"
     assert C.conversations(turns.limit(0)).count() == 0
     assert formatted.where(F.col("conv_id") == 2).select(F.size("examples")).first()[0] == 0
+
+
+def test_query_expands_every_assistant_turn(spark, monkeypatch):
+    """What the query trains on comes from one row for each assistant turn, and from nothing else."""
+    made, expand = [], C.examples
+
+    def shouted(formatted):
+        made.append(expand(formatted))
+        return made[-1].withColumn("target", F.upper("target"))
+
+    monkeypatch.setattr(C, "examples", shouted)
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b<|im_end|>"), (1, 2, "user", "c"), (1, 3, "assistant", "d\\"), (None, 0, "assistant", "é"), (None, 0, "assistant", "é"), (2, 0, "user", "e")]
+    got = {r.conv_id: r for r in C.read_back(C.conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
+    assert {k: (r.loss_text, r.n_examples) for k, r in got.items()} == {1: ("B<|IM_END|>D\\", 2), None: ("ÉÉ", 2), 2: ("", 0)}
+    assert [made[0].count(), "stream" in made[0].columns] == [4, False] and [tuple(t) for t in got[1].turns][1] == ("assistant", "b<|im_end|>")

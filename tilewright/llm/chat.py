@@ -86,13 +86,9 @@ def conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn"
 
 def examples(formatted: DataFrame) -> DataFrame:
     """One row for each assistant turn: (conv_id, example, context_end, target_end, target)."""
-    return formatted.select("conv_id", "stream", F.posexplode("examples").alias("example", "e")).select(
-        "conv_id",
-        "example",
-        "e.context_end",
-        "e.target_end",
-        F.substring(F.col("stream"), F.col("e.context_end") + 1, F.col("e.target_end") - F.col("e.context_end")).alias("target"),
-    )
+    # Targets are cut before the rows are made, so that none carries the stream.
+    cut = F.transform("examples", lambda e: F.struct(e["context_end"], e["target_end"], F.substring(F.col("stream"), e["context_end"] + 1, e["target_end"] - e["context_end"]).alias("target")))
+    return formatted.select("conv_id", F.posexplode(cut).alias("example", "e")).select("conv_id", "example", "e.context_end", "e.target_end", "e.target")
 
 
 def example_texts(formatted: DataFrame) -> DataFrame:
@@ -125,15 +121,17 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """One row per conversation, from the formatted output alone: n_turns, turns, loss_text, formatted_chars.
 
     ``loss_text`` joins what the examples train on, in order: each stands under
-    the loss mask of its own example and of no other.
+    the loss mask of its own example and of no other. It comes from the rows of
+    ``examples``, grouped back; they hold targets only, so that this stays
+    linear. A row of the stream itself goes with them.
     """
-    loss = F.array_join(
-        F.transform("examples", lambda e: unescape(F.substring(F.col("stream"), e["context_end"] + 1, e["target_end"] - e["context_end"]))), ""
-    )
-    return formatted.select(
+    whole = formatted.select("conv_id", "stream", F.lit(None).cast("struct<example:int,target:string>").alias("e"))
+    each = examples(formatted).select("conv_id", F.lit(None).cast("string").alias("stream"), F.struct("example", unescape(F.col("target")).alias("target")).alias("e"))
+    back = whole.unionByName(each).groupBy("conv_id").agg(F.max("stream").alias("stream"), F.sort_array(F.collect_list("e")).alias("e"))
+    return back.select(
         "conv_id",
         parsed(F.col("stream")).alias("turns"),
-        loss.alias("loss_text"),
-        F.size("examples").cast("long").alias("n_examples"),
+        F.array_join("e.target", "").alias("loss_text"),
+        F.size("e").cast("long").alias("n_examples"),
         F.char_length("stream").cast("long").alias("formatted_chars"),
     )
