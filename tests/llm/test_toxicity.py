@@ -56,3 +56,14 @@ def test_nulls_and_empty(spark):
     assert [r.score for r in T.score(docs, []).collect()] == [0.0] * 4
     assert T.learn(docs, labels.limit(0)) == [] and T.score(docs.limit(0), []).count() == 0
     assert T.drop_toxic(docs, labels).count() == 4 and T.drop_toxic(docs, labels).columns == docs.columns
+
+
+def test_short_insult_is_learned_whole(spark):
+    r = random.Random(12)
+    filler = lambda: " ".join("".join(r.choice("bcdfghmnpraeou") for _ in range(r.randint(2, 9))) for _ in range(20))
+    docs = [(i, f"{filler()} {'You ZUT, ' if i % 2 else ''}{filler()}") for i in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    lexicon = T.learn(frame, frame.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    assert (T.fold("zut").strip(), True) in {(e, whole) for e, whole, _ in lexicon}
+    assert {x.doc_id for x in T.score(frame, lexicon).where("n_hits > 0").collect()} >= set(range(1, 200, 2))
+    assert T.Matcher(lexicon).evidence(T.fold("a zutano"))[1] == 0

@@ -40,7 +40,7 @@ from pyspark.sql.types import DoubleType
 LEXICON = 5000
 #: Most labelled rows that are learned from: those of the least id hashes. So many ids can be broadcast.
 SAMPLE = 30_000
-#: Lengths of the word beginnings that are tried.
+#: Lengths of the word beginnings that are tried; whole words are tried at any length.
 STEMS = range(4, 9)
 #: An entry is the strongest sign in at least so many toxic documents ...
 SUPPORT = 3
@@ -92,7 +92,7 @@ def _doc_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words, toxic = [], []
         for text, label in zip(*batch.columns):
-            own = [w for w in set(fold(text.as_py()).split()) if len(w) >= STEMS[0]]
+            own = set(fold(text.as_py()).split())
             words += own
             toxic += [label.as_py()] * len(own)
             if len(words) >= 100_000:
