@@ -44,3 +44,67 @@ def test_templates(spark):
 
 def test_empty(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def chain(places):
+    """Length of the longest strictly ascending subsequence, by the plain recurrence."""
+    best = []
+    for i, q in enumerate(places):
+        best.append(1 + max((best[j] for j in range(i) if places[j] < q), default=0))
+    return max(best, default=0)
+
+
+def brute_labels(text, templates, k=L.K):
+    """(labels, score) by trying every band of every template."""
+    w = WORD.findall((text or "").lower())
+    labels, score = set(), 0.0
+    for label, body in templates:
+        t = body.split()
+        n = len(t) - k + 1
+        votes = [(p, q) for p in range(len(w) - k + 1) for q in range(n) if w[p : p + k] == t[q : q + k]]
+        for d in {p - q for p, q in votes}:
+            near = sorted((p, -q) for p, q in votes if abs(p - q - d) <= L.SLACK)
+            share = chain([-q for _, q in near]) / n
+            if share >= L.COVER:
+                labels.add(label)
+                score = max(score, share)
+    base = brute(text)[4]
+    return ",".join(sorted(labels | set(filter(None, base.split(","))))), 1.0 if base else score
+
+
+def test_labels_equal_brute_force(spark):
+    r = random.Random(16)
+    templates = [("a", "cc by nc x y"), ("b", "x y x y z x y"), ("c", "all x all y all x"), ("d", "by"), ("e", "x x x x x x")]
+    vocab = ["cc", "by", "nc", "x", "y", "z", "all", "X", "cc-by", "x y x"]
+    rows = [(i, " ".join(r.choice(vocab) for _ in range(r.randint(0, 40)))) for i in range(400)]
+    rows += [(i, text) for i, text in enumerate(["x y x y z x y", "cc by nc w x y", "all y all x", "x y z x y x y", "x " * 9], 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k in (2, 3):
+        got = {g.doc_id: g for g in L.scan(docs, L.template_table(spark, templates), k=k).collect()}
+        for i, text in rows:
+            want = brute_labels(text, templates, k)
+            if k == 2:
+                assert (got[i].labels, got[i].score) == want, text
+            else:  # of the base phrases those of three words alone
+                assert {x for x in got[i].labels.split(",") if x in "abcde" and x} == {x for x in want[0].split(",") if x in "abcde" and x}, text
+
+
+def test_repeated_words_give_no_license(spark):
+    texts = {1: "cc by " * 5, 2: "licensed under " * 6, 3: "license the under licensed " * 9, 4: "cc by " * 5 + "licensed under cc by nc 4.0", 5: "the mit license under released " * 40}
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in sorted(got)] == ["cc-by", "", "", "cc-by,cc-by-nc", ""]
+    assert got[4].n_base == 6 and got[4].score == 1.0 and {tuple(s)[:3] for s in got[4].spans if s.label == "cc-by-nc"} == {(10, 16, "cc-by-nc")}
+
+
+def test_license_bodies(spark):
+    body = next(t for label, t in L.TEMPLATES if label == "mit" and "merchantability" in t).split()
+    changed = [*body[:30], "SUPPLIED", "and", *body[31:70], *body[72:]]
+    docs = [(1, "Copyright (c) someone. " + " ".join(body).upper()), (2, " ".join(changed)), (3, " ".join(body[: len(body) // 2])), (4, " ".join(reversed(body)))]
+    got = {r.doc_id: (r.labels, r.score) for r in L.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == ("mit", 1.0) and got[2][0] == "mit" and 0.75 <= got[2][1] < 1 and got[3] == got[4] == ("", 0.0)
+
+
+def test_many_matches_in_one_text(spark):
+    text = "cc by licensed under the mit license x " * 20_000
+    got = L.scan(spark.createDataFrame([(1, text), (1, text), (None, None)], "doc_id long, text string")).collect()
+    assert sorted(g.n_base for g in got) == [0, 20_000, 20_000] and {g.labels for g in got} == {"", "cc-by,mit"}

@@ -1,37 +1,47 @@
 """License scans by diagonal voting.
 
-Every word k-gram of a document is joined, by its rolling hash, to the places
-of the same k-gram in license templates. A match of document position p and
-template position q votes for the diagonal p - q. Votes are summed by
-diagonal, diagonals that lie within ``slack`` of one another are merged, and
-the merged span is verified against the share of the template that it covers.
+Every word k-gram of a document is joined, by its hash, to the places of the
+same k-gram in license templates. A match of document place p and template
+place q votes for the diagonal p - q. Votes are summed by diagonal, and
+neighbouring diagonals, at most ``slack`` apart, are merged into a band around
+each of them: words inserted or lost move the rest of a license to a diagonal
+nearby. A band counts if its votes hold a chain, strictly ascending in p and in
+q, that covers ``cover`` of the template's k-grams. So a template place counts
+once however often the document repeats it, and words in another order don't
+count. Base phrases must stand on one diagonal in full.
 
 A polynomial hash rolls in O(1) a word, but the JVM's vectorised row functions
-make hashing two or three words as cheap as rolling, so the k-gram's hash is
+make hashing a few words as cheap as rolling, so the k-gram's hash is
 ``xxhash64`` over the k words; the votes also compare the words themselves.
 
 Defined results: a null or empty text has no words and no spans; a repeated
 ``doc_id`` keeps one row for each input row; ties between labels give all of
-them; an empty table gives an empty table; extra columns are ignored.
-Everything is built from DataFrame functions.
+them, ties between bands of one template that overlap the first; a very long
+text gives a row for each vote, never a group larger than a template's places
+times ``2 * slack + 1``; a template of fewer than k words is never found; an
+empty table gives an empty table; extra columns are ignored. Everything is
+built from DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.words import words
+from tilewright.llm.words import literal_rows, words
+from tilewright.storage import written
 
 K = 2
-#: Share of a template's k-grams that a merged span must hold.
+#: Share of a template's k-grams that a chain must hold.
 COVER = 0.75
-#: Diagonals this near to one another belong to one span (words inserted or lost).
+#: Diagonals this near to a band's own belong to it (words inserted or lost).
 SLACK = 3
+#: Votes of templates are broadcast up to so many template words; a pack beyond it is refused.
+MOST_TEMPLATE_WORDS = 500_000
 
 #: Phrases and labels of the base scan; these must match in full.
 BASE = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
-#: Short forms in which licenses are named or granted.
+#: Short forms in which licenses are named or granted, and wording of license texts.
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
@@ -42,90 +52,108 @@ TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit", "released under the mit license"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+     "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+     "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability "
+     "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+     "in the documentation and or other materials provided with the distribution"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+     "derived from this software without specific prior written permission"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+     "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
+     "as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license "
+     "as published by the free software foundation"),
+    ("agpl-3.0", "it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
 ]
 
 
 def template_table(spark: SparkSession, templates=None) -> DataFrame:
     """(template, label, exact, words): the base phrases and the longer templates."""
     rows = [(i, label, i < len(BASE), text) for i, (label, text) in enumerate([*BASE, *(TEMPLATES if templates is None else templates)])]
-    return spark.createDataFrame(rows, "template int, label string, exact boolean, text string").select(
-        "template", "label", "exact", words(F.col("text")).alias("words")
-    )
+    if sum(len(text.split()) for *_, text in rows) > MOST_TEMPLATE_WORDS:
+        raise ValueError(f"the templates hold more than {MOST_TEMPLATE_WORDS} words")
+    return literal_rows(spark, ["template", "label", "exact", "text"], rows).select("template", "label", "exact", words(F.col("text")).alias("words"))
+
+
+def _grams(df: DataFrame, k: int, *keys: str) -> DataFrame:
+    """(keys, position, gram, terms) for each run of ``k`` words; ``terms`` holds the words as w0, w1, ..."""
+    long = F.size("words") - (k - 1)
+    shifted = [F.slice("words", F.lit(i + 1), long).alias(f"w{i}") for i in range(k)]
+    each = df.where(F.size("words") >= k).select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("position", "terms"))
+    return each.select(*keys, "position", "terms", F.xxhash64(*(F.col(f"terms.w{i}") for i in range(k))).alias("gram"))
+
+
+def _chain(places: Column) -> Column:
+    """Length of the longest strictly ascending subsequence of an array: the least last member of each length is kept."""
 
+    def add(tails: Column, q: Column) -> Column:
+        below = F.size(F.filter(tails, lambda x: x < q))
+        return F.concat(F.slice(tails, F.lit(1), below), F.array(q), F.slice(tails, below + 2, F.size(tails)))
 
-def _grams(df: DataFrame, *keys: str) -> DataFrame:
-    """(keys, position, first, second, gram) for each k-gram, k being two."""
-    return df.where(F.size("words") >= K).select(
-        *keys,
-        F.posexplode(
-            F.arrays_zip(
-                F.slice("words", F.lit(1), F.size("words") - 1).alias("first"),
-                F.slice("words", F.lit(2), F.size("words") - 1).alias("second"),
-            )
-        ).alias("position", "pair"),
-    ).select(*keys, "position", "pair.first", "pair.second", F.xxhash64("pair.first", "pair.second").alias("gram"))
+    return F.size(F.aggregate(places, F.expr("cast(array() as array<int>)"), add))
 
 
-def spans(docs: DataFrame, templates: DataFrame, cover: float = COVER, slack: int = SLACK) -> DataFrame:
+def spans(docs: DataFrame, templates: DataFrame, cover: float = COVER, slack: int = SLACK, k: int = K) -> DataFrame:
     """Verified spans (doc_id, text_hash, label, exact, first_word, last_word, share) of ``docs``.
 
     ``docs`` has doc_id, text_hash and words. The templates' k-grams are a
-    parameter of the scan, not data: a few hundred rows, which are broadcast.
+    parameter of the scan, not data, of a checked number, and are broadcast.
+    Votes are written once and read by all that follows.
     """
-    places = _grams(templates, "template", "label", "exact").select(
-        "template", "label", "exact", F.col("position").alias("at"), F.col("first").alias("t1"), F.col("second").alias("t2"), "gram"
+    places = _grams(templates, k, "template").select("template", F.col("position").alias("at"), F.col("terms").alias("own"), "gram")
+    facts = templates.select("template", "label", "exact", (F.size("words") - (k - 1)).alias("n_grams"))
+    key = ["doc_id", "text_hash", "template"]
+    votes = written(
+        _grams(docs, k, "doc_id", "text_hash").join(F.broadcast(places), "gram").where("terms = own").select(*key, "at", (F.col("position") - F.col("at")).alias("diagonal")),
+        "votes",
     )
-    sizes = templates.select("template", (F.size("words") - K + 1).alias("n_grams"))
-    votes = (
-        _grams(docs, "doc_id", "text_hash")
-        .join(F.broadcast(places), "gram")
-        .where("first = t1 and second = t2")
-        .select("doc_id", "text_hash", "template", "label", "exact", "at", (F.col("position") - F.col("at")).alias("diagonal"))
+    # One row for each diagonal of a document and template; repeated rows vote once.
+    diagonals = votes.groupBy(*key, "diagonal").agg(F.sort_array(F.collect_set("at")).alias("ats")).join(F.broadcast(facts), "template")
+    exact = diagonals.where("exact and size(ats) = n_grams").select(
+        "doc_id", "text_hash", "label", "exact", F.col("diagonal").alias("first_word"), (F.col("diagonal") + F.col("n_grams") + (k - 2)).alias("last_word"), F.lit(1.0).alias("share")
     )
-    # One row for each diagonal of a document and template.
-    diagonals = votes.groupBy("doc_id", "text_hash", "template", "label", "exact", "diagonal").agg(
-        F.countDistinct("at").alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi")
+    band = Window.partitionBy(*key).orderBy("diagonal").rangeBetween(-slack, slack)
+    # A band's votes are at most n_grams * (2 * slack + 1). Both are gathered before any diagonal goes.
+    seeds = (
+        diagonals.where("not exact")
+        .withColumns({"most": F.sum(F.size("ats")).over(band), "runs": F.collect_list(F.struct("diagonal", "ats")).over(band)})
+        .where(F.col("most") >= cover * F.col("n_grams"))
     )
-    exact = (
-        diagonals.where("exact")
-        .join(F.broadcast(sizes), "template")
-        .where("votes = n_grams")
-        .select(
-            "doc_id", "text_hash", "label", "exact",
-            F.col("diagonal").alias("first_word"),
-            (F.col("diagonal") + F.col("n_grams") + K - 2).alias("last_word"),
-            F.lit(1.0).alias("share"),
-        )
+    near = F.flatten(F.transform("runs", lambda r: F.transform(r["ats"], lambda q: F.struct((r["diagonal"] + q).alias("p"), (-q).alias("q")))))
+    chained = (
+        seeds.withColumn("near", F.array_sort(near))
+        .withColumn("chain", _chain(F.transform("near", lambda v: -v["q"])))
+        .where(F.col("chain") >= cover * F.col("n_grams"))
+        .withColumn("best", F.struct(F.col("chain"), (-F.col("diagonal")).alias("first")))
     )
-    line = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
-    start = (F.col("diagonal") - F.lag("diagonal").over(line) > slack) | F.lag("diagonal").over(line).isNull()
-    fuzzy = (
-        diagonals.where("not exact")
-        .withColumn("group", F.sum(start.cast("int")).over(line))
-        .groupBy("doc_id", "text_hash", "template", "label", "exact", "group")
-        .agg(
-            F.sum("votes").alias("votes"),
-            F.min(F.col("diagonal") + F.col("lo")).alias("first_word"),
-            F.max(F.col("diagonal") + F.col("hi") + K - 1).alias("last_word"),
-        )
-        .join(F.broadcast(sizes), "template")
-        .withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("n_grams")))
-        # A span much longer than its template holds words that are not the template's.
-        .where((F.col("share") >= cover) & (F.col("last_word") - F.col("first_word") < 2 * (F.col("n_grams") + K)))
-        .select("doc_id", "text_hash", "label", "exact", "first_word", "last_word", "share")
+    fuzzy = chained.withColumn("top", F.max("best").over(band)).where("best = top").select(
+        "doc_id", "text_hash", "label", "exact",
+        F.get("near", F.lit(0))["p"].alias("first_word"),
+        (F.element_at("near", -1)["p"] + (k - 1)).alias("last_word"),
+        (F.col("chain") / F.col("n_grams")).alias("share"),
     )
     return exact.unionByName(fuzzy)
 
 
-def scan(docs: DataFrame, templates: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", cover: float = COVER, slack: int = SLACK, k: int = K) -> DataFrame:
     """One row per document: n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    ``score`` is the largest share of a template found, 0 without any.
+    ``score`` is the largest share of a template found, 0 without any. Base
+    phrases of two words are found with ``k`` of two at most.
     """
     templates = template_table(docs.sparkSession) if templates is None else templates
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), words(F.col(text)).alias("words"))
     found = (
-        spans(d, templates)
+        spans(d, templates, cover, slack, k)
         .distinct()
         .groupBy("doc_id", "text_hash")
         .agg(

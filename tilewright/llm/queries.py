@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import bpe, chat, decontaminate, license, ogg, secrets, simhash, substring_dedup, toxicity, warc
+from tilewright.llm.words import literal_rows
 from tilewright.storage import new_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,9 +72,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame(
-        [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string"
-    )
+    own = literal_rows(spark, ["conv_id", "turn", "role", "text"], [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)])
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     back = chat.read_back(chat.conversations(turns))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -100,6 +99,8 @@ QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_warc, op4_sim
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_PACK = ", ".join(f"({i}, '{label}', {i < len(license.BASE)}, string_split('{body}', ' '))" for i, (label, body) in enumerate([*license.BASE, *license.TEMPLATES]))
+
 ORACLES = {
     "op1_decontaminate": rf"""
         WITH iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -126,6 +127,25 @@ ORACLES = {
             CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN first <> page_id THEN first END AS refers_to
         FROM p LEFT JOIN f ON p.d = f.d""",
+    "op9_license": rf"""
+        WITH t(template, label, exact, w) AS (VALUES {_PACK}),
+        tg AS (SELECT template, label, exact, len(w) - 1 AS n, w[q + 1] AS a, w[q + 2] AS b, q FROM (SELECT *, unnest(range(0, len(w) - 1)) AS q FROM t)),
+        d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        dg AS (SELECT doc_id, p, w[p + 1] AS a, w[p + 2] AS b FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS p FROM d WHERE len(w) > 1)),
+        v AS (SELECT doc_id, template, label, exact, n, p, q, p - q AS diagonal FROM dg JOIN tg USING (a, b)),
+        g AS (SELECT doc_id, template, label, exact, n, diagonal, count(*) AS votes FROM v GROUP BY ALL),
+        base AS (SELECT doc_id, label, diagonal AS first FROM g WHERE exact AND votes = n),
+        band AS (
+            SELECT g.doc_id, g.template, g.label, g.n, g.diagonal, list([v.q] ORDER BY v.p, v.q DESC) AS qs
+            FROM g JOIN v ON g.doc_id = v.doc_id AND g.template = v.template AND abs(v.diagonal - g.diagonal) <= {license.SLACK} WHERE NOT g.exact GROUP BY ALL),
+        share AS (
+            SELECT doc_id, label, len(list_reduce(qs, lambda s, q: list_concat(list_filter(s, lambda x: x < q[1]), q, s[len(list_filter(s, lambda x: x < q[1])) + 2:]))) / n AS share FROM band),
+        found AS (SELECT doc_id, label, share FROM share WHERE share >= {license.COVER} UNION ALL SELECT doc_id, label, 1.0 FROM base),
+        b AS (SELECT doc_id, count(*) AS n_base, min(first) AS first_word, max(first) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+        f AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+            coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+        FROM d LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id)""",
     "op8_chat": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

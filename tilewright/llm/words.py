@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Everything that ends a word: ASCII characters other than digits and letters.
@@ -21,3 +21,16 @@ def ascii_lower(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Maximal runs of digits, letters and non-ASCII characters; null has none."""
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
+
+
+def literal_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A small table of parameters as SQL literals: nothing is pickled and no Python worker reads it."""
+
+    def one(value) -> str:
+        if isinstance(value, str):
+            escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+            return f"'{escaped}'"
+        return "NULL" if value is None else str(value).lower()
+
+    listed = ", ".join(f"({', '.join(map(one, row))})" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t({', '.join(names)})")
