@@ -33,15 +33,19 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.register(spark)
     path = new_path(spark, "archive")
     warc.as_records(_table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
-    back = spark.read.format("warc").load(path)
-    stored = F.col("warc_type") == "response"
-    return back.select(
+    # Two scans with a pushed predicate each: payloads are decoded for responses alone.
+    stored = spark.read.format("warc").load(path).where("warc_type = 'response'")
+    revisits = spark.read.format("warc").option("payload", "false").load(path).where("warc_type = 'revisit'")
+    facts = lambda back, n, digest: back.select(
         warc.page_of(F.col("warc_record_id")).alias("page_id"),
-        F.when(stored, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(stored, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        n.alias("payload_bytes"),
+        digest.alias("payload_digest"),
         F.col("warc_type").alias("record_type"),
         warc.page_of(F.col("refers_to")).alias("refers_to"),
     )
+    return facts(stored, F.length("payload").cast("long"), F.sha2("payload", 256)).unionByName(
+        facts(revisits, F.col("payload_bytes"), F.col("payload_digest"))
+    )
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

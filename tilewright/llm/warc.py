@@ -1,24 +1,31 @@
 """WARC archives as a PySpark Python data source.
 
-``spark.read.format("warc")`` plans one partition for each archive file,
-pushes down equality and membership predicates on ``warc_type`` and
-``warc_record_id`` and equality on ``target_uri`` and ``content_type``, reads a record's headers first and decodes
-its payload only if the record passes and ``payload`` is asked for
-(option ``payload``, true by default).
-
-``df.write.format("warc")`` writes one record for each row to files of at most
+``spark.read.format("warc")`` plans one partition for each archive file, or for
+each stretch of ``splitBytes`` of one that this source wrote, pushes down
+equality and membership predicates on ``warc_type`` and ``warc_record_id`` and
+equality on ``target_uri`` and ``content_type``, reads a record's headers first
+and decodes its payload only if the record passes and ``payload`` is asked for
+(option ``payload``, true by default). A file is read through a moving window;
+payloads that nobody wants are passed over and never held.
+
+``df.write.format("warc")`` writes one record for each row to files of about
 ``maxFileBytes``. Each record is one gzip member, as the standard advises; its
 ``sl`` extra field gives the member's compressed size, so that a reader can
 pass over a payload without inflating it. Files without that field are read
-too. A task's files have names of their own and count only once the driver
-has listed them in a manifest, so retried and lost tasks leave nothing that
-is read.
+too. A task's files have names of their own and count only once the driver has
+listed them in the manifest of that write, so retried and lost tasks leave
+nothing that is read. An append adds a manifest and an overwrite replaces all;
+a write removes
+what its failed tasks left.
 
 Paths: ``file:`` URIs and plain paths are opened directly, other schemes
 through ``pyarrow.fs``. Defined results: a null payload is an empty one, a
-null header value is left out; header values lose line breaks; rows that
-repeat an id give records that repeat it; an empty table gives an archive
-without files, which reads as no rows; clashing extra columns are not written.
+null header value is left out; header values lose line breaks and may have any
+length; rows that repeat an id give records that repeat it, and of equal
+payloads that of least id is stored; very long texts are one record, of 2 GB
+at most as any binary value; an empty table gives an archive without files,
+which reads as no rows; clashing extra columns are not written. A folder with
+manifests is read by them alone, one without by its file names.
 """
 
 from __future__ import annotations
@@ -55,11 +62,15 @@ HEADERS = {
 }
 PUSHED = {"warc_type", "warc_record_id", "target_uri", "content_type"}
 MAX_FILE_BYTES = 64 << 20
-MANIFEST = "manifest.json"
+#: Archives that this source wrote are read in stretches of about so many bytes.
+SPLIT_BYTES = 64 << 20
+MANIFEST = "manifest-"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are always stored.
 REVISIT_BYTES = 100
 _HEAD = 2048
+_CHUNK = 1 << 16
+_END = b"\r\n\r\n"
 
 
 def _open(path: str):
@@ -79,38 +90,55 @@ def record_bytes(headers: dict[str, str], payload: bytes) -> bytes:
     packer = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = packer.compress(raw) + packer.flush()
     size = 10 + 2 + 12 + len(body) + 8
-    extra = b"sl" + struct.pack("<HII", 8, size, len(raw) & 0xFFFFFFFF)
+    # A member too large for the field tells no size, which readers allow for.
+    extra = b"sl" + struct.pack("<HII", 8, size if size < 1 << 32 else 0, len(raw) & 0xFFFFFFFF)
     head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra
     return head + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
 
 
-def _member(data: bytes, at: int) -> tuple[int, int]:
-    """(start of the deflated bytes, compressed size of the member or 0 if it isn't told)."""
-    if data[at : at + 3] != b"\x1f\x8b\x08":
+class Window:
+    """Bytes of a file by offset, through one buffer that moves along with the reader."""
+
+    def __init__(self, read_at, size: int, ahead: int = 1 << 18) -> None:
+        self.read_at, self.size, self.ahead = read_at, size, ahead
+        self.at, self.data = 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        """``n`` bytes from ``at``, fewer at the end of the file."""
+        n = min(n, self.size - at)
+        if not self.at <= at <= at + n <= self.at + len(self.data):
+            self.at, self.data = at, self.read_at(min(max(n, self.ahead), self.size - at), at)
+        return self.data[at - self.at : at - self.at + n]
+
+
+def _told(window: Window, at: int) -> int:
+    """Compressed size of the gzip member at an offset, 0 if it isn't told."""
+    head = window.get(at, 12)
+    if head[:3] != b"\x1f\x8b\x08":
         raise ValueError(f"no gzip member at byte {at}")
-    flags, start, size = data[at + 3], at + 10, 0
-    if flags & 4:
-        (n,) = struct.unpack_from("<H", data, start)
-        field, end = start + 2, start + 2 + n
-        while field + 4 <= end:
-            name, (length,) = data[field : field + 2], struct.unpack_from("<H", data, field + 2)
-            if name == b"sl" and length >= 4:
-                (size,) = struct.unpack_from("<I", data, field + 4)
+    if len(head) == 12 and head[3] & 4:
+        fields, field = window.get(at + 12, struct.unpack_from("<H", head, 10)[0]), 0
+        while field + 4 <= len(fields):
+            (length,) = struct.unpack_from("<H", fields, field + 2)
+            if fields[field : field + 2] == b"sl" and length >= 4 and field + 8 <= len(fields):
+                return struct.unpack_from("<I", fields, field + 4)[0]
             field += 4 + length
-        start = end
-    for flag in (8, 16):
-        if flags & flag:
-            start = data.index(b"\0", start) + 1
-    return start + (2 if flags & 2 else 0), size
+    return 0
 
 
 @dataclass
 class ArchivePartition(InputPartition):
+    """Records that begin at ``start`` or later and before ``stop``, -1 being the end of the file."""
+
     path: str
+    start: int = 0
+    stop: int = -1
 
 
 @dataclass
 class Written(WriterCommitMessage):
+    """(name, offsets of records where a stretch ends) of each file."""
+
     files: list
 
 
@@ -134,30 +162,50 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         system, base = _open(self.path)
-        info = system.get_file_info(base)
-        if info.type == fs.FileType.File:
+        if system.get_file_info(base).type == fs.FileType.File:
             return [ArchivePartition(self.path)]
-        if system.get_file_info(f"{base}/{MANIFEST}").type == fs.FileType.File:
-            with system.open_input_stream(f"{base}/{MANIFEST}") as f:
-                names = json.loads(f.read())
+        listed = _manifests(system, base)
+        if listed:
+            files = [tuple(x) for path in listed for x in _listed(system, path)]
         else:
-            names = [os.path.basename(x.path) for x in system.get_file_info(fs.FileSelector(base)) if x.path.endswith((".warc", ".warc.gz"))]
-        return [ArchivePartition(f"{self.path.rstrip('/')}/{n}") for n in sorted(names)]
+            files = [(os.path.basename(x.path), []) for x in system.get_file_info(fs.FileSelector(base)) if x.path.endswith((".warc", ".warc.gz"))]
+        return [
+            ArchivePartition(f"{self.path.rstrip('/')}/{name}", start, stop)
+            for name, cuts in sorted(files)
+            for start, stop in zip([0, *cuts], [*cuts, -1])
+        ]
 
     def read(self, partition: ArchivePartition | None) -> Iterator[tuple]:
         if partition is None or not partition.path:
             return
         system, path = _open(partition.path)
         with system.open_input_file(path) as f:
-            data = f.read_buffer()
-        for headers, payload in records(memoryview(data), path.endswith(".gz"), self.tests, self.payload):
-            get = lambda c: headers.get(HEADERS[c])
-            digest = get("payload_digest")
-            length = get("payload_bytes") or headers["Content-Length"]
-            yield (
-                get("warc_type"), get("warc_record_id"), get("target_uri"), get("content_type"),
-                digest and digest.removeprefix("sha256:"), int(length), get("refers_to"), payload,
-            )
+            window = Window(f.read_at, f.size())
+            for headers, payload in records(window, path.endswith(".gz"), self.tests, self.payload, partition.start, partition.stop):
+                get = lambda c: headers.get(HEADERS[c])
+                digest = get("payload_digest")
+                length = get("payload_bytes") or headers["Content-Length"]
+                yield (
+                    get("warc_type"), get("warc_record_id"), get("target_uri"), get("content_type"),
+                    digest and digest.removeprefix("sha256:"), int(length), get("refers_to"), payload,
+                )
+
+
+def _manifests(system, base: str) -> list[str]:
+    """Paths of the manifests of all writes."""
+    found = system.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    return sorted(x.path for x in found if os.path.basename(x.path).startswith(MANIFEST) and x.path.endswith(".json"))
+
+
+def _listed(system, path: str) -> list:
+    with system.open_input_stream(path) as f:
+        return json.loads(f.read())
+
+
+def _remove(system, paths: list[str]) -> None:
+    for path in paths:
+        if system.get_file_info(path).type == fs.FileType.File:
+            system.delete_file(path)
 
 
 def _headers(head: bytes) -> dict[str, str]:
@@ -167,83 +215,130 @@ def _headers(head: bytes) -> dict[str, str]:
     return dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
 
 
-def records(data: memoryview, packed: bool, tests: list[tuple[str, frozenset]], want: bool) -> Iterator[tuple[dict, bytes | None]]:
+def records(data: Window | memoryview, packed: bool, tests: list[tuple[str, frozenset]], want: bool, start: int = 0, stop: int = -1) -> Iterator[tuple[dict, bytes | None]]:
     """Headers and payloads (None if not wanted) of the records that pass; other payloads are passed over."""
-    at, size = 0, len(data)
-    while at < size:
-        if not packed:
-            end = bytes(data[at : at + (1 << 16)]).index(b"\r\n\r\n") + at
-            headers = _headers(bytes(data[at:end]))
-            start = end + 4
-            stop = start + int(headers["Content-Length"])
-            if _passes(headers, tests):
-                yield headers, bytes(data[start:stop]) if want else None
-            at = stop + 4
-            continue
-        start, told = _member(bytes(data[at : at + 4096]), at=0)
-        unpack = zlib.decompressobj(-15)
-        fed = at + start
-        raw = b""
-        while b"\r\n\r\n" not in raw:
-            if fed >= size or unpack.eof:
+    window = data if isinstance(data, Window) else Window(lambda n, at: bytes(data[at : at + n]), len(data))
+    at, stop = start, window.size if stop < 0 else stop
+    one = _packed if packed else _plain
+    while at < stop:
+        at, headers, payload = one(window, at, tests, want)
+        if headers is not None:
+            yield headers, payload
+
+
+def _plain(window: Window, at: int, tests, want: bool) -> tuple[int, dict | None, bytes | None]:
+    """(offset of the next record, headers or None, payload or None) of an uncompressed record."""
+    n = _HEAD
+    while (end := (head := window.get(at, n)).find(_END)) < 0:
+        if at + n >= window.size:
+            raise ValueError("a record is cut short")
+        n *= 2
+    headers = _headers(head[:end])
+    begin, size = at + end + 4, int(headers["Content-Length"])
+    after = begin + size + 4
+    if begin + size > window.size:
+        raise ValueError("a record is cut short")
+    if not _passes(headers, tests):
+        return after, None, None
+    return after, headers, window.get(begin, size) if want else None
+
+
+def _packed(window: Window, at: int, tests, want: bool) -> tuple[int, dict | None, bytes | None]:
+    """As ``_plain``, of a record that is a gzip member."""
+    told = _told(window, at)
+    unpack = zlib.decompressobj(31)
+    fed, raw, seen = at, bytearray(), 0
+    while (end := raw.find(_END, max(0, seen - 3))) < 0:
+        seen = len(raw)
+        chunk = window.get(fed, _HEAD) if fed < window.size else b""
+        if not chunk or unpack.eof:
+            raise ValueError("a record is cut short")
+        raw += unpack.decompress(chunk)
+        fed += len(chunk)
+    headers = _headers(bytes(raw[:end]))
+    wanted = _passes(headers, tests)
+    held = wanted and want
+    parts = [bytes(raw[end + 4 :])]
+    if held or not told:
+        while not unpack.eof:
+            chunk = window.get(fed, _CHUNK) if fed < window.size else b""
+            if not chunk:
                 raise ValueError("a record is cut short")
-            chunk = data[fed : fed + _HEAD]
-            raw += unpack.decompress(chunk)
+            inflated = unpack.decompress(chunk)
             fed += len(chunk)
-        head, _, rest = raw.partition(b"\r\n\r\n")
-        headers = _headers(head)
-        wanted = _passes(headers, tests)
-        if not told or (wanted and want):
-            while not unpack.eof and fed < size:
-                chunk = data[fed : fed + (1 << 20)]
-                rest += unpack.decompress(chunk)
-                fed += len(chunk)
-            at = at + told if told else fed - len(unpack.unused_data) + 8
-        else:
-            at += told
-        if wanted:
-            yield headers, rest[: int(headers["Content-Length"])] if want else None
+            if held:
+                parts.append(inflated)
+    after = at + told if told else fed - len(unpack.unused_data)
+    if not held:
+        return after, headers if wanted else None, None
+    size = int(headers["Content-Length"])
+    payload = b"".join(parts)[:size]
+    if len(payload) < size:
+        raise ValueError("a record is cut short")
+    return after, headers, payload
 
 
 class WarcWriter(DataSourceWriter):
-    def __init__(self, options: dict, schema: StructType) -> None:
-        self.path = options["path"]
-        self.limit = int(options.get("maxFileBytes", options.get("maxfilebytes", MAX_FILE_BYTES)))
+    def __init__(self, options: dict, schema: StructType, overwrite: bool) -> None:
+        self.path, self.overwrite = options["path"], overwrite
+        option = lambda name, default: int(options.get(name, options.get(name.lower(), default)))
+        self.limit, self.split = option("maxFileBytes", MAX_FILE_BYTES), option("splitBytes", SPLIT_BYTES)
         self.columns = [f.name for f in schema.fields]
+        self.name = uuid.uuid4().hex  # of this write; its files begin with it
 
     def write(self, iterator) -> Written:
         system, base = _open(self.path)
         system.create_dir(base, recursive=True)
-        files: list[str] = []
+        files: list[tuple[str, list[int]]] = []
         out, size = None, 0
         for row in iterator:
-            r = {c: row[i] for i, c in enumerate(self.columns)}
-            payload = r.get("payload")
-            payload = b"" if payload is None else payload.encode() if isinstance(payload, str) else bytes(payload)
-            headers = {h: r.get(c) for c, h in HEADERS.items()}
-            if r.get("payload_digest"):
-                headers["WARC-Payload-Digest"] = f"sha256:{r['payload_digest']}"
-            if r.get("warc_type") == "revisit":
-                headers["WARC-Profile"], payload = PROFILE, b""
+            data = self._record(row)
             if out is None or size >= self.limit:
                 if out is not None:
                     out.close()
-                files.append(f"{uuid.uuid4().hex}.warc.gz")
-                out, size = system.open_output_stream(f"{base}/{files[-1]}", compression=None), 0
-            data = record_bytes(headers, payload)
+                files.append((f"{self.name}-{uuid.uuid4().hex}.warc.gz", []))
+                out, size = system.open_output_stream(f"{base}/{files[-1][0]}", compression=None), 0
+            cuts = files[-1][1]
+            if size - (cuts[-1] if cuts else 0) >= self.split:
+                cuts.append(size)
             out.write(data)
             size += len(data)
         if out is not None:
             out.close()
         return Written(files)
 
+    def _record(self, row) -> bytes:
+        r = {c: row[i] for i, c in enumerate(self.columns)}
+        payload = r.get("payload")
+        payload = b"" if payload is None else payload.encode() if isinstance(payload, str) else bytes(payload)
+        headers = {h: r.get(c) for c, h in HEADERS.items()}
+        if r.get("payload_digest"):
+            headers["WARC-Payload-Digest"] = f"sha256:{r['payload_digest']}"
+        if r.get("warc_type") == "revisit":
+            headers["WARC-Profile"], payload = PROFILE, b""
+        return record_bytes(headers, payload)
+
     def commit(self, messages) -> None:
         system, base = _open(self.path)
         system.create_dir(base, recursive=True)
-        names = sorted(n for m in messages if m is not None for n in m.files)
-        with system.open_output_stream(f"{base}/{MANIFEST}.tmp") as f:
-            f.write(json.dumps(names).encode())
-        system.move(f"{base}/{MANIFEST}.tmp", f"{base}/{MANIFEST}")
+        before = _manifests(system, base) if self.overwrite else []
+        files = sorted(x for m in messages if m is not None for x in m.files)
+        path = f"{base}/{MANIFEST}{uuid.uuid4().hex}.json"
+        with system.open_output_stream(f"{path}.tmp") as f:
+            f.write(json.dumps(files).encode())
+        system.move(f"{path}.tmp", path)
+        gone = [f"{base}/{name}" for manifest in before for name, _ in _listed(system, manifest)]
+        _remove(system, [*before, *gone])
+        self._clean({name for name, _ in files})
+
+    def abort(self, messages) -> None:
+        self._clean(set())
+
+    def _clean(self, kept: set[str]) -> None:
+        """Removes what tasks of this write left that failed, were lost or ran twice."""
+        system, base = _open(self.path)
+        found = system.get_file_info(fs.FileSelector(base, allow_not_found=True))
+        _remove(system, [x.path for x in found if (name := os.path.basename(x.path)).startswith(f"{self.name}-") and name not in kept])
 
 
 class WarcSource(DataSource):
@@ -258,10 +353,11 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options, schema)
+        return WarcWriter(self.options, schema, overwrite)
 
 
 def register(spark) -> None:
+    """Makes the format known to a session, and lets Python sources of that session see predicates, which Spark withholds by default."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
@@ -302,5 +398,3 @@ def as_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
 def page_of(uri):
     """The page id inside a record id."""
     return F.regexp_extract(uri, r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
-
-
