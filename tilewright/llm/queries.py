@@ -64,6 +64,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_hex",
         F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
         secrets.listed(F.col("spans")).alias("spans"),
+        secrets.paired(F.col("pairs")).alias("pairs"),
     )
 
 

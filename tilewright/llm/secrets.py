@@ -5,13 +5,16 @@ material, user names) say little alone: one is reported only when a
 complementary part lies in the same scope, an interval of ``SCOPE`` code
 points on either side. The link is an interval join over buckets of that
 width: parts are keyed by (document, bucket), and each bucket keeps only the
-first and last place of each kind, so that no group of parts is ever paired
-with itself.
+first and last part of each kind, so that no group of parts is ever paired
+with itself. A reported candidate names the part that completes it: of those
+first and last ones in scope the nearest, then the first.
 
 Defined results: a null or empty text has no spans; a repeated ``doc_id``
 keeps one row for each input row; equal spans of different kinds are all
-reported in the order of ``KINDS``; an empty table gives an empty table; extra
-columns are ignored (``redact`` keeps them). Built from DataFrame functions.
+reported in the order of ``KINDS``; a very long text, or one with very many
+matches, takes time in proportion to its length and its matches; an empty table
+gives an empty table; extra columns are ignored (``redact`` keeps them). Built
+from DataFrame functions.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions.tensor import let
+from tilewright.llm.arrays import blocks, cut, prefixes
 from tilewright.storage import written
 
 SCOPE = 400
@@ -55,16 +60,15 @@ def _matches(text: Column, pattern: str, kind: str, hint: str, keep=None) -> Col
         found,
         lambda p, m: F.struct(F.char_length(p).alias("gap"), F.char_length(m).alias("long"), (keep(m) if keep else F.lit(True)).alias("keep")),
     )
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPANS})").alias("spans"))
     rank = KINDS.index(kind)
 
-    def add(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["gap"]
-        end = start + s["long"]
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(s["keep"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def span(m: Column, before: Column) -> Column:
+        start = before + m["gap"]
+        return F.struct(start.alias("start"), (start + m["long"]).alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["keep"].alias("keep"))
 
-    all_spans = F.aggregate(step, zero, add)["spans"]
+    placed = let(step, lambda ms: F.zip_with(ms, prefixes(F.transform(ms, lambda m: m["gap"] + m["long"])), span))
+    kept = F.filter(placed, lambda x: x["keep"])
+    all_spans = F.transform(kept, lambda x: F.struct(x["start"], x["end"], x["rank"], x["kind"]))
     return F.when(F.regexp_like(text, F.lit(hint)), all_spans).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
@@ -92,16 +96,16 @@ def parts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(doc_id, text_hash, weak): the weak spans that have a complementary part in scope."""
+    """(doc_id, text_hash, weak): the weak spans that have a complementary part in scope, each with that part (``with``)."""
     kinds = sorted({k for ks in COMPLEMENTS.values() for k in ks})
     some = reduce(lambda a, b: a | b, (F.size(k) > 0 for k in COMPLEMENTS)) & reduce(lambda a, b: a | b, (F.size(k) > 0 for k in kinds))
     rows = found.where(some).select(
         "doc_id", "text_hash", F.explode(F.concat(*KINDS)).alias("p")
     ).select("doc_id", "text_hash", "p", F.floor(F.col("p.start") / scope).cast("int").alias("bucket"))
-    # The complementary parts of a bucket: for each kind where its first and its last part start.
+    # The complementary parts of a bucket: for each kind its first and its last part.
     edges = rows.where(F.col("p.kind").isin(kinds)).groupBy("doc_id", "text_hash", "bucket").agg(
-        *(F.min(F.when(F.col("p.kind") == k, F.col("p.start"))).alias(f"{k}_lo") for k in kinds),
-        *(F.max(F.when(F.col("p.kind") == k, F.col("p.start"))).alias(f"{k}_hi") for k in kinds),
+        *(F.min(F.when(F.col("p.kind") == k, F.col("p"))).alias(f"{k}_lo") for k in kinds),
+        *(F.max(F.when(F.col("p.kind") == k, F.col("p"))).alias(f"{k}_hi") for k in kinds),
     )
     seen = edges.select(
         "doc_id", "text_hash",
@@ -114,18 +118,21 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
         & (F.col("w.text_hash") == F.col("e.text_hash"))
         & (F.col("w.bucket") == F.col("e.bucket"))
     )
-    near = lambda k: F.col(f"{k}_lo").between(F.col("p.start") - scope, F.col("p.start") + scope) | F.col(f"{k}_hi").between(F.col("p.start") - scope, F.col("p.start") + scope)
-    holds = reduce(
-        lambda a, b: a | b,
-        ((F.col("p.kind") == w) & reduce(lambda a, b: a | b, (F.coalesce(near(k), F.lit(False)) for k in ks)) for w, ks in COMPLEMENTS.items()),
-    )
-    return weak.join(seen, same, "inner").where(holds).groupBy("w.doc_id", "w.text_hash").agg(
-        F.collect_set("p").alias("weak")
+    # Of each kind that completes the candidate's own both edges, nearest first.
+    completes = reduce(lambda a, b: a | b, ((F.col("p.kind") == w) & F.col("e.kind").isin(*ks) for w, ks in COMPLEMENTS.items()))
+    each = weak.join(seen, same).select("w.doc_id", "w.text_hash", "p", F.explode(F.array(*(f"{k}_{side}" for k in kinds for side in ("lo", "hi")))).alias("e"))
+    gap = F.abs(F.col("e.start") - F.col("p.start"))
+    near = each.where(completes & (gap <= scope)).groupBy("doc_id", "text_hash", "p").agg(F.min(F.struct(gap.alias("gap"), F.col("e"))).alias("near"))
+    return near.groupBy("doc_id", "text_hash").agg(
+        F.collect_list(F.struct("p.start", "p.end", "p.rank", "p.kind", F.col("near.e").alias("with"))).alias("weak")
     )
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
-    """One row per document: doc_id, text_hash, base and all spans in order, and a count of each base kind."""
+    """One row per document: doc_id, text_hash, base and all spans in order, a count of each base kind, and pairs.
+
+    ``pairs`` holds the linked weak spans in order, each with the part that completes it.
+    """
     found = written(parts(docs, doc_id, text), "parts")
     linked = link(found, scope).alias("l")
     f = found.alias("f")
@@ -137,30 +144,41 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int
         "f.text_hash",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]),
         order(base).alias("base"),
-        order(F.concat(base, F.coalesce("weak", F.expr(f"cast(array() as {_SPANS})")))).alias("spans"),
+        order(F.concat(base, F.coalesce(F.transform("weak", lambda w: F.struct(w["start"], w["end"], w["rank"], w["kind"])), F.expr(f"cast(array() as {_SPANS})")))).alias("spans"),
+        F.coalesce(F.array_sort("weak"), F.expr("cast(array() as array<struct<start:int,end:int,rank:int,kind:string,with:struct<start:int,end:int,rank:int,kind:string>>>)")).alias("pairs"),
     )
 
 
+def _named(s: Column) -> Column:
+    return F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+
+
 def listed(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(spans, _named), ",")
+
+
+def paired(pairs: Column) -> Column:
+    """``kind:start:end=kind:start:end`` of each weak span and the part that completes it, comma-joined."""
+    return F.array_join(F.transform(pairs, lambda p: F.concat_ws("=", _named(p), _named(p["with"]))), ",")
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """``text`` with every span, overlaps merged, replaced by ``<secret>``."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], gap, F.lit("<secret>"))).otherwise(acc["out"]).alias("out"),
-        )
-
-    done = F.aggregate(spans, zero, add)
-    rest = F.substring(text, done["at"] + 1, F.char_length(text))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], rest))
+    """``text`` with every span, overlaps merged, replaced by ``<secret>``; ``spans`` are sorted by start."""
+
+    def done(s: Column) -> Column:
+        ends = F.transform(s, lambda x: x["end"])
+
+        def whole(before: Column) -> Column:
+            def one(pieces: Column) -> Column:
+                gap = lambda x, at: F.when(x["start"] >= at, F.concat(cut(pieces, at, x["start"]), F.lit("<secret>"))).otherwise(F.lit(""))
+                return F.concat(F.array_join(F.zip_with(s, before, gap), ""), cut(pieces, F.array_max(ends), F.char_length(text)))
+
+            return let(blocks(text), one)
+
+        return let(prefixes(ends, lambda a, x: F.greatest(a, x)), whole)
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(spans, done))
 
 
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
