@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -57,3 +58,26 @@ def test_query_expands_every_assistant_turn(spark, monkeypatch):
     got = {r.conv_id: r for r in C.read_back(C.conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
     assert {k: (r.loss_text, r.n_examples) for k, r in got.items()} == {1: ("B<|IM_END|>D\\", 2), None: ("ÉÉ", 2), 2: ("", 0)}
     assert [made[0].count(), "stream" in made[0].columns] == [4, False] and [tuple(t) for t in got[1].turns][1] == ("assistant", "b<|im_end|>")
+
+
+def test_many_turns_in_one_conversation(spark):
+    """Time grows with the turns, not with their square."""
+    took = {}
+    for n in (100, 10_000, 40_000):
+        turns = [(1, i, ["user", "assistant"][i % 2], f"é<|im_end|> {i}\n" * 3) for i in range(n)]
+        frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+        began = time.perf_counter()
+        got = C.read_back(C.conversations(frame)).first()
+        took[n] = time.perf_counter() - began
+        assert [(t.role, t.text) for t in got.turns] == [(r, t) for _, _, r, t in turns]
+        assert got.loss_text == "".join(t for _, _, r, t in turns if r == "assistant") and got.n_examples == n // 2
+    assert took[40_000] < 5 * took[10_000]
+
+
+def test_offsets_hold_the_targets(spark):
+    turns = [(1, i, r, t) for i, (r, t) in enumerate([("assistant", ""), ("assistant\n", "no"), ("user", "assistant\n<|im_start|>assistant\nx"), ("assistant", "<|im_start|>assistant\ny"), ("Assistant", "z"), ("assistant", "😀\\")])]
+    formatted = C.conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    stream = formatted.first().stream
+    rows = C.examples(formatted).orderBy("example").collect()
+    assert [stream[r.context_end : r.target_end] for r in rows] == [r.target for r in rows] and len(rows) == 3
+    assert all(stream[r.target_end :].startswith(C.END) and stream[: r.context_end].endswith("assistant\n") for r in rows)

@@ -15,13 +15,14 @@ Defined results: a null text, role or turn is an empty text, an empty role, a
 first turn; rows that repeat a turn are all kept, ordered by turn, role and
 text; conversations of null id are one conversation; a conversation without an
 assistant has no examples; an empty table gives an empty table; extra columns
-are ignored. A conversation must fit in one string (2 GB). Built from
+are ignored. A conversation must fit in one string (2 GB); the work on one with
+very many turns or a very long text is in proportion to it. Built from
 DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -52,42 +53,34 @@ def conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn"
     target_end; ``stream[0:target_end]`` is the example and
     ``stream[context_end:target_end]`` its only trainable part.
     """
-    t = turns.select(
-        F.col(conv_id).alias("conv_id"),
-        F.struct(
-            F.col(turn).alias("turn"),
-            F.coalesce(F.col(role), F.lit("")).alias("role"),
-            F.coalesce(F.col(text), F.lit("")).alias("text"),
-        ).alias("t"),
+    known = lambda c: F.coalesce(F.col(c), F.lit(""))
+    t = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), known(role).alias("role"), known(text).alias("text"))
+    marked = t.select(
+        "*",
+        F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"),
+        F.concat(escape(F.col("text")), F.lit(END + "\n")).alias("body"),
     )
-    c = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    marked = F.transform(
-        "turns",
-        lambda x: F.struct(
-            (x["role"] == ASSISTANT).alias("trainable"),
-            F.concat(F.lit(START), escape_role(x["role"]), F.lit("\n")).alias("head"),
-            F.concat(escape(x["text"]), F.lit(END)).alias("body"),
-        ),
+    # The window and the grouping share one exchange; offsets are running sums over the rows of a conversation.
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.char_length("head") + F.char_length("body")
+    placed = marked.withColumn("end", F.sum(size).over(order).cast("int"))
+    one = F.struct("end", (F.col("role") == ASSISTANT).alias("trainable"), "head", "body")
+    c = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("m"))
+    spans = F.transform(
+        F.filter("m", lambda x: x["trainable"]),
+        lambda x: F.struct((x["end"] - F.char_length(x["body"])).alias("context_end"), (x["end"] - len(END) - 1).alias("target_end")),
     )
-    c = c.select("conv_id", marked.alias("m"))
-    sizes = F.transform("m", lambda x: F.struct(x["trainable"].alias("trainable"), F.char_length(x["head"]).alias("head"), F.char_length(x["body"]).alias("body")))
-    none = F.expr("cast(array() as array<struct<context_end:int,target_end:int>>)")
-
-    def add(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["head"]
-        b = a + x["body"]
-        example = F.array(F.struct(a.alias("context_end"), (b - len(END)).alias("target_end")))
-        return F.struct((b + 1).alias("at"), F.when(x["trainable"], F.concat(acc["examples"], example)).otherwise(acc["examples"]).alias("examples"))
-
-    offsets = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), none.alias("examples")), add)["examples"]
-    stream = F.concat(F.array_join(F.transform("m", lambda x: F.concat(x["head"], x["body"])), "\n"), F.lit("\n"))
-    return c.select("conv_id", stream.alias("stream"), offsets.alias("examples"))
+    stream = F.array_join(F.transform("m", lambda x: F.concat(x["head"], x["body"])), "")
+    return c.select("conv_id", stream.alias("stream"), spans.alias("examples"))
 
 
 def examples(formatted: DataFrame) -> DataFrame:
     """One row for each assistant turn: (conv_id, example, context_end, target_end, target)."""
-    # Targets are cut before the rows are made, so that none carries the stream.
-    cut = F.transform("examples", lambda e: F.struct(e["context_end"], e["target_end"], F.substring(F.col("stream"), e["context_end"] + 1, e["target_end"] - e["context_end"]).alias("target")))
+    # Targets are cut before the rows are made, so that none carries the stream, and from the
+    # stream's pieces, since a substring is found by counting from the beginning.
+    head = f"{START}{ASSISTANT}\n"
+    replies = F.filter(_pieces(F.col("stream")), lambda p: p.startswith(head))
+    cut = F.zip_with("examples", replies, lambda e, p: F.struct(e["context_end"], e["target_end"], F.substring(p, F.lit(len(head) + 1), F.char_length(p)).alias("target")))
     return formatted.select("conv_id", F.posexplode(cut).alias("example", "e")).select("conv_id", "example", "e.context_end", "e.target_end", "e.target")
 
 
@@ -101,10 +94,13 @@ def example_texts(formatted: DataFrame) -> DataFrame:
     )
 
 
+def _pieces(stream: Column) -> Column:
+    """The turns of a stream without what ends them; what follows the last one is empty."""
+    return F.filter(F.split(stream, r"<\|im_end\|>\n"), lambda p: p != "")
+
+
 def parsed(stream: Column) -> Column:
     """The turns of a stream, read back: an array of (role, text)."""
-    pieces = F.split(stream, r"<\|im_end\|>\n")
-    turns = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
 
     def one(p: Column) -> Column:
         body = F.substring(p, F.lit(len(START) + 1), F.char_length(p))
@@ -114,7 +110,7 @@ def parsed(stream: Column) -> Column:
             unescape(F.substring(body, cut + 1, F.char_length(body))).alias("text"),
         )
 
-    return F.transform(turns, one)
+    return F.transform(_pieces(stream), one)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -123,11 +119,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
     ``loss_text`` joins what the examples train on, in order: each stands under
     the loss mask of its own example and of no other. It comes from the rows of
     ``examples``, grouped back; they hold targets only, so that this stays
-    linear. A row of the stream itself goes with them.
+    linear. A row of the stream itself goes with them, in the same list: a
+    maximum of its own would copy the stream for every row.
     """
-    whole = formatted.select("conv_id", "stream", F.lit(None).cast("struct<example:int,target:string>").alias("e"))
-    each = examples(formatted).select("conv_id", F.lit(None).cast("string").alias("stream"), F.struct("example", unescape(F.col("target")).alias("target")).alias("e"))
-    back = whole.unionByName(each).groupBy("conv_id").agg(F.max("stream").alias("stream"), F.sort_array(F.collect_list("e")).alias("e"))
+    none = F.lit(None).cast("string")
+    whole = formatted.select("conv_id", F.struct(F.lit(-1).alias("example"), none.alias("target"), F.col("stream")).alias("e"))
+    each = examples(formatted).select("conv_id", F.struct("example", unescape(F.col("target")).alias("target"), none.alias("stream")).alias("e"))
+    back = whole.unionByName(each).groupBy("conv_id").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    back = back.select("conv_id", F.get("e", F.lit(0))["stream"].alias("stream"), F.slice("e", F.lit(2), F.size("e")).alias("e"))
     return back.select(
         "conv_id",
         parsed(F.col("stream")).alias("turns"),
