@@ -5,26 +5,32 @@ look like Latin ones and digits or signs that stand for letters replaced, so
 that disguised spellings meet their entries. The lexicon is matched by one
 Aho-Corasick automaton over folded text; an entry is a whole word or the
 beginning of one. Exception phrases are matched in the same pass, and entries
-inside one don't count. The weights found are summed, normalised by a slowly
-growing function of the length, and mapped to 0..1.
+inside one don't count. The weights found are summed, divided by a small power
+of the number of words, at every length, and mapped to 0..1. One insult decides
+a document, so the power is small; it is there because beginnings that
+look toxic turn up by chance in long texts.
 
 Lexicon and weights are learned with Spark from labelled rows, ``SAMPLE`` of
 them at most: document counts by word and label, then by word beginning over
 the vocabulary alone. Words of toxic documents that were copied often look toxic too, so in a
 second pass an entry must be the strongest sign of a few documents, or stand in
 many different contexts, which copies don't have. The lexicon has at most ``LEXICON`` entries,
-the only thing that reaches the driver.
-
-Defined results: a null or empty text scores 0; a null label is no label; an
-id with several labels counts once for each; rows that repeat an id keep their
-rows; without labels the lexicon is empty and all scores are 0; extra columns
-are ignored (``drop_toxic`` keeps them).
+the only thing that reaches the driver; a warning tells when weaker ones were left out.
+
+Defined results: a null or empty text scores 0; a label that is null or has no id is none; an
+id with several labels counts once for each, and so does each row that repeats
+a labelled id; rows that repeat an id keep their rows; ids are whole numbers,
+others count as null; a very long text is scored whole; of equally strong
+entries the lesser counts first; without labels or with an empty table the
+lexicon is empty and all scores are 0; extra columns are ignored
+(``drop_toxic`` keeps them).
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -49,14 +55,21 @@ CONTEXTS, CONTEXT_SHARE, CONTEXT_RATIO = 20, 0.2, 1000.0
 #: ... and is so many times as frequent in toxic documents as in others.
 RATIO = 14.0
 THRESHOLD = 0.3
-#: Weight of evidence at which the score reaches one half, for a text of ``LENGTH`` words or fewer.
-HALF, LENGTH = 6.0, 1000
+#: Weight of evidence at which the score reaches one half, for a text without words.
+HALF = 6.0
+#: Evidence is divided by this power of the words and one.
+POWER = 0.1
 
 #: Signs and digits that stand for letters, then look-alike letters.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i"}
 LOOKALIKES = dict(zip("абвгеікмнорстухѕјԁһԛԝαβγεικνορτυχω", "abbreikmhopctyxsjdhqwabyeikvoptyxw", strict=True))
-#: Phrases inside which an entry does not count; given folded or not.
-EXCEPTIONS = ("idiot proof", "trash can", "trash bin", "clown fish")
+#: Phrases inside which an entry does not count; given folded or not.
+EXCEPTIONS = (
+    "april fool", "booby trap", "clown fish", "crazy glue", "dumb bell", "dumb terminal", "dumb waiter", "fool proof",
+    "garbage can", "garbage collection", "garbage collector", "garbage truck", "guinea pig", "idiot light", "idiot proof",
+    "idiot savant", "killer app", "kill switch", "monkey wrench", "pathetic fallacy", "pig iron", "rat race", "snake oil",
+    "trash bag", "trash bin", "trash can", "trash collection", "trash talk", "weed whacker", "white trash can", "witch hunt",
+)
 
 
 class _Fold(dict):
@@ -103,7 +116,7 @@ def _doc_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame, limit: int = LEXICON, sample: int = SAMPLE) -> list[tuple[str, bool, float]]:
     """The lexicon: (entry, whole word?, weight), learned from labelled rows that are not held out."""
-    known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("text").cast("string").alias("text"), "toxic")
     totals = known.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
@@ -133,10 +146,13 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LEXICON, sample: int
         .withColumn("rate", rate)
         .where((F.col("t") >= SUPPORT) & (F.col("rate") >= RATIO))
         .orderBy(F.desc(F.col("t") * F.log("rate")), "entry", "whole")
-        .limit(limit)
+        .limit(limit + 1)
     )
     # Bounded by ``limit``.
     tried = [(r["entry"], r["whole"], math.log(r["rate"]), r["t"] * math.log(r["rate"])) for r in best.toLocalIterator()]
+    if len(tried) > limit:
+        warnings.warn(f"the lexicon is held to its {limit} strongest entries", stacklevel=2)
+        del tried[limit:]
     if not tried:
         return []
     pure = {i for i, (_, _, weight, _) in enumerate(tried) if weight >= math.log(CONTEXT_RATIO)}
@@ -225,7 +241,7 @@ class Matcher:
         if not hits:
             return 0.0, 0
         n_words = folded.count(" ") - 1
-        x = weight / math.log2(2 + max(0, n_words - LENGTH) / LENGTH)
+        x = weight / (1 + n_words) ** POWER
         return x / (x + HALF), hits
 
 
