@@ -263,3 +263,49 @@ def test_coco(spark, tmp_path):
     assert len(person) == 1 and person[0].annotation_id == 1 and person[0].center == [19.5, 19.5] and person[0].joints[0] == [10.0, 20.0]
     assert [v[0] for v in person[0].visibility][:2] == [1.0, 0.0] and person[0].scale[1] == pytest.approx(19 / 0.75 / 200 * 1.25)
     assert table.select(F.size("images")).first()[0] == 2
+
+
+def test_checksum_of_long_data():
+    r = np.random.default_rng(4)
+    for n in (0, 3, 255, 256, 257, 4097, 30_001):
+        data = r.bytes(n)
+        crc = 0xFFFFFFFF
+        for b in data:
+            crc ^= b
+            for _ in range(8):
+                crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
+        assert records.crc32c(data) == crc ^ 0xFFFFFFFF
+
+
+def test_lmdb_of_many_and_large_values(spark, tmp_path):
+    items = {f"key-{i:06d}": bytes([i % 251]) * (i % 1500 if i % 97 else 9000) for i in range(3000)}
+    rows = spark.createDataFrame([(k, v) for k, v in items.items()], "name string, value binary").repartition(2)
+    rows.write.format("lmdb").option("maxFileBytes", "400000").mode("append").save(str(tmp_path / "db"))
+    table = spark.read.format("lmdb").load(str(tmp_path / "db"))
+    found = table.collect()
+    assert len(found) == len(items) and {r.name: bytes(r.value) for r in found} == items
+    assert len(list((tmp_path / "db").glob("*/data.mdb"))) > 2 and not list((tmp_path / "db").glob("_write-*"))
+    alone = spark.read.format("lmdb").load(str(next((tmp_path / "db").glob("*/data.mdb")))).collect()
+    assert [r.name for r in alone] == sorted(r.name for r in alone)
+
+
+def test_recordio_parts_the_magic_number(spark, tmp_path):
+    mark = struct.pack("<I", records.RecordIOReader.MAGIC)
+    contents = [mark, b"abcd" + mark * 3, b"a" + mark, mark + b"xyz", b""]
+    frame = spark.createDataFrame([(i, 7, c) for i, c in enumerate(contents)], "image_id long, label int, content binary")
+    frame.write.format("recordio").mode("append").save(str(tmp_path / "r"))
+    assert {r.image_id: bytes(r.content) for r in spark.read.format("recordio").load(str(tmp_path / "r")).collect()} == dict(enumerate(contents))
+
+
+def test_written_files_replace_append_and_leave_nothing_behind(spark, tmp_path):
+    path = str(tmp_path / "f")
+    frame = lambda *names: spark.createDataFrame([(n, n.encode()) for n in names], "path string, content binary")
+    frame("a/x.bin", "b.bin").write.format("files").mode("append").save(path)
+    frame("c.bin").write.format("files").mode("append").save(path)
+    held = lambda: {str(p.relative_to(path)) for p in (tmp_path / "f").rglob("*") if p.is_file()}
+    assert held() == {"a/x.bin", "b.bin", "c.bin"}
+    with pytest.raises(Exception, match="not a name below"):
+        frame("ok.bin", "../out.bin").write.format("files").mode("append").save(path)
+    assert held() == {"a/x.bin", "b.bin", "c.bin"}
+    frame("d.bin").write.format("files").mode("overwrite").save(path)
+    assert held() == {"d.bin"}

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tilewright.operators.labels import basename, folder_labels
 
@@ -67,6 +68,12 @@ def parse_npy(data: bytes) -> tuple[str, list[int], np.ndarray]:
     return head["descr"], list(shaped.shape), shaped.ravel(order="C")
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def raw_values(content: pd.Series) -> pd.Series:
+    """8-bit values of raw samples."""
+    return pd.Series([None if c is None else np.frombuffer(c, np.uint8).astype(np.int32) for c in content], dtype=object)
+
+
 def npy_files(spark: SparkSession, path: str) -> DataFrame:
     """(name, dtype, shape, values)."""
 

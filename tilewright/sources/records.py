@@ -3,6 +3,7 @@
 Each archive file is a partition, read as a stream of records; an LMDB file is
 divided by the children of its root page. Formats: ``tfrecord``,
 ``recordio``, ``webdataset`` and ``lmdb``; ``register`` makes them known.
+``sinks`` writes them.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import tarfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,11 +72,30 @@ def _exactly(stream, n: int, what: str) -> bytes:
     return data
 
 
+_LANE = 64
+
+
 def crc32c(data: bytes) -> int:
-    crc = 0xFFFFFFFF
-    for b in data:
-        crc = _CRC[(crc ^ b) & 0xFF] ^ crc >> 8
-    return crc ^ 0xFFFFFFFF
+    """CRC-32C. Long data are cut into lanes whose remainders are found side by side and then joined."""
+    if len(data) < 4 * _LANE:
+        crc = 0xFFFFFFFF
+        for b in data:
+            crc = _CRC[(crc ^ b) & 0xFF] ^ crc >> 8
+        return crc ^ 0xFFFFFFFF
+    # Zeros in front don't change a remainder that starts at 0; inverting the first four bytes starts it at ~0.
+    x = np.zeros(-(-len(data) // _LANE) * _LANE, np.uint8)
+    start = len(x) - len(data)
+    x[start:] = np.frombuffer(data, np.uint8)
+    x[start : start + 4] ^= 0xFF
+    lanes = np.ascontiguousarray(x.reshape(-1, _LANE).T)
+    crc = np.zeros(lanes.shape[1], np.uint32)
+    for column in lanes:
+        crc = _CRC_ARRAY[(crc ^ column) & 0xFF] ^ crc >> 8
+    a, b, c, d = _AHEAD
+    out = 0
+    for own in crc.tolist():
+        out = a[out & 0xFF] ^ b[out >> 8 & 0xFF] ^ c[out >> 16 & 0xFF] ^ d[out >> 24] ^ own
+    return out ^ 0xFFFFFFFF
 
 
 def _crc_table() -> list[int]:
@@ -87,6 +108,18 @@ def _crc_table() -> list[int]:
 
 
 _CRC = _crc_table()
+_CRC_ARRAY = np.asarray(_CRC, np.uint32)
+
+
+def _ahead() -> list[list[int]]:
+    """For each byte of a remainder what it becomes after a lane of zeros; the map is linear."""
+    crc = np.arange(256, dtype=np.uint32)[None, :] << np.arange(0, 32, 8, dtype=np.uint32)[:, None]
+    for _ in range(_LANE):
+        crc = _CRC_ARRAY[crc & 0xFF] ^ crc >> 8
+    return crc.tolist()
+
+
+_AHEAD = _ahead()
 
 
 def masked_crc(data: bytes) -> int:
@@ -235,7 +268,7 @@ def _random_access(path: str):
     return system.open_input_file(inner)
 
 
-def _source(label: str, columns: str, kind: type[FileReader]) -> type[DataSource]:
+def _source(label: str, columns: str, kind: type[FileReader] | None) -> type[DataSource]:
     class Source(DataSource):
         @classmethod
         def name(cls) -> str:
@@ -245,8 +278,15 @@ def _source(label: str, columns: str, kind: type[FileReader]) -> type[DataSource
             return columns
 
         def reader(self, schema):
+            if kind is None:
+                raise ValueError(f"{label} is written and not read")
             return kind(self.options)
 
+        def writer(self, schema, overwrite: bool):
+            from tilewright.sources.sinks import WRITERS
+
+            return WRITERS[label](self.options, schema, overwrite)
+
     return Source
 
 
@@ -255,6 +295,8 @@ SOURCES = {
     "recordio": ("name string, label int, image_id long, image_id2 long, content binary", RecordIOReader),
     "webdataset": ("file string, key string, components map<string,binary>", WebDatasetReader),
     "lmdb": ("name string, value binary", LmdbReader),
+    "fixed": ("content binary", None),
+    "files": ("path string, content binary", None),
 }
 
 

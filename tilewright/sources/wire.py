@@ -122,3 +122,56 @@ def tensors(data: bytes) -> list[dict]:
                 t["strings"].append(v)
         out.append(t)
     return out
+
+
+# --- writing ---
+
+
+def varint_bytes(value: int) -> bytes:
+    value &= (1 << 64) - 1
+    out = bytearray()
+    while value > 127:
+        out.append(value & 127 | 128)
+        value >>= 7
+    return bytes([*out, value])
+
+
+def message(*parts: tuple[int, object]) -> bytes:
+    """Fields in order: bytes are length-delimited, floats take four bytes, integers are varints."""
+    out = bytearray()
+    for number, value in parts:
+        if isinstance(value, bytes):
+            out += varint_bytes(number << 3 | 2) + varint_bytes(len(value)) + value
+        elif isinstance(value, float):
+            out += varint_bytes(number << 3 | 5) + struct.pack("<f", value)
+        else:
+            out += varint_bytes(number << 3) + varint_bytes(int(value))
+    return bytes(out)
+
+
+def example_bytes(binary: dict, decimals: dict, whole: dict) -> bytes:
+    """A tf.Example of byte, float and integer features."""
+    features = []
+    for name, values in sorted((binary or {}).items()):
+        features.append((name, message((1, message(*((1, bytes(v)) for v in values))))))
+    for name, values in sorted((decimals or {}).items()):
+        features.append((name, message((2, message((1, struct.pack(f"<{len(values)}f", *values)))))))
+    for name, values in sorted((whole or {}).items()):
+        features.append((name, message((3, message((1, b"".join(map(varint_bytes, values))))))))
+    return message((1, message(*((1, message((1, name.encode()), (2, f))) for name, f in features))))
+
+
+def datum_bytes(label: int, content: bytes, boxes: list | None = None, labels: list | None = None) -> bytes:
+    """A Caffe Datum, or an AnnotatedDatum around one if ``boxes`` (x, y, width, height) are given."""
+    datum = message((4, content), (5, label))
+    if boxes is None:
+        return datum
+    groups = [(3, message((1, own), (2, message((1, 0), (2, message(*enumerate(map(float, box), 1), (5, own))))))) for box, own in zip(boxes, labels)]
+    return message((1, datum), (2, 0), *groups)
+
+
+def tensors_bytes(labels: list[int], content: bytes, boxes: list | None = None) -> bytes:
+    """Caffe2 tensors of an image, its labels and, in the dimensions of a third, its boxes (x, y, width, height)."""
+    dims = lambda values: tuple((1, int(v)) for v in values)
+    third = [(1, message(*dims(v for box in boxes for v in box)))] if boxes is not None else []
+    return message((1, message((1, 1), (2, 4), (6, content))), (1, message((1, len(labels)), (2, 2), *((4, n) for n in labels))), *third)
