@@ -184,3 +184,53 @@ def test_stream_equals_table(spark, tmp_path):
     q = external.label_counts(external.stream(spark, path)).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("counts").collect()} == {(0, 7), (1, 7), (2, 6)}
+
+
+def test_shards_are_exact_at_any_size(spark):
+    n, shards = 10**13 + 37, 65_537
+    starts = [n * k // shards for k in (0, 1, 2, 777, 40_000, shards - 1)]
+    places = spark.createDataFrame([(s + o,) for s in starts for o in (-1, 0, 1) if 0 <= s + o < n] + [(n - 1,)], "pos long")
+    for r in sharding.assign_shards(places, n, shards).collect():
+        k = next(k for k in (r.shard - 1, r.shard, r.shard + 1) if n * k // shards <= r.pos < n * (k + 1) // shards)
+        assert r.shard == k and r.shard_pos == r.pos - n * k // shards
+
+
+def test_shards_of_a_given_size(spark):
+    got = sharding.shards_of_size(sharding.positions(spark.range(10), "id"), 4).orderBy("pos").collect()
+    assert [(r.shard, r.shard_pos) for r in got] == [(i // 4, i % 4) for i in range(10)]
+
+
+@pytest.mark.parametrize(("n", "shards", "batch"), [(10, 3, 4), (7, 2, 4), (3, 3, 5), (11, 4, 2), (5, 2, 12)])
+def test_fill_goes_on_into_the_next_shard(spark, n, shards, batch):
+    placed = sharding.positions(spark.range(n), "id")
+    for epoch in (0, 1):
+        got = {}
+        for r in sharding.fill_from_next(placed, n, shards, batch, epoch).collect():
+            got.setdefault(r.shard, []).append((r.shard_pos, r.id, r.is_pad))
+        for k in range(shards):
+            source = (k + epoch) % shards
+            first, end = n * source // shards, n * (source + 1) // shards
+            full = -(-(end - first) // batch) * batch
+            want = [(i, (first + i) % n, first + i >= end) for i in range(full)]
+            assert sorted(got.get(k, [])) == want
+
+
+def test_lookup_never_multiplies(spark):
+    samples = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "name string, x int")
+    table = spark.createDataFrame([("a", 5, 2), ("a", 9, 1), ("b", 7, 1)], "name string, label int, line int")
+    got = sorted(tuple(r) for r in labels.lookup(samples, table, "name", "line").select("name", "x", "label").collect())
+    assert got == [("a", 1, 9), ("a", 3, 9), ("b", 2, 7)]
+    assert labels.lookup(samples, table, "name").count() == 3
+    with pytest.raises(Exception, match="no label for"):
+        labels.lookup(samples, table.where("name = 'a'"), "name").collect()
+
+
+def test_storage_asks_a_cluster_for_its_folder(spark):
+    from types import SimpleNamespace
+
+    from tilewright import storage
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(far)

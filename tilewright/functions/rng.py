@@ -1,7 +1,8 @@
 """Random values as pure functions of (seed, operator, epoch, sample, draw).
 
 The same arguments give the same value on any partitioning and after any
-retry, which session-level generators do not promise.
+retry, which session-level generators do not promise. Bits come from MD5 over
+the arguments as text, so that any engine can tell the same values.
 """
 
 from __future__ import annotations
@@ -11,14 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BITS = 1 << 53
+#: Hexadecimal digits of the digest that are used; they fit a double exactly.
+_DIGITS = 13
 
 
 def uniform(seed: int, name: str, key: Column, epoch: int | Column = 0, draw: int | Column = 0) -> Column:
     """A double in [0, 1)."""
-    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    h = F.xxhash64(F.lit(seed), F.lit(name), as_column(epoch), key, as_column(draw))
-    return F.pmod(h, F.lit(_BITS)) / F.lit(float(_BITS))
+    as_text = lambda x: F.coalesce((x if isinstance(x, Column) else F.lit(x)).cast("string"), F.lit("null"))
+    digest = F.md5(F.concat_ws(":", as_text(seed), as_text(name), as_text(epoch), as_text(key), as_text(draw)).cast("binary"))
+    return F.conv(F.substring(digest, 1, _DIGITS), 16, 10).cast("long") / F.lit(float(1 << 4 * _DIGITS))
 
 
 def uniform_range(u: Column, low: float, high: float) -> Column:

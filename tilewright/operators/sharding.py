@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.functions import rng
 from tilewright.storage import written
 
 
@@ -30,16 +31,25 @@ def positions(df: DataFrame, *order: str | Column, partitions: int | None = None
 
 def shuffled_positions(df: DataFrame, key: str, seed: int, epoch: int = 0) -> DataFrame:
     """``df`` with ``pos`` in an order that depends on seed, epoch and key alone."""
-    return positions(df, F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)), key)
+    return positions(df, rng.uniform(seed, "shuffle", F.col(key), epoch), key)
+
+
+def _whole(a: Column, b: Column) -> Column:
+    """Floor of a / b for longs that are not negative; products may pass 64 bits, so they are decimals."""
+    return F.call_function("div", a, b)
+
+
+def _wide(x) -> Column:
+    return (x if isinstance(x, Column) else F.lit(x)).cast("decimal(19,0)")
 
 
 def shard_of(pos: Column, n: int, shards: int) -> Column:
     """The shard k with floor(n k / K) <= pos < floor(n (k + 1) / K)."""
-    return F.floor(((pos + 1) * shards - 1) / F.lit(n)).cast("int")
+    return _whole(_wide(pos + 1) * _wide(shards) - 1, _wide(n)).cast("int")
 
 
 def shard_start(shard: Column, n: int, shards: int) -> Column:
-    return F.floor(shard * F.lit(n) / shards).cast("long")
+    return _whole(_wide(shard) * _wide(n), _wide(shards)).cast("long")
 
 
 def shard_size(shard: Column, n: int, shards: int) -> Column:
@@ -56,7 +66,14 @@ def assign_shards(placed: DataFrame, n: int, shards: int, epoch: int = 0, rotate
 
 def batches(sharded: DataFrame, batch: int) -> DataFrame:
     """Adds ``batch_id`` within the shard and ``slot`` within the batch."""
-    return sharded.withColumns({"batch_id": F.floor(F.col("shard_pos") / batch), "slot": (F.col("shard_pos") % batch).cast("int")})
+    return sharded.withColumns({"batch_id": _whole(F.col("shard_pos"), F.lit(batch).cast("long")), "slot": (F.col("shard_pos") % batch).cast("int")})
+
+
+def shards_of_size(placed: DataFrame, size: int) -> DataFrame:
+    """As ``assign_shards`` with an explicit size: every shard holds ``size`` samples but the last, which holds the rest."""
+    if size < 1:
+        raise ValueError("a shard holds a sample at least")
+    return placed.withColumns({"shard": _whole(F.col("pos"), F.lit(size).cast("long")).cast("int"), "shard_pos": F.col("pos") % size})
 
 
 def pad_counts(n: int, shards: int, batch: int) -> list[int]:
@@ -100,6 +117,27 @@ def last_batch(sharded: DataFrame, n: int, shards: int, batch: int, policy: str
     )
 
 
+def fill_from_next(placed: DataFrame, n: int, shards: int, batch: int, epoch: int = 0) -> DataFrame:
+    """Shards whose last batch is filled with the first samples of the next shard (``is_pad``), the last shard's with those of the first.
+
+    Each epoch a shard number takes the samples of the next shard, so that a
+    filled sample is met again as the reader's own one epoch later. A shard
+    smaller than what is missing is taken whole and then the one after it.
+    """
+    base = shard_of(F.col("pos"), n, shards)
+    own = placed.withColumns({"_s": base, "is_pad": F.lit(False)}).withColumn("shard_pos", F.col("pos") - shard_start(F.col("_s"), n, shards))
+    ends = [n * (k + 1) // shards for k in range(shards)]
+    missing = [-(ends[k] - (ends[k - 1] if k else 0)) % batch if ends[k] > (ends[k - 1] if k else 0) else 0 for k in range(shards)]
+    # A place in the global order, counted on past the end, lies in the filling of few shards: at most one for each lap of the whole.
+    plan = F.array(*(F.struct(F.lit(k).alias("shard"), F.lit(e).cast("long").alias("end"), F.lit(m).cast("long").alias("missing")) for k, (e, m) in enumerate(zip(ends, missing))))
+    steps = lambda f: F.when(f["missing"] > 0, F.filter(F.sequence(F.pmod(F.col("pos") - f["end"], F.lit(n)), F.greatest(F.pmod(F.col("pos") - f["end"], F.lit(n)), f["missing"] - 1), F.lit(n).cast("long")), lambda i: i < f["missing"])).otherwise(F.expr("cast(array() as array<bigint>)"))
+    taken = F.flatten(F.transform(plan, lambda f: F.transform(steps(f), lambda i: F.struct(f["shard"].alias("shard"), i.alias("step")))))
+    sizes = F.array(*(F.lit(e - (ends[k - 1] if k else 0)).cast("long") for k, e in enumerate(ends)))
+    pads = placed.withColumn("_f", F.explode(taken)).withColumns({"_s": F.col("_f.shard"), "is_pad": F.lit(True), "shard_pos": F.get(sizes, F.col("_f.shard")) + F.col("_f.step")}).drop("_f")
+    number = F.pmod(F.col("_s") - epoch, F.lit(shards)).cast("int")
+    return own.unionByName(pads).withColumn("shard", number).drop("_s")
+
+
 def last_batch_padded_size(size: int, batch: int) -> int:
     return (batch - size % batch) % batch
 
@@ -118,7 +156,7 @@ def aspect_groups(df: DataFrame, width: Column, height: Column, key: str, batch:
     """
     ratio = height / width
     wide = (ratio <= 1).cast("int")
-    by = F.xxhash64(F.lit(seed), F.col(key)) if seed is not None else ratio
+    by = rng.uniform(seed, "shuffle", F.col(key)) if seed is not None else ratio
     placed = positions(df.withColumns({"wide": wide, "_by": by}), F.desc("wide"), "_by", key)
     n_wide = placed.agg(F.coalesce(F.sum("wide"), F.lit(0))).first()[0]
     place = F.when(F.col("wide") == 1, F.col("pos")).otherwise(F.col("pos") - n_wide)

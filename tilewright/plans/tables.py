@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import rng
 from tilewright.functions import tensor as T
 from tilewright.operators import augment, labels, random_crops, sequences, sharding, spectral
-from tilewright.plans.vectors import boxed, long_form, vectors
+from tilewright.plans.vectors import _BOXED, _DOUBLES, _PIXELS, boxed, long_form, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,13 +95,41 @@ def epoch_rotate(spark, d):
     return _sharded(spark, d, 1, True)[0].select("vec_id", "shard", "shard_pos")
 
 
-@query()
+def _u(name: str, key: str, draw: str = "0") -> str:
+    """``rng.uniform`` of seed 42 in SQL."""
+    return f"(('0x' || substr(md5('42:{name}:0:' || {key} || ':' || {draw}), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+@query(f"""
+    WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY {_u('shuffle', 'vec_id')}, vec_id) - 1 AS pos FROM embeddings)
+    SELECT vec_id, pos // 32 AS batch_id, CAST(pos % 32 AS INT) AS slot FROM p""")
 def shuffled_batches(spark, d):
-    """A seeded order of all vectors, in batches; Spark's own hash gives the order."""
+    """A seeded order of all vectors, in batches."""
     placed = sharding.shuffled_positions(table(spark, d, "embeddings").select("vec_id"), "vec_id", 42)
     return placed.select("vec_id", F.floor(F.col("pos") / 32).alias("batch_id"), (F.col("pos") % 32).cast("int").alias("slot"))
 
 
+@query(f"""
+    WITH {_SHARDED}
+    SELECT vec_id, CAST(pos // 150 AS INT) AS shard, pos % 150 AS shard_pos FROM t JOIN p USING (vec_id)""")
+def explicit_shard_size(spark, d):
+    """Shards of 150 samples."""
+    placed = sharding.positions(table(spark, d, "embeddings").select("vec_id"), "vec_id")
+    return sharding.shards_of_size(placed, 150).select("vec_id", "shard", "shard_pos")
+
+
+@query(f"""
+    WITH {_SHARDED},
+    k AS (SELECT shard, size, first + size AS end_, n FROM (SELECT DISTINCT shard, size, first, n FROM z)),
+    f AS (SELECT shard, size + i AS shard_pos, (end_ + i) % n AS pos FROM k, range(0, 48) r(i) WHERE i < (48 - size % 48) % 48)
+    SELECT vec_id, shard, shard_pos, false AS is_pad FROM t
+    UNION ALL SELECT vec_id, shard, shard_pos, true FROM f JOIN p USING (pos)""")
+def last_batch_fill_next(spark, d):
+    """Four shards whose last batch of 48 goes on into the next shard."""
+    e = table(spark, d, "embeddings").select("vec_id")
+    return sharding.fill_from_next(sharding.positions(e, "vec_id"), e.count(), 4, 48).select("vec_id", "shard", "shard_pos", "is_pad")
+
+
 @query("""
     WITH g AS (SELECT page_id, length(html) AS h, length(url) * 40 AS w FROM pages),
     r AS (SELECT page_id, CAST(h * 1.0 / w <= 1 AS INT) AS wide, h::DOUBLE / w AS ratio FROM g),
@@ -243,32 +272,75 @@ def preemphasis_events(spark, d):
     return table(spark, d, "events").select("event_id", F.round(F.col("value") - 0.97 * F.coalesce(before, F.col("value")), 6).alias("value"))
 
 
-# --- random parameters and rejection sampling: Spark's hash has no counterpart in the oracle ---
+# --- random parameters and rejection sampling ---
 
+_P = lambda k: _u("parameters", "vec_id", str(k))
 
-@query()
+
+@query(f"""
+    SELECT vec_id, {_P(0)} * (1.95 - 0.1)::DOUBLE + 0.1::DOUBLE AS alpha, CAST(floor({_P(1)} * 199) - 99 AS INT) AS adjustment,
+        round(sqrt(-2 * ln(1 - {_P(2)})) * cos(2 * pi() * {_P(3)}) * 2.0 + 1.0, 9) AS normal, CAST({_P(4)} < 0.3 AS INT) AS mirror,
+        CASE WHEN {_P(5)} < 0.5 THEN 1 WHEN {_P(5)} < 0.8 THEN 2 ELSE 5 END AS choice
+    FROM embeddings""")
 def random_parameters(spark, d):
     """Uniform, integer, normal, coin and discrete draws for each sample."""
     e = table(spark, d, "embeddings").select("vec_id")
     u = lambda k: rng.uniform(42, "parameters", F.col("vec_id"), 0, k)
     return e.select(
         "vec_id", rng.uniform_range(u(0), 0.1, 1.95).alias("alpha"), rng.uniform_int(u(1), -99, 99).alias("adjustment"),
-        rng.normal(u(2), u(3), 1.0, 2.0).alias("normal"), rng.coin(u(4), 0.3).alias("mirror"), rng.discrete(u(5), [1, 2, 5], [0.5, 0.3, 0.2]).alias("choice"),
+        F.round(rng.normal(u(2), u(3), 1.0, 2.0), 9).alias("normal"), rng.coin(u(4), 0.3).alias("mirror"), rng.discrete(u(5), [1, 2, 5], [0.5, 0.3, 0.2]).alias("choice"),
     )
 
 
-@query()
+_C = lambda name: _u(f"crop{name}", "vec_id", "i")
+
+
+@query(f"""
+    WITH d AS (SELECT vec_id, i, ({_C('area')} * (0.99 - 0.08)::DOUBLE + 0.08::DOUBLE) * 3072 AS target, {_C('aspect')} * (1.333 - 0.75)::DOUBLE + 0.75::DOUBLE AS ratio, {_C('x')} AS ux, {_C('y')} AS uy FROM embeddings, range(0, 20) r(i)),
+    w AS (SELECT *, CAST(floor(sqrt(target * ratio)) AS INT) AS w, CAST(floor(sqrt(target / ratio)) AS INT) AS h FROM d),
+    f AS (SELECT vec_id, arg_min({{'x': CAST(floor(ux * (64 - w)) AS INT), 'y': CAST(floor(uy * (48 - h)) AS INT), 'w': w, 'h': h}}, i) AS c FROM w WHERE w BETWEEN 1 AND 63 AND h BETWEEN 1 AND 47 GROUP BY vec_id)
+    SELECT vec_id, coalesce(c.x, 0) AS x, coalesce(c.y, 0) AS y, coalesce(c.w, 63) AS w, coalesce(c.h, 48) AS h FROM embeddings LEFT JOIN f USING (vec_id)""")
 def random_crop_window(spark, d):
     e = table(spark, d, "embeddings").select("vec_id")
     return random_crops.random_windows(e, "vec_id", 64, 48, seed=42)
 
 
-@query()
+_B = lambda name: _u(f"box{name}", "vec_id", "i")
+
+
+@query(f"""
+    WITH {_BOXED},
+    o AS (SELECT vec_id, CAST(floor({_u('option', 'vec_id')} * 7) AS INT) AS option FROM embeddings),
+    s AS (SELECT vec_id, i, {_B('w')} * 70 + 30 AS w, {_B('h')} * 70 + 30 AS h, {_B('x')} AS ux, {_B('y')} AS uy FROM embeddings, range(0, 20) r(i)),
+    c AS (SELECT vec_id, i, ux * (100 - w) AS cl, uy * (100 - h) AS ct, ux * (100 - w) + w AS cr, uy * (100 - h) + h AS cb FROM s),
+    m AS (SELECT c.*, greatest(0, least(r, cr) - greatest(l, cl)) * greatest(0, least(b, cb) - greatest(t, ct)) AS inter, (r - l) * (b - t) + (cr - cl) * (cb - ct) AS area,
+        (l + r) / 2 > cl AND (l + r) / 2 < cr AND (t + b) / 2 > ct AND (t + b) / 2 < cb AS inside FROM c JOIN bx USING (vec_id)),
+    k AS (SELECT vec_id, i, cl, ct, cr, cb, max(inter / (area - inter)) AS best, bool_or(inside) AS inside FROM m GROUP BY ALL),
+    f AS (SELECT vec_id, arg_min({{'l': cl, 't': ct, 'r': cr, 'b': cb}}, i) AS c FROM k JOIN o USING (vec_id)
+        WHERE inside AND (cr - cl) / (cb - ct) BETWEEN 0.5 AND 2 AND best >= CASE WHEN option = 5 THEN -1 ELSE [0.1, 0.3, 0.5, 0.7, 0.9][option + 1] END AND option < 6 GROUP BY vec_id)
+    SELECT vec_id, round(coalesce(c.l, 0), 6) AS l, round(coalesce(c.t, 0), 6) AS t, round(coalesce(c.r, 100), 6) AS r, round(coalesce(c.b, 100), 6) AS b FROM embeddings LEFT JOIN f USING (vec_id)""")
 def random_bbox_crop(spark, d):
-    return random_crops.bbox_crop_windows(boxed(spark, d), "vec_id", 100, 100, seed=42)
+    found = random_crops.bbox_crop_windows(boxed(spark, d), "vec_id", 100, 100, seed=42)
+    return found.select("vec_id", *(F.round(c, 6).alias(c) for c in "ltrb"))
+
+
+def _gathered(sy: str, sx: str, inside: str = "TRUE", before: str = "") -> str:
+    """Bilinear values of 8 x 8 pixels at source places given in terms of x and y; 0 outside."""
+    return f"""
+        WITH g AS (SELECT vec_id, v, i, i // 8 AS y, i % 8 AS x FROM (SELECT vec_id, {_PIXELS} AS v, unnest(range(0, 64)) AS i FROM embeddings)),
+        q AS (SELECT * {before} FROM g),
+        s AS (SELECT vec_id, v, i, {sy} AS sy, {sx} AS sx, {inside} AS inside FROM q),
+        c AS (SELECT *, inside AND sy BETWEEN -0.5 AND 7.5 AND sx BETWEEN -0.5 AND 7.5 AS hit, greatest(0.0, least(7.0, sy)) AS yc, greatest(0.0, least(7.0, sx)) AS xc FROM s),
+        f AS (SELECT *, CAST(floor(yc) AS BIGINT) AS y0, CAST(floor(xc) AS BIGINT) AS x0, yc - floor(yc) AS fy, xc - floor(xc) AS fx FROM c)
+        SELECT vec_id, CAST(i AS INT) AS idx, round(CASE WHEN hit THEN
+            (v[y0 * 8 + x0 + 1] * (1 - fx) + v[y0 * 8 + least(7, x0 + 1) + 1] * fx) * (1 - fy)
+            + (v[least(7, y0 + 1) * 8 + x0 + 1] * (1 - fx) + v[least(7, y0 + 1) * 8 + least(7, x0 + 1) + 1] * fx) * fy ELSE 0 END, 4) + 0.0::DOUBLE AS value FROM f"""
 
 
-def _effect(name: str, chain: list, digits: int = 4) -> None:
+def _effect(name: str, chain: list, digits: int = 4, sql: str | None = None) -> None:
+    if sql:
+        ORACLES[name] = sql
+
     def run(spark, d):
         out = augment.apply(vectors(spark, d, True).select("vec_id", "v"), "vec_id", "v", (8, 8, 1), chain, seed=42)
         return long_form(out, F.col("v"), digits)
@@ -277,10 +349,12 @@ def _effect(name: str, chain: list, digits: int = 4) -> None:
     QUERIES[name] = run
 
 
-_effect("rotate_image", [("rotate", {"degrees": 30.0})])
-_effect("warp_affine", [("warp_affine", {"matrix": (0.9, 0.1, -0.1, 0.9, 0.5, -0.5)})])
-_effect("fish_eye", [("fish_eye", {})])
-_effect("lens_correction", [("lens_correction", {"k1": -0.1, "k2": 0.01})])
+_effect("rotate_image", [("rotate", {"degrees": 30.0})], sql=_gathered("-sin(pi() / 6) * (x - 3.5) + cos(pi() / 6) * (y - 3.5) + 3.5", "cos(pi() / 6) * (x - 3.5) + sin(pi() / 6) * (y - 3.5) + 3.5"))
+_effect("warp_affine", [("warp_affine", {"matrix": (0.9, 0.1, -0.1, 0.9, 0.5, -0.5)})], sql=_gathered("-0.1 * (x - 3.5) + 0.9 * (y - 3.5) - 0.5 + 3.5", "0.9 * (x - 3.5) + 0.1 * (y - 3.5) + 0.5 + 3.5"))
+_R = "sqrt(pow(2 * x / 7.0 - 1, 2) + pow(2 * y / 7.0 - 1, 2))"
+_effect("fish_eye", [("fish_eye", {})], sql=_gathered("((2 * y / 7.0 - 1) * k + 1) / 2 * 7", "((2 * x / 7.0 - 1) * k + 1) / 2 * 7", "r <= 1", f", {_R} AS r, CASE WHEN {_R} > 0 THEN ({_R} + 1 - sqrt(greatest(0, 1 - {_R} * {_R}))) / 2 / {_R} ELSE 1 END AS k"))
+_RADIAL = "(1 - 0.1 * r2 + 0.01 * r2 * r2)"
+_effect("lens_correction", [("lens_correction", {"k1": -0.1, "k2": 0.01})], sql=_gathered(f"(y - 3.5) * {_RADIAL} + 3.5", f"(x - 3.5) * {_RADIAL} + 3.5", before=", (pow(x - 3.5, 2) + pow(y - 3.5, 2)) / 64.0 AS r2"))
 _effect("jitter", [("jitter", {"kernel": 3})])
 _effect("salt_and_pepper", [("salt_and_pepper", {"probability": 0.2, "salt": 0.6})])
 _effect("snow", [("snow", {"amount": 0.3})])
@@ -295,14 +369,30 @@ def _colours(spark, d):
     return e.select("vec_id", F.concat("v", F.slice("v", 1, 2)).alias("v"))
 
 
-@query()
+def _hsv(value: str, saturated: str, degrees: float, last: str = "c", order: str = "i // 3") -> str:
+    """Pixels of three channels through hue and saturation; ``value`` changes a channel x before."""
+    n = "(n_ + h_ / 60) % 6"
+    return f"""
+        WITH e AS (SELECT vec_id, {_PIXELS} AS v FROM embeddings),
+        w AS (SELECT vec_id, list_transform(list_concat(v, v[1:2]), lambda x: {value}) AS v FROM e),
+        p AS (SELECT vec_id, k, v[3 * k + 1] / 255 AS r, v[3 * k + 2] / 255 AS g, v[3 * k + 3] / 255 AS b FROM (SELECT vec_id, v, unnest(range(0, 22)) AS k FROM w)),
+        m AS (SELECT *, greatest(r, g, b) AS top, greatest(r, g, b) - least(r, g, b) AS span FROM p),
+        h AS (SELECT vec_id, k, top, CASE WHEN top > 0 THEN span / top ELSE 0 END AS s,
+            CASE WHEN span = 0 THEN 0 WHEN top = r THEN ((g - b) / span + 6) % 6 WHEN top = g THEN (b - r) / span + 2 ELSE (r - g) / span + 4 END * 60 AS h FROM m),
+        t AS (SELECT vec_id, k, top, {saturated} AS s_, (h + {degrees}) % 360 AS h_ FROM h),
+        c AS (SELECT vec_id, k, ch, n_, top, s_, h_ FROM t, (VALUES (0, 5), (1, 3), (2, 1)) q(ch, n_)),
+        o AS (SELECT vec_id, k, ch, (top - top * s_ * greatest(0, least(1, {n}, 4 - {n}))) * 255 AS c FROM c)
+        SELECT vec_id, CAST(({order}) * 3 + ch AS INT) AS idx, round({last}, 4) + 0.0::DOUBLE AS value FROM o"""
+
+
+@query(_hsv("greatest(0, least(255, x * 1.1 + 4))", "greatest(0, least(1, s * 0.8))", 30, "(c - [120, 110, 100][ch + 1]) / [60, 50, 40][ch + 1]", "k // 11 * 11 + 10 - k % 11"))
 def color_twist_hsv(spark, d):
     """64 values as a 2 x 11 image of three channels: brightness, hue and saturation, then mirrored and normalised by channel."""
     chain = [("color_twist", {"alpha": 1.1, "beta": 4.0, "degrees": 30.0, "factor": 0.8}), ("mirror", {}), ("normalize", {"mean": (120.0, 110.0, 100.0), "std": (60.0, 50.0, 40.0)})]
     return long_form(augment.apply(_colours(spark, d), "vec_id", "v", (2, 11, 3), chain, seed=42), F.col("v"), 4)
 
 
-@query()
+@query(_hsv("x", "greatest(0, least(1, s * 1.3))", 40, order="k"))
 def hue_saturation(spark, d):
     """64 values as a 2 x 11 image of three channels."""
     return long_form(augment.apply(_colours(spark, d), "vec_id", "v", (2, 11, 3), [("hue", {"degrees": 40.0}), ("saturation", {"factor": 1.3})], seed=42), F.col("v"), 4)
@@ -336,7 +426,15 @@ def spectrogram_fft_frames(spark, d):
     return long_form(_fft(spark, d), F.col("v"), 5)
 
 
-@query()
+_LOBES = 3 + math.ceil((0.007 * 50 - 0.09) * 50)
+
+
+@query(f"""
+    WITH e AS (SELECT vec_id, {_DOUBLES} AS v FROM embeddings),
+    o AS (SELECT vec_id, v, i, i * (16000 / 22050.0::DOUBLE) AS p FROM (SELECT vec_id, v, unnest(range(0, 89)) AS i FROM e)),
+    k AS (SELECT vec_id, i, v[j + 1] AS x, p - j AS d FROM (SELECT *, unnest(range(greatest(0, CAST(floor(p) AS BIGINT) - {_LOBES} + 1), least(64, CAST(floor(p) AS BIGINT) + {_LOBES} + 1))) AS j FROM o))
+    SELECT vec_id, CAST(i AS INT) AS idx, round(sum(CASE WHEN abs(d) >= {_LOBES} THEN 0 WHEN d = 0 THEN x ELSE x * sin(pi() * d) / (pi() * d) * (0.5 + 0.5 * cos(pi() * d / {_LOBES})) END), 5) + 0.0::DOUBLE AS value
+    FROM k GROUP BY vec_id, i""")
 def resample_sinc(spark, d):
     out = spectral.resample(vectors(spark, d, False).select("vec_id", "v"), "vec_id", "v", rate_in=16000, rate_out=22050)
     return long_form(out, F.col("v"), 5)

@@ -139,10 +139,14 @@ def cifar_files(spark: SparkSession, path: str, prefix: str = "data_batch_") ->
 
 
 def label_list(spark: SparkSession, path: str) -> DataFrame:
-    """(name, label) of a text file of ``name label`` lines."""
+    """(name, label) of text files of ``name label`` lines; of equal names the first file's, then the first line's counts.
+
+    A file is read whole, since its lines' order can't be told across splits.
+    """
     from tilewright.operators.labels import parse_label_lines
 
-    return parse_label_lines(spark.read.text(path)).select("name", "label")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))
+    return parse_label_lines(whole.select("value", F.struct("file", "at").alias("place")), "value", "place").select("name", "label")
 
 
 def video_list(spark: SparkSession, path: str, fps: DataFrame, by_frame: bool = True) -> DataFrame:
