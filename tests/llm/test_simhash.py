@@ -83,3 +83,13 @@ def test_documents(spark):
     assert {r.doc_id for r in S.keep_one(docs).collect()} == {3, 7, 20} | (set() if near else {9})
     assert S.keep_one(docs).columns == docs.columns
     assert S.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_document_stays_without_ids_or_with_one_id(spark):
+    long = " ".join(f"word{i}" for i in range(400))
+    near = long + " word399"
+    assert (S.fingerprint(long) ^ S.fingerprint(near)).bit_count() <= 2 and long != near
+    rows = [(None, long, "a"), (None, near, "b"), (None, long, "c"), (7, "q w e r t y", "d"), (7, "q w e r t y ", "e"), (8, "q w e r t y", "f"), (None, "q w e r t y", "g")]
+    got = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string, mark string").repartition(3)).collect()
+    groups = [{(r.doc_id, r.text) for r in got if r.text.startswith(start)} for start in ("word", "q w")]
+    assert [len(g) for g in groups] == [1, 1] and groups[1] < {(7, "q w e r t y"), (7, "q w e r t y ")}

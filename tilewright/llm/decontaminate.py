@@ -7,7 +7,9 @@ must agree on one start. What survives is compared word by word.
 
 Defined results: a null text has no words; a null or repeated ``doc_id`` keeps
 one output row for each input row; benchmark rows whose text is null or has no
-words give no window; equal items all count; extra columns are ignored.
+words give no window; equal items all count; of equally rare terms of a window
+the first is looked up; very long texts and empty tables need nothing special:
+a text's postings are rows, its hits one array; extra columns are ignored.
 Everything is built from DataFrame functions.
 """
 
@@ -22,12 +24,14 @@ from tilewright.llm.words import words
 WINDOW = 13
 #: Rarest terms of a window whose postings are intersected.
 RAREST = 2
-#: Rows up to which a table made from the benchmark is broadcast; beyond it the join shuffles.
+#: Rows and bytes up to which a table made from the benchmark is broadcast; beyond either the join shuffles.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, rows: int, longest: int = 0) -> DataFrame:
+    """``df``, to be broadcast if it holds few rows and few bytes; ``longest`` bounds the bytes of a row's strings."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and rows * (64 + longest) <= BROADCAST_BYTES else df
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -55,18 +59,18 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
     )
 
 
-def term_counts(docs: DataFrame, vocabulary: DataFrame, vocabulary_rows: int, text: str = "text") -> DataFrame:
+def term_counts(docs: DataFrame, vocabulary: DataFrame, vocabulary_rows: int, longest: int = 0, text: str = "text") -> DataFrame:
     """(term, count): how often each term of ``vocabulary`` occurs in the whole corpus."""
     terms = docs.select(F.explode(words(F.col(text))).alias("term"))
-    return terms.join(_small(vocabulary, vocabulary_rows), "term", "left_semi").groupBy("term").count()
+    return terms.join(_small(vocabulary, vocabulary_rows, longest), "term", "left_semi").groupBy("term").count()
 
 
-def rarest_terms(windows: DataFrame, counts: DataFrame, counts_rows: int, rarest: int = RAREST) -> DataFrame:
+def rarest_terms(windows: DataFrame, counts: DataFrame, counts_rows: int, longest: int = 0, rarest: int = RAREST) -> DataFrame:
     """(term, window_id, offset, rank): the ``rarest`` terms of each window; ties go to the first offset."""
     terms = windows.select("window_id", F.posexplode("terms").alias("offset", "term"))
     order = Window.partitionBy("window_id").orderBy(F.coalesce("count", F.lit(0)), "offset")
     return (
-        terms.join(_small(counts, counts_rows), "term", "left")
+        terms.join(_small(counts, counts_rows, longest), "term", "left")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= rarest)
         .select("term", "window_id", "offset", "rank", F.coalesce("count", F.lit(0)).alias("count"))
@@ -74,7 +78,7 @@ def rarest_terms(windows: DataFrame, counts: DataFrame, counts_rows: int, rarest
 
 
 def build_index(
-    docs: DataFrame, terms: DataFrame, terms_rows: int, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, terms: DataFrame, terms_rows: int, longest: int = 0, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """The stored index: (term, doc_id, text_hash, position), restricted to ``terms``.
 
@@ -82,22 +86,22 @@ def build_index(
     term's spread over many files. Repeated rows repeat their postings.
     """
     tokens = _keyed(docs, doc_id, text).select("doc_id", "text_hash", F.posexplode(words(F.col("text"))).alias("position", "term"))
-    return tokens.join(_small(terms, terms_rows), "term", "left_semi").select("term", "doc_id", "text_hash", "position")
+    return tokens.join(_small(terms, terms_rows, longest), "term", "left_semi").select("term", "doc_id", "text_hash", "position")
 
 
-def _starts(index: DataFrame, anchors: DataFrame, anchors_rows: int) -> DataFrame:
+def _starts(index: DataFrame, anchors: DataFrame, anchors_rows: int, longest: int = 0) -> DataFrame:
     """(window_id, doc_id, text_hash, offset, rank, start): postings shifted back by the term's offset."""
     return (
-        index.join(_small(anchors.select("term", "window_id", "offset", "rank"), anchors_rows), "term")
+        index.join(_small(anchors.select("term", "window_id", "offset", "rank"), anchors_rows, longest), "term")
         .select("window_id", "doc_id", "text_hash", "offset", "rank", (F.col("position") - F.col("offset")).alias("start"))
     )
 
 
-def intersect(index: DataFrame, anchors: DataFrame, anchors_rows: int) -> DataFrame:
+def intersect(index: DataFrame, anchors: DataFrame, anchors_rows: int, longest: int = 0) -> DataFrame:
     """(window_id, doc_id, text_hash, start) on which all of a window's rarest terms agree."""
     need = anchors.groupBy("window_id").agg(F.count("*").alias("need"))
     return (
-        _starts(index, anchors, anchors_rows)
+        _starts(index, anchors, anchors_rows, longest)
         .where("start >= 0")
         .groupBy("window_id", "doc_id", "text_hash", "start")
         .agg(F.bit_count(F.bit_or(F.expr("shiftleft(1, rank)"))).alias("got"))
@@ -155,34 +159,48 @@ def contamination(
     contaminated if it has hits and ``share * n_hit >= n_words``.
     """
     windows = written(item_windows(items, item_id, item_text, size), "windows")
-    n_windows = windows.count()
+    # Words may have any length, so the longest phrase counts in what is broadcast; item lists never are.
+    phrase = F.array_join("terms", " ")
+    facts = windows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.octet_length(phrase)), F.lit(0)).alias("longest")).first()
+    n_windows, longest = facts["n"], facts["longest"]
+    n_terms, n_anchors = n_windows * size, n_windows * RAREST
     vocabulary = windows.select(F.explode("terms").alias("term")).distinct()
-    counts = term_counts(docs, vocabulary, n_windows * size, text)
-    anchors = written(rarest_terms(windows, counts, n_windows * size), "anchors")
-    n_anchors = n_windows * RAREST
-    index = written(build_index(docs, anchors.select("term").distinct(), n_anchors, doc_id, text), "postings")
+    counts = term_counts(docs, vocabulary, n_terms, longest, text)
+    anchors = written(rarest_terms(windows, counts, n_terms, longest), "anchors")
+    index = written(build_index(docs, anchors.select("term").distinct(), n_anchors, longest, doc_id, text), "postings")
     candidates = (
-        intersect(index, anchors, n_anchors)
-        .join(_small(windows.select("window_id", "n", "items", F.array_join("terms", " ").alias("phrase")), n_windows), "window_id")
+        intersect(index, anchors, n_anchors, longest)
+        .join(_small(windows.select("window_id", "n", phrase.alias("phrase")), n_windows, longest), "window_id")
         .groupBy("doc_id", "text_hash")
-        .agg(F.collect_list(F.struct("start", "n", "phrase", "items")).alias("found"))
+        .agg(F.collect_list(F.struct("start", "n", "phrase", "window_id")).alias("found"))
     )
     d, c = _keyed(docs, doc_id, text).alias("d"), candidates.alias("c")
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.text_hash") == F.col("c.text_hash"))
     joined = d.join(c, same, "left").select("d.doc_id", "d.text_hash", words(F.col("d.text")).alias("w"), "found")
-    none = F.expr("array()").cast("array<struct<start:int,n:int,phrase:string,items:array<string>>>")
+    none = F.expr("array()").cast("array<struct<start:int,n:int,phrase:string,window_id:binary>>")
     hits = F.filter(
         F.coalesce("found", none),
         lambda h: F.array_join(F.slice("w", h["start"] + 1, h["n"]), " ") == h["phrase"],
     )
-    hit = joined.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), hits.alias("hits"))
-    return hit.select(
-        "doc_id",
-        "text_hash",
+    bare = F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["n"].alias("n"), h["window_id"].alias("window_id")))
+    hit = written(joined.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), bare.alias("hits")), "hits")
+    # Items by document: hits meet their windows' lists after they are verified, once for each window of a document.
+    met = hit.where(F.size("hits") > 0).select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform("hits", lambda h: h["window_id"]))).alias("window_id")).distinct()
+    own = (
+        met.join(windows.select("window_id", F.explode("items").alias("item")), "window_id")
+        .groupBy("doc_id", "text_hash")
+        .agg(F.array_sort(F.collect_set("item")).alias("items"))
+        .alias("i")
+    )
+    h = hit.alias("h")
+    matched = F.col("h.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("h.text_hash") == F.col("i.text_hash"))
+    return h.join(own, matched, "left").select(
+        "h.doc_id",
+        "h.text_hash",
         "n_words",
         _covered(F.col("hits")).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("items"),
-        F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["n"].alias("n"))))).alias("spans"),
+        F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
+        F.array_sort(F.array_distinct(F.transform("hits", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"))))).alias("spans"),
     ).select(
         "*",
         F.size("items").cast("long").alias("n_items"),

@@ -14,8 +14,8 @@ Links join leaves into components by alternating star contractions.
 Defined results: a null text or one without words has fingerprint zero and is
 linked like any other; rows that repeat an id are linked through their
 fingerprints and each keeps its row; null ids never name a component unless
-all of its ids are null; an empty table gives an empty table; extra columns
-are ignored (``keep_one`` keeps them).
+all of its ids are null; a very long text is hashed in pieces; an empty table
+gives an empty table; extra columns are ignored (``keep_one`` keeps them).
 """
 
 from __future__ import annotations
@@ -154,36 +154,35 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
-    """One row per document: doc_id, text_hash, fp, fingerprint, component_id, n_links (of its fingerprint to others)."""
+    """One row per document: doc_id, text_hash, fp, fingerprint, component_id, kept_hash, n_links (of its fingerprint to others).
+
+    ``component_id`` and ``kept_hash`` are the least (id, text hash) of the component, null ids coming last.
+    """
     fps = written(fingerprints(docs, doc_id, text), "fingerprints")
-    leaves = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "leaves")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash"))
+    leaves = written(fps.groupBy("fp").agg(least.alias("least")), "leaves")
     pairs = written(links(leaves.select("fp"), leaves.count(), budget), "links")
     degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     roots = components(pairs)
     named = leaves.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = named.groupBy("root").agg(F.min("least").alias("kept")).select("root", F.col("kept.doc_id").alias("component_id"), F.col("kept.text_hash").alias("kept_hash"))
     # Written, so that the last join has exchanges of its own and a hot fingerprint's rows can be split.
     by_fp = written(
-        named.join(ids, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named"
+        named.join(ids, "root").join(degree, "fp", "left").select("fp", "component_id", "kept_hash", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named"
     )
     return fps.join(by_fp, "fp").select(
-        "doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"
+        "doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "kept_hash", "n_links"
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document for each component, that of its least id; all columns are kept.
+    """``docs`` with one document for each component, that of its least id and then its least text hash; all columns are kept.
 
     Rows equal in id and text are one document and stay together. Rows of null
     id go if their component has an id.
     """
-    drop = (
-        near_duplicates(docs)
-        .where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select("doc_id", "text_hash")
-        .distinct()
-        .alias("b")
-    )
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    drop = near_duplicates(docs).where(~kept).select("doc_id", "text_hash").distinct().alias("b")
     d = docs.alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64(F.col("d.text")) == F.col("b.text_hash"))
     return d.join(drop, same, "left_anti")
