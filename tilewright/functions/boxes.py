@@ -115,6 +115,14 @@ def resize_mirror(boxes: Column, src_w, src_h, dst_w, dst_h, flag=0) -> Column:
     return F.when(on == 1, F.transform(sized, lambda a: mirror(a, dst_w, 1.0))).otherwise(sized)
 
 
+def resize_mirror_masks(masks: Column, src_w, src_h, dst_w, dst_h, flag=0) -> Column:
+    """Polygons of (x, y, x, y, ...) by object under the fused resize-mirror; mirrored places are one pixel less, as those of boxes."""
+    on = flag if isinstance(flag, Column) else F.lit(flag)
+    fx, fy = _num(dst_w) / _num(src_w), _num(dst_h) / _num(src_h)
+    place = lambda z, i: F.when(i % 2 == 1, z * fy).when(on == 1, _num(dst_w) - z * fx - 1.0).otherwise(z * fx)
+    return F.transform(masks, lambda polygons: F.transform(polygons, lambda p: F.transform(p, place)))
+
+
 def rotate(boxes: Column, labels: Column, w, h, dst_w, dst_h, degrees) -> Column:
     """The axis-aligned hull of each box turned about the image's centre, clipped to the output; a quarter must stay."""
     w, h, dw, dh, angle = map(_num, (w, h, dst_w, dst_h, degrees))

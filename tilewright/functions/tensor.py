@@ -8,6 +8,7 @@ says "convention".
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -219,58 +220,148 @@ def resize_dims(w: int, h: int, dest_w: int = 0, dest_h: int = 0, mode: str = "d
     return half_up(w * ratio), half_up(h * ratio)
 
 
-def resize_nearest(v: Column, h: int, w: int, oh: int, ow: int) -> Column:
-    """The pixel under the centre of each new one (convention), one channel."""
-    y = lambda i: F.least(F.lit(h - 1), F.floor((F.floor(i / ow) + 0.5) * (h / oh)))
-    x = lambda i: F.least(F.lit(w - 1), F.floor((i % ow + 0.5) * (w / ow)))
-    return F.transform(_index(oh * ow), lambda i: _at(v, y(i) * w + x(i)))
+def _place(i: Column, w: int, c: int) -> tuple[Column, Column, Column]:
+    """(row, column, channel) of a flat place in an image of w columns and c channels."""
+    p = F.floor(i / c)
+    return F.floor(p / w), p % w, i % c
 
 
-def resize_bilinear(v: Column, h: int, w: int, oh: int, ow: int) -> Column:
-    """Bilinear with pixel centres aligned and edges repeated (convention), one channel."""
+def resize_nearest(v: Column, h: int, w: int, oh: int, ow: int, c: int = 1) -> Column:
+    """The pixel under the centre of each new one (convention)."""
 
     def one(i: Column) -> Column:
-        fy = F.greatest(F.lit(0.0), F.least(F.lit(h - 1.0), (F.floor(i / ow) + 0.5) * (h / oh) - 0.5))
-        fx = F.greatest(F.lit(0.0), F.least(F.lit(w - 1.0), (i % ow + 0.5) * (w / ow) - 0.5))
+        row, col, ch = _place(i, ow, c)
+        y = F.least(F.lit(h - 1), F.floor((row + 0.5) * (h / oh)))
+        x = F.least(F.lit(w - 1), F.floor((col + 0.5) * (w / ow)))
+        return _at(v, (y * w + x) * c + ch)
+
+    return F.transform(_index(oh * ow * c), one)
+
+
+def resize_bilinear(v: Column, h: int, w: int, oh: int, ow: int, c: int = 1) -> Column:
+    """Bilinear with pixel centres aligned and edges repeated (convention)."""
+
+    def one(i: Column) -> Column:
+        row, col, ch = _place(i, ow, c)
+        fy = F.greatest(F.lit(0.0), F.least(F.lit(h - 1.0), (row + 0.5) * (h / oh) - 0.5))
+        fx = F.greatest(F.lit(0.0), F.least(F.lit(w - 1.0), (col + 0.5) * (w / ow) - 0.5))
         y0, x0 = F.floor(fy), F.floor(fx)
         y1, x1 = F.least(F.lit(h - 1), y0 + 1), F.least(F.lit(w - 1), x0 + 1)
-        top = _at(v, y0 * w + x0) * (1 - (fx - x0)) + _at(v, y0 * w + x1) * (fx - x0)
-        low = _at(v, y1 * w + x0) * (1 - (fx - x0)) + _at(v, y1 * w + x1) * (fx - x0)
+        pixel = lambda y, x: _at(v, (y * w + x) * c + ch)
+        top = pixel(y0, x0) * (1 - (fx - x0)) + pixel(y0, x1) * (fx - x0)
+        low = pixel(y1, x0) * (1 - (fx - x0)) + pixel(y1, x1) * (fx - x0)
         return top * (1 - (fy - y0)) + low * (fy - y0)
 
-    return F.transform(_index(oh * ow), one)
+    return F.transform(_index(oh * ow * c), one)
+
+
+def _cubic(x: float) -> float:
+    x = abs(x)
+    return 1.5 * x**3 - 2.5 * x**2 + 1 if x < 1 else -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2 if x < 2 else 0.0
+
+
+def _lanczos(x: float) -> float:
+    sinc = lambda t: 1.0 if t == 0 else math.sin(math.pi * t) / (math.pi * t)
+    return sinc(x) * sinc(x / 3) if abs(x) < 3 else 0.0
+
+
+#: Interpolation: (kernel, its reach in source pixels).
+KERNELS = {
+    "triangular": (lambda x: max(0.0, 1 - abs(x)), 1.0),
+    "cubic": (_cubic, 2.0),
+    "lanczos": (_lanczos, 3.0),
+    "gaussian": (lambda x: math.exp(-2 * x * x) if abs(x) < 2 else 0.0, 2.0),
+}
+
+
+def _taps(n: int, out: int, method: str) -> list[list[tuple[int, float]]]:
+    """For each new place the (source, weight) pairs that sum to one; a kernel widens as an image shrinks."""
+    kernel, reach = KERNELS[method]
+    wide = max(1.0, n / out)
+    taps = []
+    for o in range(out):
+        centre = (o + 0.5) * n / out - 0.5
+        near = range(math.ceil(centre - reach * wide), math.floor(centre + reach * wide) + 1)
+        weights = [(min(n - 1, max(0, j)), kernel((j - centre) / wide)) for j in near]
+        total = sum(k for _, k in weights)
+        taps.append([(j, k / total) for j, k in weights])
+    return taps
+
+
+def resize(v: Column, h: int, w: int, oh: int, ow: int, c: int = 1, method: str = "linear") -> Column:
+    """Any interpolation: "nearest", "linear", or a kernel of ``KERNELS`` along columns and then rows, edges repeated (convention)."""
+    if method == "nearest":
+        return resize_nearest(v, h, w, oh, ow, c)
+    if method == "linear":
+        return resize_bilinear(v, h, w, oh, ow, c)
+
+    def along(values: Column, n: int, out: int, size: int, source) -> Column:
+        """``size`` values; ``source`` gives from a place the tap list and the flat place of a tap."""
+        table = F.array(*(F.array(*(F.struct(F.lit(j).alias("j"), F.lit(k).alias("k")) for j, k in taps)) for taps in _taps(n, out, method)))
+
+        def one(taps: Column, x: Column, i: Column) -> Column:
+            which, place = source(i)
+            return F.aggregate(F.get(taps, which.cast("int")), F.lit(0.0), lambda a, t: a + _at(x, place(t["j"])) * t["k"])
+
+        return let(table, lambda taps: let(values, lambda x: F.transform(_index(size), lambda i: one(taps, x, i))))
+
+    def across(i: Column):
+        row, col, ch = _place(i, ow, c)
+        return col, lambda j: (row * w + j) * c + ch
+
+    def down(i: Column):
+        row, col, ch = _place(i, ow, c)
+        return row, lambda j: (j * ow + col) * c + ch
 
+    return along(along(v, w, ow, h * ow * c, across), h, oh, oh * ow * c, down)
 
-def roi_resize(v: Column, w: int, y: int, x: int, rh: int, rw: int, oh: int, ow: int) -> Column:
+
+def roi_resize(v: Column, w: int, y: int, x: int, rh: int, rw: int, oh: int, ow: int, c: int = 1, method: str = "linear") -> Column:
     """A fixed region, resized."""
-    return resize_bilinear(crop(v, w, y, x, rh, rw), rh, rw, oh, ow)
+    return resize(crop(v, w, y, x, rh, rw, c), rh, rw, oh, ow, c, method)
+
+
+def crop_resize_fixed(v: Column, h: int, w: int, oh: int, ow: int, area: float = 0.75, aspect: float = 1.0, drift_x: float = 0.0, drift_y: float = 0.0, c: int = 1, method: str = "linear") -> Column:
+    """A region of a share ``area`` of the image, resized; its sides follow ``aspect`` (width over height), its centre moves by the drifts.
+
+    A drift of -1 or 1 takes the region to the image's edge (convention).
+    """
+    rw = max(1, min(w, round(math.sqrt(area * h * w * aspect))))
+    rh = max(1, min(h, round(math.sqrt(area * h * w / aspect))))
+    x, y = (round((n - r) * (1 + d) / 2) for n, r, d in ((w, rw, drift_x), (h, rh, drift_y)))
+    return roi_resize(v, w, y, x, rh, rw, oh, ow, c, method)
 
 
-def resize_crop_mirror(v: Column, h: int, w: int, oh: int, ow: int, ch: int, cw: int, mirror=0) -> Column:
-    """Resized, cropped at the centre, mirrored where the flag is 1."""
-    return flip(center_crop(resize_bilinear(v, h, w, oh, ow), oh, ow, ch, cw), ch, cw, mirror, 0)
+def resize_crop_mirror(v: Column, h: int, w: int, oh: int, ow: int, ch: int, cw: int, mirror=0, c: int = 1, y=0.5, x=0.5, method: str = "linear") -> Column:
+    """Resized, cropped at a relative position (numbers or columns, the centre by default), mirrored where the flag is 1."""
+    resized = let(resize(v, h, w, oh, ow, c, method), lambda r: crop(r, ow, crop_anchor(y, oh, ch), crop_anchor(x, ow, cw), ch, cw, c))
+    return flip(resized, ch, cw, mirror, 0, c)
 
 
-def pixelate(v: Column, h: int, w: int, block: int) -> Column:
-    """The mean of each block for all its pixels (convention), one channel; h and w are multiples of block."""
+def pixelate(v: Column, h: int, w: int, block: int, c: int = 1) -> Column:
+    """The mean of each block for all its pixels (convention); blocks at the far edges may be smaller."""
 
     def mean(i: Column) -> Column:
-        y, x = F.floor(F.floor(i / w) / block) * block, F.floor(i % w / block) * block
-        cells = F.transform(_index(block * block), lambda k: _at(v, (y + F.floor(k / block)) * w + x + k % block))
-        return F.aggregate(cells, F.lit(0.0), lambda a, b: a + b) / float(block * block)
+        row, col, ch = _place(i, w, c)
+        y, x = F.floor(row / block) * block, F.floor(col / block) * block
+        bh, bw = F.least(F.lit(block), h - y), F.least(F.lit(block), w - x)
+        cells = F.transform(F.sequence(F.lit(0).cast("long"), bh * bw - 1), lambda k: _at(v, ((y + F.floor(k / bw)) * w + x + k % bw) * c + ch))
+        return F.aggregate(cells, F.lit(0.0), lambda a, b: a + b) / F.size(cells)
 
-    return F.transform(_index(h * w), mean)
+    return F.transform(_index(h * w * c), mean)
 
 
-def blur3(v: Column, h: int, w: int) -> Column:
-    """3 x 3 Gaussian (1 2 1), edges repeated (convention), one channel."""
+def blur3(v: Column, h: int, w: int, c: int = 1) -> Column:
+    """3 x 3 Gaussian (1 2 1), edges repeated (convention)."""
     taps = F.array(*(F.struct(F.lit(dy).alias("y"), F.lit(dx).alias("x"), F.lit((2 - abs(dy)) * (2 - abs(dx)) / 16.0).alias("k")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+    held = lambda x, n: F.least(F.lit(n - 1), F.greatest(F.lit(0), x))
 
     def one(i: Column) -> Column:
-        near = lambda t: _at(v, F.least(F.lit(h - 1), F.greatest(F.lit(0), F.floor(i / w) + t["y"])) * w + F.least(F.lit(w - 1), F.greatest(F.lit(0), i % w + t["x"])))
+        row, col, ch = _place(i, w, c)
+        near = lambda t: _at(v, (held(row + t["y"], h) * w + held(col + t["x"], w)) * c + ch)
         return F.aggregate(taps, F.lit(0.0), lambda a, t: a + near(t) * t["k"])
 
-    return F.transform(_index(h * w), one)
+    return F.transform(_index(h * w * c), one)
 
 
 # --- normalisation -----------------------------------------------------------
@@ -296,10 +387,70 @@ def normalize_rows(v: Column, h: int, w: int) -> Column:
     return F.flatten(F.transform(rows(v, h, w), lambda r: normalize(r)))
 
 
-def crop_mirror_normalize(v: Column, h: int, w: int, ch: int, cw: int, mirror=0, mean: float = 0.0, std: float = 1.0, y=0.5, x=0.5) -> Column:
-    """Crop at a relative position, mirror where the flag is 1, then (x - mean) / std."""
-    cropped = crop(v, w, crop_anchor(y, h, ch), crop_anchor(x, w, cw), ch, cw)
-    return normalize(flip(cropped, ch, cw, mirror, 0), mean, std)
+def normalize_axes(v: Column, shape: Sequence[int], axes: Sequence[int], mean: Sequence[float] | None = None, std: Sequence[float] | None = None, scale_by: float = 1.0, shift: float = 0.0) -> Column:
+    """scale * (x - mean) / std + shift, with a mean and spread for each place on the axes that are not in ``axes``.
+
+    ``mean`` and ``std``, where given, list the values of those places, or one
+    value for all. A spread of 0 gives ``shift``.
+    """
+    strides = [math.prod(shape[k + 1 :]) for k in range(len(shape))]
+    kept = [k for k in range(len(shape)) if k not in axes]
+
+    def places(which: Sequence[int]) -> Column:
+        out = [0]
+        for k in which:
+            out = [o + i * strides[k] for o in out for i in range(shape[k])]
+        return F.array(*map(F.lit, out))
+
+    groups, members = math.prod(shape[k] for k in kept), math.prod(shape[k] for k in axes)
+    # The first member of each group, and the way from there to the others.
+    first, others = places(kept), places(list(axes))
+    given = lambda x: F.array(*(F.lit(float(y)) for y in (x if len(x) == groups else list(x) * groups)))
+
+    def fold(f) -> Column:
+        return let(others, lambda o: F.transform(first, lambda b: F.aggregate(o, F.lit(0.0), lambda a, k: a + f(_at(v, b + k), b)) / float(members)))
+
+    def group(i: Column) -> Column:
+        out = F.lit(0)
+        for k in kept:
+            out = out * shape[k] + F.floor(i / strides[k]) % shape[k]
+        return out
+
+    means = fold(lambda x, b: x) if mean is None else given(mean)
+
+    def spread(m: Column) -> Column:
+        if std is not None:
+            return given(std)
+        each = F.transform(F.arrays_zip(first.alias("b"), m.alias("m")), lambda z: F.aggregate(others, F.lit(0.0), lambda a, k: a + (_at(v, z["b"] + k) - z["m"]) * (_at(v, z["b"] + k) - z["m"])))
+        return F.transform(each, lambda x: F.sqrt(x / float(members)))
+
+    def scaled(m: Column, s: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            deviation = F.get(s, group(i).cast("int"))
+            return F.when(deviation == 0, F.lit(float(shift))).otherwise((x - F.get(m, group(i).cast("int"))) / deviation * scale_by + shift)
+
+        return F.transform(v, one)
+
+    return let(means, lambda m: let(spread(m), lambda s: scaled(m, s)))
+
+
+def _by_channel(v: Column, mean, std, c: int) -> Column:
+    if c == 1 and not isinstance(mean, (list, tuple)):
+        return normalize(v, mean, std)
+    each = lambda x: F.array(*(F.lit(float(y)) for y in (x if isinstance(x, (list, tuple)) else [x] * c)))
+    m, s = each(mean), each(std)
+    return F.transform(v, lambda x, i: (x - _at(m, i % c)) / _at(s, i % c))
+
+
+def crop_mirror_normalize(v: Column, h: int, w: int, ch: int, cw: int, mirror=0, mean=0.0, std=1.0, y=0.5, x=0.5, c: int = 1) -> Column:
+    """Crop at a relative position, mirror where the flag is 1, then (x - mean) / std; mean and std may list a value for each channel."""
+    cropped = crop(v, w, crop_anchor(y, h, ch), crop_anchor(x, w, cw), ch, cw, c)
+    return _by_channel(flip(cropped, ch, cw, mirror, 0, c), mean, std, c)
+
+
+def resize_mirror_normalize(v: Column, h: int, w: int, oh: int, ow: int, mirror=0, mean=0.0, std=1.0, c: int = 1, method: str = "linear") -> Column:
+    """Resized, mirrored where the flag is 1, then (x - mean) / std by channel."""
+    return _by_channel(flip(resize(v, h, w, oh, ow, c, method), oh, ow, mirror, 0, c), mean, std, c)
 
 
 def one_hot(label: Column, classes: int) -> Column:

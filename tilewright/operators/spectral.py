@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,14 +35,13 @@ def spectrogram(df: DataFrame, key: str, values: str, nfft: int = 512, window: i
     return _mapped(df, key, values, one)
 
 
-def resample(df: DataFrame, key: str, values: str, rate_in: float, rate_out: float, quality: float = 50.0) -> DataFrame:
-    """Hann-windowed sinc interpolation; ``quality`` sets the number of lobes."""
+def resample(df: DataFrame, key: str, values: str, rate_in, rate_out, quality: float = 50.0) -> DataFrame:
+    """Hann-windowed sinc interpolation; ``quality`` sets the number of lobes. Rates are numbers, or columns that give each sample its own."""
     lobes = max(3, math.ceil((0.007 * quality - 0.09) * quality + 3))
-    ratio = rate_in / rate_out
-    cut = min(1.0, 1.0 / ratio)
-    reach = lobes / cut
 
-    def one(x: np.ndarray) -> np.ndarray:
+    def one(x: np.ndarray, ratio: float) -> np.ndarray:
+        cut = min(1.0, 1.0 / ratio)
+        reach = lobes / cut
         n = math.ceil(len(x) / ratio)
         at = np.arange(n) * ratio
         idx = np.floor(at).astype(int)[:, None] + np.arange(-math.ceil(reach) + 1, math.ceil(reach) + 1)
@@ -51,4 +50,14 @@ def resample(df: DataFrame, key: str, values: str, rate_in: float, rate_out: flo
         ok = (idx >= 0) & (idx < len(x))
         return (np.where(ok, x[np.clip(idx, 0, max(0, len(x) - 1))], 0.0) * k).sum(axis=1) if len(x) else x
 
-    return _mapped(df, key, values, one)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [
+                one(v.values.to_numpy(zero_copy_only=False).astype(float), r.as_py()) if v.is_valid and r.is_valid else None
+                for v, r in zip(batch.column(1), batch.column(2))
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=[key, values])
+
+    as_column = lambda r: (r if isinstance(r, Column) else F.lit(r)).cast("double")
+    rows = df.select(F.col(key).cast("long").alias(key), F.col(values).cast("array<double>").alias(values), (as_column(rate_in) / as_column(rate_out)).alias("_ratio"))
+    return rows.mapInArrow(run, f"`{key}` long, `{values}` array<double>")

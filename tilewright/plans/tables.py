@@ -438,3 +438,15 @@ _LOBES = 3 + math.ceil((0.007 * 50 - 0.09) * 50)
 def resample_sinc(spark, d):
     out = spectral.resample(vectors(spark, d, False).select("vec_id", "v"), "vec_id", "v", rate_in=16000, rate_out=22050)
     return long_form(out, F.col("v"), 5)
+
+
+@query(f"""
+    WITH e AS (SELECT vec_id, 22050 + label * 1000 AS rate, {_DOUBLES} AS v FROM embeddings),
+    o AS (SELECT vec_id, v, i, i * (16000.0::DOUBLE / rate) AS p FROM (SELECT vec_id, v, rate, unnest(range(0, CAST(ceil(64 / (16000.0::DOUBLE / rate)) AS BIGINT))) AS i FROM e)),
+    k AS (SELECT vec_id, i, v[j + 1] AS x, p - j AS d FROM (SELECT *, unnest(range(greatest(0, CAST(floor(p) AS BIGINT) - {_LOBES} + 1), least(64, CAST(floor(p) AS BIGINT) + {_LOBES} + 1))) AS j FROM o))
+    SELECT vec_id, CAST(i AS INT) AS idx, round(sum(CASE WHEN abs(d) >= {_LOBES} THEN 0 WHEN d = 0 THEN x ELSE x * sin(pi() * d) / (pi() * d) * (0.5 + 0.5 * cos(pi() * d / {_LOBES})) END), 5) + 0.0::DOUBLE AS value
+    FROM k GROUP BY vec_id, i""")
+def resample_by_sample(spark, d):
+    """Each signal to a rate of its own."""
+    e = vectors(spark, d, False).select("vec_id", "v", (22050 + F.col("label") * 1000).alias("rate"))
+    return long_form(spectral.resample(e, "vec_id", "v", 16000, F.col("rate")), F.col("v"), 5)

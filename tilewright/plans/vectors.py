@@ -91,6 +91,43 @@ _DX, _DY = f"({_FX} - floor({_FX}))", f"({_FY} - floor({_FY}))"
 tensor("resize_bilinear", lambda: T.resize_bilinear(v(), H, W, 6, 12), f"list_transform(range(0, 72), lambda i: ({_P(0, 0)} * (1 - {_DX}) + {_P(0, 1)} * {_DX}) * (1 - {_DY}) + ({_P(1, 0)} * (1 - {_DX}) + {_P(1, 1)} * {_DX}) * {_DY})")
 tensor("pixelate", lambda: T.pixelate(v(), H, W, 4), "list_transform(range(0, 64), lambda i: list_avg(list_transform(range(0, 16), lambda k: v[(i // 32 * 4 + k // 4) * 8 + i % 8 // 4 * 4 + k % 4 + 1])))")
 tensor("blur", lambda: T.blur3(v(), H, W), "list_transform(range(0, 64), lambda i: list_sum(list_transform(range(0, 9), lambda k: v[least(7, greatest(0, i // 8 + k // 3 - 1)) * 8 + least(7, greatest(0, i % 8 + k % 3 - 1)) + 1] * (2 - abs(k // 3 - 1)) * (2 - abs(k % 3 - 1)) / 16.0)))")
+# Three and two channels: a vector as 4 x 8 pixels of two, its first 48 values as 4 x 4 pixels of three.
+tensor("resize_nearest_channels", lambda: T.resize_nearest(v(), 4, 8, 3, 5, 2), _gather(30, "(least(3, floor((i // 10 + 0.5) * (4 / 3.0))) * 8 + least(7, floor((i // 2 % 5 + 0.5) * (8 / 5.0)))) * 2 + i % 2"))
+_CY, _CX = "greatest(0.0, least(3.0, (i // 20 + 0.5) * (4 / 6.0) - 0.5))", "greatest(0.0, least(7.0, (i // 2 % 10 + 0.5) * (8 / 10.0) - 0.5))"
+_CP = lambda y, x: f"v[CAST((least(3, floor({_CY}) + {y}) * 8 + least(7, floor({_CX}) + {x})) * 2 + i % 2 AS BIGINT) + 1]"
+_CDX, _CDY = f"({_CX} - floor({_CX}))", f"({_CY} - floor({_CY}))"
+tensor("resize_bilinear_channels", lambda: T.resize_bilinear(v(), 4, 8, 6, 10, 2), f"list_transform(range(0, 120), lambda i: ({_CP(0, 0)} * (1 - {_CDX}) + {_CP(0, 1)} * {_CDX}) * (1 - {_CDY}) + ({_CP(1, 0)} * (1 - {_CDX}) + {_CP(1, 1)} * {_CDX}) * {_CDY})")
+tensor("blur_channels", lambda: T.blur3(v(), 4, 8, 2), "list_transform(range(0, 64), lambda i: list_sum(list_transform(range(0, 9), lambda k: v[(least(3, greatest(0, i // 16 + k // 3 - 1)) * 8 + least(7, greatest(0, i // 2 % 8 + k % 3 - 1))) * 2 + i % 2 + 1] * (2 - abs(k // 3 - 1)) * (2 - abs(k % 3 - 1)) / 16.0)))")
+tensor("pixelate_channels", lambda: T.pixelate(F.slice(v(), 1, 48), 4, 4, 3, 3), "list_transform(range(0, 48), lambda i: list_avg(list_transform(list_filter(range(0, 16), lambda k: k // 4 // 3 = i // 12 // 3 AND k % 4 // 3 = i // 3 % 4 // 3), lambda k: v[k * 3 + i % 3 + 1])))")
+tensor("crop_mirror_normalize_channels", lambda: T.crop_mirror_normalize(F.slice(v(), 1, 48), 4, 4, 2, 3, F.col("label") % 2, [120.0, 110.0, 100.0], [60.0, 50.0, 40.0], 1.0, 0.0, 3), "list_transform(range(0, 18), lambda i: (v[CAST(((2 + i // 9) * 4 + CASE WHEN label % 2 = 1 THEN 2 - i // 3 % 3 ELSE i // 3 % 3 END) * 3 + i % 3 AS BIGINT) + 1] - [120, 110, 100][i % 3 + 1]) / [60, 50, 40][i % 3 + 1])")
+tensor("resize_mirror_normalize_channels", lambda: T.resize_mirror_normalize(F.slice(v(), 1, 48), 4, 4, 2, 2, 1, [120.0, 110.0, 100.0], [60.0, 50.0, 40.0], 3, "nearest"), "list_transform(range(0, 12), lambda i: (v[CAST(((i // 6 * 2 + 1) * 4 + (1 - i // 3 % 2) * 2 + 1) * 3 + i % 3 AS BIGINT) + 1] - [120, 110, 100][i % 3 + 1]) / [60, 50, 40][i % 3 + 1])")
+tensor("resize_crop_mirror_channels", lambda: T.resize_crop_mirror(v(), 4, 8, 4, 8, 2, 3, F.col("label") % 2, 2, F.col("label") / 9.0, F.col("vec_id") % 5 / 4.0, "nearest"), "list_transform(range(0, 12), lambda i: v[CAST(((CAST(round_even(label / 9.0::DOUBLE * 2, 0) AS BIGINT) + i // 6) * 8 + CAST(round_even(vec_id % 5 / 4.0::DOUBLE * 5, 0) AS BIGINT) + CASE WHEN label % 2 = 1 THEN 2 - i // 2 % 3 ELSE i // 2 % 3 END) * 2 + i % 2 AS BIGINT) + 1])")
+tensor("crop_resize_fixed", lambda: T.crop_resize_fixed(v(), H, W, 2, 2, 0.25, 1.0, 1.0, -1.0), "list_transform(range(0, 4), lambda i: (v[i // 2 * 16 + 4 + i % 2 * 2 + 1] + v[i // 2 * 16 + 4 + i % 2 * 2 + 2] + v[i // 2 * 16 + 8 + 4 + i % 2 * 2 + 1] + v[i // 2 * 16 + 8 + 4 + i % 2 * 2 + 2]) / 4)")
+
+
+def _kernel(name: str, sql: str, reach: int) -> None:
+    """8 x 8 pixels to 6 x 12 with a kernel; ``sql`` is the kernel of d."""
+    QUERIES[f"resize_{name}"] = lambda spark, d: long_form(vectors(spark, d, True), T.resize(v(), H, W, 6, 12, 1, name), 4)
+    one = lambda n, out: f"""(SELECT o, least(7, greatest(0, j)) AS j, k / sum(k) OVER (PARTITION BY o) AS k FROM (
+        SELECT o, j, {sql} AS k FROM (SELECT o, j, (j - ((o + 0.5) * {n} / {out} - 0.5)) / greatest(1, {n} / {out}) AS d FROM range(0, {out}) a(o), range(-12, 24) b(j)) WHERE abs(d) <= {reach}))"""
+    ORACLES[f"resize_{name}"] = f"""
+        WITH e AS (SELECT vec_id, {_PIXELS} AS v FROM embeddings),
+        x AS {one("8.0::DOUBLE", "12")}, y AS {one("8.0::DOUBLE", "6")}
+        SELECT vec_id, CAST(y.o * 12 + x.o AS INT) AS idx, round(sum(v[y.j * 8 + x.j + 1] * y.k * x.k), 4) + 0.0::DOUBLE AS value FROM e, x, y GROUP BY vec_id, y.o, x.o"""
+
+
+_SINC = lambda t: f"CASE WHEN {t} = 0 THEN 1 ELSE sin(pi() * {t}) / (pi() * {t}) END"
+_kernel("triangular", "1 - abs(d)", 1)
+_kernel("cubic", "CASE WHEN abs(d) < 1 THEN 1.5 * pow(abs(d), 3) - 2.5 * d * d + 1 ELSE -0.5 * pow(abs(d), 3) + 2.5 * d * d - 4 * abs(d) + 2 END", 2)
+_kernel("lanczos", f"{_SINC('d')} * {_SINC('(d / 3)')}", 3)
+_kernel("gaussian", "exp(-2 * d * d)", 2)
+
+_AXES = lambda part: f"list_transform(range(0, 64), lambda i: (v[i + 1] - list_avg({part})) / sqrt(list_avg(list_transform({part}, lambda z: (z - list_avg({part})) * (z - list_avg({part}))))) * 2 + 1)"
+tensor("normalize_axis_0", lambda: T.normalize_axes(v(), [4, 8, 2], [0], scale_by=2.0, shift=1.0), _AXES("list_transform(range(0, 4), lambda k: v[k * 16 + i % 16 + 1])"), False, 5)
+tensor("normalize_axes_0_1", lambda: T.normalize_axes(v(), [4, 8, 2], [0, 1], scale_by=2.0, shift=1.0), _AXES("list_transform(range(0, 32), lambda k: v[k * 2 + i % 2 + 1])"), False, 5)
+tensor("normalize_axes_0_2", lambda: T.normalize_axes(v(), [4, 8, 2], [0, 2], scale_by=2.0, shift=1.0), _AXES("list_transform(range(0, 8), lambda k: v[k // 2 * 16 + i // 2 % 8 * 2 + k % 2 + 1])"), False, 5)
+tensor("normalize_channels_given", lambda: T.normalize_axes(v(), [4, 8, 2], [0, 1], [0.1, -0.1], [0.5, 0.25]), "list_transform(range(0, 64), lambda i: (v[i + 1] - [0.1, -0.1][i % 2 + 1]) / [0.5, 0.25][i % 2 + 1])", False)
+
 _MEAN, _STD = "list_avg(v)", "sqrt(list_avg(list_transform(v, lambda y: (y - list_avg(v)) * (y - list_avg(v)))))"
 tensor("normalize_all", lambda: T.normalize(v(), scale_by=2.0, shift=1.0), _map(f"(x - {_MEAN}) / {_STD} * 2.0 + 1.0"), False, 5)
 tensor("normalize_given", lambda: T.normalize(v(), 0.1, 0.5), _map("(x - 0.1) / 0.5"), False)
@@ -129,6 +166,9 @@ ORACLES["nonsilent_region"] = f"""
     l AS (SELECT vec_id, list_filter(range(0, 64), lambda i: p[i + 1] >= list_max(p) * pow(10.0, -0.3) AND p[i + 1] > 0) AS l FROM p)
     SELECT vec_id, CAST(greatest(0, list_min(l) - 3) AS INT) AS begin, CAST(list_max(l) - greatest(0, list_min(l) - 3) + 1 AS INT) AS length FROM l"""
 
+tensor("resize_mirror_masks", lambda: F.flatten(F.flatten(B.resize_mirror_masks(F.transform(T.rows(v(), 4, 16), lambda r: F.array(F.slice(r, 1, 6), F.slice(r, 7, 10))), 100, 80, 50, 160, F.col("label") % 2))), "list_transform(range(0, 64), lambda i: CASE WHEN i % 2 = 1 THEN v[i + 1] * 2 WHEN label % 2 = 1 THEN 50 - v[i + 1] * 0.5 - 1 ELSE v[i + 1] * 0.5 END)")
+
+
 # --- boxes: three of them from the first twelve values of a vector, in a 100 x 100 image ---
 
 
