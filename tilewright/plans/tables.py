@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.functions import rng
+from tilewright.functions import effects, rng
 from tilewright.functions import tensor as T
 from tilewright.operators import augment, labels, random_crops, sequences, sharding, spectral
 from tilewright.plans.vectors import _BOXED, _DOUBLES, _PIXELS, boxed, long_form, vectors
@@ -355,11 +355,66 @@ _R = "sqrt(pow(2 * x / 7.0 - 1, 2) + pow(2 * y / 7.0 - 1, 2))"
 _effect("fish_eye", [("fish_eye", {})], sql=_gathered("((2 * y / 7.0 - 1) * k + 1) / 2 * 7", "((2 * x / 7.0 - 1) * k + 1) / 2 * 7", "r <= 1", f", {_R} AS r, CASE WHEN {_R} > 0 THEN ({_R} + 1 - sqrt(greatest(0, 1 - {_R} * {_R}))) / 2 / {_R} ELSE 1 END AS k"))
 _RADIAL = "(1 - 0.1 * r2 + 0.01 * r2 * r2)"
 _effect("lens_correction", [("lens_correction", {"k1": -0.1, "k2": 0.01})], sql=_gathered(f"(y - 3.5) * {_RADIAL} + 3.5", f"(x - 3.5) * {_RADIAL} + 3.5", before=", (pow(x - 3.5, 2) + pow(y - 3.5, 2)) / 64.0 AS r2"))
-_effect("jitter", [("jitter", {"kernel": 3})])
-_effect("salt_and_pepper", [("salt_and_pepper", {"probability": 0.2, "salt": 0.6})])
-_effect("snow", [("snow", {"amount": 0.3})])
-_effect("rain", [("rain", {"share": 0.2, "length": 3})])
-_effect("random_crop_resize", [("random_crop_resize", {"height": 6, "width": 6})])
+
+
+def _drawn(name: str, out: Callable, value: str) -> None:
+    """An effect with draws by pixel; ``value`` in SQL over v, i, y, x and u(name, place)."""
+    QUERIES[name] = lambda spark, d: long_form(vectors(spark, d, True).select("vec_id", out().alias("v")), F.col("v"), 4)
+    ORACLES[name] = f"""
+        WITH g AS (SELECT vec_id, v, i, i // 8 AS y, i % 8 AS x FROM (SELECT vec_id, {_PIXELS} AS v, unnest(range(0, 64)) AS i FROM embeddings))
+        SELECT vec_id, CAST(i AS INT) AS idx, round(CAST({value} AS DOUBLE), 4) + 0.0::DOUBLE AS value FROM g"""
+
+
+_KEYED = lambda: (F.col("v"), 8, 8, F.col("vec_id"))
+_drawn("salt_and_pepper", lambda: effects.salt_and_pepper(*_KEYED(), 0.2, 0.6, seed=42), f"CASE WHEN {_u('salt', 'vec_id', 'i')} < 0.2::DOUBLE * 0.6::DOUBLE THEN 255 WHEN {_u('salt', 'vec_id', 'i')} < 0.2 THEN 0 ELSE v[i + 1] END")
+_drawn("snow", lambda: effects.snow(*_KEYED(), 0.3, seed=42), f"CASE WHEN {_u('snow', 'vec_id', 'i')} < 0.03 THEN 255 WHEN v[i + 1] >= 178.5 THEN least(255, v[i + 1] * 1.3) ELSE v[i + 1] END")
+_JIT = lambda axis, n: f"greatest(0, least(7, {axis} + CAST(floor({_u('jitter ' + axis, 'vec_id', 'i')} * 3) AS BIGINT) - 1))"
+_drawn("jitter", lambda: effects.jitter(*_KEYED(), 3, seed=42), f"v[{_JIT('y', 8)} * 8 + {_JIT('x', 8)} + 1]")
+_drawn("rain", lambda: effects.rain(*_KEYED(), 0.2, 3, 1, seed=42), f"CASE WHEN len(list_filter([0, 1, 2], lambda k: y >= k AND x >= k AND {_u('rain', 'vec_id', '(i - 9 * k)')} < 0.2::DOUBLE / 3)) > 0 THEN v[i + 1] * 0.5 + 100 ELSE v[i + 1] END")
+
+
+@query(f"""
+    WITH d AS (SELECT vec_id, i, ({_u('croparea', 'vec_id', 'i')} * (0.99 - 0.08)::DOUBLE + 0.08::DOUBLE) * 64 AS target, {_u('cropaspect', 'vec_id', 'i')} * (1.333 - 0.75)::DOUBLE + 0.75::DOUBLE AS ratio, {_u('cropx', 'vec_id', 'i')} AS ux, {_u('cropy', 'vec_id', 'i')} AS uy FROM embeddings, range(0, 20) r(i)),
+    w AS (SELECT *, CAST(floor(sqrt(target * ratio)) AS INT) AS w, CAST(floor(sqrt(target / ratio)) AS INT) AS h FROM d),
+    f AS (SELECT vec_id, arg_min({{'x': CAST(floor(ux * (8 - w)) AS INT), 'y': CAST(floor(uy * (8 - h)) AS INT), 'w': w, 'h': h}}, i) AS c FROM w WHERE w BETWEEN 1 AND 7 AND h BETWEEN 1 AND 7 GROUP BY vec_id),
+    g AS (SELECT vec_id, {_PIXELS} AS v, coalesce(c.x, 0) AS cx, coalesce(c.y, 0) AS cy, coalesce(c.w, 8) AS cw, coalesce(c.h, 8) AS ch, unnest(range(0, 36)) AS i FROM embeddings LEFT JOIN f USING (vec_id)),
+    s AS (SELECT *, greatest(0.0, least(ch - 1.0, (i // 6 + 0.5) * (ch / 6.0::DOUBLE) - 0.5)) AS fy, greatest(0.0, least(cw - 1.0, (i % 6 + 0.5) * (cw / 6.0::DOUBLE) - 0.5)) AS fx FROM g),
+    p AS (SELECT *, CAST(floor(fy) AS BIGINT) AS y0, CAST(floor(fx) AS BIGINT) AS x0, fy - floor(fy) AS dy, fx - floor(fx) AS dx FROM s)
+    SELECT vec_id, CAST(i AS INT) AS idx, round(
+        (v[(cy + y0) * 8 + cx + x0 + 1] * (1 - dx) + v[(cy + y0) * 8 + cx + least(cw - 1, x0 + 1) + 1] * dx) * (1 - dy)
+        + (v[(cy + least(ch - 1, y0 + 1)) * 8 + cx + x0 + 1] * (1 - dx) + v[(cy + least(ch - 1, y0 + 1)) * 8 + cx + least(cw - 1, x0 + 1) + 1] * dx) * dy, 4) + 0.0::DOUBLE AS value FROM p""")
+def random_crop_resize(spark, d):
+    """A random window of each picture, as 6 x 6 pixels."""
+    out = effects.random_crop_resize(F.col("v"), 8, 8, 6, 6, F.col("vec_id"), seed=42)
+    return long_form(vectors(spark, d, True).select("vec_id", out.alias("v")), F.col("v"), 4)
+
+
+_S = lambda name: _u(f"ssd {name}", "vec_id", "i")
+
+
+@query(f"""
+    WITH {_BOXED},
+    o AS (SELECT vec_id, CAST(floor({_u('ssd option', 'vec_id')} * 7) AS INT) AS option FROM embeddings),
+    s AS (SELECT vec_id, i, {_S('w')} * 70 + 30 AS w, {_S('h')} * 70 + 30 AS h, {_S('x')} AS ux, {_S('y')} AS uy FROM embeddings, range(0, 20) r(i)),
+    c AS (SELECT vec_id, i, ux * (100 - w) AS cl, uy * (100 - h) AS ct, ux * (100 - w) + w AS cr, uy * (100 - h) + h AS cb FROM s),
+    u AS (SELECT c.*, greatest(0, least(r, cr) - greatest(l, cl)) * greatest(0, least(b, cb) - greatest(t, ct)) AS inter, (r - l) * (b - t) + (cr - cl) * (cb - ct) AS area,
+        (l + r) / 2 BETWEEN cl AND cr AND (t + b) / 2 BETWEEN ct AND cb AS inside FROM c JOIN bx USING (vec_id)),
+    f AS (SELECT vec_id, arg_min({{'l': cl, 't': ct, 'r': cr, 'b': cb}}, i) AS c FROM u JOIN o USING (vec_id)
+        WHERE inside AND option < 6 AND (cr - cl) / (cb - ct) BETWEEN 0.5 AND 2 AND inter / (area - inter) >= [0, 0.1, 0.3, 0.5, 0.7, 0.9][option + 1] GROUP BY vec_id),
+    w AS (SELECT vec_id, coalesce(c.l, 0) AS wl, coalesce(c.t, 0) AS wt, coalesce(c.r, 100) AS wr, coalesce(c.b, 100) AS wb, CASE WHEN c IS NULL THEN 0 ELSE [0, 0.1, 0.3, 0.5, 0.7, 0.9, 0][option + 1] END AS low FROM o LEFT JOIN f USING (vec_id)),
+    k AS (SELECT w.*, box_id, label, greatest(l, wl) AS il, greatest(t, wt) AS it, least(r, wr) AS ir, least(b, wb) AS ib, l, t, r, b FROM w JOIN bx USING (vec_id) WHERE (l + r) / 2 BETWEEN wl AND wr AND (t + b) / 2 BETWEEN wt AND wb),
+    m AS (SELECT *, greatest(0, ir - il) * greatest(0, ib - it) AS inter FROM k),
+    n AS (SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY box_id) - 1 AS INT) AS idx, CAST(label AS INT) AS label, (il - wl) / (wr - wl) AS l, (it - wt) / (wb - wt) AS t, (ir - wl) / (wr - wl) AS r, (ib - wt) / (wb - wt) AS b
+        FROM m WHERE inter / ((r - l) * (b - t) + (wr - wl) * (wb - wt) - inter) BETWEEN low AND 1),
+    z AS (SELECT * FROM n UNION ALL SELECT vec_id, 0, 0, 0, 0, 1, 1 FROM w WHERE vec_id NOT IN (SELECT vec_id FROM n))
+    SELECT vec_id, idx, label, round(wl, 6) AS window_l, round(wt, 6) AS window_t, round(l, 4) AS l, round(t, 4) AS t, round(r, 4) AS r, round(b, 4) AS b FROM z JOIN w USING (vec_id)""")
+def ssd_random_crop(spark, d):
+    """Windows with retries, and the boxes they keep."""
+    found = random_crops.ssd_crops(boxed(spark, d), "vec_id", 100, 100, seed=42)
+    each = found.select("vec_id", "window", F.posexplode(F.arrays_zip("boxes", "labels")).alias("idx", "o"))
+    return each.select("vec_id", "idx", F.col("o.labels").cast("int").alias("label"), F.round("window.l", 6).alias("window_l"), F.round("window.t", 6).alias("window_t"), *(F.round(f"o.boxes.{c}", 4).alias(c) for c in "ltrb"))
+
+
 _effect("fused_chain", [("resize", {"height": 6, "width": 6}), ("rotate", {"degrees": 15.0}), ("snow", {"amount": 0.2})])
 
 
