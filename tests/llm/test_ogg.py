@@ -74,3 +74,21 @@ def test_query_rows(spark):
         assert r.tail_crc32 == zlib.crc32(payload[-32:])
     assert len({r.feature for r in got if r.doc_id in (1, 2)}) == 1
     assert O.features(O.encode(docs.limit(0))).count() == 0
+
+
+def test_packets_of_samples_go_on_over_pages():
+    payload = O.padded(random.Random(2).randbytes(400_000))
+    media = O.mux(payload)
+    at, seen = 0, []
+    while at < len(media):
+        _, _, kind, granule, serial, number, _, n = O._HEADER.unpack_from(media, at)
+        lacing = media[at + 27 : at + 27 + n]
+        if serial == O.SAMPLES and number:
+            seen.append((bool(kind & 1), lacing[-1] == 255, granule, sum(lacing)))
+        at += 27 + n + sum(lacing)
+    assert sum(size for *_, size in seen) == len(payload) and sum(goes_on for goes_on, *_ in seen) >= 5
+    assert all(later[0] == before[1] for before, later in zip(seen, seen[1:])) and not seen[-1][1]
+    upto = 0
+    for _, _, granule, size in seen:
+        upto += size
+        assert granule == (len(payload) if upto == len(payload) else upto // O.PACKET * O.PACKET)

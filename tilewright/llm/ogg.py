@@ -2,13 +2,15 @@
 
 ``mux`` lays packets of two logical streams into checksummed pages: stream 1
 holds 8-bit mono samples, ``PACKET`` to a packet, stream 2 a comment packet
-that names the sample rate. ``demux`` walks the pages, verifies each checksum
+that names the sample rate. A page takes as many lacing values as it can, so
+packets go on over pages. ``demux`` walks the pages, verifies each checksum
 and the order of pages, reassembles packets from the lacing values, takes the
 logical streams apart and derives the time of each packet from the granule
 positions.
 
 Defined results: a null text is an empty payload, padded like any other; equal
-texts give equal media; rows that repeat an id keep their rows; a page with a
+texts give equal media; a very long text is more pages; rows that repeat an id
+keep their rows; ids are whole numbers, others count as null; a page with a
 wrong checksum, a gap or a broken lacing raises ``OggError``; an empty table
 gives an empty table; extra columns are ignored.
 """
@@ -29,9 +31,9 @@ from pyspark.sql import functions as F
 UNIT = 576
 PAD = b"\xff"
 RATE = 8000
-PACKET = UNIT
-#: Packets on a page: each takes three lacing values (255, 255, 66) of at most 255.
-PAGE_PACKETS = 84
+#: Samples of a packet: seven lacing values, which don't divide the values of a page.
+PACKET = 3 * UNIT
+PAGE_LACING = 255
 SAMPLES, COMMENTS = 1, 2
 _HEADER = struct.Struct("<4sBBqIIIB")
 _NO_GRANULE = -1
@@ -50,9 +52,11 @@ def checksum(page: bytes) -> int:
 
 
 def _page(serial: int, number: int, kind: int, granule: int, packets: list[bytes]) -> bytes:
-    lacing = b"".join(b"\xff" * (len(p) // 255) + bytes([len(p) % 255]) for p in packets)
-    head = bytearray(_HEADER.pack(b"OggS", 0, kind, granule, serial, number, 0, len(lacing)))
-    page = bytes(head) + lacing + b"".join(packets)
+    return _laced(serial, number, kind, granule, b"".join(b"\xff" * (len(p) // 255) + bytes([len(p) % 255]) for p in packets), b"".join(packets))
+
+
+def _laced(serial: int, number: int, kind: int, granule: int, lacing: bytes, body: bytes) -> bytes:
+    page = _HEADER.pack(b"OggS", 0, kind, granule, serial, number, 0, len(lacing)) + lacing + body
     return page[:22] + struct.pack("<I", checksum(page)) + page[26:]
 
 
@@ -60,12 +64,18 @@ def mux(payload: bytes, rate: int = RATE) -> bytes:
     """The payload as packets of samples, with a comment stream beside it."""
     head = b"PCM8" + struct.pack("<IBQ", rate, 1, len(payload))
     pages = [_page(SAMPLES, 0, 2, 0, [head]), _page(COMMENTS, 0, 2, 0, [b"rate=%d" % rate]), _page(COMMENTS, 1, 4, 0, [])]
-    packets = [payload[i : i + PACKET] for i in range(0, len(payload), PACKET)]
-    for n, i in enumerate(range(0, len(packets), PAGE_PACKETS)):
-        some = packets[i : i + PAGE_PACKETS]
-        granule = min((i + len(some)) * PACKET, len(payload))
-        end = 4 if i + PAGE_PACKETS >= len(packets) else 0
-        pages.append(_page(SAMPLES, n + 1, end, granule, some))
+    one = lambda n: b"\xff" * (n // 255) + bytes([n % 255])
+    whole, rest = divmod(len(payload), PACKET)
+    lacing = one(PACKET) * whole + (one(rest) if rest else b"")
+    at = done = 0
+    for n, i in enumerate(range(0, len(lacing), PAGE_LACING)):
+        some = lacing[i : i + PAGE_LACING]
+        size, ended = sum(some), len(some) - some.count(255)
+        done += ended
+        granule = min(done * PACKET, len(payload)) if ended else _NO_GRANULE
+        kind = (1 if i and lacing[i - 1] == 255 else 0) | (4 if i + PAGE_LACING >= len(lacing) else 0)
+        pages.append(_laced(SAMPLES, n + 1, kind, granule, some, payload[at : at + size]))
+        at += size
     return b"".join(pages)
 
 

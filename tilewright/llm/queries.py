@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm import bpe, chat, decontaminate, license, ogg, secrets, simhash, substring_dedup, toxicity, warc
 from tilewright.llm.words import literal_rows
-from tilewright.storage import new_path
+from tilewright.storage import new_path, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -53,7 +53,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ogg.features(ogg.encode(_table(spark, sf_dir, "documents")))
+    return ogg.features(written(ogg.encode(_table(spark, sf_dir, "documents")), "media"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
