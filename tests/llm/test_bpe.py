@@ -53,3 +53,10 @@ def test_query_rows(spark, both):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert bpe.decode(bpe.encode(docs, PATH), PATH).where("text is null").count() == 0
     assert bpe.encode(docs.limit(0), PATH).count() == 0
+
+
+def test_one_stage_equals_two(spark):
+    rows = [(1, "Hello wörld <|endoftext|> 永和", 0), (2, None, 0), (None, "", 0), (1, "Hello wörld <|endoftext|> 永和", 0), (4, " \n" * 500, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    shown = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert shown(bpe.round_trip(docs, PATH)) == shown(bpe.digests(bpe.encode(docs, PATH), PATH)) and bpe.round_trip(docs.limit(0), PATH).count() == 0

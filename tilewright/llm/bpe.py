@@ -250,21 +250,38 @@ def _ints(x) -> np.ndarray:
     return x.values.to_numpy(zero_copy_only=False).astype(np.int64) if x.is_valid else np.empty(0, np.int64)
 
 
+_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digested(t: Tokenizer, doc_ids: pa.Array, each: Iterator[np.ndarray]) -> pa.RecordBatch:
+    n, a, b = [], [], []
+    for ids in each:
+        n.append(len(ids))
+        a.append(hashlib.sha256(",".join(map(t.decimal, ids.tolist())).encode()).hexdigest())
+        b.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
+    return pa.RecordBatch.from_arrays(
+        [doc_ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
+        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    )
+
+
 def digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded documents, the text decoded from the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(vocabulary)
         for batch in batches:
-            n, a, b = [], [], []
-            for x in batch.column(1):
-                ids = _ints(x)
-                n.append(len(ids))
-                a.append(hashlib.sha256(",".join(map(t.decimal, ids.tolist())).encode()).hexdigest())
-                b.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            yield _digested(t, batch.column(0), map(_ints, batch.column(1)))
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, _DIGESTS)
+
+
+def round_trip(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``digests(encode(docs))``, in one Python stage: a task holds one tokenizer, and ids don't cross to the JVM and back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokenizer(vocabulary)
+        for batch in batches:
+            yield _digested(t, batch.column(0), (np.asarray(t.encode(x.as_py()), np.int64) for x in batch.column(1)))
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, _DIGESTS)

@@ -26,7 +26,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY)
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
