@@ -35,7 +35,7 @@ def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the texts, and digests of the ids and of what they decode to."""
-    return bpe.digests(bpe.encode(docs, VOCABULARY), VOCABULARY)
+    return bpe.round_trip(docs, VOCABULARY)
 
 
 STAGES = [
