@@ -278,7 +278,7 @@ _P = lambda k: _u("parameters", "vec_id", str(k))
 
 
 @query(f"""
-    SELECT vec_id, {_P(0)} * (1.95 - 0.1)::DOUBLE + 0.1::DOUBLE AS alpha, CAST(floor({_P(1)} * 199) - 99 AS INT) AS adjustment,
+    SELECT vec_id, {_P(0)} * 1.8499999999999999::DOUBLE + 0.1::DOUBLE AS alpha, CAST(floor({_P(1)} * 199) - 99 AS INT) AS adjustment,
         round(sqrt(-2 * ln(1 - {_P(2)})) * cos(2 * pi() * {_P(3)}) * 2.0 + 1.0, 9) AS normal, CAST({_P(4)} < 0.3 AS INT) AS mirror,
         CASE WHEN {_P(5)} < 0.5 THEN 1 WHEN {_P(5)} < 0.8 THEN 2 ELSE 5 END AS choice
     FROM embeddings""")
@@ -296,7 +296,7 @@ _C = lambda name: _u(f"crop{name}", "vec_id", "i")
 
 
 @query(f"""
-    WITH d AS (SELECT vec_id, i, ({_C('area')} * (0.99 - 0.08)::DOUBLE + 0.08::DOUBLE) * 3072 AS target, {_C('aspect')} * (1.333 - 0.75)::DOUBLE + 0.75::DOUBLE AS ratio, {_C('x')} AS ux, {_C('y')} AS uy FROM embeddings, range(0, 20) r(i)),
+    WITH d AS (SELECT vec_id, i, ({_C('area')} * 0.91::DOUBLE + 0.08::DOUBLE) * 3072 AS target, {_C('aspect')} * 0.583::DOUBLE + 0.75::DOUBLE AS ratio, {_C('x')} AS ux, {_C('y')} AS uy FROM embeddings, range(0, 20) r(i)),
     w AS (SELECT *, CAST(floor(sqrt(target * ratio)) AS INT) AS w, CAST(floor(sqrt(target / ratio)) AS INT) AS h FROM d),
     f AS (SELECT vec_id, arg_min({{'x': CAST(floor(ux * (64 - w)) AS INT), 'y': CAST(floor(uy * (48 - h)) AS INT), 'w': w, 'h': h}}, i) AS c FROM w WHERE w BETWEEN 1 AND 63 AND h BETWEEN 1 AND 47 GROUP BY vec_id)
     SELECT vec_id, coalesce(c.x, 0) AS x, coalesce(c.y, 0) AS y, coalesce(c.w, 63) AS w, coalesce(c.h, 48) AS h FROM embeddings LEFT JOIN f USING (vec_id)""")
@@ -374,7 +374,7 @@ _drawn("rain", lambda: effects.rain(*_KEYED(), 0.2, 3, 1, seed=42), f"CASE WHEN
 
 
 @query(f"""
-    WITH d AS (SELECT vec_id, i, ({_u('croparea', 'vec_id', 'i')} * (0.99 - 0.08)::DOUBLE + 0.08::DOUBLE) * 64 AS target, {_u('cropaspect', 'vec_id', 'i')} * (1.333 - 0.75)::DOUBLE + 0.75::DOUBLE AS ratio, {_u('cropx', 'vec_id', 'i')} AS ux, {_u('cropy', 'vec_id', 'i')} AS uy FROM embeddings, range(0, 20) r(i)),
+    WITH d AS (SELECT vec_id, i, ({_u('croparea', 'vec_id', 'i')} * 0.91::DOUBLE + 0.08::DOUBLE) * 64 AS target, {_u('cropaspect', 'vec_id', 'i')} * 0.583::DOUBLE + 0.75::DOUBLE AS ratio, {_u('cropx', 'vec_id', 'i')} AS ux, {_u('cropy', 'vec_id', 'i')} AS uy FROM embeddings, range(0, 20) r(i)),
     w AS (SELECT *, CAST(floor(sqrt(target * ratio)) AS INT) AS w, CAST(floor(sqrt(target / ratio)) AS INT) AS h FROM d),
     f AS (SELECT vec_id, arg_min({{'x': CAST(floor(ux * (8 - w)) AS INT), 'y': CAST(floor(uy * (8 - h)) AS INT), 'w': w, 'h': h}}, i) AS c FROM w WHERE w BETWEEN 1 AND 7 AND h BETWEEN 1 AND 7 GROUP BY vec_id),
     g AS (SELECT vec_id, {_PIXELS} AS v, coalesce(c.x, 0) AS cx, coalesce(c.y, 0) AS cy, coalesce(c.w, 8) AS cw, coalesce(c.h, 8) AS ch, unnest(range(0, 36)) AS i FROM embeddings LEFT JOIN f USING (vec_id)),
