@@ -49,3 +49,37 @@ def discrete(u: Column, values: Sequence, frequencies: Sequence[float]) -> Colum
         upto += frequency / total
         out = F.when(u < upto, F.lit(value)) if out is None else out.when(u < upto, F.lit(value))
     return F.lit(values[-1]) if out is None else out.otherwise(F.lit(values[-1]))
+
+
+#: The ranges from which an effect draws what it isn't given; whole ends mean whole numbers.
+RANGES = {
+    "brightness": {"alpha": (0.1, 1.95), "beta": (0.0, 25.0)},
+    "contrast": {"factor": (0.1, 1.95), "center": (60.0, 90.0)},
+    "gamma": {"value": (0.3, 7.0)},
+    "exposure": {"factor": (0.15, 0.95)},
+    "hue": {"degrees": (-359.0, 359.0)},
+    "saturation": {"factor": (-0.5, 0.5)},
+    "color_temperature": {"adjustment": (-99, 99)},
+    "color_twist": {"alpha": (0.1, 1.95), "beta": (0.1, 25.0), "degrees": (5.0, 170.0), "factor": (0.1, 0.4)},
+    "blend": {"ratio": (0.1, 0.9)},
+    "vignette": {"sdev": (40.0, 60.0)},
+    "rotate": {"degrees": (0.0, 180.0)},
+    "warp_affine": {"x0": (-0.35, 0.35), "x1": (0.65, 1.35), "y0": (-0.35, 0.35), "y1": (0.65, 1.35), "o0": (-10.0, 10.0), "o1": (-10.0, 10.0)},
+    "flip": {"horizontal": (0, 1), "vertical": (0, 1)},
+    "mirror": {"mirror": (0, 1)},
+    "snow": {"amount": (0.1, 0.8)},
+    "fog": {"intensity": (0.1, 0.5), "gray": (0.2, 0.8)},
+    "rain": {"transparency": (0.2, 0.3)},
+    "salt_and_pepper": {"noise": (0.1, 1.0), "salt": (0.1, 1.0), "salt_value": (0.1, 1.0), "pepper_value": (0.0, 0.5)},
+    "crop": {"drift_x": (0.01, 0.99), "drift_y": (0.01, 0.99), "height": (0.55, 0.95), "width": (0.55, 0.95)},
+}
+
+
+def drawn(effect: str, seed: int, key: Column, epoch: int | Column = 0, **given) -> dict[str, Column]:
+    """The parameters of an effect by name: those given, and draws from ``RANGES`` for the others."""
+    out = {}
+    for name, (low, high) in RANGES[effect].items():
+        u = uniform(seed, f"{effect} {name}", key, epoch)
+        pick = uniform_int if isinstance(low, int) else uniform_range
+        out[name] = given[name] if name in given else pick(u, low, high)
+    return out

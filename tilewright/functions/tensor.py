@@ -198,6 +198,39 @@ def slice_pad(v: Column, start, size, fill=0.0, policy: str = "pad") -> Column:
     return picked
 
 
+def window(v: Column, shape: Sequence, start: Sequence, size: Sequence, fill=0.0) -> Column:
+    """``size`` places along each axis from ``start`` on, those outside of ``shape`` filled; all may hold columns."""
+    shape, start, size = ([_col(x) for x in xs] for xs in (shape, start, size))
+    total = F.lit(1)
+    for n in size:
+        total = total * n
+
+    def one(i: Column) -> Column:
+        rest, flat, stride, inside = i, F.lit(0), F.lit(1), F.lit(True)
+        for extent, first, n in reversed(list(zip(shape, start, size))):
+            at = rest % n + first
+            inside, flat = inside & (at >= 0) & (at < extent), flat + at * stride
+            rest, stride = F.floor(rest / n), stride * extent
+        return F.when(inside, _at(v, flat)).otherwise(_num(fill))
+
+    return F.when(total > 0, F.transform(F.sequence(F.lit(0), total - 1), one)).otherwise(F.expr("cast(array() as array<double>)"))
+
+
+def slice_axes(v: Column, shape: Sequence[int], start: Sequence, size: Sequence, fill=0.0, policy: str = "error") -> Column:
+    """A slice along every axis; places outside are an error, filled ("pad") or left out ("trim")."""
+    first, long = [_col(x) for x in start], [_col(x) for x in size]
+    if policy == "trim":
+        low = [F.greatest(x, F.lit(0)) for x in first]
+        return window(v, shape, low, [F.greatest(F.lit(0), F.least(x + n, F.lit(m)) - lo) for x, n, m, lo in zip(first, long, shape, low)])
+    out = window(v, shape, first, long, fill)
+    if policy == "pad":
+        return out
+    beyond = F.lit(False)
+    for x, n, m in zip(first, long, shape):
+        beyond = beyond | (x < 0) | (x + n > m)
+    return F.when(beyond, F.raise_error(F.lit("slice out of bounds"))).otherwise(out)
+
+
 def resize_dims(w: int, h: int, dest_w: int = 0, dest_h: int = 0, mode: str = "default", limit: tuple[int, int] | None = None) -> tuple[int, int]:
     """Output (width, height). 0 leaves a side open.
 

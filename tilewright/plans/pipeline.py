@@ -8,6 +8,7 @@ written, joined or streamed as well as iterated.
 from __future__ import annotations
 
 import functools
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import rng
+from tilewright.operators import batches as grouped
 from tilewright.operators import sharding
 
 
@@ -35,6 +37,9 @@ class Pipeline:
     key: str = "sample_id"
     outputs: list[str] = field(default_factory=list)
     size: int | None = None
+    color_format: str = "rgb"
+    error: str = ""
+    seconds: dict[str, float] = field(default_factory=dict)
 
     def source(self, samples: DataFrame, key: str = "sample_id") -> Pipeline:
         self.plan, self.key = samples, key
@@ -54,10 +59,27 @@ class Pipeline:
         """A random parameter of each sample, anew each epoch."""
         return rng.uniform_range(rng.uniform(self.seed, name, F.col(self.key), self.epoch), low, high)
 
+    def drawn(self, effect: str, **given) -> dict[str, Column]:
+        """The parameters of an effect for each sample: those given, and draws from its default ranges."""
+        return rng.drawn(effect, self.seed, F.col(self.key), self.epoch, **given)
+
     def set_outputs(self, *names: str) -> Pipeline:
         self.outputs = list(names)
         return self
 
+    def verify(self) -> bool:
+        """Whether the plan has a source and all its outputs; if not, ``error`` says why. Nothing runs."""
+        missing = [c for c in [self.key, *self.outputs] if self.plan is None or c not in self.plan.columns]
+        self.error = "the pipeline has no source" if self.plan is None else f"no column named {', '.join(missing)}" if missing else ""
+        return not self.error
+
+    def augmentation_branches(self) -> int:
+        return len(self.outputs)
+
+    def output_maxima(self, *columns: str) -> dict[str, int]:
+        """The largest widths, heights or lengths of this data set, as buffers of one size need them."""
+        return grouped.output_maxima(self.plan, list(columns or self.outputs))
+
     def total(self) -> int:
         if self.size is None:
             self.size = self.plan.count()
@@ -97,10 +119,12 @@ class Pipeline:
 
     def batches(self) -> Iterator[dict[str, list]]:
         """Batches in order, a partition at a time: the driver holds one partition, not the data set."""
+        began = time.perf_counter()
         ordered = self.build().repartitionByRange("batch_id").sortWithinPartitions("batch_id", "slot")
+        self.seconds = {"build": time.perf_counter() - began, "wait": 0.0}
         names = [self.key, *[c for c in self.outputs if c != self.key]]
         current, rows = None, []
-        for row in ordered.toLocalIterator(prefetchPartitions=True):
+        for row in self._timed(ordered.toLocalIterator(prefetchPartitions=True)):
             if row["batch_id"] != current and rows:
                 yield {c: [r[c] for r in rows] for c in names}
                 rows = []
@@ -109,13 +133,25 @@ class Pipeline:
         if rows:
             yield {c: [r[c] for r in rows] for c in names}
 
+    def _timed(self, rows: Iterator) -> Iterator:
+        """``rows``; the time spent on waiting for them adds up in ``seconds``."""
+        while True:
+            began = time.perf_counter()
+            row = next(rows, None)
+            self.seconds["wait"] += time.perf_counter() - began
+            if row is None:
+                return
+            yield row
+
     def arrays(self, tensor: str, shape: tuple[int, ...], label: str | None = None, dtype: str = "float32") -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
         """Batches of one tensor as arrays of (batch, *shape), and of labels."""
         for batch in self.batches():
             yield np.asarray(batch[tensor], dtype).reshape(-1, *shape), None if label is None else np.asarray(batch[label])
 
-    def padded(self, ragged: str, width: int, fill: float = 0.0) -> Iterator[np.ndarray]:
-        """Batches of a ragged column, each row filled up or cut to ``width``."""
+    def padded(self, ragged: str, width: int | None = None, fill: float = 0.0) -> Iterator[np.ndarray]:
+        """Batches of a ragged column, each row filled up or cut to ``width``; by default the longest row's, so that none is cut."""
+        if width is None:
+            width = self.output_maxima(ragged)[ragged] or 0
         for batch in self.batches():
             out = np.full((len(batch[ragged]), width), fill, "float32")
             for i, values in enumerate(batch[ragged]):
@@ -130,7 +166,7 @@ def pipeline_def(function: Callable | None = None, **settings):
     Keyword arguments that name a setting go to the pipeline, others to the
     function; the function gets the pipeline first and returns output names.
     """
-    known = {f for f in Pipeline.__dataclass_fields__ if f not in ("plan", "key", "outputs", "size")}
+    known = {f for f in Pipeline.__dataclass_fields__ if f not in ("plan", "key", "outputs", "size", "error", "seconds")}
 
     def wrap(f: Callable):
         @functools.wraps(f)

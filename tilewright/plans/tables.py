@@ -292,6 +292,29 @@ def random_parameters(spark, d):
     )
 
 
+_RANGES = ", ".join(f"('{effect}', '{name}', {float(a)!r}::DOUBLE, {float(b)!r}::DOUBLE, {isinstance(a, int)})" for effect, own in rng.RANGES.items() for name, (a, b) in own.items())
+
+
+@query(f"""
+    WITH r(effect, parameter, low, high, whole) AS (VALUES {_RANGES}),
+    u AS (SELECT vec_id, r.*, ('0x' || substr(md5('42:' || effect || ' ' || parameter || ':0:' || vec_id || ':0'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM embeddings, r)
+    SELECT vec_id, effect, parameter, round(CASE WHEN whole THEN floor(u * (high - low + 1)) + low ELSE u * (high - low) + low END, 9) AS value FROM u""")
+def default_parameters(spark, d):
+    """What each effect draws for each sample where nothing is given."""
+    e = table(spark, d, "embeddings").select("vec_id")
+    each = [F.struct(F.lit(effect).alias("effect"), F.lit(name).alias("parameter"), F.round(c.cast("double"), 9).alias("value")) for effect in rng.RANGES for name, c in rng.drawn(effect, 42, F.col("vec_id")).items()]
+    return e.select("vec_id", F.explode(F.array(*each)).alias("p")).select("vec_id", "p.*")
+
+
+@query(f"""
+    WITH g AS (SELECT vec_id, v, i FROM (SELECT vec_id, {_PIXELS} AS v, unnest(range(0, 64)) AS i FROM embeddings))
+    SELECT vec_id, CAST(i AS INT) AS idx, greatest(0.0, least(255.0, floor(v[i + 1] * ({_u('brightness alpha', 'vec_id')} * 1.8499999999999999::DOUBLE + 0.1::DOUBLE) + 5.0::DOUBLE + 0.5))) AS value FROM g""")
+def brightness_drawn(spark, d):
+    """A factor drawn for each sample, a given offset."""
+    p = rng.drawn("brightness", 42, F.col("vec_id"), beta=5.0)
+    return long_form(vectors(spark, d, True).select("vec_id", T.brightness(F.col("v"), p["alpha"], p["beta"]).alias("v")), F.col("v"), 4)
+
+
 _C = lambda name: _u(f"crop{name}", "vec_id", "i")
 
 

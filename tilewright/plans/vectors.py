@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import audio as A
 from tilewright.functions import boxes as B
 from tilewright.functions import tensor as T
+from tilewright.operators import batches as BT
 from tilewright.operators import matching as M
 
 H = W = 8
@@ -84,6 +85,11 @@ tensor("permute", lambda: T.permute(v(), [4, 8, 2], [2, 0, 1]), _gather(64, "((i
 tensor("sequence_rearrange", lambda: F.flatten(T.sequence_rearrange(T.rows(v(), 8, 8), [7, 0, 0, 3])), _gather(32, "[7, 0, 0, 3][i // 8 + 1] * 8 + i % 8"))
 tensor("slice_pad", lambda: T.slice_pad(v(), 60, 8, 9.0), "list_transform(range(60, 68), lambda i: CASE WHEN i < 64 THEN v[i + 1] ELSE 9.0 END)")
 tensor("slice_trim", lambda: T.slice_pad(v(), 60, 8, policy="trim"), "v[61:64]")
+# A vector as 4 x 8 pixels of two channels, cut along all three axes.
+_CUT = lambda y, x, c: f"CASE WHEN {y} BETWEEN 0 AND 3 AND {x} BETWEEN 0 AND 7 AND {c} BETWEEN 0 AND 1 THEN v[CAST(({y} * 8 + {x}) * 2 + {c} AS BIGINT) + 1] ELSE -1 END"
+tensor("slice_axes", lambda: T.slice_axes(v(), [4, 8, 2], [1, F.col("label") % 4, 0], [2, 3, 1]), f"list_transform(range(0, 6), lambda i: {_CUT('(1 + i // 3)', '(label % 4 + i % 3)', '0')})")
+tensor("slice_axes_pad", lambda: T.slice_axes(v(), [4, 8, 2], [-1, 5, F.col("label") % 2], [3, 4, 2], -1.0, "pad"), f"list_transform(range(0, 24), lambda i: {_CUT('(i // 8 - 1)', '(5 + i // 2 % 4)', '(label % 2 + i % 2)')})")
+tensor("slice_axes_trim", lambda: T.slice_axes(v(), [4, 8, 2], [-1, 6, 0], [3, 4, 2], policy="trim"), f"list_transform(range(0, 8), lambda i: {_CUT('(i // 4)', '(6 + i // 2 % 2)', '(i % 2)')})")
 tensor("resize_nearest", lambda: T.resize_nearest(v(), H, W, 5, 3), _gather(15, "least(7, floor((i // 3 + 0.5) * (8 / 5.0))) * 8 + least(7, floor((i % 3 + 0.5) * (8 / 3.0)))"))
 _FY, _FX = "greatest(0.0, least(7.0, (i // 12 + 0.5) * (8 / 6.0) - 0.5))", "greatest(0.0, least(7.0, (i % 12 + 0.5) * (8 / 12.0) - 0.5))"
 _P = lambda y, x: f"v[CAST(least(7, floor({_FY}) + {y}) * 8 + least(7, floor({_FX}) + {x}) AS BIGINT) + 1]"
@@ -269,5 +275,37 @@ QUERIES["box_encoder"] = _encoded(False)
 ORACLES["box_encoder"] = _ENC + _ENC_ROW(["(l + r) / 2", "(t + b) / 2", "r - l", "b - t"], ["al + 15", "tp + 15", "30", "30"])
 QUERIES["box_encoder_offset"] = _encoded(True)
 ORACLES["box_encoder_offset"] = _ENC + _ENC_ROW(["((l + r) / 2 - al - 15) / 30 / 0.1", "((t + b) / 2 - tp - 15) / 30 / 0.1", "ln((r - l) / 30) / 0.2", "ln((b - t) / 30) / 0.2"], ["0", "0", "0", "0"])
+
+
+def _flat_encodings(spark: SparkSession, d: str) -> DataFrame:
+    """Labels and boxes of batches of 16 samples, end to end."""
+    out = M.encode(boxed(spark, d), ANCHORS, "vec_id", 0.3)
+    flat = BT.flat_encodings(out.select("*", F.floor(F.col("vec_id") / 16).alias("batch"), (F.col("vec_id") % 16).alias("slot")), "batch", "slot")
+    each = flat.select("batch", "boxes", F.posexplode("labels").alias("place", "label"))
+    return each.select("batch", "place", "label", *(F.round(F.get("boxes", F.col("place") * 4 + i), 5).alias(f"c{i}") for i in range(4)))
+
+
+QUERIES["encoded_batch"] = _flat_encodings
+ORACLES["encoded_batch"] = f"""
+    SELECT vec_id // 16 AS batch, CAST(row_number() OVER (PARTITION BY vec_id // 16 ORDER BY vec_id % 16, anchor_id) - 1 AS INT) AS place, label, c0, c1, c2, c3
+    FROM ({ORACLES["box_encoder"]})"""
+
+
+def _padded(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures of 1 to 4 rows and 1 to 5 columns, in batches of 8, filled up to the largest of their batch."""
+    e = vectors(spark, d, True)
+    shape = F.array((F.col("label") % 4 + 1).cast("int"), (F.col("vec_id") % 5 + 1).cast("int"))
+    cut = T.window(v(), [8, 8], [0, 0], [F.get("shape", F.lit(0)), F.get("shape", F.lit(1))])
+    small = e.withColumn("shape", shape).select("vec_id", F.floor(F.col("vec_id") / 8).alias("batch"), "shape", cut.alias("v"))
+    out = BT.pad_to_largest(small, "batch", "v", "shape", 2, -1.0)
+    return out.select("vec_id", F.array_join("padded_shape", "x").alias("shape"), F.posexplode("v").alias("idx", "value"))
+
+
+QUERIES["pad_to_largest"] = _padded
+ORACLES["pad_to_largest"] = f"""
+    WITH e AS (SELECT vec_id, vec_id // 8 AS batch, label % 4 + 1 AS h, vec_id % 5 + 1 AS w, {_PIXELS} AS v FROM embeddings),
+    m AS (SELECT *, max(h) OVER (PARTITION BY batch) AS mh, max(w) OVER (PARTITION BY batch) AS mw FROM e),
+    i AS (SELECT *, unnest(range(0, mh * mw)) AS i FROM m)
+    SELECT vec_id, mh || 'x' || mw AS shape, CAST(i AS INT) AS idx, CAST(CASE WHEN i // mw < h AND i % mw < w THEN v[CAST(i // mw * 8 + i % mw AS BIGINT) + 1] ELSE -1 END AS DOUBLE) AS value FROM i"""
 QUERIES["box_count"] = lambda spark, d: boxed(spark, d).select((F.col("vec_id") % 32).alias("batch"), F.filter("boxes", lambda a: B.area(a) > 200).alias("k")).groupBy("batch").agg(F.sum(F.size("k")).alias("n_boxes"))
 ORACLES["box_count"] = f"WITH {_BOXED} SELECT vec_id % 32 AS batch, CAST(count(*) FILTER ((r - l) * (b - t) > 200) AS BIGINT) AS n_boxes FROM bx GROUP BY 1"

@@ -32,14 +32,18 @@ def image_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = IM
     return folder_labels(files, "folder").select("path", "name", "folder", F.col("label").cast("int").alias("label"), "content")
 
 
-def decoded_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, height, width, channels, values): pixels decoded by Spark's image source, BGR turned to RGB; undecodable files are left out."""
-    images = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path).select("image.*")
+def decoded_images(spark: SparkSession, path: str, keep_failed: bool = False) -> DataFrame:
+    """(path, height, width, channels, values): pixels decoded by Spark's image source, BGR turned to RGB.
+
+    Undecodable files are left out, or with ``keep_failed`` have null values, so
+    that ``batches.replace_failed`` can find stand-ins for them.
+    """
+    images = spark.read.format("image").option("dropInvalid", str(not keep_failed).lower()).option("recursiveFileLookup", "true").load(path).select("image.*")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             values = [
-                np.frombuffer(d, np.uint8).reshape(h, w, c)[..., [*reversed(range(min(c, 3))), *range(3, c)]].astype(np.float64).ravel()
+                None if h < 0 else np.frombuffer(d, np.uint8).reshape(h, w, c)[..., [*reversed(range(min(c, 3))), *range(3, c)]].astype(np.float64).ravel()
                 for d, h, w, c in zip(f["data"], f["height"], f["width"], f["nChannels"])
             ]
             yield pd.DataFrame({"path": f["origin"], "height": f["height"], "width": f["width"], "channels": f["nChannels"], "values": values})
