@@ -309,3 +309,21 @@ def test_written_files_replace_append_and_leave_nothing_behind(spark, tmp_path):
     assert held() == {"a/x.bin", "b.bin", "c.bin"}
     frame("d.bin").write.format("files").mode("overwrite").save(path)
     assert held() == {"d.bin"}
+
+
+@pytest.mark.parametrize("step", [4, 36, 100, 1 << 20])
+def test_recordio_splits(spark, tmp_path, step):
+    magic = struct.pack("<I", records.RecordIOReader.MAGIC)
+    contents = [b"", magic * 9, b"x" * 50, b"abc" + magic + magic, magic, b"y" * 7] * 4
+    frame = spark.createDataFrame([(1, i, c) for i, c in enumerate(contents)], "label int, image_id long, content binary").coalesce(1)
+    frame.write.format("recordio").mode("append").save(str(tmp_path / "r"))
+    back = spark.read.format("recordio").option("splitBytes", step).load(str(tmp_path / "r"))
+    assert sorted((r.image_id, bytes(r.content)) for r in back.collect()) == list(enumerate(contents))
+    assert (back.rdd.getNumPartitions() > 1) == (step < 1000)
+
+
+def test_recordio_that_is_cut(spark, tmp_path):
+    whole = struct.pack("<II", records.RecordIOReader.MAGIC, 40) + bytes(40)
+    (tmp_path / "a.rec").write_bytes(whole[:30])
+    with pytest.raises(Exception, match="cut short"):
+        spark.read.format("recordio").load(str(tmp_path)).collect()

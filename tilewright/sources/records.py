@@ -1,7 +1,8 @@
 """Record formats as Python data sources: TFRecord, RecordIO, WebDataset and LMDB.
 
-Each archive file is a partition, read as a stream of records; an LMDB file is
-divided by the children of its root page. Formats: ``tfrecord``,
+Each archive file is a partition, read as a stream of records; RecordIO files
+are split by bytes, and an LMDB file is divided by the children of its root
+page. Formats: ``tfrecord``,
 ``recordio``, ``webdataset`` and ``lmdb``; ``register`` makes them known.
 ``sinks`` writes them.
 """
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,19 +34,26 @@ def open_path(path: str):
     return fs.LocalFileSystem(), os.path.abspath(path)
 
 
-def files_below(path: str, suffixes: tuple[str, ...]) -> list[str]:
-    """The path itself if it is a file, else the files below with one of the suffixes, sorted."""
+def sizes_below(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
+    """(path, bytes) of the path itself if it is a file, else of the files below with one of the suffixes, sorted."""
     system, base = open_path(path)
-    if system.get_file_info(base).type == fs.FileType.File:
-        return [path]
+    own = system.get_file_info(base)
+    if own.type == fs.FileType.File:
+        return [(path, own.size)]
     found = system.get_file_info(fs.FileSelector(base, recursive=True))
-    return sorted(f"{path.rstrip('/')}/{os.path.relpath(x.path, base)}" for x in found if x.type == fs.FileType.File and x.path.endswith(suffixes))
+    return sorted((f"{path.rstrip('/')}/{os.path.relpath(x.path, base)}", x.size) for x in found if x.type == fs.FileType.File and x.path.endswith(suffixes))
+
+
+def files_below(path: str, suffixes: tuple[str, ...]) -> list[str]:
+    return [p for p, _ in sizes_below(path, suffixes)]
 
 
 @dataclass
 class FilePart(InputPartition):
     path: str
     page: int = -1
+    start: int = 0
+    end: int = -1
 
 
 class FileReader(DataSourceReader):
@@ -153,26 +162,55 @@ class TFRecordReader(FileReader):
 
 
 class RecordIOReader(FileReader):
-    """Single-label records; those with a list of labels are passed over."""
+    """Single-label records; those with a list of labels are passed over.
+
+    A file is split every ``splitBytes``: the magic number stands at a multiple
+    of four only where a part of a record begins, so a reader that starts
+    anywhere finds the next record. Each range yields the records that begin in it.
+    """
 
     suffixes = (".rec",)
     MAGIC = 0xCED7230A
+    SPLIT_BYTES = 128 << 20
+    _BLOCK = 1 << 20
+
+    def partitions(self) -> list[InputPartition]:
+        step = int(self.options.get("splitbytes", self.options.get("splitBytes", self.SPLIT_BYTES)))
+        step = max(4, step - step % 4)
+        found = sizes_below(self.path, self.suffixes)
+        return [FilePart(p, start=a, end=min(a + step, n)) for p, n in found for a in range(0, n, step)] or [FilePart("")]
+
+    def _first(self, f, start: int, end: int) -> int:
+        """The first place in [start, end) at which a record begins, or ``end``."""
+        for at in range(start, end, self._BLOCK):
+            words = np.frombuffer(f.read_at(min(self._BLOCK, end - at) // 4 * 4, at), "<u4")
+            for k in np.flatnonzero(words == self.MAGIC).tolist():
+                head = f.read_at(8, at + 4 * k)
+                if len(head) < 8:
+                    raise ValueError("a record is cut short")
+                if struct.unpack("<II", head)[1] >> 29 in (0, 1):
+                    return at + 4 * k
+        return end
 
     def records(self, partition: FilePart) -> Iterator[tuple]:
-        system, path = open_path(partition.path)
-        with system.open_input_stream(path, compression=None) as f:
-            whole = b""
-            while head := f.read(8):
+        with _random_access(partition.path) as f:
+            at = self._first(f, partition.start, partition.end) if partition.start else 0
+            f.seek(at)
+            stream, whole, open_record = pa.BufferedInputStream(f, self._BLOCK), b"", False
+            while at < partition.end or open_record:
+                head = stream.read(8)
                 if len(head) != 8:
                     raise ValueError("a record is cut short")
                 magic, word = struct.unpack("<II", head)
                 if magic != self.MAGIC:
                     raise ValueError("not a RecordIO file")
                 part, size = word >> 29, word & (1 << 29) - 1
-                data = _exactly(f, size + -size % 4, "a record")[:size]
+                data = _exactly(stream, size + -size % 4, "a record")[:size]
+                at += 8 + size + -size % 4
                 # 1, 2 and 3 are the first, middle and last part of a record that holds the magic number.
                 whole = data if part in (0, 1) else whole + head[:4] + data
-                if part in (1, 2):
+                open_record = part in (1, 2)
+                if open_record:
                     continue
                 flag, label, first, second = struct.unpack_from("<IfQQ", whole)
                 if flag == 0:
