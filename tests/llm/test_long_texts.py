@@ -41,7 +41,8 @@ def test_operators(spark, docs):
     assert row(substring_dedup.dedup(docs.unionByName(docs.withColumn("doc_id", F.lit(1))))).text == LONG
     again = docs.withColumn("doc_id", F.col("doc_id") + 5)
     cut = substring_dedup.dedup(docs.unionByName(again)).where("doc_id = 6").first()
-    assert cut.text == "\n" + LONG.split("\n")[1] and cut.n_words is None
+    # Every later line of an equal digest goes, the short second line too.
+    assert cut.text == "\n" and cut.n_words is None
 
 
 def test_archive_and_chat(spark, docs):
