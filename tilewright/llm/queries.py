@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import bpe, chat, decontaminate, license, ogg, secrets, simhash, substring_dedup, toxicity, warc
+from tilewright.llm import bpe, chat, decontaminate, license, ogg, periodic, secrets, simhash, substring_dedup, toxicity, warc
 from tilewright.llm.words import literal_rows
 from tilewright.storage import new_path, written
 
@@ -99,7 +99,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_warc, op4_simhash, op5_ogg, op6_secrets, op7_toxicity, op8_chat, op9_license, op10_substring_dedup)}
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(periodic.looped(_table(spark, sf_dir, "documents")))
+    best = found.withColumn("best", periodic.longest(F.col("runs")))
+    length, period = F.col("best.length"), -F.col("best.below")
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.before")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.expr("1000 * best.length div -best.below").alias("exponent_milli"),
+        F.sha2(periodic.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_warc, op4_simhash, op5_ogg, op6_secrets, op7_toxicity, op8_chat, op9_license, op10_substring_dedup, op11_periodic)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
