@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import bpe, chat, decontaminate, license, ogg, periodic, secrets, simhash, substring_dedup, toxicity, warc
+from tilewright.llm import bpe, chat, decontaminate, divergence, license, ogg, periodic, secrets, simhash, substring_dedup, topk, toxicity, warc
 from tilewright.llm.words import literal_rows
 from tilewright.storage import new_path, written
 
@@ -115,7 +115,15 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_warc, op4_simhash, op5_ogg, op6_secrets, op7_toxicity, op8_chat, op9_license, op10_substring_dedup, op11_periodic)}
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_warc, op4_simhash, op5_ogg, op6_secrets, op7_toxicity, op8_chat, op9_license, op10_substring_dedup, op11_periodic, op12_topk, op13_divergence)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -167,6 +175,38 @@ ORACLES = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
             coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
         FROM d LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id)""",
+    "op12_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 10""",
+    "op13_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+        k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT id) >= {divergence.MIN_DOCS}),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        s AS (
+            SELECT g.lang, g.source, coalesce((SELECT sum(n) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0) AS size,
+                (SELECT count(*) FROM k WHERE k.lang = g.lang) AS v FROM g),
+        l AS (SELECT lang, sum(size) AS size FROM s GROUP BY lang),
+        p AS (
+            SELECT s.lang, s.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000 * CAST(coalesce(n, 0) + 5 AS HUGEINT)) // CAST(size + 5 * v AS HUGEINT) AS p
+            FROM s JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        q AS (
+            SELECT p.lang, term, 1 + (1000000000 * CAST(sum(n) + 5 AS HUGEINT)) // CAST(any_value(l.size) + 5 * (SELECT count(*) FROM k WHERE k.lang = p.lang) AS HUGEINT) AS q
+            FROM p JOIN l USING (lang) GROUP BY p.lang, term),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pair AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+        term AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+        FROM (SELECT * FROM pair UNION ALL SELECT * FROM term) QUALIFY part = 'pair' OR rank <= 50""",
     "op8_chat": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
