@@ -1,12 +1,13 @@
 """Term statistics by language and source, with strings joined back late.
 
-Counting shuffles digests of a fixed width instead of terms. Only terms that
-enough documents of their language hold are kept, so a digest below that number
-of documents needs no string at all. For the digests that are left, a second
-scan brings their least and their greatest string: where both are equal the
-digest stands for one term; where they differ it is split, and a third scan
-counts its strings by themselves. Text is joined to statistics only for the
-rows that a report keeps.
+Counting shuffles digests of a fixed width instead of terms. A first scan counts
+the documents of each digest, and only terms that enough documents of their
+language hold are kept, so a digest below that number needs no string at all.
+For the digests that are left a second scan counts occurrences by source, and a
+third brings their least and their greatest string: where both are equal the
+digest stands for one term; where they differ it is split, and its strings are
+counted by themselves. Text is joined to statistics only for the rows that a
+report keeps.
 
 A digest's number of documents is at least that of each of its terms, so no
 term is lost to a collision, and a split digest's terms are held to the bound
@@ -24,7 +25,7 @@ in proportion; an empty table gives empty tables; extra columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,9 @@ SMOOTH, SCALE = 5, 1_000_000_000
 TOP = 50
 #: Width of a digest.
 BITS = 64
-#: Different terms that a task holds before it hands their counts on.
-HELD = 200_000
-#: Kept digests that are broadcast to the scan for their strings; beyond it the join shuffles.
+#: Different terms of groups that a task holds before it hands their counts on.
+HELD = 400_000
+#: Digests that tasks hold, to keep a scan to them; beyond it they are joined.
 BROADCAST_ROWS = 1_000_000
 
 #: ASCII: letters count, A-Z as a-z, all others end a term. Bytes beyond it belong to non-ASCII characters and count.
@@ -58,19 +59,27 @@ def _digests(terms: list[bytes], bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).view(np.int64)
 
 
-def _counts(docs: DataFrame, bits: int, text: bool) -> DataFrame:
-    """(lang, source, digest, n, docs) of the terms of each task, several times if it holds many; with ``text`` also the term."""
-    names = ["lang", "source", "digest", "n", "docs"] + ["term"] * text
+def _scan(docs: DataFrame, bits: int, by_source: bool, value: str = "n", text: bool = False, only: dict[str, np.ndarray] | None = None) -> DataFrame:
+    """(lang, source, digest, value): for the terms of each task their occurrences, or with value "docs" their documents; with ``text`` also the term.
+
+    A task that holds many terms hands them on in between. Without ``by_source``
+    all sources of a language count as one. ``only`` names digests by language
+    and passes over all others.
+    """
+    names = ["lang", "source", "digest", value] + ["term"] * text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[Counter, Counter]] = {}
+        held: dict[tuple, Counter] = {}
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, present) in held.items():
-                terms = list(n)
-                columns = [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(_digests(terms, bits))]
-                columns += [pa.array(n.values(), pa.int64()), pa.array((present[t] for t in terms), pa.int64())]
-                columns += [pa.array(terms, pa.binary()).cast(pa.string())] * text
+            for (lang, source), counts in held.items():
+                terms, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+                digests = _digests(terms, bits)
+                if only is not None:
+                    which = np.flatnonzero(np.isin(digests, only.get(lang, [])))
+                    digests, n, terms = digests[which], n[which], [terms[i] for i in which.tolist()] if text else which
+                columns = [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array(digests), pa.array(n)]
+                columns += [pa.array(terms, pa.binary()).cast(pa.string())] if text else []
                 yield pa.RecordBatch.from_arrays(columns, names=names)
             held.clear()
 
@@ -78,37 +87,43 @@ def _counts(docs: DataFrame, bits: int, text: bool) -> DataFrame:
         for batch in batches:
             for lang, source, body in zip(*(batch.column(i) for i in range(3))):
                 key = (lang.as_py(), source.as_py())
-                if key not in held:
-                    held[key] = (Counter(), Counter())
-                n, present = held[key]
-                size -= len(n)
+                counts = held.get(key)
+                if counts is None:
+                    counts = held[key] = Counter()
+                size -= len(counts)
                 words = terms_of(body.as_py())
-                n.update(words)
-                present.update(set(words))
-                size += len(n)
+                counts.update(set(words) if value == "docs" else words)
+                size += len(counts)
                 if size > HELD:
                     yield from rows()
                     size = 0
         yield from rows()
 
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
-    kinds = "lang string, source string, digest long, n long, docs long" + ", term string" * text
-    return docs.select(*_group(docs), body).mapInArrow(run, kinds)
+    lang, source = _group(docs)
+    kinds = f"lang string, source string, digest long, {value} long" + ", term string" * text
+    return docs.select(lang, source if by_source else F.lit(None).cast("string").alias("source"), body).mapInArrow(run, kinds)
 
 
 def _group(docs: DataFrame) -> list[Column]:
     return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
 
 
-def _kept(counts: DataFrame, key: list[str], min_docs: int) -> DataFrame:
-    """Counts by ``key`` and source of the keys that enough documents hold, with ``total``, the count in the language.
+def _by_source(counts: DataFrame, key: list[str]) -> DataFrame:
+    """(*key, source, n, total): sums by source, and ``total`` over all sources.
 
-    Dealt by key alone, so that one shuffle serves the sums of a source and of the language.
+    Dealt by key alone, so that one shuffle serves both sums.
     """
-    by_source = counts.repartition(*key).groupBy(*key, "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    whole = Window.partitionBy(*key)
-    both = by_source.withColumns({"docs": F.sum("docs").over(whole), "total": F.sum("n").over(whole)})
-    return both.where(F.col("docs") >= min_docs).drop("docs")
+    sums = counts.repartition(*key).groupBy(*key, "source").agg(F.sum("n").alias("n"))
+    return sums.withColumn("total", F.sum("n").over(Window.partitionBy(*key)))
+
+
+def _within(digests: DataFrame) -> tuple[dict[str, np.ndarray] | None, Callable[[DataFrame], DataFrame]]:
+    """How a scan keeps to (lang, digest): by a list that tasks hold if its size allows, else by a join."""
+    if digests.count() > BROADCAST_ROWS:
+        return None, lambda scanned: scanned.join(digests, ["lang", "digest"])
+    found = digests.toPandas()
+    return {lang: np.sort(some.to_numpy(np.int64)) for lang, some in found.groupby("lang")["digest"]}, lambda scanned: scanned
 
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
@@ -117,21 +132,21 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, bits: int = BITS) -> t
     ``part`` numbers the terms of a digest that stands for several, and is 0 for all others.
     """
     key = ["lang", "digest"]
-    counted = written(_kept(_counts(docs, bits, False), key, min_docs), "counts")
-    digests = counted.select(*key).distinct()
-    small = F.broadcast if digests.count() <= BROADCAST_ROWS else lambda df: df
-    strings = _counts(docs, bits, True).select(*key, "term").join(small(digests), key)
-    strings = written(strings.groupBy(*key).agg(F.min("term").alias("term"), F.max("term").alias("greatest")), "strings")
+    often = _scan(docs, bits, False, "docs").groupBy(*key).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
+    only, held_to = _within(written(often.select(*key), "digests"))
+    counted = written(_by_source(held_to(_scan(docs, bits, True, only=only)), key), "counts")
+    strings = held_to(_scan(docs, bits, False, "docs", True, only)).groupBy(*key).agg(F.min("term").alias("term"), F.max("term").alias("greatest"))
+    strings = written(strings, "strings")
     clear = strings.where("term = greatest").select(*key, F.lit(0).alias("part"), "term")
     mixed = strings.where("term <> greatest").select(*key)
     if mixed.isEmpty():
         return counted.withColumn("part", F.lit(0)), clear
-    small = F.broadcast if mixed.count() <= BROADCAST_ROWS else lambda df: df
-    apart = written(_kept(_counts(docs, bits, True).join(small(mixed), key), [*key, "term"], min_docs), "split")
-    named = written(
-        apart.select(*key, "term").distinct().withColumn("part", F.row_number().over(Window.partitionBy(*key).orderBy("term"))), "named"
-    )
-    split = apart.join(named, [*key, "term"]).select(*key, "part", "source", "n", "total")
+    only, held_to = _within(mixed)
+    whole = [*key, "term"]
+    often = held_to(_scan(docs, bits, False, "docs", True, only)).groupBy(*whole).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
+    named = written(often.select(*whole, F.row_number().over(Window.partitionBy(*key).orderBy("term")).alias("part")), "named")
+    apart = _by_source(held_to(_scan(docs, bits, True, "n", True, only)), whole).join(named, whole)
+    split = apart.select(*key, "part", "source", "n", "total")
     # Mixed digests go, by a join that keeps only what stands for one term.
     single = counted.join(clear.select(*key, "part"), key)
     return written(single.select(*split.columns).unionByName(split), "counts"), clear.unionByName(named.select(clear.columns))
