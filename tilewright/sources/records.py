@@ -1,26 +1,29 @@
-"""Record formats as Python data sources: TFRecord, RecordIO, WebDataset and LMDB.
+"""Record formats as Python data sources: TFRecord, RecordIO, WebDataset, LMDB, fixed records and whole files.
 
 Each archive file is a partition, read as a stream of records; RecordIO files
 are split by bytes, and an LMDB file is divided by the children of its root
-page. Formats: ``tfrecord``,
-``recordio``, ``webdataset`` and ``lmdb``; ``register`` makes them known.
-``sinks`` writes them.
+page. With a table of splits (``splits.index``) every format is planned by it,
+and only the splits of one shard are. Formats: ``tfrecord``, ``recordio``,
+``webdataset``, ``lmdb``, ``fixed`` and ``files``; ``register`` makes them
+known. ``sinks`` writes them.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import tarfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
 from tilewright.sources import wire
 
@@ -50,10 +53,35 @@ def files_below(path: str, suffixes: tuple[str, ...]) -> list[str]:
 
 @dataclass
 class FilePart(InputPartition):
+    """A file or a range of it; ``first`` numbers its first record, ``skip`` records are passed over and ``take`` are read (-1: all)."""
+
     path: str
     page: int = -1
     start: int = 0
     end: int = -1
+    first: int = 0
+    skip: int = 0
+    take: int = -1
+
+
+def splits_of(where: str) -> list[dict]:
+    """The splits that ``splits.index`` stored, by path and first record."""
+    system, inner = open_path(where)
+    with system.open_input_stream(inner, compression=None) as f:
+        return [json.loads(x) for x in f.read().decode().splitlines()]
+
+
+def shard_parts(where: str, shard: int, shards: int) -> list[FilePart]:
+    """The splits, or parts of them, that hold the records of one shard."""
+    found = splits_of(where)
+    n = sum(s["count"] for s in found)
+    low, high, at, out = n * shard // shards, n * (shard + 1) // shards, 0, []
+    for s in found:
+        a, b = max(low, at), min(high, at + s["count"])
+        if a < b:
+            out.append(FilePart(s["path"], s["start"], s["start"], s["end"], s["first"], a - at, b - a))
+        at += s["count"]
+    return out
 
 
 class FileReader(DataSourceReader):
@@ -63,12 +91,18 @@ class FileReader(DataSourceReader):
         self.path, self.options = options["path"], dict(options)
 
     def partitions(self) -> list[InputPartition]:
-        # At least one, as the reader must yield something to run.
-        return [FilePart(p) for p in files_below(self.path, self.suffixes)] or [FilePart("")]
+        """By the table of splits if there is one; at least one part, as the reader must yield something to run."""
+        if "index" in self.options:
+            shard, shards = (int(self.options.get(k, d)) for k, d in (("shard", 0), ("shards", 1)))
+            return shard_parts(self.options["index"], shard, shards) or [FilePart("")]
+        return self.parts() or [FilePart("")]
+
+    def parts(self) -> list[InputPartition]:
+        return [FilePart(p) for p in files_below(self.path, self.suffixes)]
 
     def read(self, partition: FilePart) -> Iterator[tuple]:
         if partition.path:
-            yield from self.records(partition)
+            yield from islice(self.records(partition), partition.take if partition.take >= 0 else None)
 
     def records(self, partition: FilePart) -> Iterator[tuple]:
         raise NotImplementedError
@@ -136,29 +170,42 @@ def masked_crc(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+_BUFFER = 1 << 20
+
+
+def tfrecord_length(head: bytes, n: int | None = None) -> int:
+    """The length in a record's 12-byte header, if its checksum is right."""
+    if len(head) != 12:
+        raise ValueError("a record is cut short")
+    size, crc = struct.unpack("<QI", head)
+    if masked_crc(head[:8]) != crc:
+        raise ValueError(f"wrong checksum of {'a record' if n is None else f'record {n}'}'s length")
+    return size
+
+
 class TFRecordReader(FileReader):
     suffixes = (".tfrecord", ".tfrecords", ".record")
 
     def records(self, partition: FilePart) -> Iterator[tuple]:
         check = str(self.options.get("verify", "true")).lower() == "true"
-        system, path = open_path(partition.path)
-        with system.open_input_stream(path, compression=None) as f:
-            n = 0
-            while head := f.read(12):
-                if len(head) != 12:
-                    raise ValueError("a record is cut short")
-                size, crc = struct.unpack("<QI", head)
-                if masked_crc(head[:8]) != crc:
-                    raise ValueError(f"wrong checksum of record {n}'s length")
-                data, (crc,) = _exactly(f, size, "a record"), struct.unpack("<I", _exactly(f, 4, "a record"))
+        name = os.path.basename(open_path(partition.path)[1])
+        with _random_access(partition.path) as f:
+            at, n = partition.start, partition.first + partition.skip
+            for _ in range(partition.skip):
+                at += 16 + tfrecord_length(f.read_at(12, at))
+            f.seek(at)
+            stream = pa.BufferedInputStream(f, _BUFFER)
+            while (partition.end < 0 or at < partition.end) and (head := stream.read(12)):
+                size = tfrecord_length(head, n)
+                data, (crc,) = _exactly(stream, size, "a record"), struct.unpack("<I", _exactly(stream, 4, "a record"))
                 if check and masked_crc(data) != crc:
                     raise ValueError(f"wrong checksum of record {n}")
                 kinds: tuple[dict, dict, dict] = ({}, {}, {})
-                for name, values in wire.example(data).items():
+                for key, values in wire.example(data).items():
                     which = 0 if values and isinstance(values[0], bytes) else 1 if values and isinstance(values[0], float) else 2
-                    kinds[which][name] = values
-                yield (os.path.basename(path), n, *kinds)
-                n += 1
+                    kinds[which][key] = values
+                yield (name, n, *kinds)
+                at, n = at + 16 + size, n + 1
 
 
 class RecordIOReader(FileReader):
@@ -174,11 +221,10 @@ class RecordIOReader(FileReader):
     SPLIT_BYTES = 128 << 20
     _BLOCK = 1 << 20
 
-    def partitions(self) -> list[InputPartition]:
+    def parts(self) -> list[InputPartition]:
         step = int(self.options.get("splitbytes", self.options.get("splitBytes", self.SPLIT_BYTES)))
         step = max(4, step - step % 4)
-        found = sizes_below(self.path, self.suffixes)
-        return [FilePart(p, start=a, end=min(a + step, n)) for p, n in found for a in range(0, n, step)] or [FilePart("")]
+        return [FilePart(p, start=a, end=min(a + step, n)) for p, n in sizes_below(self.path, self.suffixes) for a in range(0, n, step)]
 
     def _first(self, f, start: int, end: int) -> int:
         """The first place in [start, end) at which a record begins, or ``end``."""
@@ -192,12 +238,33 @@ class RecordIOReader(FileReader):
                     return at + 4 * k
         return end
 
+    def heads(self, f, start: int, end: int) -> Iterator[int]:
+        """Places of the single-label records that begin in the range; bodies are passed over."""
+        at, begun, open_record = self._first(f, start, end) if start else 0, 0, False
+        while at < end or open_record:
+            head = f.read_at(12, at)
+            if len(head) < 8 or struct.unpack_from("<I", head)[0] != self.MAGIC:
+                raise ValueError("not a RecordIO file")
+            part, size = struct.unpack_from("<I", head, 4)[0] >> 29, struct.unpack_from("<I", head, 4)[0] & (1 << 29) - 1
+            begun = at if part in (0, 1) else begun
+            if part in (0, 1):
+                # The number may stand where the flag is; then the flag isn't zero.
+                single = size >= 4 and head[8:12] == b"\0\0\0\0"
+            open_record = part in (1, 2)
+            if single and not open_record:
+                yield begun
+            at += 8 + size + -size % 4
+
     def records(self, partition: FilePart) -> Iterator[tuple]:
         with _random_access(partition.path) as f:
-            at = self._first(f, partition.start, partition.end) if partition.start else 0
+            if partition.skip:
+                at = next(islice(self.heads(f, partition.start, partition.end), partition.skip, None), partition.end)
+            else:
+                at = self._first(f, partition.start, partition.end) if partition.start else 0
             f.seek(at)
             stream, whole, open_record = pa.BufferedInputStream(f, self._BLOCK), b"", False
-            while at < partition.end or open_record:
+            end = partition.end if partition.end >= 0 else f.size()
+            while at < end or open_record:
                 head = stream.read(8)
                 if len(head) != 8:
                     raise ValueError("a record is cut short")
@@ -217,6 +284,21 @@ class RecordIOReader(FileReader):
                     yield str(first), int(label), first, second, whole[24:]
 
 
+def sample_name(member: str) -> tuple[str, str]:
+    """(sample, extension) of a tar member: up to and after the first dot of the base name."""
+    folder, _, base = member.rpartition("/")
+    stem, _, extension = base.partition(".")
+    return f"{folder}/{stem}" if folder else stem, extension
+
+
+def index_width(head: bytes) -> int:
+    """Fields that an index has for each component: extension, offset and size, and but in version 1.1 a name."""
+    version, *_ = head.split() or [b""]
+    if not version.startswith(b"v1."):
+        raise ValueError(f"not an index of version 1: {head[:20]!r}")
+    return 3 if version == b"v1.1" else 4
+
+
 class WebDatasetReader(FileReader):
     """Members of a tar are grouped by name up to the first dot of the base name; groups stand together in the file."""
 
@@ -224,30 +306,74 @@ class WebDatasetReader(FileReader):
 
     def records(self, partition: FilePart) -> Iterator[tuple]:
         system, path = open_path(partition.path)
+        if "index" in self.options:
+            yield from self._listed(system, path, partition)
+            return
         with system.open_input_stream(path, compression=None) as f, tarfile.open(fileobj=f, mode="r|*") as tar:
             key, parts = None, {}
             for member in tar:
                 if not member.isfile():
                     continue
-                folder, _, base = member.name.rpartition("/")
-                stem, _, ext = base.partition(".")
-                name = f"{folder}/{stem}" if folder else stem
+                name, extension = sample_name(member.name)
                 if name != key and parts:
                     yield os.path.basename(path), key, parts
                     parts = {}
                 key = name
-                parts[ext] = tar.extractfile(member).read()
+                parts[extension] = tar.extractfile(member).read()
             if parts:
                 yield os.path.basename(path), key, parts
 
+    def _listed(self, system, path: str, partition: FilePart) -> Iterator[tuple]:
+        """The samples of a range of lines of the tar's index: one read for each, from its first component to its last.
+
+        Samples of an index without names are called by the number of their line, from 1.
+        """
+        with system.open_input_file(path.removesuffix(".tar") + ".idx") as f:
+            width = index_width(f.read_at(64, 0))
+            lines = f.read_at(partition.end - partition.start, partition.start).decode().splitlines()
+        with system.open_input_file(path) as tar:
+            for number, line in enumerate(lines[partition.skip :], partition.first + partition.skip + 1):
+                fields = line.split()
+                if not fields or len(fields) % width:
+                    raise ValueError(f"line {number} of the index of {path} is broken")
+                parts = [(e, int(o), int(n)) for e, o, n in zip(fields[::width], fields[1::width], fields[2::width])]
+                start, end = min(o for _, o, _ in parts), max(o + n for _, o, n in parts)
+                data = tar.read_at(end - start, start)
+                if len(data) != end - start:
+                    raise ValueError(f"{path} ends before the sample of line {number}")
+                key = sample_name(fields[3])[0] if width == 4 else str(number)
+                yield os.path.basename(path), key, {e: data[o - start : o - start + n] for e, o, n in parts}
+
 
 class LmdbReader(FileReader):
-    """Keys and values in key order, from the newer of the two meta pages; read by offset, never mapped."""
+    """Keys and values in key order, from the newer of the two meta pages; read by offset, never mapped.
+
+    Comparisons of ``name`` with ASCII text are followed down the tree: pages
+    whose keys all lie outside are not read. (ASCII text is ordered alike
+    before and after keys are decoded, whatever bytes they hold.)
+    """
 
     suffixes = ("data.mdb",)
     BRANCH, LEAF, BIG = 1, 2, 1
-
-    def partitions(self) -> list[InputPartition]:
+    low: bytes | None = None
+    high: bytes | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Bounds from what can be followed; Spark tests every row again, as bounds are inclusive."""
+        for f in filters:
+            name, value = getattr(f, "attribute", ()), getattr(f, "value", None)
+            # A split's records are counted, so none may be left out where splits come from a table.
+            if name == ("name",) and isinstance(value, str) and value.isascii() and "index" not in self.options:
+                key = value.encode()
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, StringStartsWith)):
+                    self.low = key if self.low is None else max(self.low, key)
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual, StringStartsWith)):
+                    # No key that begins so is above this.
+                    key += b"\xff" * 511 if isinstance(f, StringStartsWith) else b""
+                    self.high = key if self.high is None else min(self.high, key)
+            yield f
+
+    def parts(self) -> list[InputPartition]:
         out = []
         for path in files_below(self.path, self.suffixes):
             with _random_access(path) as f:
@@ -255,14 +381,26 @@ class LmdbReader(FileReader):
                 if root != (1 << 64) - 1:
                     page = self._page(f, size, root)
                     flags = struct.unpack_from("<H", page, 10)[0]
-                    roots = [child for child, _ in self._children(page)] if flags & self.BRANCH else [root]
+                    roots = list(self._inside(page)) if flags & self.BRANCH else [root]
                     out += [FilePart(path, r) for r in roots]
-        return out or [FilePart("")]
+        return out
 
     def records(self, partition: FilePart) -> Iterator[tuple]:
+        skip = partition.skip
         with _random_access(partition.path) as f:
             size, _ = self._root(f)
-            yield from self._walk(f, size, partition.page)
+            # A table of splits has the page where other formats have the range's start.
+            for page in self._leaves(f, size, partition.start if "index" in self.options else partition.page):
+                n = self._entries(page)
+                if skip >= n:
+                    skip -= n
+                    continue
+                yield from self._values(f, size, page, skip)
+                skip = 0
+
+    def count(self, f, page: int) -> int:
+        """Entries below a page; values aren't read."""
+        return sum(map(self._entries, self._leaves(f, self._root(f)[0], page)))
 
     def _root(self, f) -> tuple[int, int]:
         head = f.read_at(152, 0)
@@ -276,23 +414,37 @@ class LmdbReader(FileReader):
     def _page(self, f, size: int, number: int) -> bytes:
         return f.read_at(size, number * size)
 
+    def _entries(self, page: bytes) -> int:
+        return (struct.unpack_from("<H", page, 12)[0] - 16) // 2
+
     def _nodes(self, page: bytes) -> Iterator[tuple[int, int, int, int, int]]:
         lower = struct.unpack_from("<H", page, 12)[0]
         for (at,) in struct.iter_unpack("<H", page[16:lower]):
             yield at, *struct.unpack_from("<HHHH", page, at)
 
-    def _children(self, page: bytes) -> Iterator[tuple[int, bytes]]:
-        for at, lo, hi, flags, n in self._nodes(page):
-            yield lo | hi << 16 | flags << 32, page[at + 8 : at + 8 + n]
-
-    def _walk(self, f, size: int, number: int) -> Iterator[tuple[str, bytes]]:
+    def _inside(self, page: bytes) -> Iterator[int]:
+        """Children of a branch page whose keys may lie within the bounds: a child's keys end where the next one's begin."""
+        nodes = [(lo | hi << 16 | flags << 32, page[at + 8 : at + 8 + n]) for at, lo, hi, flags, n in self._nodes(page)]
+        for i, (child, key) in enumerate(nodes):
+            after = nodes[i + 1][1] if i + 1 < len(nodes) else None
+            below = self.low is not None and after is not None and after <= self.low
+            above = self.high is not None and i > 0 and key > self.high
+            if not below and not above:
+                yield child
+
+    def _leaves(self, f, size: int, number: int) -> Iterator[bytes]:
         page = self._page(f, size, number)
         if struct.unpack_from("<H", page, 10)[0] & self.BRANCH:
-            for child, _ in self._children(page):
-                yield from self._walk(f, size, child)
-            return
-        for at, lo, hi, flags, n in self._nodes(page):
+            for child in self._inside(page):
+                yield from self._leaves(f, size, child)
+        else:
+            yield page
+
+    def _values(self, f, size: int, page: bytes, skip: int) -> Iterator[tuple[str, bytes]]:
+        for at, lo, hi, flags, n in islice(self._nodes(page), skip, None):
             key, length = page[at + 8 : at + 8 + n], lo | hi << 16
+            if (self.low is not None and key < self.low) or (self.high is not None and key > self.high):
+                continue
             if flags & self.BIG:
                 (first,) = struct.unpack_from("<Q", page, at + 8 + n)
                 value = f.read_at(length, first * size + 16)
@@ -301,12 +453,72 @@ class LmdbReader(FileReader):
             yield key.decode("utf-8", "replace"), value
 
 
+class FixedReader(FileReader):
+    """Records of ``recordBytes`` each, files split at whole records."""
+
+    SPLIT_BYTES = 128 << 20
+
+    def __init__(self, options: dict) -> None:
+        super().__init__(options)
+        self.size = int(options.get("recordbytes", options.get("recordBytes", 0)))
+        if self.size < 1:
+            raise ValueError("recordBytes says how many bytes a record has")
+
+    def parts(self) -> list[InputPartition]:
+        step = max(1, self.SPLIT_BYTES // self.size) * self.size
+        return [FilePart(p, start=a, end=min(a + step, n), first=a // self.size) for p, n in sizes_below(self.path, self.suffixes) for a in range(0, n, step)]
+
+    def records(self, partition: FilePart) -> Iterator[tuple]:
+        name = os.path.basename(open_path(partition.path)[1])
+        with _random_access(partition.path) as f:
+            f.seek(partition.start + partition.skip * self.size)
+            stream = pa.BufferedInputStream(f, _BUFFER)
+            for at in range(f.tell(), partition.end, self.size):
+                yield name, at // self.size, _exactly(stream, self.size, "a record")
+
+
+@dataclass
+class FileGroup(InputPartition):
+    """Small files that one task reads."""
+
+    parts: list
+
+
+class WholeFileReader(FileReader):
+    """A file is a record; its path is the part below the folder. Small files share a task."""
+
+    GROUP_BYTES, OPEN_BYTES = 128 << 20, 4 << 20
+
+    def parts(self) -> list[InputPartition]:
+        return [FilePart(p, end=n) for p, n in sizes_below(self.path, self.suffixes)]
+
+    def partitions(self) -> list[InputPartition]:
+        groups, held = [], 0
+        for part in super().partitions():
+            cost = part.end - part.start + self.OPEN_BYTES
+            if not groups or held + cost > self.GROUP_BYTES:
+                groups.append(FileGroup([]))
+                held = 0
+            groups[-1].parts.append(part)
+            held += cost
+        return groups
+
+    def read(self, partition: FileGroup) -> Iterator[tuple]:
+        for part in partition.parts:
+            yield from super().read(part)
+
+    def records(self, partition: FilePart) -> Iterator[tuple]:
+        system, path = open_path(partition.path)
+        with system.open_input_stream(path, compression=None) as f:
+            yield os.path.relpath(path, open_path(self.path)[1]), f.read()
+
+
 def _random_access(path: str):
     system, inner = open_path(path)
     return system.open_input_file(inner)
 
 
-def _source(label: str, columns: str, kind: type[FileReader] | None) -> type[DataSource]:
+def _source(label: str, columns: str, kind: type[FileReader]) -> type[DataSource]:
     class Source(DataSource):
         @classmethod
         def name(cls) -> str:
@@ -316,8 +528,6 @@ def _source(label: str, columns: str, kind: type[FileReader] | None) -> type[Dat
             return columns
 
         def reader(self, schema):
-            if kind is None:
-                raise ValueError(f"{label} is written and not read")
             return kind(self.options)
 
         def writer(self, schema, overwrite: bool):
@@ -333,12 +543,14 @@ SOURCES = {
     "recordio": ("name string, label int, image_id long, image_id2 long, content binary", RecordIOReader),
     "webdataset": ("file string, key string, components map<string,binary>", WebDatasetReader),
     "lmdb": ("name string, value binary", LmdbReader),
-    "fixed": ("content binary", None),
-    "files": ("path string, content binary", None),
+    "fixed": ("file string, record long, content binary", FixedReader),
+    "files": ("path string, content binary", WholeFileReader),
 }
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the formats known, and lets Spark hand comparisons down to them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for label, (columns, kind) in SOURCES.items():
         spark.dataSource.register(_source(label, columns, kind))
 

@@ -4,7 +4,11 @@
 task writes under a folder of its own write, whose name readers pass over; the
 driver moves the files of the tasks that count when all are done, so retried
 and lost tasks leave nothing that is read. Files are closed at about
-``maxFileBytes``.
+``maxFileBytes``, so there are few to move, and are named by their task's
+number, so that their order is that of the partitions. Where a file holds one
+row, tasks put it in its place themselves: a task that runs again writes the
+same names, and the driver has nothing to do for a row. With ``overwrite`` old
+files go when the new ones are in place.
 
 ======================  ===============================================================
 ``tfrecord``            bytes, floats, ints: maps from a feature's name to its values
@@ -28,6 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import BinaryType, StructType
@@ -38,6 +43,11 @@ from tilewright.sources.records import RecordIOReader, files_below, masked_crc,
 MAX_FILE_BYTES = 64 << 20
 
 
+def _task() -> int:
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
+
+
 @dataclass
 class Moves(WriterCommitMessage):
     """(written, final) names below the folder."""
@@ -71,7 +81,7 @@ class FileWriter(DataSourceWriter):
         return bytes(row["content"])
 
     def name(self) -> str:
-        return f"{self.options.get('prefix', 'part-')}{uuid.uuid4().hex}{self.suffix}"
+        return f"{self.options.get('prefix', 'part-')}{_task():05d}-{uuid.uuid4().hex}{self.suffix}"
 
     def write(self, iterator) -> Moves:
         system, base = open_path(self.path)
@@ -87,14 +97,13 @@ class FileWriter(DataSourceWriter):
     def commit(self, messages) -> None:
         system, base = open_path(self.path)
         system.create_dir(base, recursive=True)
-        if self.overwrite:
-            for old in files_below(self.path, (self.suffix,)):
-                if "/_write-" not in old:
-                    system.delete_file(open_path(old)[1])
+        old = [p for p in files_below(self.path, (self.suffix,)) if "/_write-" not in p] if self.overwrite else []
         for written, name in (m for message in messages if message is not None for m in message.files):
             final = f"{base}/{name}"
             system.create_dir(final.rpartition("/")[0], recursive=True)
             system.move(f"{base}/{written}", final)
+        for gone in old:
+            system.delete_file(open_path(gone)[1])
         self.abort(messages)
 
     def abort(self, messages) -> None:
@@ -158,7 +167,7 @@ class LmdbWriter(FileWriter):
     _NONE = (1 << 64) - 1
 
     def name(self) -> str:
-        return f"part-{uuid.uuid4().hex}/data.mdb"
+        return f"part-{_task():05d}-{uuid.uuid4().hex}/data.mdb"
 
     def bodies(self, rows: Iterator[dict]) -> Iterator[tuple[str, bytes]]:
         held, size = {}, 0
@@ -232,12 +241,48 @@ class LmdbWriter(FileWriter):
 
 
 class RowFileWriter(FileWriter):
-    def bodies(self, rows: Iterator[dict]) -> Iterator[tuple[str, bytes]]:
-        for row in rows:
+    """Tasks write files in place, each under another name first; an overwritten folder is replaced by a new one beside it."""
+
+    def __init__(self, options: dict, schema: StructType, overwrite: bool) -> None:
+        super().__init__(options, schema, overwrite)
+        self.final = self.path
+        if overwrite:
+            self.path += f".{self.own}"
+
+    def write(self, iterator) -> Moves:
+        system, base = open_path(self.path)
+        system.create_dir(f"{base}/{self.own}", recursive=True)
+        made = set()
+        for row in ({c: row[i] for i, c in enumerate(self.columns)} for row in iterator):
             name = row["path"]
             if name.startswith(("/", "_")) or ".." in name.split("/"):
                 raise ValueError(f"not a name below the folder: {name}")
-            yield name, bytes(row["content"])
+            early, final = f"{base}/{self.own}/{uuid.uuid4().hex}", f"{base}/{name}"
+            with system.open_output_stream(early, compression=None) as f:
+                f.write(bytes(row["content"]))
+            if (folder := final.rpartition("/")[0]) not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
+            system.move(early, final)
+        return Moves([])
+
+    def commit(self, messages) -> None:
+        super().abort(messages)
+        if self.overwrite:
+            system, base = open_path(self.final)
+            system.create_dir(open_path(self.path)[1], recursive=True)
+            there = system.get_file_info(base).type == fs.FileType.Directory
+            if there:
+                system.move(base, f"{base}.old{self.own}")
+            system.move(open_path(self.path)[1], base)
+            if there:
+                system.delete_dir(f"{base}.old{self.own}")
+
+    def abort(self, messages) -> None:
+        super().abort(messages)
+        system, base = open_path(self.path)
+        if self.overwrite and system.get_file_info(base).type == fs.FileType.Directory:
+            system.delete_dir(base)
 
 
 WRITERS = {"tfrecord": TFRecordWriter, "recordio": RecordIOWriter, "webdataset": WebDatasetWriter, "lmdb": LmdbWriter, "fixed": FileWriter, "files": RowFileWriter}
