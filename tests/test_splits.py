@@ -84,12 +84,6 @@ def test_scan_of_headers_is_fast():
     assert time.process_time() - began < 3
 
 
-def unreadable(monkeypatch, tmp_path, names):
-    """Other shards' files are taken away once the table stands, so opening one would fail."""
-    for n in names:
-        os.remove(tmp_path / n)
-
-
 @pytest.mark.parametrize("form", ["tfrecord", "recordio", "files", "fixed", "webdataset", "lmdb"])
 def test_other_shards_are_not_opened(spark, tmp_path, monkeypatch, form):
     """Six folders of ten records; shard 1 of 3 is made of the middle two alone."""
@@ -197,36 +191,37 @@ def test_indexes_made_elsewhere(spark, tmp_path):
     assert splits.write_tar_indexes(spark, str(tmp_path))[str(tmp_path / "b.tar")] == -1
 
 
-def test_lmdb_predicates(spark, tmp_path, monkeypatch):
+def test_lmdb_ranges(spark, tmp_path, monkeypatch):
     """Pages whose keys lie outside are not read; results are those of a filter."""
-    e = spark.range(20_000).select(F.format_string("k%05d", "id").alias("name"), F.expr("cast(repeat('v', cast(id % 50 as int)) as binary)").alias("value"))
-    e.coalesce(1).write.format("lmdb").mode("append").save(str(tmp_path))
-    table = spark.read.format("lmdb").load(str(tmp_path))
-    assert table.count() == 20_000
-    assert [r.name for r in table.where("name = 'k00777'").collect()] == ["k00777"]
-    assert table.where("name >= 'k01000' and name < 'k01010'").count() == 10
-    assert table.where("name > 'k19990'").count() == 9 and table.where("name <= 'k00009'").count() == 10
-    assert table.where(F.col("name").startswith("k0100")).count() == 10 and table.where("name = 'zz' or name = 'k00001'").count() == 1
-    assert table.where("name = 'k00001' and name = 'k00002'").count() == 0 and table.where("name > 'é'").count() == 0
-
-    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
-
-    def pages(*filters):
-        reader, seen = records.LmdbReader({"path": str(tmp_path)}), []
-        read = records.LmdbReader._page
+    names = [*(f"k{i:05d}" for i in range(20_000)), "ké", "ké1", "k\U0001f600", "kz", "l"]
+    rows = spark.createDataFrame([(n, b"v" * (i % 50)) for i, n in enumerate(names)], "name string, value binary")
+    rows.coalesce(1).write.format("lmdb").mode("append").save(str(tmp_path))
+    got = lambda **k: sorted(r.name for r in records.lmdb(spark, str(tmp_path), **k).collect())
+    key = lambda x: x.encode()
+    assert got() == sorted(names) and got(name="k00777") == ["k00777"] and got(name="zz") == []
+    for low, high in (("k01000", "k01010"), ("k19990", "z"), ("", "k00009"), ("ké", "kz"), ("b", "a"), ("k05000x", "k05001")):
+        assert got(low=low, high=high) == sorted(n for n in names if key(low) <= key(n) <= key(high)), (low, high)
+    assert got(low="k19998") == sorted(n for n in names if key(n) >= b"k19998") and got(high="k00001") == ["k00000", "k00001"]
+    assert len(got(prefix="k0100")) == 10 and got(prefix="ké") == ["ké", "ké1"] and len(got(prefix="")) == len(names)
+    assert got(prefix="k010", low="k01090") == [f"k{i:05d}" for i in range(1090, 1100)]
+
+    def pages(**options):
+        seen, read = [], records.LmdbReader._page
         monkeypatch.setattr(records.LmdbReader, "_page", lambda self, f, size, n: (seen.append(n), read(self, f, size, n))[1])
-        assert list(reader.pushFilters(list(filters))) == list(filters)
+        reader = records.LmdbReader({"path": str(tmp_path), **options})
         rows = [r for p in reader.partitions() for r in reader.read(p)]
         monkeypatch.setattr(records.LmdbReader, "_page", read)
         return len(seen), rows
 
     every, rows = pages()
-    assert len(rows) == 20_000 and every > 150
-    few, rows = pages(EqualTo(("name",), "k00777"))
+    assert len(rows) == len(names) and every > 150
+    few, rows = pages(low="k00777", high="k00777")
     assert [r[0] for r in rows] == ["k00777"] and few <= 4
-    few, rows = pages(GreaterThanOrEqual(("name",), "k01000"), LessThan(("name",), "k01100"))
-    assert 100 <= len(rows) <= 101 and few <= 8
-    assert pages(EqualTo(("name",), "zzz"))[1] == []
+    few, rows = pages(low="k01000", high="k01099")
+    assert len(rows) == 100 and few <= 8
+    assert pages(low="zzz")[1] == []
+    with pytest.raises(ValueError, match="counts all keys"):
+        records.LmdbReader({"path": "x", "index": "y", "low": "a"})
 
 
 def test_files_sink(spark, tmp_path):
@@ -239,6 +234,12 @@ def test_files_sink(spark, tmp_path):
     assert back.rdd.getNumPartitions() < 20 and sorted(os.listdir(to)) == ["c0", "c1", "c2"]
     rows.where("id < 4").write.format("files").mode("overwrite").save(to)
     assert spark.read.format("files").load(to).count() == 4 and os.listdir(tmp_path) == ["out"]
+    rows.where("id = 2").withColumn("content", F.lit(b"new")).write.format("files").mode("append").save(to)
+    assert {r.path: bytes(r.content) for r in spark.read.format("files").load(to).collect()}["c2/2.bin"] == b"new"
+    bad = rows.where("id < 9").withColumn("path", F.when(F.col("path") == "c2/8.bin", "../x").otherwise(F.col("path")))
+    with pytest.raises(Exception):
+        bad.coalesce(1).write.format("files").mode("append").save(to)
+    assert spark.read.format("files").load(to).count() == 4 and sorted(os.listdir(to)) == ["c0", "c1", "c2"]
     with pytest.raises(Exception):
         rows.select(F.lit("../x").alias("path"), "content").write.format("files").mode("overwrite").save(to)
     assert spark.read.format("files").load(to).count() == 4 and os.listdir(tmp_path) == ["out"]

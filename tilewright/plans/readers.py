@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators import batches
 from tilewright.plans.vectors import _BOXED, _DOUBLES, _PIXELS, boxed, vectors
-from tilewright.sources import coco, files, records, sinks
+from tilewright.sources import coco, files, records, sinks, splits
 from tilewright.storage import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,81 @@ def read_tfrecord_detection(spark, d):
     return found.select(F.posexplode(F.arrays_zip("boxes", "labels")).alias("idx", "o")).select(F.col("o.labels").cast("long").alias("vec_id"), "idx", "o.boxes.*")
 
 
+# --- splits and shards ---
+
+#: Records of the shard between the two given by its number and the number of shards, in the order of vec_id.
+_SHARD = "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS k, count(*) OVER () AS n FROM x) WHERE k >= n * {0} // {1} AND k < n * ({0} + 1) // {1}"
+#: Bytes of a split: small, so that the files of small tables are split too.
+_SPLIT = 8192
+
+
+def _in_order(df: DataFrame) -> DataFrame:
+    """Few files, whose order is that of vec_id."""
+    return df.repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id")
+
+
+def _examples(df: DataFrame) -> DataFrame:
+    return df.select(
+        F.create_map(F.lit("image/encoded"), F.array("text"), F.lit("image/filename"), F.array(F.col("name").cast("binary"))).alias("bytes"),
+        F.create_map(F.lit("image/class/label"), F.array(F.col("label").cast("long"))).alias("ints"),
+    )
+
+
+@query(f"WITH {_SAMPLES} SELECT name, label, sha256(text) AS digest FROM x")
+def read_tfrecord_splits(spark, d):
+    """Every record once, from files that are split at any byte."""
+    path = stored(_examples(_in_order(samples(spark, d))), "tfrecord", "tfrecord")
+    return records.tf_classification(splits.read(spark, "tfrecord", path, split_bytes=_SPLIT)).select("name", "label", _digest(F.col("content")))
+
+
+@query(f"WITH {_SAMPLES} SELECT name, label, sha256(text) AS digest FROM ({_SHARD.format(1, 3)})")
+def read_tfrecord_shard(spark, d):
+    """Shard 1 of 3: only its own splits are planned."""
+    path = stored(_examples(_in_order(samples(spark, d))), "tfrecord", "tfrecord")
+    return records.tf_classification(splits.read(spark, "tfrecord", path, 1, 3, split_bytes=_SPLIT)).select("name", "label", _digest(F.col("content")))
+
+
+@query(f"WITH {_SAMPLES} SELECT name, label, sha256(text) AS digest FROM ({_SHARD.format(2, 5)})")
+def read_recordio_shard(spark, d):
+    s = _in_order(samples(spark, d)).select("label", F.col("vec_id").alias("image_id"), F.col("text").alias("content"))
+    back = splits.read(spark, "recordio", stored(s, "recordio", "recordio"), 2, 5, split_bytes=_SPLIT)
+    return back.select(F.concat(F.lit("v"), "name").alias("name"), "label", _digest(F.col("content")))
+
+
+@query(f"WITH {_SAMPLES} SELECT 'd/' || name AS key, sha256(text) AS digest, CASE WHEN vec_id % 3 > 0 THEN CAST(label AS VARCHAR) END AS label FROM ({_SHARD.format(0, 2)})")
+def read_webdataset_shard(spark, d):
+    """Shard 0 of 2 of tars with an index: splits begin within a tar and keep samples whole."""
+    s = _in_order(samples(spark, d))
+    label = F.when(F.col("vec_id") % 3 > 0, F.create_map(F.lit("cls"), F.col("label").cast("string").cast("binary")))
+    parts = F.map_concat(F.create_map(F.lit("txt"), F.col("text")), F.coalesce(label, F.expr("cast(map() as map<string,binary>)")))
+    path = stored(s.select(F.concat(F.lit("d/"), "name").alias("key"), parts.alias("components")), "webdataset", "web")
+    splits.write_tar_indexes(spark, path)
+    back = splits.read(spark, "webdataset", path, 0, 2, split_bytes=_SPLIT)
+    return back.select("key", _digest(F.element_at("components", "txt")), F.element_at("components", "cls").cast("string").alias("label"))
+
+
+@query(f"WITH {_SAMPLES} SELECT 'c' || label || '/' || lpad(CAST(vec_id AS VARCHAR), 12, '0') || '.txt' AS path, sha256(text) AS digest FROM (SELECT *, row_number() OVER (ORDER BY label, vec_id) - 1 AS k, count(*) OVER () AS n FROM x) WHERE k >= n * 3 // 4")
+def read_files_shard(spark, d):
+    """The last of four shards of a tree of class folders: other files are listed and not opened."""
+    s = samples(spark, d).select(F.format_string("c%d/%012d.txt", "label", "vec_id").alias("path"), F.col("text").alias("content"))
+    return splits.read(spark, "files", stored(s, "files", "tree"), 3, 4).select("path", _digest(F.col("content")))
+
+
+@query(f"WITH {_SAMPLES} SELECT trim(text) AS text, sha256(lpad(text, 400, ' ')) AS digest FROM ({_SHARD.format(1, 4)})")
+def read_fixed_shard(spark, d):
+    """Shard 1 of 4 of records of 400 bytes, whose places follow from their numbers."""
+    rows = _in_order(samples(spark, d)).select(F.lpad(F.col("text").cast("string"), 400, " ").cast("binary").alias("content"))
+    back = splits.read(spark, "fixed", stored(rows, "fixed", "fixed"), 1, 4, record_bytes=400)
+    return back.select(F.trim(F.col("content").cast("string")).alias("text"), _digest(F.col("content")))
+
+
+@query(f"WITH {_SAMPLES} SELECT name, sha256(text) AS digest FROM x WHERE name BETWEEN 'v1' AND 'v200'")
+def read_lmdb_range(spark, d):
+    """Keys between two: pages outside are not read."""
+    s = samples(spark, d).select("name", F.col("text").alias("value"))
+    return records.lmdb(spark, stored(s, "lmdb", "lmdb"), low="v1", high="v200").select("name", _digest(F.col("value")))
+
+
 @query(f"WITH {_SAMPLES} SELECT CAST(vec_id AS VARCHAR) AS name, label, vec_id AS image_id, sha256(text) AS digest FROM x")
 def read_recordio(spark, d):
     s = samples(spark, d).select("label", F.col("vec_id").alias("image_id"), F.col("text").alias("content"))

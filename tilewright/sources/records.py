@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tilewright.sources import wire
 
@@ -348,30 +348,20 @@ class WebDatasetReader(FileReader):
 class LmdbReader(FileReader):
     """Keys and values in key order, from the newer of the two meta pages; read by offset, never mapped.
 
-    Comparisons of ``name`` with ASCII text are followed down the tree: pages
-    whose keys all lie outside are not read. (ASCII text is ordered alike
-    before and after keys are decoded, whatever bytes they hold.)
+    The options ``low`` and ``high`` bound the keys, both included: pages whose
+    keys all lie outside are not read. They are options, since Spark keeps the
+    reader of a loaded table, with the predicates that one query handed down,
+    for the next query over it.
     """
 
     suffixes = ("data.mdb",)
     BRANCH, LEAF, BIG = 1, 2, 1
-    low: bytes | None = None
-    high: bytes | None = None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Bounds from what can be followed; Spark tests every row again, as bounds are inclusive."""
-        for f in filters:
-            name, value = getattr(f, "attribute", ()), getattr(f, "value", None)
-            # A split's records are counted, so none may be left out where splits come from a table.
-            if name == ("name",) and isinstance(value, str) and value.isascii() and "index" not in self.options:
-                key = value.encode()
-                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, StringStartsWith)):
-                    self.low = key if self.low is None else max(self.low, key)
-                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual, StringStartsWith)):
-                    # No key that begins so is above this.
-                    key += b"\xff" * 511 if isinstance(f, StringStartsWith) else b""
-                    self.high = key if self.high is None else min(self.high, key)
-            yield f
+
+    def __init__(self, options: dict) -> None:
+        super().__init__(options)
+        self.low, self.high = (options[k].encode() if k in options else None for k in ("low", "high"))
+        if "index" in options and (self.low or self.high):
+            raise ValueError("a table of splits counts all keys, so it goes without bounds")
 
     def parts(self) -> list[InputPartition]:
         out = []
@@ -549,8 +539,7 @@ SOURCES = {
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the formats known, and lets Spark hand comparisons down to them."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Makes the formats known."""
     for label, (columns, kind) in SOURCES.items():
         spark.dataSource.register(_source(label, columns, kind))
 
@@ -616,6 +605,15 @@ def caffe2(values: DataFrame) -> DataFrame:
     return _mapped(values, parse)
 
 
+def lmdb(spark: SparkSession, path: str, name: str | None = None, low: str | None = None, high: str | None = None, prefix: str | None = None) -> DataFrame:
+    """(name, value) of the keys equal to ``name``, from ``low`` to ``high`` (both included) or beginning with ``prefix``; only their pages are read."""
+    lows = [x for x in (name, low, prefix) if x is not None]
+    # Text above all that begin with the prefix: no character comes after this one.
+    highs = [x for x in (name, high, None if prefix is None else prefix + "\U0010ffff" * 128) if x is not None]
+    bounds = {k: f(v) for k, v, f in (("low", lows, max), ("high", highs, min)) if v}
+    return spark.read.format("lmdb").options(**bounds).load(path)
+
+
 def web_components(samples: DataFrame, extensions: list[list[str]], missing: str = "empty") -> DataFrame:
     """(file, key, c0, c1, ...): for each set of extensions the first component found.
 

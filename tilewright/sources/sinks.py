@@ -23,6 +23,7 @@ files go when the new ones are in place.
 from __future__ import annotations
 
 import io
+import json
 import struct
 import tarfile
 import uuid
@@ -241,7 +242,14 @@ class LmdbWriter(FileWriter):
 
 
 class RowFileWriter(FileWriter):
-    """Tasks write files in place, each under another name first; an overwritten folder is replaced by a new one beside it."""
+    """Tasks put files in place; an overwritten folder is replaced by a new one beside it.
+
+    A task writes some files under other names, notes their names in a list and
+    then moves them. If the write fails, the lists tell what to take back: the
+    driver reads them then, and not otherwise.
+    """
+
+    SOME = 500
 
     def __init__(self, options: dict, schema: StructType, overwrite: bool) -> None:
         super().__init__(options, schema, overwrite)
@@ -252,19 +260,38 @@ class RowFileWriter(FileWriter):
     def write(self, iterator) -> Moves:
         system, base = open_path(self.path)
         system.create_dir(f"{base}/{self.own}", recursive=True)
-        made = set()
+        made: set[str] = set()
+        some: list[tuple[str, str]] = []
         for row in ({c: row[i] for i, c in enumerate(self.columns)} for row in iterator):
             name = row["path"]
             if name.startswith(("/", "_")) or ".." in name.split("/"):
                 raise ValueError(f"not a name below the folder: {name}")
-            early, final = f"{base}/{self.own}/{uuid.uuid4().hex}", f"{base}/{name}"
-            with system.open_output_stream(early, compression=None) as f:
+            early = f"{self.own}/{uuid.uuid4().hex}"
+            with system.open_output_stream(f"{base}/{early}", compression=None) as f:
                 f.write(bytes(row["content"]))
+            some.append((early, name))
+            if len(some) == self.SOME:
+                self._place(system, base, some, made)
+        self._place(system, base, some, made)
+        return Moves([])
+
+    def _place(self, system, base: str, some: list[tuple[str, str]], made: set[str]) -> None:
+        """Moves files to their names; a file that stood there is kept until the write is done."""
+        if not some:
+            return
+        there = {i.path for i in system.get_file_info([f"{base}/{n}" for _, n in some]) if i.type == fs.FileType.File}
+        before = {n: f"{early}.before" for early, n in some if f"{base}/{n}" in there}
+        with system.open_output_stream(f"{base}/{self.own}/{uuid.uuid4().hex}.list", compression=None) as f:
+            f.write(json.dumps([(n, before.get(n)) for _, n in some]).encode())
+        for early, name in some:
+            final = f"{base}/{name}"
             if (folder := final.rpartition("/")[0]) not in made:
                 system.create_dir(folder, recursive=True)
                 made.add(folder)
-            system.move(early, final)
-        return Moves([])
+            if name in before:
+                system.move(final, f"{base}/{before[name]}")
+            system.move(f"{base}/{early}", final)
+        some.clear()
 
     def commit(self, messages) -> None:
         super().abort(messages)
@@ -279,10 +306,23 @@ class RowFileWriter(FileWriter):
                 system.delete_dir(f"{base}.old{self.own}")
 
     def abort(self, messages) -> None:
-        super().abort(messages)
         system, base = open_path(self.path)
-        if self.overwrite and system.get_file_info(base).type == fs.FileType.Directory:
-            system.delete_dir(base)
+        kind = lambda path: system.get_file_info(path).type
+        if self.overwrite:
+            if kind(base) == fs.FileType.Directory:
+                system.delete_dir(base)
+            return
+        if kind(f"{base}/{self.own}") == fs.FileType.Directory:
+            for found in system.get_file_info(fs.FileSelector(f"{base}/{self.own}")):
+                if found.path.endswith(".list"):
+                    with system.open_input_stream(found.path, compression=None) as f:
+                        placed = json.loads(f.read())
+                    for name, before in placed:
+                        if before and kind(f"{base}/{before}") == fs.FileType.File:
+                            system.move(f"{base}/{before}", f"{base}/{name}")
+                        elif not before and kind(f"{base}/{name}") == fs.FileType.File:
+                            system.delete_file(f"{base}/{name}")
+        super().abort(messages)
 
 
 WRITERS = {"tfrecord": TFRecordWriter, "recordio": RecordIOWriter, "webdataset": WebDatasetWriter, "lmdb": LmdbWriter, "fixed": FileWriter, "files": RowFileWriter}
