@@ -108,3 +108,51 @@ def test_many_matches_in_one_text(spark):
     text = "cc by licensed under the mit license x " * 20_000
     got = L.scan(spark.createDataFrame([(1, text), (1, text), (None, None)], "doc_id long, text string")).collect()
     assert sorted(g.n_base for g in got) == [0, 20_000, 20_000] and {g.labels for g in got} == {"", "cc-by,mit"}
+
+
+NOTICES = {
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nd": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+}
+
+
+def test_members_of_a_family(spark):
+    """Each notice gives its own label alone, base labels aside; alone, amid other text, and with words changed elsewhere."""
+    short = {"cc-by-nc": "Licensed under CC BY-NC 4.0.", "cc-by-sa": "licensed under CC-BY-SA-4.0", "cc-by-nc-sa": "Licensed under CC BY-NC-SA 4.0"}
+    rows = [(label, text) for label, text in [*NOTICES.items(), *short.items()]]
+    rows += [(label, f"Some words before. {text.replace('licensed', 'made available', 1)} More of the work follows here.") for label, text in NOTICES.items()]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id int, label string, text string")
+    for g in L.scan(docs).collect():
+        label, text = rows[g.doc_id]
+        assert {*g.labels.split(",")} - {*g.base_labels.split(",")} == {label} - {*g.base_labels.split(",")} and label in g.labels.split(","), (text, g.labels)
+    both = L.scan(spark.createDataFrame([(1, NOTICES["gpl"] + "\n" + NOTICES["lgpl"])], "doc_id int, text string")).first()
+    assert both.labels == "gpl,lgpl"
+
+
+def test_needed_phrases_stand_in_their_templates():
+    for label, phrases in L.NEEDED.items():
+        for phrase in phrases:
+            assert any(L.ranges(text, [phrase]) for own, text in L.TEMPLATES if own == label), phrase
+    assert all(L.ranges(text, L.NEEDED[label]) for label, text in L.TEMPLATES if label in L.NEEDED)
+    assert L.ranges("a b c b c", ["b c", "c b", "x"]) == [(1, 3), (2, 4)]
+
+
+def test_votes_of_frequent_words(spark):
+    """A long template votes by longer grams, so that a text and a template of few frequent words don't vote by the product of their counts."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    few = "the of and to a in".split()
+    body, text = (" ".join(r.choice(few) for _ in range(3000)) for _ in range(2))
+    templates = L.template_table(spark, [("long", body)])
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string").select("doc_id", F.lit(0).cast("long").alias("text_hash"), F.split("text", " ").alias("words"))
+    assert 10 * L.votes(docs, templates).count() < L.votes(docs, templates, long_words=5000).count()
+    own = L.scan(spark.createDataFrame([(1, text), (2, body), (3, body.replace(" to a ", " to x a ", 2))], "doc_id int, text string"), templates)
+    assert {g.doc_id: g.labels for g in own.collect()} == {1: "", 2: "long", 3: "long"}

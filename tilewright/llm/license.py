@@ -1,7 +1,8 @@
 """License scans by diagonal voting.
 
 Every word k-gram of a document is joined, by its hash, to the places of the
-same k-gram in license templates. A match of document place p and template
+same k-gram in license templates; k is 2 for phrases and notices and 5 for long
+texts, whose pairs of frequent words would vote too often. A match of document place p and template
 place q votes for the diagonal p - q. Votes are summed by diagonal, and
 neighbouring diagonals, at most ``slack`` apart, are merged into a band around
 each of them: words inserted or lost move the rest of a license to a diagonal
@@ -10,6 +11,10 @@ q, that covers ``cover`` of the template's k-grams. So a template place counts
 once however often the document repeats it, and words in another order don't
 count. Base phrases must stand on one diagonal in full.
 
+A share can't tell licenses of a family that differ in a word, so templates name
+phrases that have to be among the band's votes: the notice of one license says
+"gnu general" where others say "gnu lesser general" or "gnu affero general".
+
 A polynomial hash rolls in O(1) a word, but the JVM's vectorised row functions
 make hashing a few words as cheap as rolling, so the k-gram's hash is
 ``xxhash64`` over the k words; the votes also compare the words themselves.
@@ -25,6 +30,8 @@ built from DataFrame functions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +39,8 @@ from tilewright.llm.words import literal_rows, words
 from tilewright.storage import written
 
 K = 2
+#: k for templates of more words than these.
+LONG_K, LONG_WORDS = 5, 60
 #: Share of a template's k-grams that a chain must hold.
 COVER = 0.75
 #: Diagonals this near to a band's own belong to it (words inserted or lost).
@@ -46,7 +55,13 @@ TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
@@ -74,14 +89,40 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
     ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
 ]
-
-
-def template_table(spark: SparkSession, templates=None) -> DataFrame:
-    """(template, label, exact, words): the base phrases and the longer templates."""
-    rows = [(i, label, i < len(BASE), text) for i, (label, text) in enumerate([*BASE, *(TEMPLATES if templates is None else templates)])]
-    if sum(len(text.split()) for *_, text in rows) > MOST_TEMPLATE_WORDS:
+#: Phrases by which licenses of a family differ. Those that stand in a template of the label must be found.
+NEEDED = {
+    "agpl-3.0": ["gnu affero general public license"],
+    "cc-by": ["attribution 4"],
+    "cc-by-nc": ["attribution noncommercial 4", "by nc 4"],
+    "cc-by-nc-nd": ["attribution noncommercial noderivatives 4"],
+    "cc-by-nc-sa": ["attribution noncommercial sharealike 4", "by nc sa 4"],
+    "cc-by-nd": ["attribution noderivatives 4"],
+    "cc-by-sa": ["attribution sharealike 4", "by sa 4"],
+    "gpl": ["gnu general public license"],
+    "gpl-3.0": ["gnu general public license", "version 3"],
+    "lgpl": ["gnu lesser general public license"],
+}
+
+
+def ranges(text: str, phrases: list[str]) -> list[tuple[int, int]]:
+    """Where those of the phrases that stand in a template stand, by the places of their words."""
+    own, out = text.split(), []
+    for phrase in (p.split() for p in phrases):
+        out += [(i, i + len(phrase)) for i in range(len(own)) if own[i : i + len(phrase)] == phrase][:1]
+    return out
+
+
+def template_table(spark: SparkSession, templates=None, needed: dict[str, list[str]] = NEEDED) -> DataFrame:
+    """(template, label, exact, words, must): the base phrases and the longer templates; ``must`` are ranges of words that have to be found."""
+    rows = []
+    for i, (label, text) in enumerate([*BASE, *(TEMPLATES if templates is None else templates)]):
+        rows.append((i, label, i < len(BASE), text, " ".join(f"{a}:{b}" for a, b in ranges(text, needed.get(label, [])))))
+    if sum(len(r[3].split()) for r in rows) > MOST_TEMPLATE_WORDS:
         raise ValueError(f"the templates hold more than {MOST_TEMPLATE_WORDS} words")
-    return literal_rows(spark, ["template", "label", "exact", "text"], rows).select("template", "label", "exact", words(F.col("text")).alias("words"))
+    table = literal_rows(spark, ["template", "label", "exact", "text", "must"], rows)
+    end = lambda r, i: F.get(F.split(r, ":"), F.lit(i)).cast("int")
+    must = F.transform(F.array_remove(F.split("must", " "), ""), lambda r: F.struct(end(r, 0).alias("a"), end(r, 1).alias("b")))
+    return table.select("template", "label", "exact", words(F.col("text")).alias("words"), must.alias("must"))
 
 
 def _grams(df: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -102,31 +143,45 @@ def _chain(places: Column) -> Column:
     return F.size(F.aggregate(places, F.expr("cast(array() as array<int>)"), add))
 
 
-def spans(docs: DataFrame, templates: DataFrame, cover: float = COVER, slack: int = SLACK, k: int = K) -> DataFrame:
+def votes(docs: DataFrame, templates: DataFrame, k: int = K, long_k: int = LONG_K, long_words: int = LONG_WORDS) -> DataFrame:
+    """(doc_id, text_hash, template, at, diagonal) of every k-gram that a document shares with a template."""
+    out = []
+    for width, some in ((k, F.size("words") <= long_words), (long_k, F.size("words") > long_words)):
+        places = _grams(templates.where(some), width, "template").select("template", F.col("position").alias("at"), F.col("terms").alias("own"), "gram")
+        if not places.isEmpty():
+            met = _grams(docs, width, "doc_id", "text_hash").join(F.broadcast(places), "gram").where("terms = own")
+            out.append(met.select("doc_id", "text_hash", "template", "at", (F.col("position") - F.col("at")).alias("diagonal")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def spans(docs: DataFrame, templates: DataFrame, cover: float = COVER, slack: int = SLACK, k: int = K, long_k: int = LONG_K, long_words: int = LONG_WORDS) -> DataFrame:
     """Verified spans (doc_id, text_hash, label, exact, first_word, last_word, share) of ``docs``.
 
     ``docs`` has doc_id, text_hash and words. The templates' k-grams are a
     parameter of the scan, not data, of a checked number, and are broadcast.
     Votes are written once and read by all that follows.
     """
-    places = _grams(templates, k, "template").select("template", F.col("position").alias("at"), F.col("terms").alias("own"), "gram")
-    facts = templates.select("template", "label", "exact", (F.size("words") - (k - 1)).alias("n_grams"))
+    width = F.when(F.size("words") <= long_words, k).otherwise(long_k)
+    grams = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - width))
+    needed = F.filter(grams, lambda i: F.exists("must", lambda r: (i >= r["a"]) & (i + F.col("k") <= r["b"])))
+    facts = templates.withColumn("k", width).withColumn("needed", needed).select("template", "label", "exact", "k", (F.size("words") - (F.col("k") - 1)).alias("n_grams"), "needed")
     key = ["doc_id", "text_hash", "template"]
-    votes = written(
-        _grams(docs, k, "doc_id", "text_hash").join(F.broadcast(places), "gram").where("terms = own").select(*key, "at", (F.col("position") - F.col("at")).alias("diagonal")),
-        "votes",
-    )
+    votes_ = written(votes(docs, templates, k, long_k, long_words), "votes")
     # One row for each diagonal of a document and template; repeated rows vote once.
-    diagonals = votes.groupBy(*key, "diagonal").agg(F.sort_array(F.collect_set("at")).alias("ats")).join(F.broadcast(facts), "template")
+    diagonals = votes_.groupBy(*key, "diagonal").agg(F.sort_array(F.collect_set("at")).alias("ats")).join(F.broadcast(facts), "template")
     exact = diagonals.where("exact and size(ats) = n_grams").select(
-        "doc_id", "text_hash", "label", "exact", F.col("diagonal").alias("first_word"), (F.col("diagonal") + F.col("n_grams") + (k - 2)).alias("last_word"), F.lit(1.0).alias("share")
+        "doc_id", "text_hash", "label", "exact", F.col("diagonal").alias("first_word"), (F.col("diagonal") + F.col("n_grams") + (F.col("k") - 2)).alias("last_word"), F.lit(1.0).alias("share")
     )
     band = Window.partitionBy(*key).orderBy("diagonal").rangeBetween(-slack, slack)
-    # A band's votes are at most n_grams * (2 * slack + 1). Both are gathered before any diagonal goes.
+    # A band's votes are at most n_grams * (2 * slack + 1); they are gathered only beside diagonals whose band has enough of them.
     seeds = (
         diagonals.where("not exact")
-        .withColumns({"most": F.sum(F.size("ats")).over(band), "runs": F.collect_list(F.struct("diagonal", "ats")).over(band)})
-        .where(F.col("most") >= cover * F.col("n_grams"))
+        .withColumn("enough", F.sum(F.size("ats")).over(band) >= cover * F.col("n_grams"))
+        .withColumn("beside", F.max("enough").over(band))
+        .where("beside")
+        .withColumn("runs", F.collect_list(F.struct("diagonal", "ats")).over(band))
+        .where("enough")
+        .where(F.forall("needed", lambda q: F.exists("runs", lambda r: F.array_contains(r["ats"], q))))
     )
     near = F.flatten(F.transform("runs", lambda r: F.transform(r["ats"], lambda q: F.struct((r["diagonal"] + q).alias("p"), (-q).alias("q")))))
     chained = (
@@ -138,7 +193,7 @@ def spans(docs: DataFrame, templates: DataFrame, cover: float = COVER, slack: in
     fuzzy = chained.withColumn("top", F.max("best").over(band)).where("best = top").select(
         "doc_id", "text_hash", "label", "exact",
         F.get("near", F.lit(0))["p"].alias("first_word"),
-        (F.element_at("near", -1)["p"] + (k - 1)).alias("last_word"),
+        (F.element_at("near", -1)["p"] + (F.col("k") - 1)).alias("last_word"),
         (F.col("chain") / F.col("n_grams")).alias("share"),
     )
     return exact.unionByName(fuzzy)

@@ -128,7 +128,15 @@ QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_warc, op4_sim
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-_PACK = ", ".join(f"({i}, '{label}', {i < len(license.BASE)}, string_split('{body}', ' '))" for i, (label, body) in enumerate([*license.BASE, *license.TEMPLATES]))
+def _template_row(i: int, label: str, body: str) -> str:
+    """A template for SQL: with its k, and the places of the k-grams that must be found."""
+    n = len(body.split())
+    k = license.K if n <= license.LONG_WORDS else license.LONG_K
+    needed = [q for a, b in license.ranges(body, license.NEEDED.get(label, [])) for q in range(a, b - k + 1)]
+    return f"({i}, '{label}', {i < len(license.BASE)}, string_split('{body}', ' '), {k}, CAST({needed} AS BIGINT[]))"
+
+
+_PACK = ", ".join(_template_row(i, *t) for i, t in enumerate([*license.BASE, *license.TEMPLATES]))
 
 ORACLES = {
     "op1_decontaminate": rf"""
@@ -157,16 +165,17 @@ ORACLES = {
             CASE WHEN first <> page_id THEN first END AS refers_to
         FROM p LEFT JOIN f ON p.d = f.d""",
     "op9_license": rf"""
-        WITH t(template, label, exact, w) AS (VALUES {_PACK}),
-        tg AS (SELECT template, label, exact, len(w) - 1 AS n, w[q + 1] AS a, w[q + 2] AS b, q FROM (SELECT *, unnest(range(0, len(w) - 1)) AS q FROM t)),
+        WITH t(template, label, exact, w, k, needed) AS (VALUES {_PACK}),
+        tg AS (SELECT template, label, exact, k, needed, len(w) - k + 1 AS n, w[q + 1 : q + k] AS g, q FROM (SELECT *, unnest(range(0, len(w) - k + 1)) AS q FROM t)),
         d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-        dg AS (SELECT doc_id, p, w[p + 1] AS a, w[p + 2] AS b FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS p FROM d WHERE len(w) > 1)),
-        v AS (SELECT doc_id, template, label, exact, n, p, q, p - q AS diagonal FROM dg JOIN tg USING (a, b)),
-        g AS (SELECT doc_id, template, label, exact, n, diagonal, count(*) AS votes FROM v GROUP BY ALL),
+        dg AS (SELECT doc_id, k, p, w[p + 1 : p + k] AS g FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM t) WHERE len(w) >= k)),
+        v AS (SELECT doc_id, template, label, exact, needed, n, p, q, p - q AS diagonal FROM dg JOIN tg USING (k, g)),
+        g AS (SELECT doc_id, template, label, exact, needed, n, diagonal, count(*) AS votes FROM v GROUP BY ALL),
         base AS (SELECT doc_id, label, diagonal AS first FROM g WHERE exact AND votes = n),
         band AS (
-            SELECT g.doc_id, g.template, g.label, g.n, g.diagonal, list([v.q] ORDER BY v.p, v.q DESC) AS qs
-            FROM g JOIN v ON g.doc_id = v.doc_id AND g.template = v.template AND abs(v.diagonal - g.diagonal) <= {license.SLACK} WHERE NOT g.exact GROUP BY ALL),
+            SELECT g.doc_id, g.template, g.label, g.n, g.needed, g.diagonal, list([v.q] ORDER BY v.p, v.q DESC) AS qs
+            FROM g JOIN v ON g.doc_id = v.doc_id AND g.template = v.template AND abs(v.diagonal - g.diagonal) <= {license.SLACK} WHERE NOT g.exact GROUP BY ALL
+            HAVING list_has_all(list(v.q), g.needed)),
         share AS (
             SELECT doc_id, label, len(list_reduce(qs, lambda s, q: list_concat(list_filter(s, lambda x: x < q[1]), q, s[len(list_filter(s, lambda x: x < q[1])) + 2:]))) / n AS share FROM band),
         found AS (SELECT doc_id, label, share FROM share WHERE share >= {license.COVER} UNION ALL SELECT doc_id, label, 1.0 FROM base),
