@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions import rng
 from tilewright.functions import tensor as T
-from tilewright.operators import batches
+from tilewright.operators import batches, sharding
 from tilewright.plans.pipeline import Pipeline
 
 
@@ -60,3 +62,58 @@ def test_facade(spark):
     got = list(p.padded("v"))
     assert [g.shape for g in got] == [(3, 5), (2, 5)] and got[1][1].tolist() == [0, 1, 2, 3, 4]
     assert p.seconds["wait"] > 0
+
+
+def test_a_shard_is_numbered_by_key_alone(spark):
+    """Tensors are made for the shard's own samples, after its keys are found; the written positions hold keys."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def counted(i):
+        seen.add(1)
+        return [float(i)] * 4
+
+    rows = spark.range(300).withColumnRenamed("id", "sample_id")
+    p = Pipeline(batch_size=7, shard_id=1, num_shards=5, last_batch="fill").source(rows).apply(t=counted("sample_id")).set_outputs("t")
+    got = p.build().collect()
+    assert sorted({r.sample_id for r in got}) == list(range(60, 120)) and len(got) == 63 and all(r.t == [float(r.sample_id)] * 4 for r in got)
+    assert seen.value <= 70
+    plan = p.build()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") > plan.index("counted") or "ArrowEvalPython" in plan or "BatchEvalPython" in plan
+
+
+def test_shards_by_arithmetic(spark):
+    """Fillings and paddings at many shards take about as long as at few, and are those of a plain walk."""
+    def fills(n, shards, batch):
+        out = []
+        for k in range(shards):
+            a, b = n * k // shards, n * (k + 1) // shards
+            for t in range(-(b - a) % batch if b > a else 0):
+                out.append(((b + t) % n, k, b - a + t))
+        return sorted(out)
+
+    for n, shards, batch in ((10, 3, 4), (7, 7, 5), (5, 9, 4), (3, 2, 11), (40, 6, 7), (23, 1, 10)):
+        placed = spark.range(n).select(F.col("id").alias("pos"))
+        got = sharding.fill_from_next(placed, n, shards, batch).where("is_pad").select("pos", "shard", "shard_pos").collect()
+        assert sorted(map(tuple, got)) == fills(n, shards, batch), (n, shards, batch)
+        s = sharding.assign_shards(placed, n, shards)
+        pads = {r.shard: r["n"] for r in sharding.pad_batches(s, n, shards, batch).where("is_pad").groupBy("shard").agg(F.count("*").alias("n")).collect()}
+        assert {k: p for k, p in enumerate(sharding.pad_counts(n, shards, batch)) if p} == pads
+
+    def seconds(f):
+        began = time.perf_counter()
+        f().write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    n = 100_000
+    placed = spark.range(n).select(F.col("id").alias("pos"))
+    both = lambda shards: sharding.fill_from_next(placed, n, shards, 16).unionByName(sharding.pad_batches(sharding.assign_shards(placed, n, shards), n, shards, 16), allowMissingColumns=True)
+    seconds(lambda: both(4))
+    assert seconds(lambda: both(2000)) < 3 * seconds(lambda: both(4)) + 1
+
+
+def test_wide_places(spark):
+    """Places and shards whose products pass 64 bits."""
+    n, shards = 10**15, 100_000
+    row = spark.sql("SELECT 999999999999999L AS pos").select(sharding.shard_of(F.col("pos"), n, shards).alias("k"), sharding.shard_start(F.lit(99_999), n, shards).alias("a")).first()
+    assert (row.k, row.a) == (99_999, n * 99_999 // shards)

@@ -35,21 +35,28 @@ def shuffled_positions(df: DataFrame, key: str, seed: int, epoch: int = 0) -> Da
 
 
 def _whole(a: Column, b: Column) -> Column:
-    """Floor of a / b for longs that are not negative; products may pass 64 bits, so they are decimals."""
+    """Floor of a / b for whole numbers that are not negative."""
     return F.call_function("div", a, b)
 
 
-def _wide(x) -> Column:
-    return (x if isinstance(x, Column) else F.lit(x)).cast("decimal(19,0)")
+def _kind(n: int, shards: int) -> str:
+    """What products of places and shards are computed in: longs, or decimals where these could overflow."""
+    return "long" if (n + 2) * (shards + 2) < 1 << 62 else "decimal(19,0)"
+
+
+def _wide(x, kind: str) -> Column:
+    return (x if isinstance(x, Column) else F.lit(x)).cast(kind)
 
 
 def shard_of(pos: Column, n: int, shards: int) -> Column:
     """The shard k with floor(n k / K) <= pos < floor(n (k + 1) / K)."""
-    return _whole(_wide(pos + 1) * _wide(shards) - 1, _wide(n)).cast("int")
+    kind = _kind(n, shards)
+    return _whole(_wide(pos + 1, kind) * _wide(shards, kind) - 1, _wide(n, kind)).cast("int")
 
 
 def shard_start(shard: Column, n: int, shards: int) -> Column:
-    return _whole(_wide(shard) * _wide(n), _wide(shards)).cast("long")
+    kind = _kind(n, shards)
+    return _whole(_wide(shard, kind) * _wide(n, kind), _wide(shards, kind)).cast("long")
 
 
 def shard_size(shard: Column, n: int, shards: int) -> Column:
@@ -87,14 +94,13 @@ def pad_counts(n: int, shards: int, batch: int) -> list[int]:
 
 
 def pad_batches(sharded: DataFrame, n: int, shards: int, batch: int) -> DataFrame:
-    """Adds copies of each shard's last sample (``is_pad``) up to equally many full batches."""
-    pads = pad_counts(n, shards, batch)
-    sizes = [n * (k + 1) // shards - n * k // shards for k in range(shards)]
-    plan = F.array(*(F.struct(F.lit(s).cast("long").alias("size"), F.lit(p).alias("pads")) for s, p in zip(sizes, pads)))
-    own = F.get(plan, F.col("shard"))
-    copies = F.when(F.col("shard_pos") == own["size"] - 1, own["pads"]).otherwise(0)
+    """Adds copies of each shard's last sample (``is_pad``) up to equally many full batches, as ``pad_counts`` has them."""
+    largest = -(-n // shards)
+    full = -(-largest // batch) * batch
+    size = shard_size(F.col("shard"), n, shards)
+    copies = F.when(F.col("shard_pos") == size - 1, F.lit(full) - size).otherwise(0)
     return (
-        sharded.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies)))
+        sharded.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies)))
         .withColumns({"is_pad": F.col("_copy") > 0, "shard_pos": F.col("shard_pos") + F.col("_copy")})
         .drop("_copy")
     )
@@ -126,14 +132,24 @@ def fill_from_next(placed: DataFrame, n: int, shards: int, batch: int, epoch: in
     """
     base = shard_of(F.col("pos"), n, shards)
     own = placed.withColumns({"_s": base, "is_pad": F.lit(False)}).withColumn("shard_pos", F.col("pos") - shard_start(F.col("_s"), n, shards))
-    ends = [n * (k + 1) // shards for k in range(shards)]
-    missing = [-(ends[k] - (ends[k - 1] if k else 0)) % batch if ends[k] > (ends[k - 1] if k else 0) else 0 for k in range(shards)]
-    # A place in the global order, counted on past the end, lies in the filling of few shards: at most one for each lap of the whole.
-    plan = F.array(*(F.struct(F.lit(k).alias("shard"), F.lit(e).cast("long").alias("end"), F.lit(m).cast("long").alias("missing")) for k, (e, m) in enumerate(zip(ends, missing))))
-    steps = lambda f: F.when(f["missing"] > 0, F.filter(F.sequence(F.pmod(F.col("pos") - f["end"], F.lit(n)), F.greatest(F.pmod(F.col("pos") - f["end"], F.lit(n)), f["missing"] - 1), F.lit(n).cast("long")), lambda i: i < f["missing"])).otherwise(F.expr("cast(array() as array<bigint>)"))
-    taken = F.flatten(F.transform(plan, lambda f: F.transform(steps(f), lambda i: F.struct(f["shard"].alias("shard"), i.alias("step")))))
-    sizes = F.array(*(F.lit(e - (ends[k - 1] if k else 0)).cast("long") for k, e in enumerate(ends)))
-    pads = placed.withColumn("_f", F.explode(taken)).withColumns({"_s": F.col("_f.shard"), "is_pad": F.lit(True), "shard_pos": F.get(sizes, F.col("_f.shard")) + F.col("_f.step")}).drop("_f")
+    # Places are counted on past the end, once round for each lap that a filling can reach. A place fills the shards that end less
+    # than a batch before it: their numbers follow from it, so a row looks at batch * shards / n + 1 shards in each lap and not at all.
+    kind = _kind(n + batch, shards)
+    laps = F.transform(F.sequence(F.lit(0), F.lit(-(-batch // max(n, 1)))), lambda lap: F.col("pos") + lap * F.lit(n).cast("long"))
+    ends_at = lambda f: shard_start(f + 1, n, shards)
+
+    def fills(place: Column) -> Column:
+        low, high = F.greatest(place - (batch - 1), F.lit(1).cast("long")), F.least(place, F.lit(n).cast("long"))
+        first = _whole(_wide(low, kind) * _wide(shards, kind) + (n - 1), _wide(n, kind)).cast("long") - 1
+        last = F.least(_whole(_wide(high + 1, kind) * _wide(shards, kind) - 1, _wide(n, kind)).cast("long"), F.lit(shards).cast("long")) - 1
+        some = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.expr("cast(array() as array<bigint>)"))
+        return F.filter(
+            F.transform(some, lambda f: F.struct(f.cast("int").alias("shard"), (place - ends_at(f)).alias("step"), shard_size(f, n, shards).alias("size"))),
+            lambda x: (x["step"] >= 0) & (x["step"] < F.pmod(-x["size"], F.lit(batch))) & (x["size"] > 0),
+        )
+
+    pads = placed.withColumn("_f", F.explode(F.flatten(F.transform(laps, fills))))
+    pads = pads.withColumns({"_s": F.col("_f.shard"), "is_pad": F.lit(True), "shard_pos": F.col("_f.size") + F.col("_f.step")}).drop("_f")
     number = F.pmod(F.col("_s") - epoch, F.lit(shards)).cast("int")
     return own.unionByName(pads).withColumn("shard", number).drop("_s")
 

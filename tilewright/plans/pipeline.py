@@ -23,7 +23,12 @@ from tilewright.operators import sharding
 
 @dataclass
 class Pipeline:
-    """Settings, the lazy plan and the chosen outputs."""
+    """Settings, the lazy plan and the chosen outputs.
+
+    The plan is the rows of the source, and the columns that operators make of
+    them: those wait, so that a shard's batches are found by key alone and
+    tensors are made for the samples of this shard only.
+    """
 
     batch_size: int
     shard_id: int = 0
@@ -33,7 +38,8 @@ class Pipeline:
     last_batch: str = "fill"
     rotate_shards: bool = False
     epoch: int = 0
-    plan: DataFrame | None = None
+    rows: DataFrame | None = None
+    columns: list[dict[str, Column]] = field(default_factory=list)
     key: str = "sample_id"
     outputs: list[str] = field(default_factory=list)
     size: int | None = None
@@ -42,17 +48,26 @@ class Pipeline:
     seconds: dict[str, float] = field(default_factory=dict)
 
     def source(self, samples: DataFrame, key: str = "sample_id") -> Pipeline:
-        self.plan, self.key = samples, key
+        """``key`` tells samples apart: no two rows share one."""
+        self.rows, self.columns, self.key = samples, [], key
         return self
 
+    @property
+    def plan(self) -> DataFrame | None:
+        """All samples, not only this shard's, with all columns."""
+        return None if self.rows is None else self._made(self.rows)
+
+    def _made(self, rows: DataFrame) -> DataFrame:
+        return functools.reduce(DataFrame.withColumns, self.columns, rows)
+
     def apply(self, **columns: Column) -> Pipeline:
         """Adds or replaces columns: tensor, audio and box operators are Column functions."""
-        self.plan = self.plan.withColumns(columns)
+        self.columns.append(columns)
         return self
 
     def transform(self, f: Callable[..., DataFrame], *args, **kwargs) -> Pipeline:
-        """An operator from DataFrame to DataFrame."""
-        self.plan = f(self.plan, *args, **kwargs)
+        """An operator from DataFrame to DataFrame, which may change which rows there are."""
+        self.rows, self.columns = f(self.plan, *args, **kwargs), []
         return self
 
     def uniform(self, name: str, low: float, high: float) -> Column:
@@ -69,8 +84,9 @@ class Pipeline:
 
     def verify(self) -> bool:
         """Whether the plan has a source and all its outputs; if not, ``error`` says why. Nothing runs."""
-        missing = [c for c in [self.key, *self.outputs] if self.plan is None or c not in self.plan.columns]
-        self.error = "the pipeline has no source" if self.plan is None else f"no column named {', '.join(missing)}" if missing else ""
+        plan = self.plan
+        missing = [c for c in [self.key, *self.outputs] if plan is None or c not in plan.columns]
+        self.error = "the pipeline has no source" if plan is None else f"no column named {', '.join(missing)}" if missing else ""
         return not self.error
 
     def augmentation_branches(self) -> int:
@@ -82,20 +98,28 @@ class Pipeline:
 
     def total(self) -> int:
         if self.size is None:
-            self.size = self.plan.count()
+            self.size = self.rows.count()
         return self.size
 
     def build(self) -> DataFrame:
-        """All samples of this shard with batch_id, slot, is_pad and the outputs."""
-        chosen = self.plan.select(self.key, *[c for c in self.outputs if c != self.key])
-        placed = sharding.shuffled_positions(chosen, self.key, self.seed, self.epoch) if self.shuffle else sharding.positions(chosen, self.key)
+        """All samples of this shard with batch_id, slot, is_pad and the outputs.
+
+        Keys alone are ordered and numbered. The rows that the shard's keys
+        bring from the source are those that tensors are made for.
+        """
+        renamed = any(self.key in c for c in self.columns)
+        keys = (self.plan if renamed else self.rows).select(self.key)
+        placed = sharding.shuffled_positions(keys, self.key, self.seed, self.epoch) if self.shuffle else sharding.positions(keys, self.key)
         n = self.total()
         own = sharding.assign_shards(placed, n, self.num_shards, self.epoch, self.rotate_shards)
         own = own.where(F.col("shard") == self.shard_id)
         # After rotation the rows are those of another contiguous shard.
         source = (self.shard_id + self.epoch) % self.num_shards if self.rotate_shards else self.shard_id
         filled = sharding.last_batch(own.withColumn("shard", F.lit(source)), n, self.num_shards, self.batch_size, self.last_batch)
-        return sharding.batches(filled, self.batch_size).select("batch_id", "slot", "is_pad", self.key, *[c for c in self.outputs if c != self.key])
+        places = sharding.batches(filled, self.batch_size).select("batch_id", "slot", "is_pad", F.col(self.key).alias("_key"))
+        same = F.col(self.key).eqNullSafe(F.col("_key"))
+        found = self.plan.join(places, same) if renamed else self._made(self.rows.join(places, same))
+        return found.select("batch_id", "slot", "is_pad", self.key, *[c for c in self.outputs if c != self.key])
 
     def reset(self) -> Pipeline:
         """The next epoch."""
@@ -166,7 +190,7 @@ def pipeline_def(function: Callable | None = None, **settings):
     Keyword arguments that name a setting go to the pipeline, others to the
     function; the function gets the pipeline first and returns output names.
     """
-    known = {f for f in Pipeline.__dataclass_fields__ if f not in ("plan", "key", "outputs", "size", "error", "seconds")}
+    known = {f for f in Pipeline.__dataclass_fields__ if f not in ("rows", "columns", "key", "outputs", "size", "error", "seconds")}
 
     def wrap(f: Callable):
         @functools.wraps(f)
