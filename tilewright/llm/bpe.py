@@ -14,9 +14,10 @@ Decoding gathers token bytes from one buffer by a table of offsets.
 
 Defined results: a null text is encoded as an empty one; the control string of
 a special token inside a text becomes that token, as the reference library
-does by default; ids outside the vocabulary decode to nothing; rows that
-repeat an id keep their rows; an empty table gives an empty table; extra
-columns are ignored by ``encode`` and ``decode``.
+does by default; ids outside the vocabulary decode to nothing; a very long text
+takes time and memory in proportion; documents' ids may be of any type, and
+null; rows that repeat an id keep their rows; an empty table gives an empty
+table; extra columns are ignored by ``encode`` and ``decode``.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm.words import id_kind
+
 #: The pre-token pattern. Letters, the most frequent, come first: no alternative after them can match where they do.
 PATTERN = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for ASCII texts, which the standard library matches in half the time.
@@ -231,7 +234,7 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {id_kind(docs, doc_id)}, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -243,14 +246,14 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             texts = pa.array((t.decode(_ints(x)) for x in batch.column(1)), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_kind(encoded, 'doc_id')}, ids array<int>, text string")
 
 
 def _ints(x) -> np.ndarray:
     return x.values.to_numpy(zero_copy_only=False).astype(np.int64) if x.is_valid else np.empty(0, np.int64)
 
 
-_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def _digested(t: Tokenizer, doc_ids: pa.Array, each: Iterator[np.ndarray]) -> pa.RecordBatch:
@@ -273,7 +276,7 @@ def digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             yield _digested(t, batch.column(0), map(_ints, batch.column(1)))
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, _DIGESTS)
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_kind(encoded, 'doc_id')}, {_DIGESTS}")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,4 +287,4 @@ def round_trip(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
         for batch in batches:
             yield _digested(t, batch.column(0), (np.asarray(t.encode(x.as_py()), np.int64) for x in batch.column(1)))
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, _DIGESTS)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {id_kind(docs, doc_id)}, {_DIGESTS}")

@@ -10,7 +10,7 @@ positions.
 
 Defined results: a null text is an empty payload, padded like any other; equal
 texts give equal media; a very long text is more pages; rows that repeat an id
-keep their rows; ids are whole numbers, others count as null; a page with a
+keep their rows; ids may be of any type, and null; a page with a
 wrong checksum, a gap or a broken lacing raises ``OggError``; an empty table
 gives an empty table; extra columns are ignored.
 """
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm.words import id_kind
+
 UNIT = 576
 PAD = b"\xff"
 RATE = 8000
@@ -163,17 +165,17 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             media = pa.array((mux(padded(r)) for r in raw), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in raw], pa.int64()), media], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_bytes long, media binary"
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+        run, f"doc_id {id_kind(docs, doc_id)}, n_bytes long, media binary"
     )
 
 
 def features(media: DataFrame) -> DataFrame:
     """What the stored bytes say: payload and media digests, and a feature string of level, peak and zero crossings."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "seconds", "n_pages", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.string()]
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "seconds", "n_pages", "feature"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.string()]
 
-    def one(doc_id, n_bytes, stored: bytes) -> tuple:
+    def one(n_bytes, stored: bytes) -> tuple:
         streams = demux(stored)
         payload, _, seconds = samples(streams)
         x = np.frombuffer(payload, np.uint8).astype(np.float32) - 128
@@ -181,17 +183,17 @@ def features(media: DataFrame) -> DataFrame:
         crossings = int(np.count_nonzero(np.signbit(x[1:]) != np.signbit(x[:-1])))
         feature = f"rms={rms:.4f};peak={int(np.abs(x).max())};crossings={crossings};seconds={seconds:.3f}"
         return (
-            doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]),
+            n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]),
             len(stored), hashlib.sha256(stored).hexdigest(), seconds, sum(s.number + 1 for s in streams.values()), feature,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(a.as_py(), b.as_py(), c.as_py()) for a, b, c in zip(*batch.columns)]
+            rows = [one(n.as_py(), m.as_py()) for n, m in zip(batch.column(1), batch.column(2))]
             cols = list(zip(*rows)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", *names])
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(
         run,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, seconds double, n_pages long, feature string",
+        f"doc_id {id_kind(media, 'doc_id')}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, seconds double, n_pages long, feature string",
     )

@@ -12,8 +12,8 @@ Equal fingerprints are one leaf, so copies are never paired with one another.
 Links join leaves into components by alternating star contractions.
 
 Defined results: a null text or one without words has fingerprint zero and is
-linked like any other; rows that repeat an id are linked through their
-fingerprints and each keeps its row; null ids never name a component unless
+linked like any other; ids may be of any type that has an order; rows that
+repeat an id are linked through their fingerprints and each keeps its row; null ids never name a component unless
 all of its ids are null; a very long text is hashed in pieces; an empty table
 gives an empty table; extra columns are ignored (``keep_one`` keeps them).
 """
@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm.words import id_kind
 from tilewright.storage import written
 
 SHINGLE = 3
@@ -68,8 +69,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, fp): ``fp`` is the fingerprint as a signed long."""
     return docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text")
-    ).mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
+        F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text")
+    ).mapInArrow(_fingerprints, f"doc_id {id_kind(docs, doc_id)}, text_hash long, fp long")
 
 
 def _prefix_sql(bits: int) -> str:

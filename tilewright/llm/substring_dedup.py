@@ -15,7 +15,9 @@ end). A line of fewer words is hashed whole, however short it is; one without
 words by its characters, white space at its ends aside. Blank lines have no
 unit.
 
-Defined results: a null text stays null and has no units; null ids rank first;
+Defined results: a null text stays null and has no units; a very long text has
+as many units as its lines and cuts; ids may be of any type that has an order;
+null ids rank first;
 of rows that repeat an id and a text all are one occurrence of their units,
 and are treated alike; an empty table gives an empty table; extra columns are
 kept by ``dedup`` and ignored elsewhere.
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tilewright.llm.words import id_kind
 from tilewright.storage import written
 
 REACH = 12
@@ -41,10 +44,8 @@ WINDOW = 24
 GRAM = 3
 
 _WORD = re.compile(r"[^\W_]+")
-_SCHEMA = "doc_id long, text_hash long, start int, end int, n_words int, digest binary"
-_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("digest", pa.binary())]
-)
+_SCHEMA = "text_hash long, start int, end int, n_words int, digest binary"
+_ARROW = pa.schema([("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("digest", pa.binary())])
 
 
 def text_units(text: str) -> list[tuple[int, int, int, bytes]]:
@@ -95,24 +96,30 @@ def text_units(text: str) -> list[tuple[int, int, int, bytes]]:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batch: pa.RecordBatch, rows: list[int], cols: list[list]) -> pa.RecordBatch:
+        which = pa.array(rows, pa.int32())
+        own = [pa.array(c, f.type) for c, f in zip(cols, _ARROW)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *own], names=["doc_id", "text_hash", *_ARROW.names])
+
     for batch in batches:
-        cols: list[list] = [[] for _ in _ARROW]
-        for doc_id, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            for start, end, n, digest in text_units(text):
-                for col, value in zip(cols, (doc_id, text_hash, start, end, n, digest)):
+        rows, cols = [], [[] for _ in _ARROW]
+        for i, text in enumerate(batch.column(2).to_pylist()):
+            for unit in text_units(text):
+                rows.append(i)
+                for col, value in zip(cols, unit):
                     col.append(value)
-            if len(cols[0]) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
-                cols = [[] for _ in _ARROW]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
+            if len(rows) >= 50_000:
+                yield made(batch, rows, cols)
+                rows, cols = [], [[] for _ in _ARROW]
+        yield made(batch, rows, cols)
 
 
 def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, start, end, n_words, digest) of every unit that can be removed."""
     rows = docs.where(F.col(text).isNotNull()).select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text")
+        F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text")
     )
-    return rows.mapInArrow(_units, _SCHEMA)
+    return rows.mapInArrow(_units, f"doc_id {id_kind(docs, doc_id)}, {_SCHEMA}")
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -14,13 +14,13 @@ Lexicon and weights are learned with Spark from labelled rows, ``SAMPLE`` of
 them at most: document counts by word and label, then by word beginning over
 the vocabulary alone. Words of toxic documents that were copied often look toxic too, so in a
 second pass an entry must be the strongest sign of a few documents, or stand in
-many different contexts, which copies don't have. The lexicon has at most ``LEXICON`` entries,
+many different contexts, which copies don't have. The lexicon has all such entries, or the strongest if ``limit`` says how many,
 the only thing that reaches the driver; a warning tells when weaker ones were left out.
 
 Defined results: a null or empty text scores 0; a label that is null or has no id is none; an
 id with several labels counts once for each, and so does each row that repeats
-a labelled id; rows that repeat an id keep their rows; ids are whole numbers,
-others count as null; a very long text is scored whole; of equally strong
+a labelled id; rows that repeat an id keep their rows; ids may be of any type,
+and meet those of labels as text; a very long text is scored whole; of equally strong
 entries the lesser counts first; without labels or with an empty table the
 lexicon is empty and all scores are 0; extra columns are ignored
 (``drop_toxic`` keeps them).
@@ -42,8 +42,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-#: Most entries of a learned lexicon.
-LEXICON = 5000
+from tilewright.llm.words import id_kind
+
+#: Most entries of a learned lexicon, the strongest; None: all that are found, of which the sample's words are the bound.
+LEXICON: int | None = None
 #: Most labelled rows that are learned from: those of the least id hashes. So many ids can be broadcast.
 SAMPLE = 30_000
 #: Lengths of the word beginnings that are tried; whole words are tried at any length.
@@ -114,11 +116,13 @@ def _doc_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made(words, toxic)
 
 
-def learn(docs: DataFrame, labels: DataFrame, limit: int = LEXICON, sample: int = SAMPLE) -> list[tuple[str, bool, float]]:
+def learn(docs: DataFrame, labels: DataFrame, limit: int | None = LEXICON, sample: int = SAMPLE) -> list[tuple[str, bool, float]]:
     """The lexicon: (entry, whole word?, weight), learned from labelled rows that are not held out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("text").cast("string").alias("text"), "toxic")
+    # Ids meet as text, so that they may be of different types.
+    named = known.select(F.col("doc_id").cast("string").alias("doc_id"), "toxic")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").join(F.broadcast(named), "doc_id").select(F.col("text").cast("string").alias("text"), "toxic")
     totals = known.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
     n_toxic, n_clean = (totals["t"] or 0), (totals["c"] or 0)
     if not n_toxic or not n_clean:
@@ -146,11 +150,11 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LEXICON, sample: int
         .withColumn("rate", rate)
         .where((F.col("t") >= SUPPORT) & (F.col("rate") >= RATIO))
         .orderBy(F.desc(F.col("t") * F.log("rate")), "entry", "whole")
-        .limit(limit + 1)
     )
-    # Bounded by ``limit``.
+    best = best if limit is None else best.limit(limit + 1)
+    # Bounded by the words of ``sample`` rows, and by ``limit`` if there is one.
     tried = [(r["entry"], r["whole"], math.log(r["rate"]), r["t"] * math.log(r["rate"])) for r in best.toLocalIterator()]
-    if len(tried) > limit:
+    if limit is not None and len(tried) > limit:
         warnings.warn(f"the lexicon is held to its {limit} strongest entries", stacklevel=2)
         del tried[limit:]
     if not tried:
@@ -256,8 +260,8 @@ def score(docs: DataFrame, lexicon: list[tuple[str, bool, float]], exceptions=EX
             hits = pa.array([n for _, n in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), hits], names=["doc_id", "text_hash", "score", "n_hits"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, score double, n_hits long").withColumn(
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {id_kind(docs, doc_id)}, text_hash long, score double, n_hits long").withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int")
     )
 

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+def id_kind(docs: DataFrame, doc_id: str) -> str:
+    """The type of an id column, as a schema has it: ids are carried as they are, whatever they are."""
+    return docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; ``lower`` has a fast path that is right for pure ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
