@@ -2,6 +2,17 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame. All but the last return the columns of ``documents``.
+
+Defined results: a null or empty text scores no toxicity, is a near duplicate of
+the other texts without words, of which one stays, is never contaminated, holds
+no secret and gives no tokens; null labels, benchmark texts and languages count
+for nothing; rows of equal id and equal text are one document and stay together,
+and of a group of near duplicates that of the least id, then of the least hash of
+its text, is the one that stays, null ids last; ids may be of any type that has
+an order; very long texts go through whole; with empty documents all stages give
+an empty table, with empty labels nothing is toxic and with an empty benchmark
+nothing is contaminated; extra columns, whatever they are called, are kept up to
+the last stage.
 """
 
 from __future__ import annotations
