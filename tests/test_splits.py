@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import os
 import random
 import struct
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.sources import records, splits
+from tilewright.sources import jsonscan, records, splits
 from test_sources import example, tfrecord
 
 
@@ -241,5 +242,96 @@ def test_files_sink(spark, tmp_path):
         bad.coalesce(1).write.format("files").mode("append").save(to)
     assert spark.read.format("files").load(to).count() == 4 and sorted(os.listdir(to)) == ["c0", "c1", "c2"]
     with pytest.raises(Exception):
-        rows.select(F.lit("../x").alias("path"), "content").write.format("files").mode("overwrite").save(to)
+        rows.coalesce(1).select(F.lit("../x").alias("path"), "content").write.format("files").mode("overwrite").save(to)
     assert spark.read.format("files").load(to).count() == 4 and os.listdir(tmp_path) == ["out"]
+
+
+NASTY = ['plain', 'a "quoted" {name}', "back\\slash\\", '\\"', "]}[{", "é日本", "tab\tnew\nline", '\\\\"}, {"id": 9', "", '\\' * 7]
+
+
+def annotation_file(n, seed):
+    r = random.Random(seed)
+    text = lambda: r.choice(NASTY) + r.choice(NASTY)
+    images = [{"id": i, "file_name": text(), "width": 10 + i, "height": 20, "extra": {"deep": [[{"x": text()}]]}} for i in range(n)]
+    categories = [{"id": 7 * k + 3, "name": text()} for k in range(4)]
+    annotations = [
+        {"id": j, "image_id": r.randrange(n), "category_id": 7 * r.randrange(4) + 3, "iscrowd": int(r.random() < 0.2), "area": r.random(), "bbox": [r.random() * 9 for _ in range(4)], "segmentation": r.choice([[[1.0, 2.0, 3.5]], {"counts": text(), "size": [1, 2]}, None]), "note": text()}
+        for j in range(3 * n)
+    ]
+    whole = {"info": {"images": [{"id": -1}], "about": text()}, "images": images, "licenses": [], "annotations": annotations, "categories": categories, text() + "k": [1, [2], "x"]}
+    return whole
+
+
+@pytest.mark.parametrize("step", [50, 700, 100_000])
+@pytest.mark.parametrize("indent", [None, 1])
+def test_annotations_in_ranges(spark, tmp_path, step, indent):
+    """One file in several partitions, whatever its strings hold, gives what a JSON parser gives."""
+    from tilewright.sources import coco
+
+    whole = annotation_file(12, step)
+    (tmp_path / "a.json").write_text(json.dumps(whole, indent=indent, ensure_ascii=step == 50))
+    data = coco.scan(spark, str(tmp_path), step)
+    got = data.annotations.orderBy("position").collect()
+    assert [(a.id, a.image_id, a.category_id, a.iscrowd, a.area, a.bbox) for a in got] == [tuple(a[k] for k in ("id", "image_id", "category_id", "iscrowd", "area", "bbox")) for a in whole["annotations"]]
+    assert [json.loads(a.segmentation) if a.segmentation else None for a in got] == [a["segmentation"] for a in whole["annotations"]]
+    assert [(i.id, i.file_name, i.width) for i in data.images.orderBy("position").collect()] == [(i["id"], i["file_name"], i["width"]) for i in whole["images"]]
+    assert {c.category_id: c["class"] for c in coco.categories(data).collect()} == {7 * k + 3: k + 1 for k in range(4)}
+    assert (data.annotations.rdd.getNumPartitions() > 5) == (step < 1000)
+
+
+def test_scanner_in_any_blocks():
+    """States and brackets don't depend on how a text is cut, nor on where counting begins."""
+    r = random.Random(5)
+    text = json.dumps(annotation_file(5, 1)).encode()
+    plain, inside, escaped, depth = [], False, False, 0
+    for i, c in enumerate(text):
+        if inside:
+            inside, escaped = (escaped or c != 34), (c == 92 and not escaped)
+        elif c == 34:
+            inside = True
+        elif c in b"[]{}":
+            depth += 1 if c in b"[{" else -1
+            plain.append((i, depth))
+    for _ in range(30):
+        s, at, got = jsonscan.Scanner(), 0, []
+        while at < len(text):
+            n = r.choice([1, 2, 3, 7, 50, 400])
+            places, after = s.scan(np.frombuffer(text[at : at + n], np.uint8))
+            got += [(at + int(p), int(d)) for p, d in zip(places, after)]
+            at += n
+        assert got == plain and s.depth == 0 and not s.inside
+
+
+def test_annotation_files_that_are_none(spark, tmp_path):
+    from tilewright.sources import coco
+
+    (tmp_path / "a.json").write_text('{"images": [{"id": 1}], "annotations": [')
+    with pytest.raises(Exception, match="cut short"):
+        coco.scan(spark, str(tmp_path))
+    (tmp_path / "a.json").write_text('{"images": [{"id": "x", "width": null, "height": 3.0}, 5, null, [{"id": 8}]]}')
+    data = coco.scan(spark, str(tmp_path))
+    assert [tuple(x)[2:] for x in data.images.collect()] == [(None, None, None, 3)] and data.annotations.count() == 0
+    (tmp_path / "a.json").write_text("{}")
+    assert coco.detections(coco.scan(spark, str(tmp_path))).count() == 0
+
+
+def test_blocks_bound_memory(tmp_path):
+    """A range is read block by block; what is held is an object."""
+    body = b'{"annotations": [' + b",".join(b'{"id": %d, "t": "%s"}' % (i, b"x" * 500) for i in range(4000)) + b"]}"
+    (tmp_path / "a.json").write_bytes(body)
+    sizes = []
+
+    class File:
+        def __init__(self, f):
+            self.f = f
+
+        def size(self):
+            return len(body)
+
+        def read_at(self, n, at):
+            sizes.append(n)
+            return self.f.read_at(n, at)
+
+    with records._random_access(str(tmp_path / "a.json")) as f:
+        found = [json.loads(t)["id"] for _, t in jsonscan.objects(File(f), 17, len(body) - 2, False, 2, 4096)]
+    assert found == list(range(4000)) and max(sizes) == 4096

@@ -11,6 +11,7 @@ from tilewright.operators import batches
 from tilewright.plans.vectors import _BOXED, _DOUBLES, _PIXELS, boxed, vectors
 from tilewright.sources import coco, files, records, sinks, splits
 from tilewright.storage import new_path
+from tilewright.streaming import batching, external
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -365,7 +366,7 @@ def _coco(spark: SparkSession, d: str) -> DataFrame:
     grouped = b.select(F.floor(F.col("vec_id") / COCO_FILE).alias("part"), picture.alias("i"), F.transform("boxes", one).alias("a")).groupBy("part").agg(F.collect_list("i").alias("images"), F.flatten(F.collect_list("a")).alias("annotations"))
     classes = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct((9 - i).alias("id"), F.concat(F.lit("c"), (9 - i).cast("string")).alias("name")))
     text = F.to_json(F.struct("images", classes.alias("categories"), "annotations"))
-    return coco.read(spark, stored(grouped.select(F.concat(F.lit("part-"), F.col("part").cast("string"), F.lit(".json")).alias("path"), text.cast("binary").alias("content")), "files", "coco"))
+    return coco.scan(spark, stored(grouped.select(F.concat(F.lit("part-"), F.col("part").cast("string"), F.lit(".json")).alias("path"), text.cast("binary").alias("content")), "files", "coco"), 65536)
 
 
 _OBJECTS = f"{_BOXED}, o AS (SELECT vec_id AS image_id, vec_id * 3 + box_id AS id, box_id, label % 10 AS category_id, (vec_id + box_id) % 5 = 0 AS crowd, l, t, r, b FROM bx)"
@@ -387,6 +388,17 @@ def coco_masks(spark, d):
     return coco.mask_counts(found).join(coco.mask_coordinates(found), "name").select("name", "total", F.size("counts").alias("objects"), F.round(total, 4).alias("sum"))
 
 
+@query(f"""
+    WITH {_OBJECTS}, n AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY id) - 1 AS object FROM o WHERE NOT crowd),
+    p AS (SELECT *, 0 AS polygon, [l, t, r, t] AS v FROM n UNION ALL SELECT *, 1 AS polygon, [r, b] AS v FROM n)
+    SELECT image_id, CAST(object AS INT) AS object, CAST(polygon AS INT) AS polygon, CAST(i AS INT) AS idx, round(v[i + 1], 5) AS value FROM (SELECT *, unnest(range(0, len(v))) AS i FROM p)""")
+def coco_mask_vertices(spark, d):
+    """Each coordinate at its place in its polygon of its object."""
+    found = coco.detections(_coco(spark, d), masks=True).select("image_id", F.posexplode("masks").alias("object", "m"))
+    polygons = found.select("image_id", "object", F.posexplode("m").alias("polygon", "v"))
+    return polygons.select("image_id", "object", "polygon", F.posexplode("v").alias("idx", "value")).withColumn("value", F.round("value", 5))
+
+
 @query(f"""
     WITH {_OBJECTS},
     c AS (SELECT *, greatest(0, l) AS x1, greatest(0, t) AS y1, least(99, greatest(0, l) + greatest(0, r - l - 1)) AS x2, least(79, greatest(0, t) + greatest(0, b - t - 1)) AS y2 FROM o WHERE category_id = 1 AND NOT crowd),
@@ -404,3 +416,26 @@ def coco_keypoints(spark, d):
         "image_id", "annotation_id", F.round(at("center", 0), 5).alias("cx"), F.round(at("center", 1), 5).alias("cy"), F.round(at("scale", 0), 6).alias("sx"), F.round(at("scale", 1), 6).alias("sy"),
         "joint", at("j.joints", 0).alias("x"), at("j.joints", 1).alias("y"), at("j.visibility", 0).alias("visible"),
     )
+
+
+# --- external source ---
+
+
+@query("""
+    WITH d AS (SELECT 'f' || doc_id % 3 AS feed, doc_id, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY doc_id % 3) AS n FROM documents)
+    SELECT feed, doc_id AS sample, k // 16 AS batch_id, CAST(k % 16 AS INT) AS slot, false AS is_pad FROM d
+    UNION ALL SELECT feed, doc_id, k // 16, CAST(p AS INT), true FROM d, range(0, 16) r(p) WHERE k = n - 1 AND p > k % 16""")
+def external_batches(spark, d):
+    """Samples of three feeds, fed in four pieces and streamed by a query that is stopped and restarted after each: batches go on over the pieces, the last is filled."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("f"), (F.col("doc_id") % 3).cast("string")).alias("feed"), F.col("doc_id").alias("sample"))
+    bounds = docs.agg(F.min("sample").alias("a"), F.max("sample").alias("b")).first()
+    fed, sink, checkpoint = (new_path(spark, n) for n in ("fed", "batched", "stream"))
+    schema = "feed string, sample long, last boolean"
+    step = -(-(bounds["b"] - bounds["a"] + 1) // 4)
+    for k in range(5):
+        low = bounds["a"] + k * step
+        some = docs.where((F.col("sample") >= low) & (F.col("sample") < low + step)).withColumn("last", F.lit(False))
+        external.feed(some if k < 4 else docs.select("feed").distinct().select("feed", F.lit(None).cast("long").alias("sample"), F.lit(True).alias("last")), fed)
+        carried = batching.carried(external.stream(spark, fed, schema), 16, "fill")
+        carried.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink).awaitTermination()
+    return spark.read.parquet(sink)

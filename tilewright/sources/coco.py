@@ -1,10 +1,76 @@
-"""Detection, mask and keypoint annotations from COCO JSON."""
+"""Detection, mask and keypoint annotations from COCO JSON.
+
+Files may be larger than a task's memory: ``jsonscan`` finds the arrays of each
+file and cuts them into ranges, and each of the three tables is a scan of its
+own array alone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tilewright.sources import jsonscan, records
+
+
+def _number(kind: type, value):
+    return kind(value) if isinstance(value, (int, float)) else None
+
+
+def _numbers(values) -> list | None:
+    return [_number(float, v) for v in values] if isinstance(values, list) else None
+
+
+def _text(value) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value)
+
+
+class ImageReader(jsonscan.ArrayReader):
+    section = "images"
+
+    def row(self, x: dict) -> tuple:
+        return _number(int, x.get("id")), _text(x.get("file_name")), _number(int, x.get("width")), _number(int, x.get("height"))
+
+
+class CategoryReader(jsonscan.ArrayReader):
+    section = "categories"
+
+    def row(self, x: dict) -> tuple:
+        return _number(int, x.get("id")), _text(x.get("name"))
+
+
+class AnnotationReader(jsonscan.ArrayReader):
+    """Segmentations stay text until they are asked for."""
+
+    section = "annotations"
+
+    def row(self, x: dict) -> tuple:
+        whole = (_number(int, x.get(k)) for k in ("id", "image_id", "category_id", "iscrowd"))
+        return *whole, _number(float, x.get("area")), _numbers(x.get("bbox")), _text(x.get("segmentation")), _numbers(x.get("keypoints"))
+
+
+_SOURCES = {
+    "coco_images": ("file string, position long, id long, file_name string, width int, height int", ImageReader),
+    "coco_categories": ("file string, position long, id long, name string", CategoryReader),
+    "coco_annotations": (
+        "file string, position long, id long, image_id long, category_id long, iscrowd int, area double, bbox array<double>, segmentation string, keypoints array<double>",
+        AnnotationReader,
+    ),
+}
+
+
+@dataclass
+class Coco:
+    """The three arrays of the files below a path; ``position`` is an object's place in its file."""
+
+    images: DataFrame
+    categories: DataFrame
+    annotations: DataFrame
+
+
 SCHEMA = (
     "images array<struct<id:long,file_name:string,width:int,height:int>>, categories array<struct<id:long,name:string>>, "
     "annotations array<struct<id:long,image_id:long,category_id:long,iscrowd:int,area:double,bbox:array<double>,segmentation:string,keypoints:array<double>>>"
@@ -12,24 +78,40 @@ SCHEMA = (
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each file; a corpus of annotations may be many files. Segmentations stay text until they are asked for."""
+    """One row for each file, for files that fit in a task; ``scan`` reads files of any size."""
     return spark.read.schema(SCHEMA).json(path, multiLine=True)
 
 
-def images(data: DataFrame) -> DataFrame:
-    return data.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), F.col("i.file_name").alias("name"), F.col("i.width").alias("img_w"), F.col("i.height").alias("img_h"))
+def _tables(data: Coco | DataFrame) -> Coco:
+    if isinstance(data, Coco):
+        return data
+    each = lambda c: data.select(F.input_file_name().alias("file"), F.posexplode(c).alias("position", "x")).select("file", F.col("position").cast("long"), "x.*")
+    return Coco(*(each(c) for c in ("images", "categories", "annotations")))
+
+
+def scan(spark: SparkSession, path: str, split_bytes: int = jsonscan.SPLIT_BYTES) -> Coco:
+    """A corpus of annotations may be one large file or many; an array that is lacking is an empty table."""
+    for label, (columns, kind) in _SOURCES.items():
+        spark.dataSource.register(records._source(label, columns, kind))
+    where = jsonscan.index(spark, path, split_bytes)
+    return Coco(*(spark.read.format(label).option("arrays", where).load(path) for label in _SOURCES))
+
+
+def images(data: Coco | DataFrame) -> DataFrame:
+    return _tables(data).images.select(F.col("id").alias("image_id"), F.col("file_name").alias("name"), F.col("width").alias("img_w"), F.col("height").alias("img_h"))
 
 
-def categories(data: DataFrame) -> DataFrame:
-    """(category_id, class): classes are 1..n in the file's order."""
-    return data.select(F.posexplode("categories").alias("p", "c")).groupBy(F.col("c.id").alias("category_id")).agg((F.min("p") + 1).alias("class"))
+def categories(data: Coco | DataFrame) -> DataFrame:
+    """(category_id, class): classes are 1..n in the file's order; a file's categories are few."""
+    place = F.row_number().over(Window.partitionBy("file").orderBy("position"))
+    return _tables(data).categories.select(F.col("id").alias("category_id"), place.alias("place")).groupBy("category_id").agg(F.min("place").alias("class"))
 
 
-def annotations(data: DataFrame) -> DataFrame:
-    return data.select(F.posexplode("annotations").alias("position", "a")).select("position", "a.*")
+def annotations(data: Coco | DataFrame) -> DataFrame:
+    return _tables(data).annotations.drop("file")
 
 
-def detections(data: DataFrame, masks: bool = False, remap: bool = True, relative: bool = False) -> DataFrame:
+def detections(data: Coco | DataFrame, masks: bool = False, remap: bool = True, relative: bool = False) -> DataFrame:
     """(name, image_id, img_w, img_h, boxes, labels, masks): one row for each annotated image, objects in file order.
 
     With ``masks`` crowds are left out, right and bottom edges are one less,
@@ -64,7 +146,7 @@ def mask_coordinates(found: DataFrame) -> DataFrame:
     return found.select("name", F.flatten(F.flatten("masks")).alias("coordinates"))
 
 
-def keypoints(data: DataFrame, pose_w: int = 288, pose_h: int = 384, person: int = 1) -> DataFrame:
+def keypoints(data: Coco | DataFrame, pose_w: int = 288, pose_h: int = 384, person: int = 1) -> DataFrame:
     """(name, image_id, annotation_id, center, scale, joints, visibility, score, rotation): one person for each image, the first in the file.
 
     Crowds, other categories and people without joints are left out. The box is
