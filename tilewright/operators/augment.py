@@ -1,187 +1,81 @@
-"""Effects that gather pixels: numpy kernels fused into one Arrow-batched stage.
+"""Chains of effects on images of one shape, by name.
 
-A chain of effects runs in one pass over each batch, so rows cross to Python
-once however long the chain is. Random effects draw from a generator seeded by
-(seed, step, sample), so results don't depend on partitioning. Formulas are
-this library's conventions.
+A chain is an expression: each effect is a Column of the Column before it, so
+Catalyst plans the whole chain as one projection and no row crosses to Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Image = np.ndarray  # height, width, channels
+from tilewright.functions import effects as E
+from tilewright.functions import tensor as T
 
+Shape = tuple[int, int, int]  # height, width, channels
 
-def sample(image: Image, y: np.ndarray, x: np.ndarray, fill: float | None = 0.0) -> Image:
-    """Bilinear values at real coordinates; outside the image ``fill``, or the nearest edge if it is None."""
-    h, w = image.shape[:2]
-    inside = (y >= -0.5) & (y <= h - 0.5) & (x >= -0.5) & (x <= w - 0.5)
-    yc, xc = np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)
-    y0, x0 = np.floor(yc).astype(int), np.floor(xc).astype(int)
-    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
-    fy, fx = (yc - y0)[..., None], (xc - x0)[..., None]
-    out = (image[y0, x0] * (1 - fx) + image[y0, x1] * fx) * (1 - fy) + (image[y1, x0] * (1 - fx) + image[y1, x1] * fx) * fy
-    return out if fill is None else np.where(inside[..., None], out, fill)
 
+def _same(f: Callable[..., Column]) -> Callable:
+    """An effect that looks at shape, sample and seed, and keeps the shape."""
+    return lambda v, s, key, seed, **given: (f(v, s[0], s[1], key=key, c=s[2], seed=seed, **given), s)
 
-def _grid(h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.meshgrid(np.arange(h, dtype=float), np.arange(w, dtype=float), indexing="ij"))
 
+def _placed(f: Callable[..., Column]) -> Callable:
+    """An effect that looks at the shape alone and keeps it."""
+    return lambda v, s, key, seed, **given: (f(v, s[0], s[1], c=s[2], **given), s)
 
-def resize(image: Image, rng, height: int, width: int) -> Image:
-    y, x = _grid(height, width)
-    h, w = image.shape[:2]
-    return sample(image, (y + 0.5) * h / height - 0.5, (x + 0.5) * w / width - 0.5, None)
 
+def _plain(f: Callable[..., Column]) -> Callable:
+    """An effect on the values."""
+    return lambda v, s, key, seed, **given: (f(v, **given), s)
 
-def warp_affine(image: Image, rng, matrix, fill: float = 0.0) -> Image:
-    """matrix (a, b, c, d, tx, ty): the source of output (x, y), from the centre, is (a x + b y + tx, c x + d y + ty)."""
-    h, w = image.shape[:2]
-    y, x = _grid(h, w)
-    cy, cx = (h - 1) / 2, (w - 1) / 2
-    a, b, c, d, tx, ty = matrix
-    dx, dy = x - cx, y - cy
-    return sample(image, c * dx + d * dy + ty + cy, a * dx + b * dy + tx + cx, fill)
 
+def _crop(v: Column, s: Shape, key: Column, seed: int, y: int, x: int, height: int, width: int) -> tuple[Column, Shape]:
+    return T.crop(v, s[1], y, x, height, width, s[2]), (height, width, s[2])
 
-def rotate(image: Image, rng, degrees: float, fill: float = 0.0) -> Image:
-    r = np.deg2rad(degrees)
-    return warp_affine(image, rng, (np.cos(r), np.sin(r), -np.sin(r), np.cos(r), 0.0, 0.0), fill)
 
+def _resize(v: Column, s: Shape, key: Column, seed: int, height: int, width: int) -> tuple[Column, Shape]:
+    return T.resize_bilinear(v, *s[:2], height, width, s[2]), (height, width, s[2])
 
-def fish_eye(image: Image, rng) -> Image:
-    h, w = image.shape[:2]
-    y, x = _grid(h, w)
-    ny, nx = 2 * y / max(1, h - 1) - 1, 2 * x / max(1, w - 1) - 1
-    r = np.sqrt(nx * nx + ny * ny)
-    to = (r + 1 - np.sqrt(np.maximum(0.0, 1 - r * r))) / 2
-    k = np.divide(to, r, out=np.ones_like(r), where=r > 0)
-    out = sample(image, (ny * k + 1) / 2 * (h - 1), (nx * k + 1) / 2 * (w - 1))
-    return np.where((r <= 1)[..., None], out, 0.0)
 
+def _random_crop_resize(v: Column, s: Shape, key: Column, seed: int, height: int, width: int, **given) -> tuple[Column, Shape]:
+    return E.random_crop_resize(v, s[0], s[1], height, width, key, c=s[2], seed=seed, **given), (height, width, s[2])
 
-def lens_correction(image: Image, rng, k1: float = 0.0, k2: float = 0.0, p1: float = 0.0, p2: float = 0.0, k3: float = 0.0, focal: float | None = None) -> Image:
-    h, w = image.shape[:2]
-    y, x = _grid(h, w)
-    f = focal or max(h, w)
-    u, v = (x - (w - 1) / 2) / f, (y - (h - 1) / 2) / f
-    r2 = u * u + v * v
-    radial = 1 + k1 * r2 + k2 * r2**2 + k3 * r2**3
-    du = u * radial + 2 * p1 * u * v + p2 * (r2 + 2 * u * u)
-    dv = v * radial + p1 * (r2 + 2 * v * v) + 2 * p2 * u * v
-    return sample(image, dv * f + (h - 1) / 2, du * f + (w - 1) / 2)
 
+def _normalize(v: Column, s: Shape, key: Column, seed: int, mean, std) -> tuple[Column, Shape]:
+    return T.crop_mirror_normalize(v, s[0], s[1], s[0], s[1], 0, mean, std, c=s[2]), s
 
-def jitter(image: Image, rng, kernel: int = 3) -> Image:
-    h, w = image.shape[:2]
-    y, x = _grid(h, w)
-    reach = kernel // 2
-    move = rng.integers(-reach, reach + 1, (2, h, w))
-    return image[np.clip(y + move[0], 0, h - 1).astype(int), np.clip(x + move[1], 0, w - 1).astype(int)]
 
+EFFECTS: dict[str, Callable] = {
+    "crop": _crop,
+    "resize": _resize,
+    "random_crop_resize": _random_crop_resize,
+    "normalize": _normalize,
+    **{f.__name__: _same(f) for f in (E.mirror, E.jitter, E.salt_and_pepper, E.snow, E.rain)},
+    **{f.__name__: _placed(f) for f in (E.warp_affine, E.rotate, E.fish_eye, E.lens_correction)},
+    **{f.__name__: _plain(f) for f in (E.hue, E.saturation)},
+    "color_twist": _plain(E.color_twist_hsv),
+}
 
-def salt_and_pepper(image: Image, rng, probability: float, salt: float = 0.5, salt_value: float = 255.0, pepper_value: float = 0.0) -> Image:
-    u = rng.random(image.shape[:2])[..., None]
-    return np.where(u < probability * salt, salt_value, np.where(u < probability, pepper_value, image))
 
+def chained(v: Column, key: Column, shape: Shape, chain: list[tuple[str, dict]], seed: int = 0) -> Column:
+    """``v`` after all effects of ``chain``, each a name and its arguments; each step draws by a seed of its own, the first by ``seed``."""
 
-def snow(image: Image, rng, amount: float) -> Image:
-    """Brightens what is already bright: pixels above 1 - amount of the range, and random flakes."""
-    flakes = rng.random(image.shape[:2])[..., None] < amount * 0.1
-    lit = np.where(image >= 255 * (1 - amount), np.minimum(255.0, image * (1 + amount)), image)
-    return np.where(flakes, 255.0, lit)
+    def after(x: Column, s: Shape, steps: list, n: int) -> Column:
+        if not steps:
+            return x
+        (name, given), *rest = steps
+        made, to = EFFECTS[name](x, s, key, seed + n, **given)
+        # An effect looks at many places of what comes before it, which is computed once.
+        return T.let(made, lambda y: after(y, to, rest, n + 1)) if rest else made
 
+    return after(v, shape, chain, 0)
 
-def rain(image: Image, rng, share: float, length: int = 5, slant: int = 0, transparency: float = 0.5, value: float = 200.0) -> Image:
-    h, w = image.shape[:2]
-    mask = np.zeros((h, w), bool)
-    for y, x in zip(rng.integers(0, h, int(share * h * w / max(1, length))), rng.integers(0, w, int(share * h * w / max(1, length)))):
-        for k in range(length):
-            if y + k < h and 0 <= x + k * slant < w:
-                mask[y + k, x + k * slant] = True
-    return np.where(mask[..., None], image * (1 - transparency) + value * transparency, image)
 
-
-def _to_hsv(image: Image) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    r, g, b = (image[..., i] / 255.0 for i in range(3))
-    top, low = np.max([r, g, b], axis=0), np.min([r, g, b], axis=0)
-    span = top - low
-    safe = np.where(span > 0, span, 1.0)
-    hue = np.select([top == r, top == g], [(g - b) / safe % 6, (b - r) / safe + 2], (r - g) / safe + 4) * 60
-    return np.where(span > 0, hue, 0.0), np.divide(span, top, out=np.zeros_like(top), where=top > 0), top
-
-
-def _to_rgb(hue: np.ndarray, sat: np.ndarray, val: np.ndarray) -> Image:
-    part = lambda n: val - val * sat * np.clip(np.minimum((n + hue / 60) % 6, 4 - (n + hue / 60) % 6), 0, 1)
-    return np.stack([part(5), part(3), part(1)], axis=-1) * 255.0
-
-
-def hue(image: Image, rng, degrees: float) -> Image:
-    h, s, v = _to_hsv(image)
-    return _to_rgb((h + degrees) % 360, s, v)
-
-
-def saturation(image: Image, rng, factor: float) -> Image:
-    h, s, v = _to_hsv(image)
-    return _to_rgb(h, np.clip(s * factor, 0, 1), v)
-
-
-def crop(image: Image, rng, y: int, x: int, height: int, width: int) -> Image:
-    return image[y : y + height, x : x + width]
-
-
-def random_crop_resize(image: Image, rng, height: int, width: int, area=(0.08, 0.99), aspect=(0.75, 1.333), attempts: int = 20) -> Image:
-    """A window of random area and aspect that fits, else the whole image, resized."""
-    h, w = image.shape[:2]
-    for _ in range(attempts):
-        target, ratio = rng.uniform(*area) * h * w, rng.uniform(*aspect)
-        cw, ch = int(np.sqrt(target * ratio)), int(np.sqrt(target / ratio))
-        if 0 < cw < w and 0 < ch < h:
-            y, x = rng.integers(0, h - ch + 1), rng.integers(0, w - cw + 1)
-            return resize(image[y : y + ch, x : x + cw], rng, height, width)
-    return resize(image, rng, height, width)
-
-
-def mirror(image: Image, rng, probability: float = 1.0) -> Image:
-    return image[:, ::-1] if rng.random() < probability else image
-
-
-def color_twist(image: Image, rng, alpha: float = 1.0, beta: float = 0.0, degrees: float = 0.0, factor: float = 1.0) -> Image:
-    """Brightness and contrast, then hue and saturation in one conversion."""
-    h, s, v = _to_hsv(np.clip(image * alpha + beta, 0, 255))
-    return _to_rgb((h + degrees) % 360, np.clip(s * factor, 0, 1), v)
-
-
-def normalize(image: Image, rng, mean, std) -> Image:
-    """By channel."""
-    return (image - np.asarray(mean)) / np.asarray(std)
-
-
-EFFECTS = {f.__name__: f for f in (crop, random_crop_resize, mirror, color_twist, normalize, resize, warp_affine, rotate, fish_eye, lens_correction, jitter, salt_and_pepper, snow, rain, hue, saturation)}
-
-
-def apply(df: DataFrame, key: str, values: str, shape: tuple[int, int, int], chain: list[tuple[str, dict]], seed: int = 0) -> DataFrame:
-    """(key, values) after all effects of ``chain``, each a name and its arguments; the key is a long. A null stays null."""
-    steps = [(EFFECTS[name], kwargs) for name, kwargs in chain]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for k, v in zip(batch.column(0), batch.column(1)):
-                if not v.is_valid:
-                    out.append(None)
-                    continue
-                image = v.values.to_numpy(zero_copy_only=False).astype(float).reshape(shape)
-                for n, (f, kwargs) in enumerate(steps):
-                    own = np.random.default_rng([seed, n, (k.as_py() or 0) & 0xFFFFFFFFFFFFFFFF])
-                    image = f(image, own, **kwargs)
-                out.append(image.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=[key, values])
-
-    return df.select(F.col(key).cast("long").alias(key), F.col(values).cast("array<double>").alias(values)).mapInArrow(run, f"`{key}` long, `{values}` array<double>")
+def apply(df: DataFrame, key: str, values: str, shape: Shape, chain: list[tuple[str, dict]], seed: int = 0) -> DataFrame:
+    """(key, values) after all effects of ``chain``. A null stays null."""
+    v = F.col(values).cast("array<double>")
+    out = F.when(F.col(values).isNotNull(), T.let(v, lambda x: chained(x, F.col(key), shape, chain, seed)))
+    return df.select(F.col(key), out.alias(values))

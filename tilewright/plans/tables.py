@@ -438,7 +438,20 @@ def ssd_random_crop(spark, d):
     return each.select("vec_id", "idx", F.col("o.labels").cast("int").alias("label"), F.round("window.l", 6).alias("window_l"), F.round("window.t", 6).alias("window_t"), *(F.round(f"o.boxes.{c}", 4).alias(c) for c in "ltrb"))
 
 
-_effect("fused_chain", [("resize", {"height": 6, "width": 6}), ("rotate", {"degrees": 15.0}), ("snow", {"amount": 0.2})])
+_CHAIN = f"""
+    WITH e AS (SELECT vec_id, {_PIXELS} AS v FROM embeddings),
+    a AS (SELECT vec_id, v, unnest(range(0, 36)) AS i FROM e),
+    b AS (SELECT *, greatest(0.0, least(7.0, (i // 6 + 0.5::DOUBLE) * (8 / 6.0::DOUBLE) - 0.5)) AS yc, greatest(0.0, least(7.0, (i % 6 + 0.5::DOUBLE) * (8 / 6.0::DOUBLE) - 0.5)) AS xc FROM a),
+    c AS (SELECT *, CAST(floor(yc) AS BIGINT) AS y0, CAST(floor(xc) AS BIGINT) AS x0, yc - floor(yc) AS fy, xc - floor(xc) AS fx FROM b),
+    d AS (SELECT vec_id, list((v[y0 * 8 + x0 + 1] * (1 - fx) + v[y0 * 8 + least(7, x0 + 1) + 1] * fx) * (1 - fy) + (v[least(7, y0 + 1) * 8 + x0 + 1] * (1 - fx) + v[least(7, y0 + 1) * 8 + least(7, x0 + 1) + 1] * fx) * fy ORDER BY i) AS v FROM c GROUP BY vec_id),
+    g AS (SELECT vec_id, v, i, i // 6 - 2.5 AS y, i % 6 - 2.5 AS x FROM (SELECT vec_id, v, unnest(range(0, 36)) AS i FROM d)),
+    s AS (SELECT *, -sin(pi() / 12) * x + cos(pi() / 12) * y + 2.5 AS sy, cos(pi() / 12) * x + sin(pi() / 12) * y + 2.5 AS sx FROM g),
+    t AS (SELECT *, sy BETWEEN -0.5 AND 5.5 AND sx BETWEEN -0.5 AND 5.5 AS hit, greatest(0.0, least(5.0, sy)) AS ry, greatest(0.0, least(5.0, sx)) AS rx FROM s),
+    f AS (SELECT *, CAST(floor(ry) AS BIGINT) AS y0, CAST(floor(rx) AS BIGINT) AS x0, ry - floor(ry) AS fy, rx - floor(rx) AS fx FROM t),
+    o AS (SELECT vec_id, i, CASE WHEN hit THEN (v[y0 * 6 + x0 + 1] * (1 - fx) + v[y0 * 6 + least(5, x0 + 1) + 1] * fx) * (1 - fy)
+        + (v[least(5, y0 + 1) * 6 + x0 + 1] * (1 - fx) + v[least(5, y0 + 1) * 6 + least(5, x0 + 1) + 1] * fx) * fy ELSE 0 END AS x FROM f)
+    SELECT vec_id, CAST(i AS INT) AS idx, round(CASE WHEN {_u('snow', 'vec_id', 'i').replace('42', '44')} < 0.2::DOUBLE * 0.1::DOUBLE THEN 255 WHEN x >= 255 * (1 - 0.2::DOUBLE) THEN least(255.0, x * (1 + 0.2::DOUBLE)) ELSE x END, 4) + 0.0::DOUBLE AS value FROM o"""
+_effect("fused_chain", [("resize", {"height": 6, "width": 6}), ("rotate", {"degrees": 15.0}), ("snow", {"amount": 0.2})], sql=_CHAIN)
 
 
 def _colours(spark, d):
