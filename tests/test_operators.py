@@ -234,3 +234,25 @@ def test_storage_asks_a_cluster_for_its_folder(spark):
     far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
     with pytest.raises(ValueError, match="checkpoint"):
         storage.shared_dir(far)
+
+
+def test_moving_power(spark):
+    """Sums that begin anew equal plain windows, wherever windows and resets fall; time doesn't grow with the window."""
+    import time
+
+    r = np.random.default_rng(4)
+    for n, window, reset in ((1, 1, 8192), (63, 3, 10), (64, 7, 7), (200, 64, 50), (500, 9, 65), (130, 200, 16), (0, 3, 5)):
+        x = r.normal(size=n)
+        got = spark.createDataFrame([(x.tolist(),)], "v array<double>").select(A.moving_power(F.col("v"), window, reset)).first()[0]
+        want = [float((x[max(0, i - window + 1) : i + 1] ** 2).sum()) / window for i in range(n)]
+        assert np.allclose(got, want, atol=1e-12), (n, window, reset)
+    signal = spark.range(8).select(F.transform(F.sequence(F.lit(0), F.lit(15_999)), lambda i: F.sin(i * 0.1)).alias("v")).cache()
+    signal.count()
+
+    def seconds(window):
+        began = time.perf_counter()
+        signal.select(A.nonsilent_region(F.col("v"), -60.0, 0.0, window)).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(3)
+    assert seconds(2048) < 3 * seconds(3) + 1

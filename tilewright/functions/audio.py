@@ -31,19 +31,59 @@ def downmix(channels: Column) -> Column:
     return F.transform(channels, lambda f: F.aggregate(f, F.lit(0.0), lambda a, x: a + x) / F.size(f))
 
 
-def nonsilent_region(v: Column, cutoff_db: float = -60.0, reference: float = 0.0, window: int = 3) -> Column:
+_BLOCK = 64
+
+
+def running_sums(v: Column) -> Column:
+    """The sums of no, one, two and so on up to all values.
+
+    An array is copied when a value is appended, so sums are taken by blocks,
+    and then over the blocks.
+    """
+    none = F.struct(F.lit(0.0).alias("at"), F.expr("cast(array() as array<double>)").alias("seen"))
+    add = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["seen"], F.array(acc["at"] + x)).alias("seen"))
+    within = lambda block: F.aggregate(block, none, add)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(v)), F.lit(_BLOCK))
+
+    def joined(parts: Column) -> Column:
+        before = lambda totals, k: F.when(k == 0, F.lit(0.0)).otherwise(F.get(totals, k - 1))
+        moved = lambda totals: F.transform(parts, lambda p, k: let(before(totals, k), lambda o: F.transform(p["seen"], lambda x: x + o)))
+        return let(within(F.transform(parts, lambda p: p["at"]))["seen"], lambda totals: F.concat(F.array(F.lit(0.0)), F.flatten(moved(totals))))
+
+    return let(F.transform(starts, lambda i: within(F.slice(v, i, F.lit(_BLOCK)))), joined)
+
+
+def moving_power(v: Column, window: int, reset: int = 8192) -> Column:
+    """For each sample the mean square of the ``window`` samples that end there; those before the start count 0.
+
+    Running sums begin anew every ``reset`` samples (or every window, if that
+    is longer), so their precision doesn't fall over a long signal; a window
+    that goes over such a place is the end of one run and the start of the next.
+    """
+    every = max(reset, window)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(v)), F.lit(every))
+    runs = F.transform(starts, lambda i: running_sums(F.transform(F.slice(v, i, F.lit(every)), lambda x: x * x)))
+
+    def power(runs: Column, i: Column) -> Column:
+        run, at, first = F.floor(i / every).cast("int"), i % every + 1, i % every + 1 - window
+        own = lambda r: F.get(r, at) - F.get(r, F.greatest(F.lit(0), first))
+        tail = lambda r: F.element_at(r, -1) - F.get(r, first + every)
+        before = F.when((first < 0) & (run > 0), let(F.get(runs, run - 1), tail)).otherwise(F.lit(0.0))
+        # Sums that cancel can leave a trace below zero.
+        return F.greatest(F.lit(0.0), let(F.get(runs, run), own) + before) / float(window)
+
+    return let(runs, lambda r: F.transform(v, lambda _, i: power(r, i)))
+
+
+def nonsilent_region(v: Column, cutoff_db: float = -60.0, reference: float = 0.0, window: int = 3, reset: int = 8192) -> Column:
     """(begin, length) between the first and last window whose mean power is above the cutoff.
 
     The power of a window is averaged over its ``window`` samples, those before
     the start counting 0. A ``reference`` of 0 takes the loudest window's power.
-    All silent: (0, 0).
+    All silent: (0, 0). Time is in proportion to the samples, whatever the window.
     """
     none = F.struct(F.lit(0).alias("begin"), F.lit(0).alias("length"))
 
-    def power(squares: Column) -> Column:
-        some = lambda i: F.slice(squares, F.greatest(F.lit(1), i - window + 2), F.least(F.lit(window), i + 1))
-        return F.transform(squares, lambda _, i: F.aggregate(some(i), F.lit(0.0), lambda a, x: a + x) / float(window))
-
     def region(loud: Column) -> Column:
         begin = F.greatest(F.lit(0), F.array_min(loud) - (window - 1))
         return F.when(F.size(loud) > 0, F.struct(begin.alias("begin"), (F.array_max(loud) - begin + 1).alias("length"))).otherwise(none)
@@ -53,7 +93,7 @@ def nonsilent_region(v: Column, cutoff_db: float = -60.0, reference: float = 0.0
         above = lambda least: F.filter(F.transform(p, lambda x, i: F.when((x >= least) & (x > 0), i)), lambda i: i.isNotNull())
         return let(base * 10.0 ** (cutoff_db / 10.0), above)
 
-    return let(F.transform(v, lambda x: x * x), lambda q: let(power(q), lambda p: let(places(p), region)))
+    return let(moving_power(v, window, reset), lambda p: let(places(p), region))
 
 
 def frames(v: Column, window: int, step: int) -> Column:
