@@ -117,3 +117,43 @@ def test_wide_places(spark):
     n, shards = 10**15, 100_000
     row = spark.sql("SELECT 999999999999999L AS pos").select(sharding.shard_of(F.col("pos"), n, shards).alias("k"), sharding.shard_start(F.lit(99_999), n, shards).alias("a")).first()
     assert (row.k, row.a) == (99_999, n * 99_999 // shards)
+
+
+def test_permutations(spark):
+    """A bijection for any size, another for each seed, name and epoch; no exchange beyond the numbering."""
+    for n in (1, 2, 3, 5, 16, 17, 97, 1000, 4099):
+        places = spark.range(n).withColumnRenamed("id", "pos")
+        got = lambda seed, epoch: [r.p for r in places.select("pos", sharding.permuted(F.col("pos"), n, seed, "x", epoch).alias("p")).orderBy("pos").collect()]
+        one = got(1, 0)
+        assert sorted(one) == list(range(n)) and one == got(1, 0)
+        if n > 90:
+            assert len({tuple(one), tuple(got(2, 0)), tuple(got(1, 1))}) == 3
+            # Neighbours part, and no place is favoured.
+            assert sum(abs(a - b) for a, b in zip(one, one[1:])) / n > n / 6 and sum(i == p for i, p in enumerate(one)) < 20
+    plan = sharding.permuted_positions(spark.range(50).withColumnRenamed("id", "pos"), 50, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_two_levels(spark):
+    rows = [(i, 10 if i % 3 else 30, 20) for i in range(103)]
+    df = spark.createDataFrame(rows, "id long, w int, h int")
+    placed, wide, other = sharding.aspect_places(df, F.col("w"), F.col("h"), "id")
+    assert (wide, other) == (35, 68)
+    epochs = [sharding.aspect_epoch(placed, wide, other, 8, 5, e).collect() for e in range(2)]
+    for got in epochs:
+        batches_ = {}
+        for r in got:
+            batches_.setdefault(r.batch_id, []).append(r)
+        assert sorted(batches_) == list(range(5 + 9)) and sorted(r.id for r in got) == list(range(103))
+        assert all(len({r.wide for r in b}) == 1 and sorted(r.slot for r in b) == list(range(len(b))) for b in batches_.values())
+        kinds = [batches_[i][0].wide for i in range(14)]
+        assert kinds != sorted(kinds) and kinds != sorted(kinds, reverse=True)
+    assert [tuple(r) for r in epochs[0]] != [tuple(r) for r in epochs[1]]
+
+
+def test_a_pipeline_is_numbered_once(spark):
+    p = Pipeline(batch_size=5, num_shards=3, shard_id=1, shuffle=True, seed=4, last_batch="partial").source(spark.range(60).withColumnRenamed("id", "sample_id")).set_outputs()
+    first = {r.sample_id for r in p.build().collect()}
+    placed = p.placed
+    second = {r.sample_id for r in p.reset().build().collect()}
+    assert p.placed is placed and len(first) == len(second) == 20 and first != second

@@ -8,10 +8,13 @@ shifted by the sizes of the partitions before theirs.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import rng
+from tilewright.functions.tensor import let
 from tilewright.storage import written
 
 
@@ -34,6 +37,40 @@ def shuffled_positions(df: DataFrame, key: str, seed: int, epoch: int = 0) -> Da
     return positions(df, rng.uniform(seed, "shuffle", F.col(key), epoch), key)
 
 
+#: A place outside the range is sent on so many times; the chance that this isn't enough falls with the range, and it is told.
+_WALKS = 32
+
+
+def permuted(pos: Column, n: int, seed: int, name: str = "permute", epoch: int = 0) -> Column:
+    """Where a place of 0..n-1 goes in a permutation that depends on seed, name and epoch alone; nothing is sorted.
+
+    Places are written as pairs (l, r) of a rectangle of a x b >= n places. Four
+    rounds add to one half a number drawn from the other, which can be undone,
+    so the rectangle is permuted. A place that leaves the range is sent on until
+    it is back in it, which closes every cycle within the range. Fewer than a
+    places lie outside, so few walks are longer than one step.
+    """
+    if n <= 1:
+        return pos.cast("long")
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+    drawn = lambda x, k, m: F.floor(rng.uniform(seed, name, x, epoch, k) * m)
+    left = lambda p, k: F.struct(((p["l"] + drawn(p["r"], k, a)) % a).alias("l"), p["r"].alias("r"))
+    right = lambda p, k: F.struct(p["l"].alias("l"), ((p["r"] + drawn(p["l"], k, b)) % b).alias("r"))
+
+    def once(x: Column) -> Column:
+        pair = F.struct(_whole(x, F.lit(b).cast("long")).alias("l"), (x % b).alias("r"))
+        return let(pair, lambda p: let(left(p, 1), lambda p: let(right(p, 2), lambda p: let(left(p, 3), lambda p: let(right(p, 4), lambda p: p["l"] * b + p["r"])))))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(_WALKS)), once(pos.cast("long")), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return let(walked, lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("a place didn't come back into the range: take another seed")).cast("long")))
+
+
+def permuted_positions(placed: DataFrame, n: int, seed: int, epoch: int = 0) -> DataFrame:
+    """``placed`` with ``pos`` in another order: one numbering serves all epochs, each of which is arithmetic."""
+    return placed.withColumn("pos", permuted(F.col("pos"), n, seed, "permute", epoch))
+
+
 def _whole(a: Column, b: Column) -> Column:
     """Floor of a / b for whole numbers that are not negative."""
     return F.call_function("div", a, b)
@@ -177,3 +214,31 @@ def aspect_groups(df: DataFrame, width: Column, height: Column, key: str, batch:
     n_wide = placed.agg(F.coalesce(F.sum("wide"), F.lit(0))).first()[0]
     place = F.when(F.col("wide") == 1, F.col("pos")).otherwise(F.col("pos") - n_wide)
     return placed.withColumns({"batch_id": F.floor(place / batch), "slot": (place % batch).cast("int")}).drop("_by", "pos")
+
+
+def aspect_places(df: DataFrame, width: Column, height: Column, key: str) -> tuple[DataFrame, int, int]:
+    """``df`` with ``wide`` (height / width <= 1) and ``place``, its number within its kind in the order of the key; and how many of each kind: (wide, others).
+
+    Made once; ``aspect_epoch`` shuffles it as often as wanted.
+    """
+    placed = positions(df.withColumn("wide", (height / width <= 1).cast("int")), F.desc("wide"), key)
+    sizes = placed.agg(F.count("*").alias("n"), F.coalesce(F.sum("wide"), F.lit(0)).alias("wide")).first()
+    place = F.when(F.col("wide") == 1, F.col("pos")).otherwise(F.col("pos") - sizes["wide"])
+    return placed.withColumn("place", place).drop("pos"), sizes["wide"], sizes["n"] - sizes["wide"]
+
+
+def aspect_epoch(placed: DataFrame, n_wide: int, n_other: int, batch: int, seed: int, epoch: int = 0) -> DataFrame:
+    """``aspect_places`` shuffled in two levels: samples within their kind, and then whole batches of both kinds.
+
+    Adds ``batch_id`` and ``slot``. Each kind's last batch may be short, and
+    stands where its number takes it. No row moves: both levels are arithmetic.
+    """
+    wide = F.col("wide") == 1
+    place = F.when(wide, permuted(F.col("place"), n_wide, seed, "wide", epoch)).otherwise(permuted(F.col("place"), n_other, seed, "other", epoch))
+    n_first, n_batches = -(-n_wide // batch), -(-n_wide // batch) + -(-n_other // batch)
+    return (
+        placed.withColumn("_place", place)
+        .withColumns({"slot": (F.col("_place") % batch).cast("int"), "_batch": _whole(F.col("_place"), F.lit(batch).cast("long")) + F.when(wide, 0).otherwise(n_first)})
+        .withColumn("batch_id", permuted(F.col("_batch"), n_batches, seed, "batches", epoch))
+        .drop("place", "_place", "_batch")
+    )

@@ -43,13 +43,14 @@ class Pipeline:
     key: str = "sample_id"
     outputs: list[str] = field(default_factory=list)
     size: int | None = None
+    placed: DataFrame | None = None
     color_format: str = "rgb"
     error: str = ""
     seconds: dict[str, float] = field(default_factory=dict)
 
     def source(self, samples: DataFrame, key: str = "sample_id") -> Pipeline:
         """``key`` tells samples apart: no two rows share one."""
-        self.rows, self.columns, self.key = samples, [], key
+        self.rows, self.columns, self.key, self.placed, self.size = samples, [], key, None, None
         return self
 
     @property
@@ -67,7 +68,7 @@ class Pipeline:
 
     def transform(self, f: Callable[..., DataFrame], *args, **kwargs) -> Pipeline:
         """An operator from DataFrame to DataFrame, which may change which rows there are."""
-        self.rows, self.columns = f(self.plan, *args, **kwargs), []
+        self.rows, self.columns, self.placed, self.size = f(self.plan, *args, **kwargs), [], None, None
         return self
 
     def uniform(self, name: str, low: float, high: float) -> Column:
@@ -109,8 +110,11 @@ class Pipeline:
         """
         renamed = any(self.key in c for c in self.columns)
         keys = (self.plan if renamed else self.rows).select(self.key)
-        placed = sharding.shuffled_positions(keys, self.key, self.seed, self.epoch) if self.shuffle else sharding.positions(keys, self.key)
         n = self.total()
+        if self.placed is None:
+            self.placed = sharding.positions(keys, self.key)
+        # One numbering serves all epochs: a shuffle is arithmetic on it.
+        placed = sharding.permuted_positions(self.placed, n, self.seed, self.epoch) if self.shuffle else self.placed
         own = sharding.assign_shards(placed, n, self.num_shards, self.epoch, self.rotate_shards)
         own = own.where(F.col("shard") == self.shard_id)
         # After rotation the rows are those of another contiguous shard.
@@ -190,7 +194,7 @@ def pipeline_def(function: Callable | None = None, **settings):
     Keyword arguments that name a setting go to the pipeline, others to the
     function; the function gets the pipeline first and returns output names.
     """
-    known = {f for f in Pipeline.__dataclass_fields__ if f not in ("rows", "columns", "key", "outputs", "size", "error", "seconds")}
+    known = {f for f in Pipeline.__dataclass_fields__ if f not in ("rows", "columns", "key", "outputs", "size", "placed", "error", "seconds")}
 
     def wrap(f: Callable):
         @functools.wraps(f)

@@ -141,6 +141,44 @@ def aspect_ratio_group(spark, d):
     return sharding.aspect_groups(p, F.col("w"), F.col("h"), "page_id", 16).select("page_id", "wide", "batch_id", "slot")
 
 
+def _walked(name: str, sizes: str, prefix: str) -> str:
+    """Tables of a permutation of 0..n-1 in SQL; ``sizes`` is a query for n, and ``prefix``w has (x, y): x goes to y."""
+    draw = lambda key, k, m: f"CAST(floor({_u(name, key, str(k))} * {m}) AS BIGINT)"
+    return f"""
+        {prefix}k AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM ({sizes}))),
+        {prefix}1 AS (SELECT x, n, a, b, (x // b + {draw('(x % b)', 1, 'a')}) % a AS l, x % b AS r FROM (SELECT *, unnest(range(0, a * b)) AS x FROM {prefix}k)),
+        {prefix}2 AS (SELECT x, n, a, b, l, (r + {draw('l', 2, 'b')}) % b AS r FROM {prefix}1),
+        {prefix}3 AS (SELECT x, n, a, b, (l + {draw('r', 3, 'a')}) % a AS l, r FROM {prefix}2),
+        {prefix}f AS (SELECT x, n, l * b + (r + {draw('l', 4, 'b')}) % b AS y FROM {prefix}3),
+        {prefix}s AS (SELECT x, n, y, 0 AS step FROM {prefix}f WHERE x < n UNION ALL SELECT s.x, s.n, f.y, step + 1 FROM {prefix}s s JOIN {prefix}f f ON s.y = f.x WHERE s.y >= s.n),
+        {prefix}w AS (SELECT x, CASE WHEN n = 1 THEN 0 ELSE y END AS y FROM {prefix}s WHERE y < n)"""
+
+
+@query(f"""
+    WITH RECURSIVE {_walked('permute', 'SELECT count(*) AS n FROM embeddings', 'p')},
+    e AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS x FROM embeddings)
+    SELECT vec_id, y // 16 AS batch_id, CAST(y % 16 AS INT) AS slot FROM e JOIN pw USING (x)""")
+def permuted_batches(spark, d):
+    """A shuffle that is arithmetic on places, not a sort."""
+    e = table(spark, d, "embeddings").select("vec_id")
+    placed = sharding.permuted_positions(sharding.positions(e, "vec_id"), e.count(), 42)
+    return placed.select("vec_id", F.floor(F.col("pos") / 16).alias("batch_id"), (F.col("pos") % 16).cast("int").alias("slot"))
+
+
+@query(f"""
+    WITH RECURSIVE g AS (SELECT page_id, CAST(length(html) * 1.0 / (length(url) * 40) <= 1 AS INT) AS wide FROM pages),
+    c AS (SELECT count(*) FILTER (wide = 1) AS a, count(*) FILTER (wide = 0) AS b FROM g),
+    {_walked('wide', 'SELECT a AS n FROM c', 'wi')}, {_walked('other', 'SELECT b AS n FROM c', 'ot')}, {_walked('batches', 'SELECT (a + 15) // 16 + (b + 15) // 16 AS n FROM c', 'ba')},
+    e AS (SELECT page_id, wide, row_number() OVER (PARTITION BY wide ORDER BY page_id) - 1 AS x FROM g),
+    p AS (SELECT page_id, wide, wiw.y FROM e JOIN wiw USING (x) WHERE wide = 1 UNION ALL SELECT page_id, wide, otw.y FROM e JOIN otw USING (x) WHERE wide = 0)
+    SELECT page_id, wide, baw.y AS batch_id, CAST(p.y % 16 AS INT) AS slot FROM p CROSS JOIN c JOIN baw ON baw.x = p.y // 16 + CASE WHEN wide = 1 THEN 0 ELSE (c.a + 15) // 16 END""")
+def aspect_shuffled_batches(spark, d):
+    """Samples shuffled within their kind of shape, and then whole batches."""
+    p = table(spark, d, "pages").select("page_id", F.length("html").alias("h"), (F.length("url") * 40).alias("w"))
+    placed, wide, other = sharding.aspect_places(p, F.col("w"), F.col("h"), "page_id")
+    return sharding.aspect_epoch(placed, wide, other, 16, 42).select("page_id", "wide", "batch_id", "slot")
+
+
 @query("""
     WITH n AS (SELECT count(*) AS n FROM embeddings),
     p AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings),
