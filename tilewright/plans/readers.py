@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators import batches
 from tilewright.plans.vectors import _BOXED, _DOUBLES, _PIXELS, boxed, vectors
-from tilewright.sources import coco, files, records, sinks, splits
+from tilewright.sources import coco, files, headers, records, sinks, splits
 from tilewright.storage import new_path
 from tilewright.streaming import batching, external
 
@@ -258,6 +258,15 @@ def read_npy(spark, d):
     return back.select(_id(F.col("name")), F.array_join("shape", ",").alias("shape"), F.posexplode("values").alias("idx", "value"))
 
 
+@query(f"SELECT vec_id, CAST(i AS INT) AS idx, '3,8' AS shape, v[i + 17] AS value FROM (SELECT vec_id, {_DOUBLES} AS v, unnest(range(0, 24)) AS i FROM embeddings WHERE vec_id % 2 = 0)")
+def read_npy_rows(spark, d):
+    """Rows 2 to 5 of the arrays of 8 x 8; those of 4 x 16 are passed over by their headers, and of the others only these rows are read."""
+    s = vectors(spark, d, False).select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), "vec_id", "v")
+    body = F.when(F.col("vec_id") % 2 == 0, sinks.npy_bytes(F.col("v"), 8, 8)).otherwise(sinks.npy_bytes(F.col("v"), 4, 16))
+    back = headers.arrays(spark, _each_file(s, "npy", body), "float32", "8,8", "2:5")
+    return back.select(_id(F.col("path")), F.array_join("shape", ",").alias("shape"), F.posexplode("values").alias("idx", "value"))
+
+
 def _wav(spark: SparkSession, d: str, downmix: bool) -> DataFrame:
     s = vectors(spark, d, False).select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), "v")
     back = files.wav_files(spark, _each_file(s, "wav", sinks.wav_bytes(F.col("v"), 16000, 2)), downmix)
@@ -286,6 +295,13 @@ def read_images(spark, d):
     return files.decoded_images(spark, path).select(_id(F.element_at(F.split("path", "/"), -1)), "height", "width", F.posexplode("values").alias("idx", "value"))
 
 
+@query("SELECT vec_id, 'bmp' AS format, CASE label % 2 WHEN 0 THEN 8 ELSE 16 END AS width, CASE label % 2 WHEN 0 THEN 8 ELSE 4 END AS height FROM embeddings")
+def image_header_sizes(spark, d):
+    """Sizes of pictures from their heads; nothing is decoded."""
+    body = F.when(F.col("label") % 2 == 0, sinks.bmp_bytes(_colour(), 8, 8)).otherwise(sinks.bmp_bytes(_colour(), 4, 16))
+    return headers.image_sizes(spark, _each_file(samples(spark, d), "bmp", body)).select(_id(F.col("path")), "format", "width", "height")
+
+
 @query(f"""
     WITH {_SAMPLES},
     b AS (SELECT *, vec_id // 32 AS batch, vec_id % 32 AS slot, vec_id % 7 = 3 AS failed FROM x),
