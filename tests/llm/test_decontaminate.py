@@ -65,3 +65,44 @@ def test_proximity(spark):
     index = D.build_index(docs, anchors.select("term").distinct(), 3)
     near = {r.doc_id for r in D.proximity_matches(index, anchors, 3, slop=2).collect()}
     assert near == {1}
+
+
+def near(text, items, slop):
+    """Different windows that stand near some start, by trying every start."""
+    w, found = words(text), set()
+    for _, body in items:
+        v = words(body)
+        for s in range(max(1, len(v) - 12) if v else 0):
+            win = v[s : s + 13]
+            for start in range(-slop, len(w)):
+                if all(t in w[max(0, start + i) : max(0, start + i + slop + 1)] for i, t in enumerate(win)):
+                    found.add(tuple(win))
+                    break
+    return len(found)
+
+
+def test_near_equals_brute_force(spark):
+    """All words of a window are verified, whatever stands between them; exact matches are near ones."""
+    r = random.Random(13)
+    vocab = [f"w{i}" for i in range(30)] + ["the", "the", "É"]
+    passages = [[r.choice(vocab) for _ in range(n)] for n in (13, 20, 3, 1, 2, 16)]
+    items = [(i, " ".join(p)) for i, p in enumerate(passages)] + [(9, None), (10, "")]
+    docs = []
+    for i in range(60):
+        p = list(r.choice(passages))
+        for _ in range(r.randint(0, 3)):
+            p.insert(r.randrange(len(p) + 1), r.choice(vocab))
+        if r.random() < 0.3 and len(p) > 1:
+            p[r.randrange(len(p))] = "other"
+        if r.random() < 0.3:
+            k = r.randrange(len(p))
+            p[k : k + 2] = reversed(p[k : k + 2])
+        docs.append((i, " ".join([r.choice(vocab) for _ in range(r.randint(0, 5))] + p + [r.choice(vocab) for _ in range(r.randint(0, 5))]), "x", 1))
+    docs += [(100, None, "x", 1), (101, "", "x", 1)]
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    for slop in (0, 1, 2):
+        got = {x.doc_id: x for x in D.contamination(d, b, slop=slop).collect()}
+        assert {i: got[i].n_near for i, *_ in docs} == {i: near(t, items, slop) for i, t, *_ in docs}, slop
+        assert all({(s.start, s.n) for s in x.spans} <= {(s.start, s.n) for s in x.near} for x in got.values())
+        plain = {x.doc_id: x.n_hit for x in D.contamination(d, b).collect()}
+        assert plain == {i: x.n_hit for i, x in got.items()}

@@ -5,6 +5,10 @@ terms that the query will look up. Each test window is looked up from its
 rarest terms: their postings, shifted back by the term's offset in the window,
 must agree on one start. What survives is compared word by word.
 
+Proximity matches are found in the same way, from starts that agree within
+``slop`` words: a window stands near a start if each of its words stands at its
+own place or up to ``slop`` words after it.
+
 Defined results: a null text has no words; a null or repeated ``doc_id`` keeps
 one output row for each input row; benchmark rows whose text is null or has no
 words give no window; equal items all count; of equally rare terms of a window
@@ -22,6 +26,8 @@ from tilewright.storage import written
 from tilewright.llm.words import words
 
 WINDOW = 13
+#: How far the words of a proximity match may stand behind their places.
+SLOP = 2
 #: Rarest terms of a window whose postings are intersected.
 RAREST = 2
 #: Rows and bytes up to which a table made from the benchmark is broadcast; beyond either the join shuffles.
@@ -129,6 +135,34 @@ def proximity_matches(index: DataFrame, anchors: DataFrame, anchors_rows: int, s
     )
 
 
+def near_starts(index: DataFrame, anchors: DataFrame, anchors_rows: int, longest: int = 0, slop: int = SLOP) -> DataFrame:
+    """(window_id, doc_id, text_hash, start) from which all of a window's rarest terms stand within ``slop`` words of their places.
+
+    A posting speaks for the starts that it can be near to; no group is sorted.
+    """
+    need = anchors.groupBy("window_id").agg(F.count("*").alias("need"))
+    return (
+        _starts(index, anchors, anchors_rows, longest)
+        .select("window_id", "doc_id", "text_hash", "rank", F.explode(F.sequence(F.col("start") - slop, F.col("start"))).alias("start"))
+        .groupBy("window_id", "doc_id", "text_hash", "start")
+        .agg(F.bit_count(F.bit_or(F.expr("shiftleft(1, rank)"))).alias("got"))
+        .join(_small(need, anchors_rows), "window_id")
+        .where("got = need")
+        .select("window_id", "doc_id", "text_hash", "start")
+    )
+
+
+def _stands_near(w: Column, h: Column, slop: int) -> Column:
+    """Whether each word of a candidate's phrase stands in ``w`` at its place or up to ``slop`` words after it."""
+    terms = F.split(h["phrase"], " ")
+
+    def one(t: Column, i: Column) -> Column:
+        first, last = F.greatest(F.lit(0), h["start"] + i), h["start"] + i + slop
+        return F.array_contains(F.slice(w, first + 1, F.greatest(F.lit(0), last - first + 1)), t)
+
+    return F.forall(F.transform(terms, one), lambda x: x)
+
+
 def _covered(hits: Column) -> Column:
     """Number of positions inside the union of the hits' half-open ranges."""
     ranges = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("a"), (h["start"] + h["n"]).alias("b"))))
@@ -143,6 +177,10 @@ def _covered(hits: Column) -> Column:
     )["n"]
 
 
+def _places(hits: str) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(hits, lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n")))))
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -152,11 +190,14 @@ def contamination(
     item_text: str = "text",
     size: int = WINDOW,
     share: int = 20,
+    slop: int | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items, spans, contaminated, text_hash.
 
     ``spans`` are the exact phrase matches as (start, n) in words. A document is
-    contaminated if it has hits and ``share * n_hit >= n_words``.
+    contaminated if it has hits and ``share * n_hit >= n_words``. With ``slop``
+    also n_near, the number of different windows that stand near some start,
+    exact matches included, and ``near``, those starts as (start, n).
     """
     windows = written(item_windows(items, item_id, item_text, size), "windows")
     # Words may have any length, so the longest phrase counts in what is broadcast; item lists never are.
@@ -168,22 +209,25 @@ def contamination(
     counts = term_counts(docs, vocabulary, n_terms, longest, text)
     anchors = written(rarest_terms(windows, counts, n_terms, longest), "anchors")
     index = written(build_index(docs, anchors.select("term").distinct(), n_anchors, longest, doc_id, text), "postings")
+    starts = intersect(index, anchors, n_anchors, longest).withColumn("near", F.lit(False))
+    if slop is not None:
+        starts = starts.unionByName(near_starts(index, anchors, n_anchors, longest, slop).withColumn("near", F.lit(True)))
     candidates = (
-        intersect(index, anchors, n_anchors, longest)
+        starts
         .join(_small(windows.select("window_id", "n", phrase.alias("phrase")), n_windows, longest), "window_id")
         .groupBy("doc_id", "text_hash")
-        .agg(F.collect_list(F.struct("start", "n", "phrase", "window_id")).alias("found"))
+        .agg(F.collect_list(F.struct("start", "n", "phrase", "window_id", "near")).alias("found"))
     )
     d, c = _keyed(docs, doc_id, text).alias("d"), candidates.alias("c")
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.text_hash") == F.col("c.text_hash"))
     joined = d.join(c, same, "left").select("d.doc_id", "d.text_hash", words(F.col("d.text")).alias("w"), "found")
-    none = F.expr("array()").cast("array<struct<start:int,n:int,phrase:string,window_id:binary>>")
-    hits = F.filter(
-        F.coalesce("found", none),
-        lambda h: F.array_join(F.slice("w", h["start"] + 1, h["n"]), " ") == h["phrase"],
+    none = F.expr("array()").cast("array<struct<start:int,n:int,phrase:string,window_id:binary,near:boolean>>")
+    exact = lambda h: ~h["near"] & (F.array_join(F.slice("w", h["start"] + 1, h["n"]), " ") == h["phrase"])
+    bare = lambda test: F.transform(
+        F.filter(F.coalesce("found", none), test), lambda h: F.struct(h["start"].alias("start"), h["n"].alias("n"), h["window_id"].alias("window_id"))
     )
-    bare = F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["n"].alias("n"), h["window_id"].alias("window_id")))
-    hit = written(joined.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), bare.alias("hits")), "hits")
+    near = [] if slop is None else [bare(lambda h: h["near"] & _stands_near(F.col("w"), h, slop)).alias("near")]
+    hit = written(joined.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), bare(exact).alias("hits"), *near), "hits")
     # Items by document: hits meet their windows' lists after they are verified, once for each window of a document.
     met = hit.where(F.size("hits") > 0).select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform("hits", lambda h: h["window_id"]))).alias("window_id")).distinct()
     own = (
@@ -200,7 +244,8 @@ def contamination(
         "n_words",
         _covered(F.col("hits")).alias("n_hit"),
         F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
-        F.array_sort(F.array_distinct(F.transform("hits", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"))))).alias("spans"),
+        _places("hits").alias("spans"),
+        *([] if slop is None else [F.size(F.array_distinct(F.transform("near", lambda x: x["window_id"]))).cast("long").alias("n_near"), _places("near").alias("near")]),
     ).select(
         "*",
         F.size("items").cast("long").alias("n_items"),

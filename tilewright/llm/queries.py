@@ -19,9 +19,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), slop=decontaminate.SLOP)
     return found.select(
-        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near"
     )
 
 
@@ -152,11 +152,21 @@ ORACLES = {
         hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
         its AS (
             SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id),
+        -- Windows near some start: by the starts that the rarest word's places allow, and then word by word.
+        dt AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS p FROM dw),
+        tc AS (SELECT t, count(*) AS c FROM dt GROUP BY t),
+        wt AS (SELECT phrase, unnest(string_split(phrase, ' ')) AS t, generate_subscripts(string_split(phrase, ' '), 1) - 1 AS i FROM (SELECT DISTINCT phrase FROM win)),
+        ra AS (SELECT phrase, arg_min({{'t': wt.t, 'i': wt.i}}, coalesce(c, 0) * 100 + wt.i) AS a FROM wt LEFT JOIN tc USING (t) GROUP BY phrase),
+        cand AS (SELECT DISTINCT doc_id, phrase, p - a.i - unnest([0, 1, 2]) AS s FROM ra JOIN dt ON dt.t = a.t),
+        near AS (
+            SELECT doc_id, phrase FROM cand JOIN dw USING (doc_id)
+            WHERE len(list_filter(string_split(phrase, ' '), lambda t, i: NOT list_contains(list_slice(w, greatest(1, s + i), s + i + 2), t))) = 0),
+        nr AS (SELECT doc_id, count(DISTINCT phrase) AS n_near FROM near GROUP BY doc_id)
         SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
             CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-        FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+        FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nr USING (doc_id)""",
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
         f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
