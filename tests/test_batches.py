@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 
 import pytest
@@ -157,3 +158,42 @@ def test_a_pipeline_is_numbered_once(spark):
     placed = p.placed
     second = {r.sample_id for r in p.reset().build().collect()}
     assert p.placed is placed and len(first) == len(second) == 20 and first != second
+
+
+def test_delivery_to_ranks(spark, tmp_path):
+    """Each rank gets its own batches in order, in one task; if one fails, all begin anew."""
+    def plan(**k):
+        rows = spark.range(53).withColumnRenamed("id", "sample_id")
+        return Pipeline(batch_size=4, num_shards=3, seed=2, **k).source(rows).apply(t=F.array(F.col("sample_id") * 2)).set_outputs("t")
+
+    folder = str(tmp_path)
+
+    def consume(rank, batches):
+        with open(f"{folder}/starts-{rank}", "a") as f:
+            f.write("x")
+        with open(f"{folder}/rank-{rank}", "w") as f:
+            for n, b in enumerate(batches):
+                # One rank fails once, after its second batch.
+                if rank == 1 and n == 1 and not os.path.exists(f"{folder}/failed"):
+                    open(f"{folder}/failed", "w").close()
+                    raise RuntimeError("a rank is lost")
+                f.write(",".join(map(str, b["sample_id"])) + "\n")
+                assert b["t"] == [[2 * i] for i in b["sample_id"]]
+
+    told = plan(shuffle=True).deliver(consume).collect()
+    assert sorted((r.rank, r.batches) for r in told) == [(0, 5), (1, 5), (2, 5)]
+    assert all(open(f"{folder}/starts-{k}").read() == "xx" for k in range(3))
+    for k in range(3):
+        own = [[int(x) for x in line.split(",")] for line in open(f"{folder}/rank-{k}")]
+        want = {}
+        for r in plan(shuffle=True, shard_id=k).build().orderBy("batch_id", "slot").collect():
+            want.setdefault(r.batch_id, []).append(r.sample_id)
+        assert own == [want[i] for i in sorted(want)] and {len(b) for b in own} == {4}
+
+
+def test_rotation_by_rank(spark):
+    rows = spark.range(20).withColumnRenamed("id", "sample_id")
+    for epoch in range(3):
+        got = [sorted(r.sample_id for r in Pipeline(batch_size=3, shard_id=k, num_shards=3, last_batch="partial", rotate_shards=True, epoch=epoch).source(rows).set_outputs().build().collect()) for k in range(3)]
+        cut = [list(range(20 * s // 3, 20 * (s + 1) // 3)) for s in range(3)]
+        assert got == [cut[(k + epoch) % 3] for k in range(3)]

@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,28 +104,71 @@ class Pipeline:
             self.size = self.rows.count()
         return self.size
 
-    def build(self) -> DataFrame:
-        """All samples of this shard with batch_id, slot, is_pad and the outputs.
-
-        Keys alone are ordered and numbered. The rows that the shard's keys
-        bring from the source are those that tensors are made for.
-        """
-        renamed = any(self.key in c for c in self.columns)
-        keys = (self.plan if renamed else self.rows).select(self.key)
+    def _places(self) -> DataFrame:
+        """(rank, batch_id, slot, is_pad, _key) of the samples of all ranks: keys alone are ordered and numbered."""
         n = self.total()
         if self.placed is None:
-            self.placed = sharding.positions(keys, self.key)
+            self.placed = sharding.positions((self.plan if self._keyed() else self.rows).select(self.key), self.key)
         # One numbering serves all epochs: a shuffle is arithmetic on it.
         placed = sharding.permuted_positions(self.placed, n, self.seed, self.epoch) if self.shuffle else self.placed
-        own = sharding.assign_shards(placed, n, self.num_shards, self.epoch, self.rotate_shards)
-        own = own.where(F.col("shard") == self.shard_id)
-        # After rotation the rows are those of another contiguous shard.
-        source = (self.shard_id + self.epoch) % self.num_shards if self.rotate_shards else self.shard_id
-        filled = sharding.last_batch(own.withColumn("shard", F.lit(source)), n, self.num_shards, self.batch_size, self.last_batch)
-        places = sharding.batches(filled, self.batch_size).select("batch_id", "slot", "is_pad", F.col(self.key).alias("_key"))
+        # Shards are cut from the places; with rotation a rank takes another shard each epoch.
+        own = sharding.assign_shards(placed, n, self.num_shards)
+        filled = sharding.last_batch(own, n, self.num_shards, self.batch_size, self.last_batch)
+        turn = self.epoch if self.rotate_shards else 0
+        rank = F.pmod(F.col("shard") - turn, F.lit(self.num_shards)).cast("int")
+        return sharding.batches(filled, self.batch_size).select(rank.alias("rank"), "batch_id", "slot", "is_pad", F.col(self.key).alias("_key"))
+
+    def _keyed(self) -> bool:
+        """Whether an operator makes the key."""
+        return any(self.key in c for c in self.columns)
+
+    def _found(self, places: DataFrame, *more: str) -> DataFrame:
+        """The rows that the places' keys bring from the source; tensors are made for those alone."""
         same = F.col(self.key).eqNullSafe(F.col("_key"))
-        found = self.plan.join(places, same) if renamed else self._made(self.rows.join(places, same))
-        return found.select("batch_id", "slot", "is_pad", self.key, *[c for c in self.outputs if c != self.key])
+        found = self.plan.join(places, same) if self._keyed() else self._made(self.rows.join(places, same))
+        return found.select(*more, "batch_id", "slot", "is_pad", self.key, *[c for c in self.outputs if c != self.key])
+
+    def build(self) -> DataFrame:
+        """All samples of this shard with batch_id, slot, is_pad and the outputs."""
+        return self._found(self._places().where(F.col("rank") == self.shard_id))
+
+    def deliver(self, consume: Callable[[int, Iterator[dict[str, list]]], None]) -> DataFrame:
+        """Hands every rank its batches, in order, in a task of its own; (rank, batches, samples) of each.
+
+        ``consume(rank, batches)`` runs where the task runs, so no row passes the
+        driver; a batch is a dictionary of lists, as ``batches`` yields. All
+        ranks start together. If one fails, all start again from their first
+        batch: it is for ``consume`` to begin anew when it is called again. As
+        many tasks as ranks must be able to run at a time.
+        """
+        names = [self.key, *[c for c in self.outputs if c != self.key]]
+        dealt = self._found(self._places(), "rank").repartitionById(self.num_shards, F.col("rank")).sortWithinPartitions("batch_id", "slot")
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            context = BarrierTaskContext.get()
+            rank, told = context.partitionId(), [0, 0]
+            context.barrier()
+
+            def batches() -> Iterator[dict[str, list]]:
+                number, held = None, []
+                for part in parts:
+                    for row in part.to_pylist():
+                        if row["batch_id"] != number and held:
+                            yield {c: [r[c] for r in held] for c in names}
+                            held = []
+                        number = row["batch_id"]
+                        held.append(row)
+                        told[1] += 1
+                        told[0] += row["slot"] == 0
+                if held:
+                    yield {c: [r[c] for r in held] for c in names}
+
+            consume(rank, batches())
+            yield pa.RecordBatch.from_pydict({"rank": pa.array([rank], pa.int32()), "batches": pa.array([told[0]], pa.int64()), "samples": pa.array([told[1]], pa.int64())})
+
+        told = dealt.mapInArrow(run, "rank int, batches long, samples long", barrier=True)
+        # What is told is shuffled: a barrier stage is run again only if it isn't a job's last.
+        return told.groupBy("rank").agg(F.sum("batches").alias("batches"), F.sum("samples").alias("samples"))
 
     def reset(self) -> Pipeline:
         """The next epoch."""
