@@ -335,3 +335,66 @@ def test_blocks_bound_memory(tmp_path):
     with records._random_access(str(tmp_path / "a.json")) as f:
         found = [json.loads(t)["id"] for _, t in jsonscan.objects(File(f), 17, len(body) - 2, False, 2, 4096)]
     assert found == list(range(4000)) and max(sizes) == 4096
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    """Tasks don't grow in number with small splits; every record is still read once, in every shard, under its number."""
+    for name, low, high in (("a", 0, 700), ("b", 700, 701), ("c", 701, 1500)):
+        (tmp_path / f"{name}.tfrecord").write_bytes(tfrecord(*(one(i) for i in range(low, high))))
+    where = splits.index(spark, "tfrecord", str(tmp_path), 64)
+    assert len(records.splits_of(where)) > 1000
+    back = splits.read(spark, "tfrecord", str(tmp_path), where=where)
+    assert 100 < back.rdd.getNumPartitions() <= records.TASKS + 1
+    assert [(r.file, r.record, r.ints["image/class/label"][0]) for r in back.collect()] == [
+        ("a.tfrecord" if i < 700 else "b.tfrecord" if i < 701 else "c.tfrecord", i if i < 700 else i - 700 if i < 701 else i - 701, i) for i in range(1500)
+    ]
+    for k in range(3):
+        assert labels(splits.read(spark, "tfrecord", str(tmp_path), k, 3, where)) == list(range(500 * k, 500 * k + 500))
+
+
+@pytest.mark.parametrize("form", ["tfrecord", "recordio", "fixed", "webdataset", "lmdb"])
+def test_groups_of_splits(spark, tmp_path, form):
+    """Groups hold the records of their splits, in order, whatever the format."""
+    i = F.col("id").cast("int")
+    text = F.lpad(i.cast("string"), 4, "0").cast("binary")
+    columns = {
+        "tfrecord": [F.create_map(F.lit("k"), F.array(text)).alias("bytes")],
+        "recordio": [i.alias("label"), F.col("id").alias("image_id"), text.alias("content")],
+        "fixed": [text.alias("content")],
+        "webdataset": [F.format_string("d/%04d", i).alias("key"), F.create_map(F.lit("txt"), text).alias("components")],
+        "lmdb": [F.format_string("%04d", i).alias("name"), text.alias("value")],
+    }
+    folder, rows = str(tmp_path), spark.range(200).repartitionByRange(9, "id").sortWithinPartitions("id")
+    rows.select(*columns[form]).write.format(form).mode("append").save(folder)
+    if form == "webdataset":
+        splits.write_tar_indexes(spark, folder)
+    more = {"record_bytes": 4} if form == "fixed" else {}
+    where = splits.index(spark, form, folder, 40, **more)
+    found = records.splits_of(where)
+    assert len(found) >= 9 and all(s["bytes"] > 0 for s in found)
+    value = {"tfrecord": lambda r: r[2]["k"][0], "recordio": lambda r: r[4], "fixed": lambda r: r[2], "webdataset": lambda r: r[2]["txt"], "lmdb": lambda r: r[1]}[form]
+    for tasks, shard, shards in ((1, 0, 1), (4, 0, 1), (8, 2, 3), (2, 5, 7)):
+        reader = records.SOURCES[form][1]({"path": folder, "index": where, "shard": str(shard), "shards": str(shards), "tasks": str(tasks), **({"recordbytes": "4"} if more else {})})
+        parts = reader.partitions()
+        assert len(parts) <= tasks + 1
+        assert [int(bytes(value(r))) for p in parts for r in reader.read(p)] == list(range(200 * shard // shards, 200 * (shard + 1) // shards))
+
+
+def test_groups_follow_bytes():
+    part = lambda at, size, path="x": records.FilePart(path, start=at, end=at + size, take=1, size=size)
+    few = [part(10 * i, 10) for i in range(7)]
+    assert [g.parts for g in records.grouped(few, 7)] == [[p] for p in few]
+    halves = records.grouped(few, 2)
+    assert [(p.start, p.end, p.take) for g in halves for p in g.parts] == [(0, 40, 4), (40, 70, 3)]
+    gap = records.grouped([part(0, 10), part(10, 10), part(30, 10), part(0, 10, "y")], 1)
+    assert [(p.path, p.start, p.end) for p in gap[0].parts] == [("x", 0, 20), ("x", 30, 40), ("y", 0, 10)] and len(gap) == 1
+    large = [part(i << 26, 1 << 26) for i in range(64)]
+    assert len(records.grouped(large, 4)) == 32 and all(g.parts[0].size <= records.GROUP_BYTES for g in records.grouped(large, 4))
+
+
+def test_files_of_a_task_are_in_order(spark, tmp_path):
+    """A task that closes many files names them in the order of its rows."""
+    rows = spark.range(400).coalesce(1).select(F.lpad(F.col("id").cast("string"), 4, "0").cast("binary").alias("content"))
+    rows.write.format("fixed").option("maxFileBytes", "40").mode("append").save(str(tmp_path))
+    names = sorted(p.name for p in tmp_path.iterdir())
+    assert len(names) == 40 and b"".join((tmp_path / n).read_bytes() for n in names) == b"".join(b"%04d" % i for i in range(400))

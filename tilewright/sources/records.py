@@ -3,7 +3,8 @@
 Each archive file is a partition, read as a stream of records; RecordIO files
 are split by bytes, and an LMDB file is divided by the children of its root
 page. With a table of splits (``splits.index``) every format is planned by it,
-and only the splits of one shard are. Formats: ``tfrecord``, ``recordio``,
+and only the splits of one shard are; where there are more splits than tasks are
+worth starting for, neighbours share a task. Formats: ``tfrecord``, ``recordio``,
 ``webdataset``, ``lmdb``, ``fixed`` and ``files``; ``register`` makes them
 known. ``sinks`` writes them.
 """
@@ -15,7 +16,7 @@ import os
 import struct
 import tarfile
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import islice
 
 import numpy as np
@@ -62,6 +63,14 @@ class FilePart(InputPartition):
     first: int = 0
     skip: int = 0
     take: int = -1
+    size: int = 0
+
+
+@dataclass
+class FileGroup(InputPartition):
+    """Parts that one task reads, in order."""
+
+    parts: list
 
 
 def splits_of(where: str) -> list[dict]:
@@ -79,11 +88,39 @@ def shard_parts(where: str, shard: int, shards: int) -> list[FilePart]:
     for s in found:
         a, b = max(low, at), min(high, at + s["count"])
         if a < b:
-            out.append(FilePart(s["path"], s["start"], s["start"], s["end"], s["first"], a - at, b - a))
+            size = s.get("bytes", GROUP_BYTES) * (b - a) // s["count"]
+            out.append(FilePart(s["path"], s["start"], s["start"], s["end"], s["first"], a - at, b - a, size))
         at += s["count"]
     return out
 
 
+#: Splits up to this number are tasks of their own; more of them are joined to about as many groups, or to more of ``GROUP_BYTES`` each.
+TASKS = 256
+GROUP_BYTES = 128 << 20
+
+
+def grouped(parts: list[FilePart], tasks: int = TASKS) -> list[FileGroup]:
+    """Neighbouring parts together, in groups of about equal bytes; ranges of a file that touch become one."""
+    total = sum(p.size for p in parts)
+    groups = max(tasks, -(-total // GROUP_BYTES))
+    if len(parts) <= groups:
+        return [FileGroup([p]) for p in parts]
+    out: list[FileGroup] = []
+    at, number = 0, -1
+    for part in parts:
+        # A group holds the parts whose middles lie in its stretch of the bytes.
+        own = (2 * at + part.size) * groups // (2 * total + 1)
+        last = out[-1].parts[-1] if own == number else None
+        if last is None:
+            out.append(FileGroup([part]))
+        elif last.path == part.path and last.end == part.start and not part.skip:
+            out[-1].parts[-1] = replace(last, end=part.end, take=last.take + part.take, size=last.size + part.size)
+        else:
+            out[-1].parts.append(part)
+        at, number = at + part.size, own
+    return out
+
+
 class FileReader(DataSourceReader):
     suffixes: tuple[str, ...] = ("",)
 
@@ -93,16 +130,23 @@ class FileReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         """By the table of splits if there is one; at least one part, as the reader must yield something to run."""
         if "index" in self.options:
-            shard, shards = (int(self.options.get(k, d)) for k, d in (("shard", 0), ("shards", 1)))
-            return shard_parts(self.options["index"], shard, shards) or [FilePart("")]
+            return self.groups(self.shard_parts()) or [FilePart("")]
         return self.parts() or [FilePart("")]
 
+    def shard_parts(self) -> list[FilePart]:
+        shard, shards = (int(self.options.get(k, d)) for k, d in (("shard", 0), ("shards", 1)))
+        return shard_parts(self.options["index"], shard, shards)
+
+    def groups(self, parts: list[FilePart]) -> list[InputPartition]:
+        return grouped(parts, int(self.options.get("tasks", TASKS)))
+
     def parts(self) -> list[InputPartition]:
         return [FilePart(p) for p in files_below(self.path, self.suffixes)]
 
-    def read(self, partition: FilePart) -> Iterator[tuple]:
-        if partition.path:
-            yield from islice(self.records(partition), partition.take if partition.take >= 0 else None)
+    def read(self, partition: FilePart | FileGroup) -> Iterator[tuple]:
+        for part in partition.parts if isinstance(partition, FileGroup) else [partition]:
+            if part.path:
+                yield from islice(self.records(part), part.take if part.take >= 0 else None)
 
     def records(self, partition: FilePart) -> Iterator[tuple]:
         raise NotImplementedError
@@ -115,12 +159,13 @@ def _exactly(stream, n: int, what: str) -> bytes:
     return data
 
 
-_LANE = 64
+_LANE = 512
+_SHORT = 24
 
 
 def crc32c(data: bytes) -> int:
-    """CRC-32C. Long data are cut into lanes whose remainders are found side by side and then joined."""
-    if len(data) < 4 * _LANE:
+    """CRC-32C. Data are cut into lanes; a lane's remainder joins those of its bytes, looked up by place, and lanes are joined in order."""
+    if len(data) < _SHORT:
         crc = 0xFFFFFFFF
         for b in data:
             crc = _CRC[(crc ^ b) & 0xFF] ^ crc >> 8
@@ -130,14 +175,12 @@ def crc32c(data: bytes) -> int:
     start = len(x) - len(data)
     x[start:] = np.frombuffer(data, np.uint8)
     x[start : start + 4] ^= 0xFF
-    lanes = np.ascontiguousarray(x.reshape(-1, _LANE).T)
-    crc = np.zeros(lanes.shape[1], np.uint32)
-    for column in lanes:
-        crc = _CRC_ARRAY[(crc ^ column) & 0xFF] ^ crc >> 8
+    lanes = x.reshape(-1, _LANE)
     a, b, c, d = _AHEAD
     out = 0
-    for own in crc.tolist():
-        out = a[out & 0xFF] ^ b[out >> 8 & 0xFF] ^ c[out >> 16 & 0xFF] ^ d[out >> 24] ^ own
+    for at in range(0, len(lanes), 512):
+        for own in np.bitwise_xor.reduce(_PLACES.take(lanes[at : at + 512] + _ROWS), axis=1).tolist():
+            out = a[out & 0xFF] ^ b[out >> 8 & 0xFF] ^ c[out >> 16 & 0xFF] ^ d[out >> 24] ^ own
     return out ^ 0xFFFFFFFF
 
 
@@ -165,6 +208,20 @@ def _ahead() -> list[list[int]]:
 _AHEAD = _ahead()
 
 
+def _places() -> np.ndarray:
+    """The remainder of each byte at each place of a lane, the last place last."""
+    out = np.empty((_LANE, 256), np.uint32)
+    crc = _CRC_ARRAY
+    for place in range(_LANE - 1, -1, -1):
+        out[place] = crc
+        crc = _CRC_ARRAY[crc & 0xFF] ^ crc >> 8
+    return out.ravel()
+
+
+_PLACES = _places()
+_ROWS = np.arange(_LANE, dtype=np.int64) * 256
+
+
 def masked_crc(data: bytes) -> int:
     crc = crc32c(data)
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
@@ -388,9 +445,13 @@ class LmdbReader(FileReader):
                 yield from self._values(f, size, page, skip)
                 skip = 0
 
-    def count(self, f, page: int) -> int:
-        """Entries below a page; values aren't read."""
-        return sum(map(self._entries, self._leaves(f, self._root(f)[0], page)))
+    def count(self, f, page: int) -> tuple[int, int]:
+        """Entries below a page, and the bytes of their keys and values; values aren't read."""
+        entries = held = 0
+        for leaf in self._leaves(f, self._root(f)[0], page):
+            entries += self._entries(leaf)
+            held += sum(n + (lo | hi << 16) for _, lo, hi, _, n in self._nodes(leaf))
+        return entries, held
 
     def _root(self, f) -> tuple[int, int]:
         head = f.read_at(152, 0)
@@ -467,36 +528,25 @@ class FixedReader(FileReader):
                 yield name, at // self.size, _exactly(stream, self.size, "a record")
 
 
-@dataclass
-class FileGroup(InputPartition):
-    """Small files that one task reads."""
-
-    parts: list
-
-
 class WholeFileReader(FileReader):
     """A file is a record; its path is the part below the folder. Small files share a task."""
 
-    GROUP_BYTES, OPEN_BYTES = 128 << 20, 4 << 20
+    OPEN_BYTES = 4 << 20
 
     def parts(self) -> list[InputPartition]:
         return [FilePart(p, end=n) for p, n in sizes_below(self.path, self.suffixes)]
 
     def partitions(self) -> list[InputPartition]:
         groups, held = [], 0
-        for part in super().partitions():
+        for part in (self.shard_parts() if "index" in self.options else self.parts()) or [FilePart("")]:
             cost = part.end - part.start + self.OPEN_BYTES
-            if not groups or held + cost > self.GROUP_BYTES:
+            if not groups or held + cost > GROUP_BYTES:
                 groups.append(FileGroup([]))
                 held = 0
             groups[-1].parts.append(part)
             held += cost
         return groups
 
-    def read(self, partition: FileGroup) -> Iterator[tuple]:
-        for part in partition.parts:
-            yield from super().read(part)
-
     def records(self, partition: FilePart) -> Iterator[tuple]:
         system, path = open_path(partition.path)
         with system.open_input_stream(path, compression=None) as f:

@@ -5,10 +5,10 @@ task writes under a folder of its own write, whose name readers pass over; the
 driver moves the files of the tasks that count when all are done, so retried
 and lost tasks leave nothing that is read. Files are closed at about
 ``maxFileBytes``, so there are few to move, and are named by their task's
-number, so that their order is that of the partitions. Where a file holds one
-row, tasks put it in its place themselves: a task that runs again writes the
-same names, and the driver has nothing to do for a row. With ``overwrite`` old
-files go when the new ones are in place.
+number and their own within it, so that their order is that of the rows. Where
+a file holds one row, tasks put it in its place themselves: a task that runs
+again writes the same names, and the driver has nothing to do for a row. With
+``overwrite`` old files go when the new ones are in place.
 
 ======================  ===============================================================
 ``tfrecord``            bytes, floats, ints: maps from a feature's name to its values
@@ -64,6 +64,7 @@ class FileWriter(DataSourceWriter):
         self.limit = int(options.get("maxfilebytes", options.get("maxFileBytes", MAX_FILE_BYTES)))
         self.columns = [f.name for f in schema.fields]
         self.own = f"_write-{uuid.uuid4().hex}"
+        self.named = 0
 
     def bodies(self, rows: Iterator[dict]) -> Iterator[tuple[str, bytes]]:
         """(final name, bytes) of each file; by default the encoded records, joined up to the limit."""
@@ -81,8 +82,13 @@ class FileWriter(DataSourceWriter):
     def encode(self, row: dict) -> bytes:
         return bytes(row["content"])
 
+    def numbers(self) -> str:
+        """Of the task and of the file within it."""
+        self.named += 1
+        return f"{_task():05d}-{self.named:05d}"
+
     def name(self) -> str:
-        return f"{self.options.get('prefix', 'part-')}{_task():05d}-{uuid.uuid4().hex}{self.suffix}"
+        return f"{self.options.get('prefix', 'part-')}{self.numbers()}-{uuid.uuid4().hex}{self.suffix}"
 
     def write(self, iterator) -> Moves:
         system, base = open_path(self.path)
@@ -168,7 +174,7 @@ class LmdbWriter(FileWriter):
     _NONE = (1 << 64) - 1
 
     def name(self) -> str:
-        return f"part-{_task():05d}-{uuid.uuid4().hex}/data.mdb"
+        return f"part-{self.numbers()}-{uuid.uuid4().hex}/data.mdb"
 
     def bodies(self, rows: Iterator[dict]) -> Iterator[tuple[str, bytes]]:
         held, size = {}, 0

@@ -5,7 +5,8 @@ stores a small table: a file, a range, the number of its first record within
 the file and its number of records. A reader that is given the table plans
 partitions for the splits of its own shard only: files of other shards are
 never opened, and in the two splits at a shard's ends the other shards' records
-are passed over by their headers.
+are passed over by their headers. Splits may be much smaller than what is worth
+a task: neighbours then share one (``records.grouped``).
 
 ==============  =============================================================
 ``tfrecord``    ranges of bytes. A reader that starts anywhere looks for a
@@ -44,6 +45,8 @@ from tilewright.storage import new_path
 SPLIT_BYTES = 128 << 20
 _BLOCK = 1 << 20
 _FIELDS = "path string, start long, end long, first long, count long"
+#: With the bytes of the records, where the range isn't one of theirs.
+_SIZED = f"{_FIELDS}, bytes long"
 
 
 # --- TFRecord: records found from any byte ---
@@ -108,8 +111,7 @@ def _each(spark: SparkSession, rows: list[dict], schema: str, f: Callable[[dict]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for row in frame.to_dict("records"):
-                yield pd.DataFrame(list(f(row)), columns=names)
+            yield pd.DataFrame([found for row in frame.to_dict("records") for found in f(row)], columns=names)
 
     tasks = min(len(rows), 4 * spark.sparkContext.defaultParallelism)
     return spark.createDataFrame(pd.DataFrame(rows)).repartition(tasks).mapInPandas(run, schema).collect()
@@ -184,10 +186,10 @@ def _lmdb(spark: SparkSession, path: str, step: int) -> list[dict]:
     def count(r: dict) -> Iterator[tuple]:
         reader = records.LmdbReader({"path": path})
         with records._random_access(r["path"]) as f:
-            yield r["path"], r["page"], r["at"], 0, reader.count(f, r["page"])
+            yield r["path"], r["page"], r["at"], 0, *reader.count(f, r["page"])
 
     # Children come in key order, which needn't be that of their page numbers.
-    found = sorted((x.asDict() for x in _each(spark, roots, _FIELDS, count)), key=lambda s: s["end"])
+    found = sorted((x.asDict() for x in _each(spark, roots, _SIZED, count)), key=lambda s: s["end"])
     out, path, first = [], None, 0
     for s in found:
         first = first if s["path"] == path else 0
@@ -273,10 +275,10 @@ def _webdataset(spark: SparkSession, path: str, step: int) -> list[dict]:
                 held += sum(map(int, fields[2::width]))
                 at, number = at + len(line), number + 1
                 if held >= step:
-                    yield r["path"], begun, at, first, number - first
+                    yield r["path"], begun, at, first, number - first, held
                     begun, first, held = at, number, 0
             if number > first:
-                yield r["path"], begun, at, first, number - first
+                yield r["path"], begun, at, first, number - first, held
 
     found = sizes_below(path, (".tar", ".idx"))
     have = {p for p, _ in found}
@@ -284,7 +286,7 @@ def _webdataset(spark: SparkSession, path: str, step: int) -> list[dict]:
     lacking = [p for p in tars if index_name(p) not in have]
     if lacking:
         raise ValueError(f"{lacking[0]} has no index: write_tar_indexes makes one")
-    return [x.asDict() for x in _each(spark, [{"path": p} for p in tars], _FIELDS, cut)]
+    return [x.asDict() for x in _each(spark, [{"path": p} for p in tars], _SIZED, cut)]
 
 
 _KINDS = {"tfrecord": _tfrecord, "recordio": _recordio, "webdataset": _webdataset, "lmdb": _lmdb, "files": _files, "fixed": _fixed}
@@ -302,7 +304,7 @@ def index(spark: SparkSession, form: str, path: str, split_bytes: int = SPLIT_BY
     with system.open_output_stream(inner, compression=None) as out:
         for s in found:
             if s["count"]:
-                out.write((json.dumps(s) + "\n").encode())
+                out.write((json.dumps({"bytes": s["end"] - s["start"]} | s) + "\n").encode())
     return where
 
 
@@ -321,4 +323,5 @@ def read(spark: SparkSession, form: str, path: str, shard: int = 0, shards: int
     records.register(spark)
     where = where or index(spark, form, path, **options)
     more = {"recordbytes": str(options["record_bytes"])} if "record_bytes" in options else {}
-    return spark.read.format(form).options(index=where, shard=str(shard), shards=str(shards), **more).load(path)
+    tasks = max(records.TASKS, 4 * spark.sparkContext.defaultParallelism)
+    return spark.read.format(form).options(index=where, shard=str(shard), shards=str(shards), tasks=str(tasks), **more).load(path)
